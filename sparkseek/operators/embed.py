@@ -56,11 +56,17 @@ def embed_column(text: Column, embedder: Embedder) -> Column:
     return vectors(embedder.prepare(text))
 
 
-def embed_table(rows: DataFrame, text: str, embedder: Embedder, output: str = "embedding") -> DataFrame:
+def embed_table(
+    rows: DataFrame, text: str, embedder: Embedder, output: str = "embedding", tasks: int | None = None
+) -> DataFrame:
     """Adds the vector and the provider, model and dimensions it came from.
 
     A vector of the wrong length fails the job, as any failure to embed does.
+    ``tasks`` spreads the rows first: for tables stored in fewer pieces than there
+    are cores, where the model's time outweighs moving the text.
     """
+    if tasks is not None:
+        rows = rows.repartition(tasks)
     raw = rows.withColumn(output, embed_column(F.col(text), embedder))
     return raw.withColumns(
         {

@@ -34,18 +34,27 @@ def rerank_none(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_order": F.col("vector_rank")})
 
 
-def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer) -> DataFrame:
-    """Scores each (question, text) on its own. A missing score counts as 0 here."""
-    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
+def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer, tasks: int | None = None) -> DataFrame:
+    """Scores each (question, text) on its own. A missing score counts as 0 here.
+
+    Scoring is dear and the candidates are few bytes, so they are spread over
+    ``tasks`` (by default the session's shuffle partitions) one by one: neither
+    small partitions nor a single query with many candidates ends up in one task.
+    """
+    tasks = tasks or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = hits.repartition(tasks, "query_id", "id")
+    scored = scored.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("rerank_score", F.lit(0.0)).desc(), "vector_rank")
     return scored.withColumn("rerank_order", F.row_number().over(order))
 
 
-def listwise_results(hits: DataFrame, scorer: ListwiseScorer) -> DataFrame:
+def listwise_results(hits: DataFrame, scorer: ListwiseScorer, tasks: int | None = None) -> DataFrame:
     """(query_id, rerank_order, index, rerank_score): one scorer call per query.
 
-    A group is one query's candidates, never more than the candidate pool.
+    A group is one query's candidates, never more than the candidate pool. The
+    queries are spread over ``tasks``, as in ``rerank_pointwise``.
     """
+    tasks = tasks or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(candidates: pa.Table) -> pa.Table:
         ordered = candidates.sort_by("vector_rank")
@@ -59,7 +68,7 @@ def listwise_results(hits: DataFrame, scorer: ListwiseScorer) -> DataFrame:
             }
         )
 
-    candidates = hits.select("query_id", "vector_rank", "question", "embedding_text")
+    candidates = hits.select("query_id", "vector_rank", "question", "embedding_text").repartition(tasks, "query_id")
     return candidates.groupBy("query_id").applyInArrow(
         score, "query_id long, rerank_order int, index int, rerank_score double"
     )
@@ -147,9 +156,10 @@ class NoOp:
 class Pointwise:
     scorer: PointwiseScorer = lexical_score
     pool_size: int = rules.DEFAULT_POOL
+    tasks: int | None = None
 
     def rerank(self, hits: DataFrame) -> DataFrame:
-        return rerank_pointwise(hits, self.scorer)
+        return rerank_pointwise(hits, self.scorer, self.tasks)
 
 
 @dataclass(frozen=True)

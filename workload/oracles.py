@@ -268,6 +268,17 @@ oracle(
            ORDER BY sim DESC, id LIMIT 10) USING (id)""",
     "space",
 )
+oracle(
+    "search_by_expression",
+    """SELECT d.id, source_file, kind, type_name, member, md5(embedding_text) AS embedding_text, round(sim, 10) AS similarity
+       FROM docs d JOIN (
+           SELECT id, list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim
+           FROM space s, (SELECT embedding FROM embeddings WHERE vec_id = 3) e
+           WHERE project_id = 4 AND (type_name IS NULL OR type_name NOT ILIKE 'good%')
+             AND list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= -0.1
+           ORDER BY sim DESC, id LIMIT 10) USING (id)""",
+    "space",
+)
 oracle(
     "search_batch",
     """SELECT query_id, CAST(vector_rank AS INTEGER) AS vector_rank, d.id, source_file, kind, type_name, member,

@@ -89,7 +89,7 @@ def append_feedback(v: Views) -> DataFrame:
     existing = v.feedback.filter(F.col("question") == "about purchase")
     checked = validate.validate_feedback(v.submissions, v.projects)
     accepted, _ = validate.split(checked)
-    rows = feedback.append_feedback(existing, accepted, NOW, rows_per_range=2_000)
+    rows = feedback.append_feedback(existing, accepted, NOW, rows_per_range=20_000)
     return rows.select(
         "id", "project_id", "question", "useful", F.size("similarities").cast("long").alias("n_similarities"),
         "reason", "username", micros("created_at"),
@@ -411,6 +411,13 @@ def search_one(v: Views) -> DataFrame:
     return hits.withColumn("embedding_text", F.md5("embedding_text"))
 
 
+@query
+def search_by_expression(v: Views) -> DataFrame:
+    vector = v.raw("embeddings").filter("vec_id = 3").first()["embedding"]
+    hits = search.search_by_expression(_space(v), vector, 10, 4, [filters.type_name_filter("not_contains", "good*")], -0.1)
+    return hits.withColumn("embedding_text", F.md5("embedding_text"))
+
+
 @query
 def search_batch(v: Views) -> DataFrame:
     hits = search.search_batch(_space(v), v.requests, DIMENSIONS)
@@ -728,7 +735,7 @@ def window_project_filter(v: Views) -> DataFrame:
 
 @query
 def create_projects(v: Views) -> DataFrame:
-    after = projects.create_projects(v.projects, _project_changes(v).drop("id"), NOW, rows_per_range=500).projects
+    after = projects.create_projects(v.projects, _project_changes(v).drop("id"), NOW).projects
     return after.select("id", "name", "git_url", "git_raw_url", micros("created_at"))
 
 
@@ -807,12 +814,21 @@ def stream_weekly_counts(v: Views) -> DataFrame:
 # --- embedding, reranking, end to end
 
 
+def _tasks(rows: DataFrame) -> int | None:
+    """All cores for a table stored in fewer files than that; else its own splits."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return cores if len(rows.inputFiles()) < cores else None
+
+
 def _embedded(v: Views, embedder: embed.Embedder) -> DataFrame:
-    return embed.embed_table(v.raw("documents").select("doc_id", "text"), "text", embedder)
+    rows = v.raw("documents").select("doc_id", "text")
+    return embed.embed_table(rows, "text", embedder, tasks=_tasks(rows))
 
 
 def _cells(vectors_: DataFrame, key: str, column: str) -> DataFrame:
-    return vectors_.select(key, F.posexplode(column).alias("dim", "x")).select(key, "dim", F.round(F.col("x").cast("double"), 9).alias("x"))
+    """One row per number. The outer form keeps Spark from adding a filter on the
+    vector below it, for which every text would be embedded a second time."""
+    return vectors_.select(key, F.posexplode_outer(column).alias("dim", "x")).select(key, "dim", F.round(F.col("x").cast("double"), 9).alias("x"))
 
 
 @query
@@ -825,7 +841,7 @@ def resolve_embedder(v: Views) -> DataFrame:
     """The embedder found under another spelling of its name, not normalised, on every question."""
     embedder = embed.resolve_embedder("LOCAL", dimensions=16, normalized=False)
     rows = embed.embed_table(v.questions, "question", embedder, "query_vector")
-    return rows.select("query_id", F.posexplode("query_vector").alias("dim", "x"), "embedding_provider", "embedding_dimensions").select(
+    return rows.select("query_id", F.posexplode_outer("query_vector").alias("dim", "x"), "embedding_provider", "embedding_dimensions").select(
         "query_id", "dim", F.round(F.col("x").cast("double"), 9).alias("x"), "embedding_provider", "embedding_dimensions"
     )
 
@@ -883,7 +899,8 @@ def rerank_batch(v: Views) -> DataFrame:
 
 def _answers(v: Views) -> plan.Answers:
     embedder = embed.HashedTokens(DIMENSIONS)
-    documents = embed.embed_table(v.documents.drop("embedding"), "embedding_text", embedder)
+    texts = v.documents.drop("embedding")
+    documents = embed.embed_table(texts, "embedding_text", embedder, tasks=_tasks(texts))
     return plan.code_search(_filtered_questions(v), v.projects, documents, v.models, embedder, rerank.Pointwise())
 
 
