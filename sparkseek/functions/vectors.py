@@ -12,7 +12,8 @@ SMALLEST_FLOAT = 1.401298464324817e-45
 
 
 def vector_literal(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values])
+    """A single-precision vector, as vectors are stored."""
+    return F.lit([float(v) for v in values]).cast("array<float>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,7 +29,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]; NaN where either vector is all zeros."""
     scale = F.sqrt(squared_norm(a) * squared_norm(b))
     cosine = dot(a, b) / F.when(scale != 0.0, scale)
-    return F.coalesce(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)), F.lit(float("nan")))
+    held = F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))
+    return F.when(cosine.isNull(), F.lit(float("nan"))).otherwise(held)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
