@@ -28,11 +28,17 @@ def append_feedback(
     existing: DataFrame, accepted: DataFrame, now: datetime, key: str = "submission_id", rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Accepted submissions as stored rows: next ids in order of ``key``, time stamped."""
+    return stored_rows(accepted, now, largest_id(existing), key, rows_per_range)
+
+
+def stored_rows(
+    accepted: DataFrame, now: datetime, last_id: int, key: str = "submission_id", rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """``append_feedback`` where the last id handed out is known."""
     stamped = accepted.withColumn(
         "created_at", F.coalesce("created_at", F.lit(now)) if "created_at" in accepted.columns else F.lit(now)
     )
-    numbered = number_rows(stamped, key, largest_id(existing), rows_per_range=rows_per_range)
-    return numbered.select(*FEEDBACK_COLUMNS)
+    return number_rows(stamped, key, last_id, rows_per_range=rows_per_range).select(*FEEDBACK_COLUMNS)
 
 
 def feedback_with_project(feedback: DataFrame, projects: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def search(
         }
     )
     nearest = best_per_query(_pairs_by_shipping(candidates, request, len(vector)), k)
-    return _ordered_hits(documents, nearest)
+    return _ordered_hits(candidates, nearest)
 
 
 def search_by_expression(
@@ -95,7 +95,7 @@ def search_by_expression(
     passing = filters.min_similarity(minimum, similarity(F.col("distance")))
     fails = F.lit(0) if passing is None else F.when(passing, 0).otherwise(1)
     nearest = scored.withColumn("_fails", fails).orderBy("_fails", "distance", "id").limit(k).filter("_fails = 0")
-    return _ordered_hits(documents, nearest)
+    return _ordered_hits(candidates, nearest)
 
 
 def _ordered_hits(documents: DataFrame, nearest: DataFrame) -> DataFrame:
@@ -134,10 +134,7 @@ def _filtered_columns(requests: pa.Table | DataFrame) -> list[str]:
 
 def _pairs_by_shipping(documents: DataFrame, requests: pa.Table, dimensions: int) -> DataFrame:
     """Every document task gets all the requests; nothing of the documents is moved."""
-    projects = requests["project_id"].unique().to_pylist()
     columns = ["id", "project_id", "embedding", *_filtered_columns(requests)]
-    if len(projects) <= MAX_LISTED_PROJECTS:
-        documents = documents.filter(F.col("project_id").isin(projects))
     shipped = documents.sparkSession.sparkContext.broadcast(requests)
 
     def nearest(batches):
@@ -201,21 +198,31 @@ def best_per_query(pairs: DataFrame, most: int) -> DataFrame:
     )
 
 
-def nearest_pairs(documents: DataFrame, requests: DataFrame, dimensions: int) -> tuple[DataFrame, bool]:
+def _in_asked_projects(documents: DataFrame, requests: pa.Table) -> DataFrame:
+    """Only documents of the asked projects, where those are few enough to list.
+
+    The list reaches the scan, and prunes the folders of a table stored by project.
+    """
+    projects = requests["project_id"].unique().to_pylist()
+    return documents.filter(F.col("project_id").isin(projects)) if len(projects) <= MAX_LISTED_PROJECTS else documents
+
+
+def nearest_pairs(documents: DataFrame, requests: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame, bool]:
     """(query_id, id, distance, vector_rank) of each request's nearest documents.
 
-    ``query_id`` must be unique.
-    The second value tells whether the result is small enough to broadcast. At
-    most ``MAX_SHIPPED_REQUESTS`` + 1 requests come to the driver, as the size check.
+    Also returns the documents they were sought among, and whether the pairs are
+    few enough to broadcast. ``query_id`` must be unique. At most
+    ``MAX_SHIPPED_REQUESTS`` + 1 requests come to the driver, as the size check.
     """
     asked = _request_columns(requests)
     sample = asked.limit(MAX_SHIPPED_REQUESTS + 1).toArrow()
     if sample.num_rows <= MAX_SHIPPED_REQUESTS:
-        total = sum(sample["k"].to_pylist())
-        most = max(sample["k"].to_pylist(), default=0)
-        return best_per_query(_pairs_by_shipping(documents, sample, dimensions), most), total <= MAX_SHIPPED_HITS
+        limits = sample["k"].to_pylist()
+        scope = _in_asked_projects(documents, sample)
+        pairs = best_per_query(_pairs_by_shipping(scope, sample, dimensions), max(limits, default=0))
+        return pairs, scope, sum(limits) <= MAX_SHIPPED_HITS
     most = asked.agg(F.max("k")).first()[0]
-    return best_per_query(_pairs_by_blocks(documents, asked, dimensions), most), False
+    return best_per_query(_pairs_by_blocks(documents, asked, dimensions), most), documents, False
 
 
 def search_batch(documents: DataFrame, requests: DataFrame, dimensions: int) -> DataFrame:
@@ -225,10 +232,10 @@ def search_batch(documents: DataFrame, requests: DataFrame, dimensions: int) ->
     min_similarity and {kind,namespace,type_name}_{operator,value}. ``documents``
     holds one embedding space. The wide columns are read only for the winners.
     """
-    pairs, small = nearest_pairs(documents, requests, dimensions)
+    pairs, scope, small = nearest_pairs(documents, requests, dimensions)
     winners = F.broadcast(pairs) if small else pairs
     return (
-        hit_columns(documents)
+        hit_columns(scope)
         .join(winners, "id")
         .select("query_id", "vector_rank", *HIT_COLUMNS, round10(similarity(F.col("distance"))).alias("similarity"))
     )

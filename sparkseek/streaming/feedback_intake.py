@@ -5,16 +5,18 @@ from __future__ import annotations
 import os
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkseek.operators.feedback import append_feedback
-from sparkseek.operators.validate import ERROR, feedback_checks, with_failure, with_project_check
+from sparkseek.operators.feedback import stored_rows
+from sparkseek.operators.validate import feedback_checks, split, with_failure, with_project_check
 from sparkseek.sources.schemas import CODE_QUERY_FEEDBACK
 
 BATCH = "intake_batch"
+_LAST_ID = T.StructType([T.StructField("last_id", T.LongType())])
 
 # Fixed value: Spark counts windows from 1970-01-01, a Thursday; Mondays are 4 days on.
 MONDAY_SHIFT = "4 days"
@@ -31,19 +33,25 @@ def stream_feedback_intake(
     """Appends accepted rows with new ids, and rejected rows with their codes.
 
     ``submission_id`` is unique. Each micro-batch overwrites its own folder, and
-    numbers its rows after the folders of earlier batches only, so a batch that
-    is replayed after a failure writes the same rows again instead of more rows.
+    numbers its rows after those of earlier batches only, so a batch that is
+    replayed after a failure writes the same rows again instead of more rows.
+    Beside the checkpoint, one small row per batch keeps the last id, so that no
+    batch reads the rows stored before it.
     """
+    ids_path = f"{checkpoint.rstrip('/')}-ids"
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        accepted = batch.filter(F.col(ERROR).isNull())
-        earlier = read_intake(spark, accepted_path).filter(F.col(BATCH) < batch_id)
-        rows = append_feedback(earlier, accepted, now)
-        rows.write.mode("overwrite").parquet(os.path.join(accepted_path, f"{BATCH}={batch_id}"))
-        rejected = batch.filter(F.col(ERROR).isNotNull())
-        rejected.write.mode("overwrite").parquet(os.path.join(rejected_path, f"{BATCH}={batch_id}"))
+        earlier = _read_batches(spark, ids_path, _LAST_ID).filter(F.col(BATCH) < batch_id)
+        last_id = earlier.agg(F.max("last_id")).first()[0] or 0
+        accepted_now, rejected_now = split(batch)
+        own = _batch_folder(accepted_path, batch_id)
+        stored_rows(accepted_now, now, last_id).write.mode("overwrite").parquet(own)
+        rejected_now.write.mode("overwrite").parquet(_batch_folder(rejected_path, batch_id))
+        counted = spark.read.schema(CODE_QUERY_FEEDBACK).parquet(own).agg(F.max("id").alias("_max"))
+        newest = counted.select(F.coalesce("_max", F.lit(last_id)).cast("long").alias("last_id"))
+        newest.write.mode("overwrite").parquet(_batch_folder(ids_path, batch_id))
         batch.unpersist()
 
     checked = checked_submissions(submissions, projects)
@@ -55,15 +63,24 @@ def stream_feedback_intake(
     )
 
 
-def read_intake(spark: SparkSession, accepted_path: str) -> DataFrame:
-    """The accepted rows so far, with the number of the batch they came in."""
-    schema = T.StructType(CODE_QUERY_FEEDBACK.fields + [T.StructField(BATCH, T.LongType())])
+def _batch_folder(path: str, batch_id: int) -> str:
+    return os.path.join(path, f"{BATCH}={batch_id}")
+
+
+def _read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All batch folders under a path with their batch number; none if nothing is stored yet."""
+    numbered = T.StructType(schema.fields + [T.StructField(BATCH, T.LongType())])
     try:
-        return spark.read.schema(schema).parquet(accepted_path)
-    except Exception as problem:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(problem):
+        return spark.read.schema(numbered).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], numbered)
+
+
+def read_intake(spark: SparkSession, accepted_path: str) -> DataFrame:
+    """The accepted rows so far, with the number of the batch they came in."""
+    return _read_batches(spark, accepted_path, CODE_QUERY_FEEDBACK)
 
 
 def monday_window(instant: str | Column) -> Column:
@@ -89,7 +106,7 @@ def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str) -> Stream
     """Stores the changed counts of every micro-batch, each in its own folder."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"{BATCH}={batch_id}"))
+        batch.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
     return (
         counts.writeStream.outputMode("update")

@@ -258,7 +258,7 @@ oracle(
 # --- search and order
 
 oracle(
-    "search_one",
+    "search",
     """SELECT d.id, source_file, kind, type_name, member, md5(embedding_text) AS embedding_text, round(sim, 10) AS similarity
        FROM docs d JOIN (
            SELECT id, list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim
@@ -308,7 +308,7 @@ oracle(
            FROM lineitem) WHERE n <= 10""",
 )
 oracle(
-    "with_pool_size",
+    "pool_size",
     """SELECT query_id, lim AS "limit", CAST(least(greatest(COALESCE(lim, 10), 25), 200) AS INTEGER) AS k
        FROM (SELECT query_id, CASE WHEN "limit" > 0 THEN "limit" * 5 END AS lim FROM questions)""",
     "questions",
@@ -344,7 +344,7 @@ oracle("round10", "SELECT event_id, round(value / 7, 10) AS rounded FROM events"
 oracle(
     "l2_normalize",
     """SELECT vec_id, CAST(dim AS INTEGER) AS dim,
-              round(CAST(CAST(e[dim + 1]::DOUBLE / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) AS FLOAT) AS DOUBLE), 5) AS x
+              round(CAST(CAST(e[dim + 1]::DOUBLE / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS x
        FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * (label + 1) AS FLOAT)) AS e FROM embeddings) CROSS JOIN range(64) t(dim)""",
 )
 oracle("dimension_guard", "SELECT vec_id, label >= 8 AS fits, CAST(64 AS INTEGER) AS size FROM embeddings")

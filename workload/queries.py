@@ -21,8 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    QUERIES[function.__name__] = lambda spark, folder: function(Views(spark, folder))
-    return function
+    return named(function.__name__)(function)
+
+
+def named(name: str) -> Callable:
+    def register(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        QUERIES[name] = lambda spark, folder: function(Views(spark, folder))
+        return function
+
+    return register
 
 
 def micros(column: str) -> F.Column:
@@ -401,7 +408,7 @@ def mean_pool(v: Views) -> DataFrame:
 # --- search and order
 
 
-@query
+@named("search")
 def search_one(v: Views) -> DataFrame:
     """The vector of document 3 searched in its own project, threshold and filters on."""
     vector = v.raw("embeddings").filter("vec_id = 3").first()["embedding"]
@@ -441,7 +448,7 @@ def best_per_query(v: Views) -> DataFrame:
     return search.best_per_query(lines, 10)
 
 
-@query
+@named("pool_size")
 def with_pool_size(v: Views) -> DataFrame:
     return search.with_pool_size(v.questions.select("query_id", F.when(F.col("limit") > 0, F.col("limit") * 5).alias("limit")), 25)
 
@@ -511,7 +518,7 @@ def round10(v: Views) -> DataFrame:
 def l2_normalize(v: Views) -> DataFrame:
     scaled = F.transform("embedding", lambda x: (x * (F.col("label") + 1)).cast("float"))
     unit = v.raw("embeddings").select("vec_id", vectors.l2_normalize(scaled).alias("u"))
-    return unit.select("vec_id", F.posexplode("u").alias("dim", "x")).select("vec_id", "dim", F.round(F.col("x").cast("double"), 5).alias("x"))
+    return unit.select("vec_id", F.posexplode("u").alias("dim", "x")).select("vec_id", "dim", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
 @query
