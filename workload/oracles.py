@@ -263,8 +263,8 @@ oracle(
        FROM docs d JOIN (
            SELECT id, list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim
            FROM space s, (SELECT embedding FROM embeddings WHERE vec_id = 3) e
-           WHERE project_id = 4 AND (namespace IS NULL OR namespace <> 'src3') AND kind ILIKE '%E%'
-             AND list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= -0.5
+           WHERE project_id = 4 AND (type_name IS NULL OR type_name NOT ILIKE 'poor%') AND kind ILIKE '%E%'
+             AND list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= -0.2
            ORDER BY sim DESC, id LIMIT 10) USING (id)""",
     "space",
 )

@@ -413,7 +413,7 @@ def search_one(v: Views) -> DataFrame:
     """The vector of document 3 searched in its own project, threshold and filters on."""
     vector = v.raw("embeddings").filter("vec_id = 3").first()["embedding"]
     hits = search.search(
-        _space(v), vector, 10, 4, [filters.namespace_filter("not_equals", "src3"), filters.kind_filter("contains", "*E*")], -0.5
+        _space(v), vector, 10, 4, [filters.type_name_filter("not_contains", "poor*"), filters.kind_filter("contains", "*E*")], -0.2
     )
     return hits.withColumn("embedding_text", F.md5("embedding_text"))
 
