@@ -14,7 +14,7 @@ from sparkseek.plans import code_search as plan
 from sparkseek.session import scratch_dir
 from sparkseek.sources import sinks, tables
 from sparkseek.streaming import feedback_intake as intake
-from workload.views import DIMENSIONS, MODEL, PROVIDER, WINDOW_END, WINDOW_START, Views
+from workload.views import DIMENSIONS, FILES, MODEL, PROVIDER, WINDOW_END, WINDOW_START, Views
 
 NOW = datetime(2024, 2, 1, 8, 30)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,8 +795,7 @@ class _Streamed(Views):
     def raw(self, name: str) -> DataFrame:
         if name != "events":
             return super().raw(name)
-        schema = super().raw(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(FILES[name]).option("pathGlobFilter", "events.parquet").parquet(self.folder)
 
 
 @query

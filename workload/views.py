@@ -15,8 +15,25 @@ WINDOW_END = datetime(2024, 1, 24, 12)
 PROVIDER, MODEL, DIMENSIONS = "Local", "hash-64", 64
 
 
+# Schemas of the given files; stating them saves a job per read that infers them.
+FILES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(FILES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 class Views:
@@ -41,12 +58,15 @@ class Views:
 
     @property
     def models(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [
-                (1, PROVIDER, MODEL, DIMENSIONS, True, None, datetime(2024, 1, 1)),
-                (2, "OpenAI", "other-64", DIMENSIONS, True, None, datetime(2024, 1, 1)),
-            ],
-            "id long, provider string, model string, dimensions int, normalized boolean, configuration string, created_at timestamp",
+        local = F.col("id") == 1
+        return self.spark.range(1, 3, numPartitions=1).select(
+            "id",
+            F.when(local, PROVIDER).otherwise("OpenAI").alias("provider"),
+            F.when(local, MODEL).otherwise("other-64").alias("model"),
+            F.lit(DIMENSIONS).alias("dimensions"),
+            F.lit(True).alias("normalized"),
+            F.lit(None).cast("string").alias("configuration"),
+            F.lit(datetime(2024, 1, 1)).alias("created_at"),
         )
 
     @property
