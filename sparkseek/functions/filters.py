@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkseek.functions.scalars import instant
+
 CONTAINS, NOT_CONTAINS, EQUALS, NOT_EQUALS = "contains", "not_contains", "equals", "not_equals"
 
 KIND_OPERATORS = (CONTAINS, EQUALS, NOT_EQUALS)
@@ -105,7 +107,7 @@ def min_similarity(minimum: float | None, similarity: str | Column = "similarity
 
 def in_window(start: datetime, end: datetime, column: str | Column = "created_at") -> Column:
     """Both ends belong to the window."""
-    return _column(column).between(F.lit(start), F.lit(end))
+    return _column(column).between(instant(start), instant(end))
 
 
 def project_name_contains(part: str | Column, column: str | Column = "name") -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zoneinfo
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from sparkseek.functions import rules
 
 
+def utc(value: datetime) -> datetime:
+    """The moment in UTC without a zone; a value without one is in UTC already."""
+    return value.astimezone(timezone.utc).replace(tzinfo=None) if value.tzinfo else value
+
+
+def instant(value: datetime) -> Column:
+    """A literal moment. Spark would read a zone-less value in the driver's local zone."""
+    return F.lit(utc(value).replace(tzinfo=timezone.utc))
+
+
 def is_blank(text: Column) -> Column:
     """Null, empty, or nothing but white space in the Unicode sense."""
     return text.isNull() | text.rlike(r"(?U)^\s*\z")
@@ -31,9 +41,9 @@ def positive_id(text: Column) -> Column:
     return F.when(number >= 1, number)
 
 
-def week_start(instant: Column) -> Column:
-    """Monday of the instant's UTC week, as a date."""
-    return F.trunc(instant, "week")
+def week_start(moment: Column) -> Column:
+    """Monday of the moment's UTC week, as a date."""
+    return F.trunc(moment, "week")
 
 
 def week_end(start: Column) -> Column:
@@ -42,8 +52,8 @@ def week_end(start: Column) -> Column:
 
 def weeks_between(start: datetime | Column, end: datetime | Column) -> Column:
     """Array of every Monday whose week overlaps the window."""
-    first = start if isinstance(start, Column) else F.lit(start)
-    last = end if isinstance(end, Column) else F.lit(end)
+    first = start if isinstance(start, Column) else instant(start)
+    last = end if isinstance(end, Column) else instant(end)
     return F.sequence(week_start(first), week_start(last), F.expr("interval 7 days"))
 
 
@@ -105,7 +115,7 @@ def is_known_timezone(name: Column) -> Column:
     return name.isNull() | (name == "") | name.isin(zones)
 
 
-def created_at_text(instant: Column, zone: str | Column | None = None) -> Column:
+def created_at_text(created_at: Column, zone: str | Column | None = None) -> Column:
     """ISO instant to the second: UTC with ``Z``, or the zone's wall clock with its offset.
 
     The offset is taken per row, so it follows daylight saving. Fractions of a
@@ -113,9 +123,9 @@ def created_at_text(instant: Column, zone: str | Column | None = None) -> Column
     """
     pattern = "yyyy-MM-dd'T'HH:mm:ss"
     if zone is None:
-        return F.concat(F.date_format(instant, pattern), F.lit("Z"))
-    local = F.from_utc_timestamp(instant, zone)
-    minutes = ((F.unix_seconds(local) - F.unix_seconds(instant)) / 60).cast("int")
+        return F.concat(F.date_format(created_at, pattern), F.lit("Z"))
+    local = F.from_utc_timestamp(created_at, zone)
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(created_at)) / 60).cast("int")
     offset = F.format_string(
         "%s%02d:%02d",
         F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),

@@ -11,6 +11,7 @@ from sparkseek.functions import filters
 from sparkseek.functions.scalars import (
     bool_text,
     created_at_text,
+    instant,
     json_numbers,
     percentage,
     week_end,
@@ -36,7 +37,7 @@ def stored_rows(
 ) -> DataFrame:
     """``append_feedback`` where the last id handed out is known."""
     stamped = accepted.withColumn(
-        "created_at", F.coalesce("created_at", F.lit(now)) if "created_at" in accepted.columns else F.lit(now)
+        "created_at", F.coalesce("created_at", instant(now)) if "created_at" in accepted.columns else instant(now)
     )
     return number_rows(stamped, key, last_id, rows_per_range=rows_per_range).select(*FEEDBACK_COLUMNS)
 

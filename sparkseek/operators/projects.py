@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions import filters
+from sparkseek.functions.scalars import instant
 from sparkseek.operators.numbering import ROWS_PER_RANGE, largest_id, number_rows
 from sparkseek.operators.validate import ERROR, validate_project_changes, with_failure
 
@@ -104,7 +105,7 @@ def create_projects(
     ``change_id`` is unique and tells which of two equal names came first.
     """
     outcomes = _check_batch(_check_names(validate_project_changes(new), projects, own_id=None))
-    accepted = outcomes.filter(F.col(ERROR).isNull()).withColumn("created_at", F.lit(now))
+    accepted = outcomes.filter(F.col(ERROR).isNull()).withColumn("created_at", instant(now))
     created = number_rows(accepted, "change_id", largest_id(projects), rows_per_range=rows_per_range)
     return Maintenance(
         projects.select(*PROJECT_COLUMNS).unionByName(created.select(*PROJECT_COLUMNS)),

@@ -16,9 +16,10 @@ from sparkseek.operators import topk
 HIT_COLUMNS = ("id", "source_file", "kind", "type_name", "member", "embedding_text")
 PAIR_SCHEMA = "query_id long, id long, distance double, k long"
 
-# Up to this many requests travel to every task as one matrix (32 MB at 1,024
-# dimensions); more are spread over tasks together with blocks of documents.
+# Up to this many requests travel to every task as one matrix; more, or larger
+# ones, are spread over tasks together with blocks of documents.
 MAX_SHIPPED_REQUESTS = 8_192
+MAX_SHIPPED_BYTES = 64 << 20
 # Result rows are broadcast back to the document scan only below this count (24 bytes each).
 MAX_SHIPPED_HITS = 1_000_000
 BLOCK_DOCUMENTS = 20_000
@@ -72,7 +73,7 @@ def search(
         }
     )
     nearest = best_per_query(_pairs_by_shipping(candidates, request, len(vector)), k)
-    return _ordered_hits(candidates, nearest)
+    return _ordered_hits(candidates, nearest, k)
 
 
 def search_by_expression(
@@ -95,14 +96,15 @@ def search_by_expression(
     passing = filters.min_similarity(minimum, similarity(F.col("distance")))
     fails = F.lit(0) if passing is None else F.when(passing, 0).otherwise(1)
     nearest = scored.withColumn("_fails", fails).orderBy("_fails", "distance", "id").limit(k).filter("_fails = 0")
-    return _ordered_hits(candidates, nearest)
+    return _ordered_hits(candidates, nearest, k)
 
 
-def _ordered_hits(documents: DataFrame, nearest: DataFrame) -> DataFrame:
-    """Hit columns of a single search; k is a driver-side number, so the broadcast is small."""
+def _ordered_hits(documents: DataFrame, nearest: DataFrame, k: int) -> DataFrame:
+    """Hit columns of a single search, broadcasting the k winners unless k is very large."""
+    winners = nearest.select("id", "distance")
     return (
         hit_columns(documents)
-        .join(F.broadcast(nearest.select("id", "distance")), "id")
+        .join(F.broadcast(winners) if k <= MAX_SHIPPED_HITS else winners, "id")
         .withColumn("similarity", round10(similarity(F.col("distance"))))
         .orderBy("distance", "id")
         .select(*HIT_COLUMNS, "similarity")
@@ -211,12 +213,13 @@ def nearest_pairs(documents: DataFrame, requests: DataFrame, dimensions: int) ->
     """(query_id, id, distance, vector_rank) of each request's nearest documents.
 
     Also returns the documents they were sought among, and whether the pairs are
-    few enough to broadcast. ``query_id`` must be unique. At most
-    ``MAX_SHIPPED_REQUESTS`` + 1 requests come to the driver, as the size check.
+    few enough to broadcast. ``query_id`` must be unique. The requests that come to
+    the driver are limited in number and bytes; one more than the limit is the check.
     """
     asked = _request_columns(requests)
-    sample = asked.limit(MAX_SHIPPED_REQUESTS + 1).toArrow()
-    if sample.num_rows <= MAX_SHIPPED_REQUESTS:
+    most_shipped = min(MAX_SHIPPED_REQUESTS, MAX_SHIPPED_BYTES // (4 * dimensions))
+    sample = asked.limit(most_shipped + 1).toArrow()
+    if sample.num_rows <= most_shipped:
         limits = sample["k"].to_pylist()
         scope = _in_asked_projects(documents, sample)
         pairs = best_per_query(_pairs_by_shipping(scope, sample, dimensions), max(limits, default=0))

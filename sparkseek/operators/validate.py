@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions import rules
 from sparkseek.functions.rules import RuleViolation
-from sparkseek.functions.scalars import failure_message, is_blank, too_long
+from sparkseek.functions.scalars import failure_message, instant, is_blank, too_long, utc
 
 ERROR = "error_code"
 
@@ -110,7 +110,7 @@ def validate_project_changes(changes: DataFrame) -> DataFrame:
 
 
 def _now(now: datetime | None) -> datetime:
-    return now if now is not None else datetime.now(timezone.utc).replace(tzinfo=None)
+    return utc(now if now is not None else datetime.now(timezone.utc))
 
 
 def _span_checked(start: datetime, end: datetime) -> tuple[datetime, datetime]:
@@ -121,6 +121,7 @@ def _span_checked(start: datetime, end: datetime) -> tuple[datetime, datetime]:
 
 def stats_window(start: datetime | None, end: datetime | None, now: datetime | None = None) -> tuple[datetime, datetime]:
     """The reported window; a missing end is derived from the other one."""
+    start, end = start and utc(start), end and utc(end)
     if start is not None and end is not None and start > end:
         raise RuleViolation("400-invalid-date-range")
     width = timedelta(days=rules.DEFAULT_WINDOW_DAYS)
@@ -131,6 +132,7 @@ def stats_window(start: datetime | None, end: datetime | None, now: datetime | N
 def export_window(start: datetime | None, end: datetime | None, now: datetime | None = None) -> tuple[datetime, datetime]:
     """The exported window; each end has its own default."""
     current = _now(now)
+    start, end = start and utc(start), end and utc(end)
     first = start or current.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
     last = end or current
     if first > last:
@@ -154,14 +156,14 @@ def with_stats_window(requests: DataFrame, now: datetime) -> DataFrame:
     """``stats_window`` for a table of report requests (start_date, end_date)."""
     start, end = F.col("start_date"), F.col("end_date")
     width = F.expr(f"interval '{rules.DEFAULT_WINDOW_DAYS}' day")
-    last = F.coalesce(end, start + width, F.lit(now))
+    last = F.coalesce(end, start + width, instant(now))
     return _with_window(requests, F.coalesce(start, last - width), last, start > end)
 
 
 def with_export_window(requests: DataFrame, now: datetime) -> DataFrame:
     """``export_window`` for a table of report requests (start_date, end_date)."""
-    month = F.lit(now.replace(day=1, hour=0, minute=0, second=0, microsecond=0))
-    first, last = F.coalesce("start_date", month), F.coalesce("end_date", F.lit(now))
+    month = instant(utc(now).replace(day=1, hour=0, minute=0, second=0, microsecond=0))
+    first, last = F.coalesce("start_date", month), F.coalesce("end_date", instant(now))
     return _with_window(requests, first, last, F.col("window_start") > F.col("window_end"))
 
 

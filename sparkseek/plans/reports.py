@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from sparkseek.functions.scalars import export_file_stem, known_timezone
+from sparkseek.functions.scalars import export_file_stem, instant, known_timezone
 from sparkseek.operators.feedback import export_rows, export_text, nest_weeks, weekly_feedback_stats
 from sparkseek.operators.validate import export_window, require_project, stats_window
 from sparkseek.sources.sinks import export_feedback_csv, write_weekly_json
@@ -21,10 +21,12 @@ def stats_report(
     project_id: int | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Weeks with their nested project statistics, in order."""
+    """Weeks with their nested project statistics, in order; each row names the window it is part of."""
     first, last = stats_window(start, end, now)
     require_project(projects, project_id)
-    return nest_weeks(weekly_feedback_stats(feedback, projects, first, last, project_id)).orderBy("week_start", "part")
+    weeks = nest_weeks(weekly_feedback_stats(feedback, projects, first, last, project_id))
+    window = {"start_date": instant(first), "end_date": instant(last)}
+    return weeks.withColumns(window).orderBy("week_start", "part")
 
 
 def export_report(

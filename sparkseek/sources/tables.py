@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkseek.functions.scalars import utc
 from sparkseek.sources import schemas
 
 DAY = "created_on"
@@ -45,9 +46,9 @@ def read_feedback(
     with_day = T.StructType(schemas.CODE_QUERY_FEEDBACK.fields + [T.StructField(DAY, T.DateType())])
     rows = _read(spark, path, with_day)
     if start is not None:
-        rows = rows.filter(F.col(DAY) >= F.lit(start.date()))
+        rows = rows.filter(F.col(DAY) >= F.lit(utc(start).date()))
     if end is not None:
-        rows = rows.filter(F.col(DAY) <= F.lit(end.date()))
+        rows = rows.filter(F.col(DAY) <= F.lit(utc(end).date()))
     return rows.drop(DAY)
 
 

@@ -212,7 +212,7 @@ oracle(
 )
 CANDIDATES = """
     SELECT r.query_id, r.id, CAST(r.vector_rank AS INTEGER) AS vector_rank, d.project_id, d.source_file, d.embedding_text, r.sim,
-           split_part(q.text, '.', 1) AS question, CAST(r.query_id % 5 + 1 AS INTEGER) AS "limit"
+           q.text AS question, CAST(r.query_id % 5 + 1 AS INTEGER) AS "limit"
     FROM ranked r JOIN docs d ON d.id = r.id JOIN documents q ON q.doc_id = r.query_id"""
 oracle(
     "hits_with_project",
@@ -358,7 +358,7 @@ oracle(
 oracle("week_end", "SELECT id, CAST(date_trunc('week', created_at) + INTERVAL 6 DAY AS DATE) AS week_end FROM feedback", "feedback")
 oracle(
     "is_blank",
-    r"""SELECT id, regexp_full_match(regexp_extract(embedding_text, '^[^\p{L}\p{N}]*'), '\s*') AS blank_head,
+    r"""SELECT id, regexp_full_match(regexp_replace(embedding_text, '[\p{L}\p{N}.,]+', '', 'g'), '\s*') AS blank_rest,
                type_name IS NULL AS blank_type, regexp_full_match(embedding_text, '\s*') AS blank_text
         FROM docs""",
     "docs",
@@ -521,8 +521,8 @@ oracle("stats_window", window(f"COALESCE(start_date, {LAST} - to_days(30))", LAS
 oracle("export_window", window("COALESCE(start_date, TIMESTAMP '2024-02-01 00:00:00')", f"COALESCE(end_date, {NOW})", "s > e"))
 oracle(
     "validate_project_filter",
-    """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '400-name-empty' WHEN doc_id % 9 = 1 THEN NULL WHEN split_part(text, E'\\n', 1) = '' THEN '400-name-empty'
-              WHEN length(split_part(text, E'\\n', 1)) > 200 THEN '400-name-too-long' END AS error_code
+    """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '400-name-empty' WHEN doc_id % 9 IN (1, 2) THEN NULL WHEN text = '' THEN '400-name-empty'
+              WHEN length(text) > 200 THEN '400-name-too-long' END AS error_code
        FROM documents""",
 )
 oracle(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -245,7 +245,8 @@ def feedback_with_project(v: Views) -> DataFrame:
 @query
 def week_project_grid(v: Views) -> DataFrame:
     """Weeks spanned by the stored feedback, for every project."""
-    first, last = v.feedback.agg(F.min("created_at"), F.max("created_at")).first()
+    ends = v.feedback.agg(F.unix_seconds(F.min("created_at")), F.unix_seconds(F.max("created_at"))).first()
+    first, last = (datetime.fromtimestamp(seconds, timezone.utc) for seconds in ends)
     return feedback.week_project_grid(v.projects, first, last)
 
 
@@ -293,10 +294,10 @@ def name_exists(v: Views) -> DataFrame:
 
 
 def _candidates(v: Views) -> DataFrame:
-    """Search candidates of every request with a question and a limit."""
+    """Search candidates of every request with a question (its own document's text) and a limit."""
     hits = search.search_batch(_space(v), v.requests, DIMENSIONS)
     asked = v.requests.join(
-        v.raw("documents").select(F.col("doc_id").alias("query_id"), F.substring_index("text", ".", 1).alias("question")),
+        v.raw("documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")),
         "query_id",
     ).select("query_id", "project_id", "question", (F.col("query_id") % 5 + 1).cast("int").alias("limit"))
     return hits.join(asked, "query_id")
@@ -549,9 +550,9 @@ def week_end(v: Views) -> DataFrame:
 
 @query
 def is_blank(v: Views) -> DataFrame:
-    """Text up to the first letter or digit of every document, and missing type names."""
-    head = F.regexp_extract("embedding_text", r"^[^\p{L}\p{N}]*", 0)
-    return v.documents.select("id", scalars.is_blank(head).alias("blank_head"), scalars.is_blank(F.col("type_name")).alias("blank_type"), scalars.is_blank(F.col("embedding_text")).alias("blank_text"))
+    """Whole texts, texts without their words, and missing type names."""
+    rest = F.regexp_replace("embedding_text", r"[\p{L}\p{N}.,]+", "")
+    return v.documents.select("id", scalars.is_blank(rest).alias("blank_rest"), scalars.is_blank(F.col("type_name")).alias("blank_type"), scalars.is_blank(F.col("embedding_text")).alias("blank_text"))
 
 
 @query
@@ -726,8 +727,8 @@ def export_window(v: Views) -> DataFrame:
 
 @query
 def validate_project_filter(v: Views) -> DataFrame:
-    """Documents' first lines used as name filters."""
-    name = F.when(F.col("doc_id") % 9 == 0, F.lit("")).when(F.col("doc_id") % 9 == 1, F.lit("  ")).otherwise(F.substring_index("text", "\n", 1))
+    """Sources and whole texts used as name filters."""
+    name = F.when(F.col("doc_id") % 9 == 0, F.lit("")).when(F.col("doc_id") % 9 == 1, F.lit("  ")).when(F.col("doc_id") % 9 == 2, F.col("source")).otherwise(F.col("text"))
     lookups = v.raw("documents").select("doc_id", name.alias("name_filter"))
     return validate.with_project_filter_check(lookups).select("doc_id", "error_code")
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.functions.scalars import instant
 from sparkseek.session import configure
 
 # Both ends cut through a week.
@@ -53,7 +54,7 @@ class Views:
             F.col("n_name").alias("name"),
             F.when(has_url, F.concat(F.lit("https://git.example.com/"), "n_name")).alias("git_url"),
             F.when(has_url, F.concat(F.lit("https://raw.example.com/"), "n_name")).alias("git_raw_url"),
-            F.lit(datetime(2024, 1, 1)).alias("created_at"),
+            instant(datetime(2024, 1, 1)).alias("created_at"),
         )
 
     @property
@@ -66,7 +67,7 @@ class Views:
             F.lit(DIMENSIONS).alias("dimensions"),
             F.lit(True).alias("normalized"),
             F.lit(None).cast("string").alias("configuration"),
-            F.lit(datetime(2024, 1, 1)).alias("created_at"),
+            instant(datetime(2024, 1, 1)).alias("created_at"),
         )
 
     @property
@@ -113,7 +114,7 @@ class Views:
             F.lit(PROVIDER).alias("embedding_provider"),
             "embedding_dimensions",
             F.lit("{}").alias("metadata"),
-            F.lit(datetime(2024, 1, 1)).alias("indexed_at"),
+            instant(datetime(2024, 1, 1)).alias("indexed_at"),
         )
 
     @property
