@@ -33,13 +33,13 @@ def append_feedback(
 
 
 def stored_rows(
-    accepted: DataFrame, now: datetime, last_id: int, key: str = "submission_id", rows_per_range: int = ROWS_PER_RANGE
+    accepted: DataFrame, now: datetime | None, last_id: int, key: str = "submission_id", rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """``append_feedback`` where the last id handed out is known."""
-    stamped = accepted.withColumn(
-        "created_at", F.coalesce("created_at", instant(now)) if "created_at" in accepted.columns else instant(now)
-    )
-    return number_rows(stamped, key, last_id, rows_per_range=rows_per_range).select(*FEEDBACK_COLUMNS)
+    """``append_feedback`` where the last id handed out is known; without ``now`` rows bring their time."""
+    if now is not None:
+        given = [F.col("created_at")] if "created_at" in accepted.columns else []
+        accepted = accepted.withColumn("created_at", F.coalesce(*given, instant(now)))
+    return number_rows(accepted, key, last_id, rows_per_range=rows_per_range).select(*FEEDBACK_COLUMNS)
 
 
 def feedback_with_project(feedback: DataFrame, projects: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +22,29 @@ MONDAY_SHIFT = "4 days"
 
 
 def checked_submissions(submissions: DataFrame, projects: DataFrame) -> DataFrame:
-    """A stream of submissions with ``error_code``, joined to the static project table."""
-    return with_project_check(with_failure(submissions, feedback_checks()), projects)
+    """A stream of submissions with ``created_at`` and ``error_code``, joined to the static project table.
+
+    A row without a time gets that of its micro-batch, which Spark keeps with the
+    batch: it is the same again when the batch is replayed.
+    """
+    given = [F.col("created_at")] if "created_at" in submissions.columns else []
+    stamped = submissions.withColumn("created_at", F.coalesce(*given, F.current_timestamp()))
+    return with_project_check(with_failure(stamped, feedback_checks()), projects)
 
 
 def stream_feedback_intake(
-    submissions: DataFrame, projects: DataFrame, accepted_path: str, rejected_path: str, checkpoint: str, now: datetime
+    submissions: DataFrame,
+    projects: DataFrame,
+    accepted_path: str,
+    rejected_path: str,
+    checkpoint: str,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Appends accepted rows with new ids, and rejected rows with their codes.
 
+    Runs until all that has arrived is taken in, or on and on with ``every``
+    (for example "1 minute").
+
     ``submission_id`` is unique. Each micro-batch overwrites its own folder, and
     numbers its rows after those of earlier batches only, so a batch that is
     replayed after a failure writes the same rows again instead of more rows.
@@ -47,7 +60,7 @@ def stream_feedback_intake(
         last_id = earlier.agg(F.max("last_id")).first()[0] or 0
         accepted_now, rejected_now = split(batch)
         own = _batch_folder(accepted_path, batch_id)
-        stored_rows(accepted_now, now, last_id).write.mode("overwrite").parquet(own)
+        stored_rows(accepted_now, None, last_id).write.mode("overwrite").parquet(own)
         rejected_now.write.mode("overwrite").parquet(_batch_folder(rejected_path, batch_id))
         counted = spark.read.schema(CODE_QUERY_FEEDBACK).parquet(own).agg(F.max("id").alias("_max"))
         newest = counted.select(F.coalesce("_max", F.lit(last_id)).cast("long").alias("last_id"))
@@ -58,11 +71,15 @@ def stream_feedback_intake(
     return (
         checked.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
 
+def _trigger(every: str | None) -> dict:
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
 def _batch_folder(path: str, batch_id: int) -> str:
     return os.path.join(path, f"{BATCH}={batch_id}")
 
@@ -102,7 +119,7 @@ def stream_weekly_counts(feedback: DataFrame, lateness: str = "1 day") -> DataFr
     )
 
 
-def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Stores the changed counts of every micro-batch, each in its own folder."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -112,7 +129,7 @@ def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str) -> Stream
         counts.writeStream.outputMode("update")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 

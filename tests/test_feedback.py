@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import json
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +110,7 @@ def test_weekly_json(spark, tmp_path):
     lines = [line for f in glob.glob(f"{tmp_path}/j/part*") for line in open(f)]
     assert json.loads(lines[0]) == {
         "week_start": "2024-01-01", "week_end": "2024-01-07", "part": 0,
+        "start_date": "2024-01-01T00:00:00.000Z", "end_date": "2024-01-05T00:00:00.000Z",
         "projects": [{"project_id": 1, "project_name": "a", "total_count": 1, "useful_count": 1, "not_useful_count": 0, "useful_percentage": 100.0, "not_useful_percentage": 0.0}],
     }
 
@@ -140,7 +141,7 @@ def test_csv_text(spark, tmp_path):
     ]
 
 
-AWKWARD = 'say "hi", then\nnew line, \\back\\ "\\" and  spaces '
+AWKWARD = 'say "hi", then\nnew line,\r\n windows \\back\\ "\\" and  spaces '
 
 
 def test_csv_quoting(spark, tmp_path):
@@ -180,6 +181,15 @@ def test_numbers_in_shortest_form(spark, value, text):
     assert row.select(scalars.json_numbers(F.col("v"))).first()[0] == f"[{text}]"
 
 
+def test_awkward_fields_first_and_last(spark, tmp_path):
+    """Empty, blank and quoted names survive, whatever column they are in."""
+    for n, text in enumerate([" ", "", ",", '""', "\n", "'", "a\tb", "é"]):
+        fb = rows(spark, {"created_at": "2018-05-05T12:00", "question": text, "reason": text})
+        path = reports.export_report(fb, projects(spark, "p"), str(tmp_path / str(n)), at("2018-05-01"), at("2018-05-30"))
+        line = read_csv(path)[1]
+        assert (line[3], line[6]) == (text, text)
+
+
 # --- windows
 
 NOW = datetime(2026, 3, 15, 10, 30)
@@ -198,6 +208,15 @@ def test_stats_window():
         validate.stats_window(a, a + timedelta(days=367), NOW)
 
 
+def test_moments_with_a_zone(spark):
+    """A window given in another zone is the same window."""
+    east = timezone(timedelta(hours=5))
+    start, end = datetime(2026, 1, 5, 5, tzinfo=east), datetime(2026, 1, 12, 4, tzinfo=east)
+    assert validate.stats_window(start, end, NOW) == (at("2026-01-05"), at("2026-01-11T23:00"))
+    fb = rows(spark, ("2026-01-05T00:00", True), ("2026-01-11T23:00", True), ("2026-01-11T23:00:00.000001", True))
+    assert feedback.weekly_counts(fb, start, end).first()["total_count"] == 2
+
+
 def test_export_window():
     a, b = at("2026-01-01"), at("2026-01-31")
     assert validate.export_window(None, None, NOW) == (at("2026-03-01"), NOW)

@@ -804,7 +804,7 @@ def stream_feedback_intake(v: Views) -> DataFrame:
     """Accepted and rejected rows after the stream has run dry."""
     accepted, rejected, checkpoint = (scratch_dir(v.spark, n) for n in ("accepted", "rejected", "intake"))
     submissions = _Streamed(v.spark, v.folder).submissions
-    intake.stream_feedback_intake(submissions, v.projects, accepted, rejected, checkpoint, NOW).awaitTermination()
+    intake.stream_feedback_intake(submissions, v.projects, accepted, rejected, checkpoint).awaitTermination()
     stored = intake.read_intake(v.spark, accepted).select(F.col("id"), "project_id", "question", "username", micros("created_at"), F.lit(None).cast("string").alias("error_code"))
     refused = v.spark.read.parquet(rejected).select(F.col("submission_id").alias("id"), "project_id", "question", "username", micros("created_at"), "error_code")
     return stored.unionByName(refused)
