@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 512
@@ -16,36 +17,33 @@ def number_rows(rows: DataFrame, key: str, start: int, output: str = "id", rows_
 
     One global row number would sort everything in a single task. Instead the key
     is cut at approximate quantiles, rows are numbered within each range, and the
-    ranges are shifted by the row counts before them. The cuts only balance the
-    work: the numbers are exact wherever they fall, and the same on a re-run,
-    because a row's range depends on its key alone.
+    ranges are shifted by the row counts before them: at most ``MAX_RANGES``
+    numbers, gathered on the driver. The cuts only balance the work. The ids are
+    exact wherever they fall, and the same on a re-run, because a row's range
+    depends on its key alone.
     """
-    total = rows.count()
-    ranges = min(MAX_RANGES, -(-total // rows_per_range))
+    ranges = min(MAX_RANGES, -(-rows.count() // rows_per_range))
     cuts: list[float] = []
     if ranges > 1:
         cuts = sorted(set(rows.approxQuantile(key, [i / ranges for i in range(1, ranges)], QUANTILE_ERROR)))
     ranged = rows.withColumn("_range", _range_of(F.col(key), cuts))
-    # At most MAX_RANGES rows: one task for the running total, and a bounded broadcast.
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_count"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_range", (F.lit(start) + F.coalesce(F.sum("_count").over(before), F.lit(0))).alias("_offset")
-    )
-    within = Window.partitionBy("_range").orderBy(key)
-    return (
-        ranged.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(output, (F.col("_offset") + F.col("_row")).cast(T.LongType()))
-        .drop("_range", "_row", "_offset")
-    )
+    offsets = _offsets(ranged, len(cuts) + 1, start) if cuts else [start]
+    row = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    before = F.lit(offsets).cast("array<bigint>")[F.col("_range")]
+    return ranged.withColumn(output, before + row).drop("_range")
 
 
 def _range_of(key: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below the key."""
     if not cuts:
         return F.lit(0)
-    position = F.array_position(F.transform(F.lit(cuts), lambda c: key.cast("double") <= c), F.lit(True))
-    return F.when(position == 0, len(cuts) + 1).otherwise(position).cast("int")
+    return F.size(F.filter(F.lit(cuts), lambda cut: cut < key.cast("double")))
+
+
+def _offsets(ranged: DataFrame, ranges: int, start: int) -> list[int]:
+    """The last id before each range."""
+    counted = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    return list(accumulate((counted.get(i, 0) for i in range(ranges - 1)), initial=start))
 
 
 def largest_id(table: DataFrame) -> int:

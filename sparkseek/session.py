@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,9 +20,18 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings to an existing session."""
+    """Apply the run-time SQL settings to an existing session.
+
+    Python workers on this machine also find the package where the driver found
+    it. On a cluster, send it along with ``--py-files``.
+    """
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 
