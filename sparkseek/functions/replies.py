@@ -17,20 +17,23 @@ EMBEDDING_SHAPES = {
 
 
 def _parse(reply: Column, shape: str) -> tuple[Column, Column]:
-    """The parsed struct, and whether the text was not JSON of that shape."""
+    """The parsed struct, and whether the text was not one JSON object of that shape."""
     parsed = F.from_json(
         reply, f"{shape}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
-    return parsed, parsed.isNull() | parsed["_bad"].isNotNull()
+    one_object = reply.rlike(r"(?s)^\s*\{.*\}\s*$")
+    return parsed, parsed.isNull() | parsed["_bad"].isNotNull() | ~one_object
 
 
 def parse_grade(reply: Column) -> Column:
     """Struct (score, error) from a grader's ``{"score": n}``.
 
-    A reply without the property grades 0. Blank or malformed text has no score
-    and names the error; callers decide whether that fails the job.
+    A reply without the property grades 0, one with a null does not parse. Blank or
+    malformed text has no score and names the error; callers decide whether that
+    fails the job.
     """
     parsed, bad = _parse(reply, "score INT")
+    bad = bad | (parsed["score"].isNull() & F.array_contains(F.json_object_keys(reply), "score"))
     error = F.when(is_blank(reply), F.lit(BLANK)).when(bad, F.lit(MALFORMED))
     score = F.when(error.isNull(), grade_to_score(F.coalesce(parsed["score"], F.lit(0))))
     return F.struct(score.alias("score"), error.alias("error"))

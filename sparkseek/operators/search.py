@@ -113,11 +113,11 @@ def _ordered_hits(documents: DataFrame, nearest: DataFrame, k: int) -> DataFrame
 
 def _request_columns(requests: DataFrame) -> DataFrame:
     """Requests as the kernel reads them; ``k`` is taken from ``limit`` where absent."""
-    k = F.col("k") if "k" in requests.columns else default_to(F.col("limit"), rules.DEFAULT_RESULTS)
+    k = default_to(F.col("k" if "k" in requests.columns else "limit"), rules.DEFAULT_RESULTS)
     optional = ["min_similarity"]
     for column in topk.FILTER_COLUMNS:
         optional += [f"{column}_operator", f"{column}_value"]
-    return requests.select(
+    return requests.filter(F.col("project_id").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"),
         F.col("project_id").cast("long").alias("project_id"),
         "query_vector",

@@ -61,8 +61,9 @@ class RequestBlock:
         names = set(table.column_names)
         floor = np.full(n, -np.inf)
         if "min_similarity" in names:
-            given = table["min_similarity"].to_numpy().astype(np.float64)
-            floor = np.where(np.isnan(given), -np.inf, given)
+            given = table["min_similarity"].combine_chunks()
+            floor = given.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            floor = np.where(np.isnan(floor), np.inf, floor)  # only NaN reaches NaN
         conditions = []
         for column in FILTER_COLUMNS:
             if f"{column}_operator" in names:
@@ -136,7 +137,7 @@ class TopK:
             cosine /= np.sqrt(r.squared_norm[asked][:, None] * doc_norm[None, :])
         distance = 1.0 - np.clip(cosine, -1.0, 1.0)
         distance[np.isnan(distance)] = UNDEFINED
-        if np.isfinite(floor).any():
+        if (floor > -np.inf).any():
             with np.errstate(invalid="ignore"):
                 low = cosine < floor
                 close = np.abs(cosine - floor) < SLACK

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,12 +40,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for written intermediates, under the cluster's shared folder.
 
     ``spark.checkpoint.dir`` names that folder. Only where it is unset (tests on
-    one machine) is a temporary folder made and remembered in the session.
+    one machine) is a temporary folder made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sparkseek-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="sparkseek-")

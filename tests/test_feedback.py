@@ -261,6 +261,13 @@ def test_numbering_is_dense_for_clustered_keys(spark):
     assert [r["id"] for r in out] == list(range(1, len(keys) + 1))
 
 
+def test_ids_beyond_32_bits(spark):
+    table = spark.createDataFrame([(i,) for i in range(50)], "key long")
+    for per_range in (1_000, 10):
+        out = number_rows(table, "key", 2**31 - 3, rows_per_range=per_range).orderBy("key").collect()
+        assert [r["id"] for r in out] == [2**31 - 2 + i for i in range(50)]
+
+
 def test_stored_tables_come_back(spark, tmp_path):
     fb = rows(spark, ("2024-01-03T00:00", True, 1), ("2024-02-03T23:00", False, 2))
     tables.write_feedback(fb, str(tmp_path / "f"), files_per_day=2)

@@ -105,7 +105,9 @@ def test_native_and_listwise_words_agree(spark):
 @pytest.mark.parametrize(
     "reply,score,error",
     [('{"score": 7}', 0.7, None), ('{"score": 12}', 1.0, None), ('{"score": -3}', 0.0, None), ("{}", 0.0, None),
-     ("", None, "blank"), (" \n", None, "blank"), (None, None, "blank"), ("not json", None, "malformed"), ('{"score": "x"}', None, "malformed")],
+     ("", None, "blank"), (" \n", None, "blank"), (None, None, "blank"), ("not json", None, "malformed"), ('{"score": "x"}', None, "malformed"),
+     ('{"score": null}', None, "malformed"), ('[{"score": 7}]', None, "malformed"), ("null", None, "malformed"), ('{"score": 7} x', None, "malformed"),
+     ('{"score": 7.5}', None, "malformed"), ('{"score": 3', None, "malformed"), (' {"other": [1], "score": 3}\n', 0.3, None)],
 )
 def test_grade_replies(spark, reply, score, error):
     row = spark.createDataFrame([(reply,)], "r string").select(replies.parse_grade(F.col("r")).alias("g")).first()["g"]

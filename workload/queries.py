@@ -96,7 +96,7 @@ def append_feedback(v: Views) -> DataFrame:
     existing = v.feedback.filter(F.col("question") == "about purchase")
     checked = validate.validate_feedback(v.submissions, v.projects)
     accepted, _ = validate.split(checked)
-    rows = feedback.append_feedback(existing, accepted, NOW, rows_per_range=20_000)
+    rows = feedback.append_feedback(existing, accepted, NOW)
     return rows.select(
         "id", "project_id", "question", "useful", F.size("similarities").cast("long").alias("n_similarities"),
         "reason", "username", micros("created_at"),
