@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the smallest positive single-precision number.
 SMALLEST_FLOAT = 1.401298464324817e-45
@@ -68,17 +72,52 @@ def split_by_dimensions(rows: DataFrame, vector: str, dimensions: int | Column)
     return rows.filter(fits), rows.filter(~fits)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, dimensions: int | None = None) -> np.ndarray:
+    """A list column as a 2-d float64 array; every vector must have the same length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column)
+    if column.null_count:
+        raise ValueError("vector is missing")
+    expected = dimensions if dimensions is not None else (lengths[0].as_py() if len(column) else 0)
+    if len(column) and pc.any(pc.not_equal(lengths, expected)).as_py():
+        raise ValueError(f"vector length differs from {expected}")
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), expected)
+
+
+def _batch_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of counts and sums per key of each Arrow batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(0).dictionary_encode(null_encoding="encode")
+        codes = np.asarray(coded.indices)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+        sums = np.add.reduceat(matrix(batch.column(1))[order], starts, axis=0)
+        offsets = np.arange(len(starts) + 1, dtype=np.int32) * sums.shape[1]
+        yield pa.record_batch(
+            {
+                batch.schema.names[0]: coded.dictionary.take(pa.array(codes[order][starts])),
+                "_n": pa.array(np.diff(np.r_[starts, len(codes)]), pa.int64()),
+                "_sums": pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel())),
+            }
+        )
+
+
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """Per-key mean of token vectors held one per row: (key, token_count, pooled).
 
-    Sums are kept per (key, dimension) and combined before the shuffle, so a key
-    with very many tokens costs no more to move than any other. Only one row per
-    dimension is then gathered for each key.
+    The vectors of a key that lie together, as an embedder writes them, are added
+    up by the batch. The sums are then combined per (key, dimension) before the
+    shuffle, so a key with very many tokens costs no more to move than any other,
+    and only one row per dimension is gathered for each key.
     """
-    cells = tokens.select(key, F.posexplode(vector).alias("_dim", "_x"))
-    means = cells.groupBy(key, "_dim").agg(
-        F.avg(F.col("_x").cast("double")).alias("_mean"), F.count("_x").alias("_n")
-    )
+    rows = tokens.select(key, vector).filter(F.col(vector).isNotNull())
+    sums = T.StructField("_sums", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([rows.schema[key], T.StructField("_n", T.LongType()), sums])
+    cells = rows.mapInArrow(_batch_sums, schema).select(key, "_n", F.posexplode("_sums").alias("_dim", "_x"))
+    means = cells.groupBy(key, "_dim").agg((F.sum("_x") / F.sum("_n")).alias("_mean"), F.sum("_n").alias("_n"))
     return means.groupBy(key).agg(
         F.max("_n").alias("token_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_mean"))), lambda c: c["_mean"]).alias("pooled"),

@@ -20,10 +20,10 @@ PAIR_SCHEMA = "query_id long, id long, distance double, k long"
 # ones, are spread over tasks together with blocks of documents.
 MAX_SHIPPED_REQUESTS = 8_192
 MAX_SHIPPED_BYTES = 64 << 20
-# Result rows are broadcast back to the document scan only below this count (24 bytes each).
-MAX_SHIPPED_HITS = 1_000_000
-BLOCK_DOCUMENTS = 20_000
-BLOCK_REQUESTS = 2_000
+# Result rows are broadcast back to the document scan up to this count (28 bytes each).
+MAX_SHIPPED_HITS = 4_000_000
+BLOCK_DOCUMENTS = 50_000
+BLOCK_REQUESTS = 8_000
 MERGE_SLOTS = 16
 MAX_LISTED_PROJECTS = 1_000
 
@@ -224,8 +224,8 @@ def nearest_pairs(documents: DataFrame, requests: DataFrame, dimensions: int) ->
         scope = _in_asked_projects(documents, sample)
         pairs = best_per_query(_pairs_by_shipping(scope, sample, dimensions), max(limits, default=0))
         return pairs, scope, sum(limits) <= MAX_SHIPPED_HITS
-    most = asked.agg(F.max("k")).first()[0]
-    return best_per_query(_pairs_by_blocks(documents, asked, dimensions), most), documents, False
+    most, total = asked.agg(F.max("k"), F.sum("k")).first()
+    return best_per_query(_pairs_by_blocks(documents, asked, dimensions), most), documents, total <= MAX_SHIPPED_HITS
 
 
 def search_batch(documents: DataFrame, requests: DataFrame, dimensions: int) -> DataFrame:

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from sparkseek.functions import filters
+from sparkseek.functions.vectors import matrix
 
 FILTER_COLUMNS = ("kind", "namespace", "type_name")
 SLACK = 1e-9
@@ -30,19 +30,6 @@ NO_PAIRS = pa.schema(
 CELLS = 1 << 22  # largest distance matrix and largest gather held at a time
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dimensions: int | None = None) -> np.ndarray:
-    """A list column as a 2-d float64 array; every vector must have the same length."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = pc.list_value_length(column)
-    if column.null_count:
-        raise ValueError("vector is missing")
-    expected = dimensions if dimensions is not None else (lengths[0].as_py() if len(column) else 0)
-    if len(column) and pc.any(pc.not_equal(lengths, expected)).as_py():
-        raise ValueError(f"vector length differs from {expected}")
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), expected)
-
-
 @dataclass
 class RequestBlock:
     query_id: np.ndarray

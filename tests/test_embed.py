@@ -87,6 +87,11 @@ def test_mean_pool(spark):
     tokens = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 5.0])], "doc long, vector array<float>")
     pooled = {r["doc"]: (r["token_count"], r["pooled"]) for r in vectors.mean_pool(tokens, "doc").collect()}
     assert pooled == {1: (2, [2.0, 3.0]), 2: (1, [5.0, 5.0])}
+    scattered = spark.range(4000).select(
+        F.concat(F.lit("k"), F.col("id") % 700).alias("key"), F.array(F.col("id").cast("float"), F.lit(2.0).cast("float")).alias("vector")
+    ).repartition(7)
+    pooled = {r["key"]: (r["token_count"], r["pooled"]) for r in vectors.mean_pool(scattered, "key").collect()}
+    assert len(pooled) == 700 and pooled["k5"] == (6, [5 + 700 * 2.5, 2.0])
     nested = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([],)], "v array<array<float>>")
     assert [r[0] for r in nested.select(vectors.mean_pool_nested(F.col("v"), 2)).collect()] == [[2.0, 3.0], [0.0, 0.0]]
 
@@ -97,7 +102,7 @@ def test_mean_pool_of_a_hot_key(spark):
         F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("doc"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector")
     )
     pooled = vectors.mean_pool(tokens, "doc")
-    assert "partial_avg" in pooled._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in pooled._jdf.queryExecution().executedPlan().toString()
     hot = pooled.filter("doc = 0").first()
     assert hot["token_count"] == 18_000 and hot["pooled"][1] == 1.0
     assert hot["pooled"][0] == pytest.approx(np.mean([i for i in range(20_000) if i % 10 < 9]))
