@@ -103,14 +103,15 @@ class TopK:
         if not batch.num_rows:
             return
         projects = np.asarray(batch["project_id"])
-        for project in np.unique(projects):
+        present = np.unique(projects)
+        for project in present:
             asked = self.by_project.get(project)
             if asked is None:
                 continue
-            rows = np.flatnonzero(projects == project)
+            rows = batch if len(present) == 1 else batch.take(pa.array(np.flatnonzero(projects == project)))
             step = max(1, CELLS // len(asked))
-            for at in range(0, len(rows), step):
-                self._add_project(asked, batch.take(pa.array(rows[at : at + step])))
+            for at in range(0, rows.num_rows, step):
+                self._add_project(asked, rows.slice(at, step))
 
     def _add_project(self, asked: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
         r = self.requests
