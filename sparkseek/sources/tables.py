@@ -52,17 +52,21 @@ def read_feedback(
     return rows.drop(DAY)
 
 
-def write_code_documents(documents: DataFrame, path: str, files_per_project: int = 32, mode: str = "append") -> None:
-    """Store documents by project, each project spread over several writers.
+def _spread(rows: DataFrame, folder: str, rows_per_file: int) -> DataFrame:
+    """Rows arranged so that each folder is written in files of about the given size.
 
-    The spread keeps a project that holds a large share of all rows from being
-    written by a single task.
+    A folder that holds a large share of all rows is spread over as many writers
+    as its count asks for, and a small one is a single file.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(files_per_project))
+    files = rows.groupBy(folder).agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias("_files"))
+    slot = F.pmod(F.xxhash64("id"), F.col("_files"))
+    return rows.join(files, folder).withColumn("_slot", slot).repartition(folder, "_slot").drop("_files", "_slot")
+
+
+def write_code_documents(documents: DataFrame, path: str, rows_per_file: int = 100_000, mode: str = "append") -> None:
+    """Store documents by project."""
     (
-        documents.withColumn("_slot", slot)
-        .repartition("project_id", "_slot")
-        .drop("_slot")
+        _spread(documents, "project_id", rows_per_file)
         .sortWithinPartitions("project_id", "embedding_model_id", "id")
         .write.mode(mode)
         .partitionBy("project_id")
@@ -70,14 +74,10 @@ def write_code_documents(documents: DataFrame, path: str, files_per_project: int
     )
 
 
-def write_feedback(feedback: DataFrame, path: str, files_per_day: int = 32, mode: str = "append") -> None:
-    """Store feedback by UTC day, each day spread over several writers."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
+def write_feedback(feedback: DataFrame, path: str, rows_per_file: int = 2_000_000, mode: str = "append") -> None:
+    """Store feedback by UTC day."""
     (
-        feedback.withColumn(DAY, F.to_date("created_at"))
-        .withColumn("_slot", slot)
-        .repartition(DAY, "_slot")
-        .drop("_slot")
+        _spread(feedback.withColumn(DAY, F.to_date("created_at")), DAY, rows_per_file)
         .sortWithinPartitions(DAY, "project_id", "created_at")
         .write.mode(mode)
         .partitionBy(DAY)

@@ -244,6 +244,20 @@ def test_windows_of_a_table_agree_with_single_ones(spark):
 # --- storage
 
 
+def test_large_folders_are_written_in_several_files(spark, tmp_path):
+    fb = rows(spark, *[("2024-01-03T00:00" if i < 90 else f"2024-02-{1 + i % 28:02d}T00:00", True) for i in range(100)])
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # would join these few rows in one task
+    spark.conf.set(setting, "false")
+    try:
+        tables.write_feedback(fb, str(tmp_path / "f"), rows_per_file=20)
+    finally:
+        spark.conf.set(setting, "true")
+    per_day = {d: len(glob.glob(f"{d}/part*")) for d in glob.glob(f"{tmp_path}/f/created_on=*")}
+    hot = f"{tmp_path}/f/created_on=2024-01-03"
+    assert 1 < per_day.pop(hot) <= 5 and set(per_day.values()) == {1}
+    assert tables.read_feedback(spark, str(tmp_path / "f")).count() == 100
+
+
 def test_append_feedback_numbers_in_order(spark):
     existing = rows(spark, {"id": 41, "created_at": "2024-01-01T00:00"})
     new = rows(spark, *[{"id": 0, "created_at": "2024-01-02T00:00", "question": f"q{i}"} for i in range(50)])
@@ -270,7 +284,7 @@ def test_ids_beyond_32_bits(spark):
 
 def test_stored_tables_come_back(spark, tmp_path):
     fb = rows(spark, ("2024-01-03T00:00", True, 1), ("2024-02-03T23:00", False, 2))
-    tables.write_feedback(fb, str(tmp_path / "f"), files_per_day=2)
+    tables.write_feedback(fb, str(tmp_path / "f"))
     stored = tables.read_feedback(spark, str(tmp_path / "f"))
     assert stored.columns == fb.columns and sorted(tuples(stored)) == sorted(tuples(fb))
     january = tables.read_feedback(spark, str(tmp_path / "f"), at("2024-01-01"), at("2024-01-31"))

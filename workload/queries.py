@@ -59,7 +59,7 @@ def read_embedding_models(v: Views) -> DataFrame:
 @query
 def read_code_documents(v: Views) -> DataFrame:
     path = scratch_dir(v.spark, "documents")
-    tables.write_code_documents(v.stored_documents, path, files_per_project=2)
+    tables.write_code_documents(v.stored_documents, path)
     return tables.read_code_documents(v.spark, path).select(
         "id", "project_id", "kind", "namespace", "type_name", "source_file",
         F.length("embedding_text").cast("long").alias("text_length"), F.size("embedding").cast("long").alias("n_dimensions"),
@@ -69,7 +69,7 @@ def read_code_documents(v: Views) -> DataFrame:
 @query
 def read_feedback(v: Views) -> DataFrame:
     path = scratch_dir(v.spark, "feedback")
-    tables.write_feedback(v.feedback, path, files_per_day=1)
+    tables.write_feedback(v.feedback, path)
     rows = tables.read_feedback(v.spark, path, WINDOW_START, WINDOW_END)
     return rows.select("id", "project_id", "question", "useful", "reason", "username", micros("created_at"))
 
