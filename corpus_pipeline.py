@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import jaccard_join, language_id, mixing, token_files
+from sparkseek.llm import decontaminate, jaccard_join, language_id, mixing, token_files
 from sparkseek.llm.queries import tokenizer_path
 from sparkseek.llm.shared import new_folder, without_ids
 
@@ -25,6 +25,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without_ids(docs, groups.filter("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold a benchmark item, or one with other numbers, names or units."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, found.select("doc_id"), "doc_id")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the target weights of their sources ask for."""
     return mixing.mixed_documents(docs)
@@ -40,6 +46,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("language_id", identify_languages),
     ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
     ("source_mix", mix_sources),
     ("token_files", write_tokens),
 ]

@@ -89,10 +89,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def without_ids(documents: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
-    """The documents whose id is not among `ids` (a column of the same name), null ids included.
+def with_membership(documents: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
+    """The documents with a boolean column, true if the id is among `ids` (a column of the same name); null never is.
 
-    Most rows are let through by a filter of fixed size; only those that it holds back are joined.
+    Most rows are let through by a filter of fixed size; only those that it holds back are moved to be joined.
     """
     bits = documents.sparkSession.sparkContext.broadcast(key_slots(ids, id_column))
 
@@ -101,8 +101,14 @@ def without_ids(documents: DataFrame, ids: DataFrame, id_column: str) -> DataFra
         return pd.Series(passing(bits.value, slots.to_numpy()))
 
     key = F.col(f"`{id_column}`").cast("long")
-    marked = documents.withColumn("_held", F.col(f"`{id_column}`").isNotNull() & held_back(slot_of(key)))
+    marked = documents.withColumn(name, key.isNotNull() & held_back(slot_of(F.coalesce(key, F.lit(0)))))
     listed = ids.select(F.col(id_column).cast("long").alias("_listed")).distinct()
-    held = marked.filter("_held").withColumn("_key", key)
-    kept = held.join(listed, held["_key"] == listed["_listed"], "left_anti").drop("_key")
-    return marked.filter("not _held").unionByName(kept).drop("_held")
+    held = marked.filter(F.col(name)).drop(name)
+    joined = held.withColumn("_key", key).join(listed, F.col("_key") == F.col("_listed"), "left")
+    joined = joined.withColumn(name, F.col("_listed").isNotNull()).drop("_key", "_listed")
+    return marked.filter(~F.col(name)).unionByName(joined)
+
+
+def without_ids(documents: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """The documents whose id is not among `ids` (a column of the same name), null ids included."""
+    return with_membership(documents, ids, id_column, "_listed_id").filter("not _listed_id").drop("_listed_id")
