@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm.shared import cut
 
-TREES = 12
+TREES = 16
 #: Bits of a string.
 BITS = 60
-#: Strings, over all trees, at which the ascent ends.
-ENOUGH = 6_000
+#: The ascent ends at so many strings over all trees, as a share of the entries, and so many at least. Vectors
+#: without clusters, whose neighbours are hardly nearer than others, need such a share for nine tenths of the true
+#: neighbours; clustered ones a small part of it.
+SHARE = 0.8
+ENOUGH = 1_000
 #: Strings of a block, about.
 BLOCK_ROWS = 50_000
 
@@ -88,7 +91,7 @@ def _counts(bits: int):
         for length in range(bits + 1):
             low, high = prefix_range(strings, asked, bits - length)
             counts[:, length] = high - low
-        return pd.DataFrame({"query_id": queries["query_id"], "counts": list(counts)})
+        return pd.DataFrame({"query_id": queries["query_id"], "counts": pd.Series(list(counts), dtype=object)})
 
     return run
 
@@ -133,6 +136,7 @@ def search(
     vector_column: str = "embedding",
     trees: int = TREES,
     bits: int = BITS,
+    share: float = SHARE,
     enough: int = ENOUGH,
     block_rows: int = BLOCK_ROWS,
     seed: int = 11,
@@ -172,6 +176,7 @@ def search(
     mean = mean_vector(entries, dimensions)
     planes = hyperplanes(dimensions, trees, bits, seed)
     total = entries.count()
+    enough = max(enough, int(np.ceil(share * total)))
     head = max(0, int(np.floor(np.log2(max(total, 1) / block_rows)))) if total > block_rows else 0
 
     def at_head(rows: DataFrame) -> DataFrame:
@@ -181,12 +186,12 @@ def search(
     queried = at_head(with_strings(asked.select(F.col("id").alias("query_id"), "vector"), mean, planes, trees))
     queried = cut(queried)
     # Large blocks are divided by a hash of the entry.
-    share = strings.groupBy("tree", "head").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    share = cut(share)
-    blocks = strings.join(share, ["tree", "head"]).withColumn("part", F.pmod(F.xxhash64("entry"), "parts").cast("int"))
+    sizes = strings.groupBy("tree", "head").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    sizes = cut(sizes)
+    blocks = strings.join(sizes, ["tree", "head"]).withColumn("part", F.pmod(F.xxhash64("entry"), "parts").cast("int"))
 
     def routed(rows: DataFrame) -> DataFrame:
-        return rows.join(share, ["tree", "head"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.join(sizes, ["tree", "head"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def grouped(rows: DataFrame):
         return rows.groupBy("tree", "head", "part")

@@ -5,7 +5,7 @@ known, is summed by path and by host. A host's posterior rate is shrunk toward t
 toward its host's, by as much as the rates of hosts, and of paths within hosts, vary beyond chance. A
 document's probability joins its own evidence with the posterior of its path, leaving its own share out.
 
-The classifier is a logistic regression on the words that a text holds and on the shares of pairs of
+The classifier is a logistic regression on the words and beginnings of words that a text holds and on the shares of pairs of
 character shapes, fitted on a bounded sample of labelled rows. All else is grouped sums over all documents.
 """
 
@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 from sparkseek.llm.shared import cut
 from sparkseek.llm.words import LOWER, U64, flat, pieces, span_hashes, word_spans
 
+#: Bytes of the beginnings of longer words, which count as words of their own.
+PREFIXES = (4, 5, 6)
 #: Slots of words, kinds of character shapes, and features in all.
 WORD_SLOTS = 1 << 17
 SHAPES = 40
 FEATURES = WORD_SLOTS + SHAPES * SHAPES
 #: Labelled rows of each value that the classifier is fitted on, by a hash of the id.
-SAMPLE_PER_VALUE = 1_500
+SAMPLE_PER_VALUE = 2_000
+#: Weight of the shapes' shares, which are small, beside the words.
+SHAPE_SCALE = 30.0
 #: Sampled texts that hold a word, below which it has no weight.
 LEAST_TEXTS = 3
+#: Toxicity from which a document is not kept; low, as a toxic document costs more than a lost one.
+TOXIC_FROM = 0.2
 #: Limits of a concentration, in documents.
 CONCENTRATION = (1.0, 10_000.0)
 
@@ -55,13 +61,18 @@ class TextClassifier:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, value), by text: 1 for each word it holds, the root of the share of each pair of shapes."""
+    """(text, feature, value), by text: 1 for each word and beginning it holds, the root of the share of each pair of shapes."""
     data, begins = flat(texts)
     lowered = np.where(INSIDE[data], LOWER[data], np.uint8(0x20))
     starts, ends, firsts = word_spans(lowered, begins)
-    slots = (span_hashes(lowered, starts, ends) % U64(WORD_SLOTS)).astype(np.int64)
     owner = np.repeat(np.arange(len(begins) - 1), np.diff(firsts))
-    words = np.unique(owner * WORD_SLOTS + slots)
+    held = []
+    for size in (0, *PREFIXES):
+        chosen = ends - starts > size
+        upto = starts[chosen] + size if size else ends[chosen]
+        slots = (span_hashes(lowered, starts[chosen], upto) + U64(size)) % U64(WORD_SLOTS)
+        held.append(owner[chosen] * WORD_SLOTS + slots.astype(np.int64))
+    words = np.unique(np.concatenate(held))
 
     size = np.diff(begins)
     shape = SHAPE[data].astype(np.int64)
@@ -71,7 +82,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs, times = np.unique(pairs[inside], return_counts=True)
     text = np.r_[words // WORD_SLOTS, pairs // (SHAPES * SHAPES)]
     feature = np.r_[words % WORD_SLOTS, WORD_SLOTS + pairs % (SHAPES * SHAPES)]
-    value = np.r_[np.ones(len(words)), np.sqrt(times / np.maximum(size[pairs // (SHAPES * SHAPES)] - 1, 1))]
+    value = np.r_[np.ones(len(words)), SHAPE_SCALE * np.sqrt(times / np.maximum(size[pairs // (SHAPES * SHAPES)] - 1, 1))]
     order = np.argsort(text, kind="stable")
     return text[order], feature[order], value[order]
 
@@ -94,8 +105,8 @@ def fit(
     id_column: str = "doc_id",
     text_column: str = "text",
     per_value: int = SAMPLE_PER_VALUE,
-    ridge: float = 3e-4,
-    steps: int = 400,
+    ridge: float = 1e-3,
+    steps: int = 250,
 ) -> TextClassifier:
     """A classifier of the column `label` (0 or 1) of `labels`, by at most 2 * per_value sampled texts.
 
@@ -236,11 +247,13 @@ def judge(
     path: Column,
     id_column: str = "doc_id",
     text_column: str = "text",
+    good_from: float = 0.5,
+    toxic_from: float = TOXIC_FROM,
 ) -> DataFrame:
     """One row a document: doc_id, host, path, quality, toxicity (0 to 1), keep.
 
     labels has the id, `quality` and `toxic` (0, 1 or null; the highest where an id repeats). A document is
-    kept if it is likelier good than not and likelier harmless than toxic. A null host or path is an empty
+    kept if its quality is good_from or more and its toxicity below toxic_from. A null host or path is an empty
     one. A null, empty or unreadable text has only its site's evidence. Without labels of both values, texts
     give no evidence. Repeated rows are separate documents. Other columns are ignored.
     """
@@ -266,7 +279,7 @@ def judge(
     judged = with_posterior(evidence, "quality_logit", "quality_share", "quality")
     judged = with_posterior(judged, "toxic_logit", "toxic_share", "toxicity")
     return judged.select(
-        "doc_id", "host", "path", "quality", "toxicity", ((F.col("quality") >= 0.5) & (F.col("toxicity") < 0.5)).alias("keep")
+        "doc_id", "host", "path", "quality", "toxicity", ((F.col("quality") >= good_from) & (F.col("toxicity") < toxic_from)).alias("keep")
     )
 
 

@@ -124,7 +124,7 @@ def test_size_classes_keep_the_order_of_sizes(spark):
     sizes = [*range(200), *[2**k + d for k in range(8, 62) for d in (-1, 0, 1)]]
     frame = spark.createDataFrame([(s,) for s in sizes], "size long")
     classes = [r[0] for r in frame.select("size", mixing.size_class(F.col("size")).alias("c")).orderBy("size").select("c").collect()]
-    assert classes == sorted(classes) and max(classes) < 1024 and len(set(classes)) > 300
+    assert classes == sorted(classes) and max(classes) < 1024 and len(set(classes)) > 170
 
 
 # Forest
@@ -149,7 +149,7 @@ def test_recall_on_the_given_vectors(spark):
     assert len(found) == 10 * len(exact) and hits >= 0.9 * len(found)
 
 
-@pytest.mark.parametrize("options", [{}, {"enough": 40, "block_rows": 16}])
+@pytest.mark.parametrize("options", [{}, {"share": 0.0, "enough": 40, "block_rows": 16}])
 def test_copies_ties_and_vectors_that_take_no_part(spark, options):
     rng = np.random.default_rng(2)
     vectors = {i: rng.normal(size=4).astype(np.float32).tolist() for i in range(60)}

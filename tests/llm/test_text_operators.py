@@ -76,7 +76,7 @@ def test_a_text_between_two_languages_is_ambiguous():
 
 
 def test_losses_equal_plain_counts(spark):
-    rows = [(1, "a b a b", True), (2, "a c", False), (3, None, True), (4, "", False), (5, "B a", None), (5, "zz a", True)]
+    rows = [(1, "a b a b", True), (2, "a c", False), (3, None, True), (4, "", False), (5, "B a", None), (5, "zz a c", True)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean").withColumn("target", F.lit(1))
     found = {(r[0], r[1]): r for r in tuples(lm_scoring.score(documents, lm_scoring.fit(documents, "wanted")))}
 
