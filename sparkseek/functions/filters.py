@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkseek.functions.scalars import instant
+from sparkseek.functions.scalars import instant, utc
 
 CONTAINS, NOT_CONTAINS, EQUALS, NOT_EQUALS = "contains", "not_contains", "equals", "not_equals"
 
 KIND_OPERATORS = (CONTAINS, EQUALS, NOT_EQUALS)
 NAMESPACE_OPERATORS = (CONTAINS, NOT_CONTAINS, EQUALS, NOT_EQUALS)
 TYPE_NAME_OPERATORS = (CONTAINS, NOT_CONTAINS, EQUALS)
+FILTER_OPERATORS = {"kind": KIND_OPERATORS, "namespace": NAMESPACE_OPERATORS, "type_name": TYPE_NAME_OPERATORS}
 
 _ESCAPE_PAIR = re.compile(r"\\(.)", re.DOTALL)
 
@@ -42,23 +43,11 @@ def wildcard_column(value: Column) -> Column:
     return F.when(lone, F.concat(tidy, F.lit("\\"))).otherwise(tidy)
 
 
-def like_regex(value: str) -> re.Pattern[str]:
-    """The same pattern for already lower-cased Python strings, whole-string match."""
-    pieces: list[str] = []
-    characters = iter(wildcard(value).lower())
-    for c in characters:
-        if c == "\\":
-            pieces.append(re.escape(next(characters)))
-        else:
-            pieces.append({"%": ".*", "_": "."}.get(c) or re.escape(c))
-    return re.compile("".join(pieces), re.DOTALL)
-
-
 def _column(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
-def _check(operator: str, allowed: tuple[str, ...]) -> None:
+def check_operator(operator: str, allowed: tuple[str, ...]) -> None:
     if operator not in allowed:
         raise ValueError(f"unknown operator {operator!r}; expected one of {', '.join(allowed)}")
 
@@ -78,19 +67,19 @@ def in_project(project_id: int, column: str | Column = "project_id") -> Column:
 
 def kind_filter(operator: str, value: str, column: str | Column = "kind") -> Column:
     """``kind`` is never null, so its negative form has no null arm."""
-    _check(operator, KIND_OPERATORS)
+    check_operator(operator, KIND_OPERATORS)
     return _text_filter(operator, value, _column(column), keep_null=False)
 
 
 def namespace_filter(operator: str, value: str, column: str | Column = "namespace") -> Column:
     """Negative forms keep rows without a namespace."""
-    _check(operator, NAMESPACE_OPERATORS)
+    check_operator(operator, NAMESPACE_OPERATORS)
     return _text_filter(operator, value, _column(column), keep_null=True)
 
 
 def type_name_filter(operator: str, value: str, column: str | Column = "type_name") -> Column:
     """Negative form keeps rows without a type name; there is no ``not_equals``."""
-    _check(operator, TYPE_NAME_OPERATORS)
+    check_operator(operator, TYPE_NAME_OPERATORS)
     return _text_filter(operator, value, _column(column), keep_null=True)
 
 
@@ -105,9 +94,12 @@ def min_similarity(minimum: float | None, similarity: str | Column = "similarity
     return None if minimum is None else _column(similarity) >= F.lit(float(minimum))
 
 
-def in_window(start: datetime, end: datetime, column: str | Column = "created_at") -> Column:
-    """Both ends belong to the window."""
-    return _column(column).between(instant(start), instant(end))
+def in_window(start: datetime, end: datetime, column: str | Column = "created_at", day: str | Column | None = None) -> Column:
+    """Both ends belong to the window. ``day``, the UTC day the rows are stored by, prunes folders."""
+    inside = _column(column).between(instant(start), instant(end))
+    if day is None:
+        return inside
+    return _column(day).between(F.lit(utc(start).date()), F.lit(utc(end).date())) & inside
 
 
 def project_name_contains(part: str | Column, column: str | Column = "name") -> Column:

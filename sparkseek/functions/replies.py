@@ -39,6 +39,37 @@ def parse_grade(reply: Column) -> Column:
     return F.struct(score.alias("score"), error.alias("error"))
 
 
+def parse_grader_reply(reply: Column) -> Column:
+    """Struct (score, error) from a grader server's reply, whose ``response`` holds the grade's JSON as text.
+
+    Blank or malformed outer text, or one without that text, names the error as ``parse_grade`` does.
+    """
+    parsed, bad = _parse(reply, "response STRING")
+    inner = parse_grade(parsed["response"])
+    error = F.when(is_blank(reply), F.lit(BLANK)).when(bad, F.lit(MALFORMED)).otherwise(inner["error"])
+    return F.struct(F.when(error.isNull(), inner["score"]).alias("score"), error.alias("error"))
+
+
+def parse_ranking(reply: Column) -> Column:
+    """Struct (ranking, error) from a listwise server's ``{"results": [{"index": i, "relevance_score": s}]}``.
+
+    ``ranking`` is an array of (rerank_order from 1, index, rerank_score) in the reply's order. A reply without results, or
+    with a result that lacks its index or score, does not parse; an empty list is an empty ranking.
+    """
+    parsed, bad = _parse(reply, "results ARRAY<STRUCT<index: INT, relevance_score: DOUBLE>>")
+    results = parsed["results"]
+    incomplete = F.exists(results, lambda r: r["index"].isNull() | r["relevance_score"].isNull())
+    bad = bad | results.isNull() | F.coalesce(incomplete, F.lit(False))
+    error = F.when(is_blank(reply), F.lit(BLANK)).when(bad, F.lit(MALFORMED))
+    ranking = F.transform(
+        results,
+        lambda r, i: F.struct(
+            (i + 1).alias("rerank_order"), r["index"].alias("index"), r["relevance_score"].alias("rerank_score")
+        ),
+    )
+    return F.struct(F.when(error.isNull(), ranking).alias("ranking"), error.alias("error"))
+
+
 def parse_embedding(reply: Column, provider: str) -> Column:
     """Struct (vector, error) with the first embedding of a provider's reply."""
     name = provider.lower()

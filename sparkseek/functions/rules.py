@@ -17,7 +17,6 @@ MAX_NAME_FILTER = 200
 MAX_GIT_URL = 2000
 DEFAULT_WINDOW_DAYS = 30
 MAX_WINDOW_DAYS = 366
-MAX_SEQUENCE_TOKENS = 512
 
 # Failure codes (HTTP status, then slug) and the texts callers see.
 # "%s" takes the row's value: a project id, a project name or a time zone.
@@ -26,10 +25,13 @@ FAILURES: dict[str, str] = {
     "400-question-too-long": "The 'question' field must be at most 1000 characters long.",
     "400-limit-out-of-range": "The 'limit' field must be between 1 and 50.",
     "400-min-similarity-out-of-range": "The 'minSimilarity' field must be between 0.0 and 1.0.",
+    "400-kind-filter-operator-unknown": "The 'kind' filter's 'operator' field must be one of contains, equals, not_equals.",
     "400-kind-filter-value-required": "The 'kind' filter's 'value' field is required and must not be empty.",
     "400-kind-filter-value-too-long": "The 'kind' filter's 'value' field must be at most 200 characters long.",
+    "400-namespace-filter-operator-unknown": "The 'namespace' filter's 'operator' field must be one of contains, not_contains, equals, not_equals.",
     "400-namespace-filter-value-required": "The 'namespace' filter's 'value' field is required and must not be empty.",
     "400-namespace-filter-value-too-long": "The 'namespace' filter's 'value' field must be at most 200 characters long.",
+    "400-type-name-filter-operator-unknown": "The 'typeName' filter's 'operator' field must be one of contains, not_contains, equals.",
     "400-type-name-filter-value-required": "The 'typeName' filter's 'value' field is required and must not be empty.",
     "400-type-name-filter-value-too-long": "The 'typeName' filter's 'value' field must be at most 200 characters long.",
     "400-useful-required": "The 'useful' field is required.",

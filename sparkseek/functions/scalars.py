@@ -41,9 +41,27 @@ def positive_id(text: Column) -> Column:
     return F.when(number >= 1, number)
 
 
+def utc_date(moment: Column) -> Column:
+    """The moment's UTC day, whatever zone the session has."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(moment) / 86_400_000_000).cast("int"))
+
+
+def utc_second(moment: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of the moment in UTC, whatever zone the session has; fractions are cut."""
+    second = F.floor(F.unix_micros(moment) / 1_000_000)
+    rest = F.pmod(second, F.lit(86_400))
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat(utc_date(moment).cast("string"), clock)
+
+
 def week_start(moment: Column) -> Column:
     """Monday of the moment's UTC week, as a date."""
-    return F.trunc(moment, "week")
+    return F.trunc(utc_date(moment), "week")
+
+
+def days_later(moment: Column, days: int) -> Column:
+    """So many times 24 hours later (or earlier), whatever clock changes the session's zone has."""
+    return F.timestamp_micros(F.unix_micros(moment) + F.lit(days * 86_400_000_000))
 
 
 def week_end(start: Column) -> Column:
@@ -119,11 +137,10 @@ def created_at_text(created_at: Column, zone: str | Column | None = None) -> Col
     """ISO instant to the second: UTC with ``Z``, or the zone's wall clock with its offset.
 
     The offset is taken per row, so it follows daylight saving. Fractions of a
-    second are cut, not rounded.
+    second are cut, not rounded. The session's zone plays no part.
     """
-    pattern = "yyyy-MM-dd'T'HH:mm:ss"
     if zone is None:
-        return F.concat(F.date_format(created_at, pattern), F.lit("Z"))
+        return F.concat(utc_second(created_at), F.lit("Z"))
     local = F.from_utc_timestamp(created_at, zone)
     minutes = ((F.unix_seconds(local) - F.unix_seconds(created_at)) / 60).cast("int")
     offset = F.format_string(
@@ -132,7 +149,7 @@ def created_at_text(created_at: Column, zone: str | Column | None = None) -> Col
         F.floor(F.abs(minutes) / 60).cast("int"),
         F.abs(minutes) % 60,
     )
-    return F.concat(F.date_format(local, pattern), offset)
+    return F.concat(utc_second(local), offset)
 
 
 def git_raw_link(raw_url: Column, source_file: Column) -> Column:
@@ -158,10 +175,8 @@ def export_file_stem(start: datetime | Column, end: datetime | Column, project_i
     if isinstance(start, Column):
         project = project_id if isinstance(project_id, Column) else F.lit(project_id)
         suffix = F.coalesce(F.concat(F.lit("_project-"), project.cast("string")), F.lit(""))
-        day = "yyyyMMdd"
-        return F.concat(
-            F.lit("feedback_export_"), F.date_format(start, day), F.lit("_"), F.date_format(end, day), suffix, F.lit(".csv")
-        )
+        first, last = (F.replace(utc_date(c).cast("string"), F.lit("-"), F.lit("")) for c in (start, end))
+        return F.concat(F.lit("feedback_export_"), first, F.lit("_"), last, suffix, F.lit(".csv"))
     suffix = "" if project_id is None else f"_project-{project_id}"
     return f"feedback_export_{start:%Y%m%d}_{end:%Y%m%d}{suffix}.csv"
 

@@ -122,13 +122,3 @@ def mean_pool(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
         F.max("_n").alias("token_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_mean"))), lambda c: c["_mean"]).alias("pooled"),
     )
-
-
-def mean_pool_nested(token_vectors: Column, dimensions: int) -> Column:
-    """Mean over ``array<array<float>>`` already nested in one row."""
-    count = F.size(token_vectors)
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    total = F.aggregate(
-        token_vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double"))
-    )
-    return F.when(count > 0, F.transform(total, lambda x: x / count)).otherwise(zero)

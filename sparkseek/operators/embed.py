@@ -17,6 +17,8 @@ from sparkseek.operators.registry import Registry
 
 # One MD5 digest holds this many sign bits.
 DIGEST_BITS = 128
+# Texts whose bits are unpacked together.
+TEXTS_AT_ONCE = 256
 
 
 class Embedder(Protocol):
@@ -111,20 +113,27 @@ class HashedTokens:
     def open(self) -> Callable[[pa.Array], pa.Array]:
         width, dimensions = self.digests * DIGEST_BITS // 8, self.dimensions
 
-        def vector(digests: bytes) -> np.ndarray:
-            bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, width), axis=1)[:, :dimensions]
-            count = len(bits)
-            if not count:
-                return np.zeros(dimensions)
-            pooled = (2.0 * bits.sum(axis=0, dtype=np.int64) - count) / count
-            norm = np.sqrt(pooled @ pooled)
-            return pooled / norm if self.normalized and norm > SMALLEST_FLOAT else pooled
-
         def run(batch: pa.Array) -> pa.Array:
-            rows = [vector(value.as_buffer()) for value in batch]
-            flat = np.concatenate(rows).astype(np.float32) if rows else np.empty(0, np.float32)
-            offsets = np.arange(len(rows) + 1, dtype=np.int32) * dimensions
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            batch = batch.cast(pa.large_binary())
+            ends = np.frombuffer(batch.buffers()[1], np.int64)[batch.offset : batch.offset + len(batch) + 1]
+            data = batch.buffers()[2]
+            pooled = np.zeros((len(batch), dimensions))
+            if data is not None and len(batch) and ends[-1] > ends[0]:
+                raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
+                first = (ends[:-1] - ends[0]) // width
+                count = np.diff(ends) // width
+                some = np.flatnonzero(count)
+                for at in range(0, len(some), TEXTS_AT_ONCE):
+                    part = some[at : at + TEXTS_AT_ONCE]
+                    begin, end = first[part[0]], first[part[-1]] + count[part[-1]]
+                    bits = np.unpackbits(raw[begin:end], axis=1)[:, :dimensions]
+                    ones = np.add.reduceat(bits, first[part] - begin, axis=0, dtype=np.int64)
+                    pooled[part] = (2.0 * ones - count[part][:, None]) / count[part][:, None]
+            if self.normalized:
+                norm = np.sqrt((pooled * pooled).sum(axis=1))
+                pooled /= np.where(norm > SMALLEST_FLOAT, norm, 1.0)[:, None]
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * dimensions
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(pooled.astype(np.float32).ravel()))
 
         return run
 

@@ -22,7 +22,6 @@ from sparkseek.operators.numbering import ROWS_PER_RANGE, largest_id, number_row
 
 FEEDBACK_COLUMNS = ("id", "project_id", "question", "useful", "similarities", "reason", "username", "created_at")
 EXPORT_COLUMNS = ("id", "project_id", "project_name", "question", "useful", "similarities", "reason", "username", "created_at")
-PROJECTS_PER_ROW = 10_000
 
 
 def append_feedback(
@@ -48,14 +47,19 @@ def feedback_with_project(feedback: DataFrame, projects: DataFrame) -> DataFrame
     return feedback.join(names, "project_id")
 
 
+def _inside(feedback: DataFrame, start: datetime, end: datetime, project_id: int | None) -> DataFrame:
+    """Feedback of the window; of a table stored by day, only the folders that it overlaps are read."""
+    day = "created_on" if "created_on" in feedback.columns else None
+    project = None if project_id is None else filters.in_project(project_id)
+    return feedback.filter(filters.all_of(filters.in_window(start, end, day=day), project))
+
+
 def weekly_counts(feedback: DataFrame, start: datetime, end: datetime, project_id: int | None = None) -> DataFrame:
     """Sparse (week_start, project_id) counts of the feedback inside the window.
 
     Counted before the shuffle, so each task sends one row per week and project.
     """
-    project = None if project_id is None else filters.in_project(project_id)
-    inside = feedback.filter(filters.all_of(filters.in_window(start, end), project))
-    return inside.groupBy(week_start(F.col("created_at")).alias("week_start"), "project_id").agg(
+    return _inside(feedback, start, end, project_id).groupBy(week_start(F.col("created_at")).alias("week_start"), "project_id").agg(
         F.count("id").alias("total_count"),
         F.count_if("useful").alias("useful_count"),
         F.count_if(~F.col("useful")).alias("not_useful_count"),
@@ -103,12 +107,11 @@ def in_grid_order(stats: DataFrame) -> DataFrame:
     return stats.orderBy("week_start", "project_id")
 
 
-def nest_weeks(stats: DataFrame, projects_per_row: int = PROJECTS_PER_ROW) -> DataFrame:
-    """(week_start, week_end, part, projects[]) with the projects in order of id.
+def nest_weeks(stats: DataFrame, projects_per_row: int | None = None) -> DataFrame:
+    """(week_start, week_end, projects[]): one row a week, the projects in order of id.
 
-    A week is one row as long as its project ids stay below ``projects_per_row``.
-    Beyond that it continues in further parts, so that no row and no task ever
-    gathers more than that many projects.
+    With ``projects_per_row`` a week has further rows, with a column ``part``, each for that many ids: for
+    tables with more projects than one row should hold. For any number, the flat statistics are the form.
     """
     entry = F.struct(
         "project_id",
@@ -119,18 +122,18 @@ def nest_weeks(stats: DataFrame, projects_per_row: int = PROJECTS_PER_ROW) -> Da
         "useful_percentage",
         "not_useful_percentage",
     )
-    part = F.floor(F.col("project_id") / projects_per_row).cast("long")
-    return stats.groupBy("week_start", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("projects")).select(
-        "week_start", week_end(F.col("week_start")).alias("week_end"), "part", "projects"
-    )
+    parts = {}
+    if projects_per_row is not None:
+        parts = {"part": F.floor(F.col("project_id") / projects_per_row).cast("long")}
+    weeks = stats.withColumns(parts).groupBy("week_start", *parts).agg(F.array_sort(F.collect_list(entry)).alias("projects"))
+    return weeks.select("week_start", week_end(F.col("week_start")).alias("week_end"), *parts, "projects")
 
 
 def export_rows(
     feedback: DataFrame, projects: DataFrame, start: datetime, end: datetime, project_id: int | None = None
 ) -> DataFrame:
     """Raw feedback of the window with project names, oldest first."""
-    project = None if project_id is None else filters.in_project(project_id)
-    inside = feedback.filter(filters.all_of(filters.in_window(start, end), project))
+    inside = _inside(feedback, start, end, project_id)
     return feedback_with_project(inside, projects).select(*EXPORT_COLUMNS).orderBy("created_at", "id")
 
 

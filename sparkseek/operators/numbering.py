@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 512
 QUANTILE_ERROR = 1e-4
 
 
@@ -16,34 +16,31 @@ def number_rows(rows: DataFrame, key: str, start: int, output: str = "id", rows_
     """Adds ``output`` = start + 1, start + 2, ... in order of a unique numeric key.
 
     One global row number would sort everything in a single task. Instead the key
-    is cut at approximate quantiles, rows are numbered within each range, and the
-    ranges are shifted by the row counts before them: at most ``MAX_RANGES``
-    numbers, gathered on the driver. The cuts only balance the work. The ids are
-    exact wherever they fall, and the same on a re-run, because a row's range
-    depends on its key alone.
+    is cut at approximate quantiles, one range for each ``rows_per_range`` rows but as many as there
+    are shuffle partitions at least; rows are numbered within each range, and the ranges shifted by the row
+    counts before them, a small table. The cuts only balance the work: a row's range depends on its key
+    alone, so the ids are exact wherever they fall, and the same on a re-run.
     """
-    ranges = min(MAX_RANGES, -(-rows.count() // rows_per_range))
-    cuts: list[float] = []
-    if ranges > 1:
-        cuts = sorted(set(rows.approxQuantile(key, [i / ranges for i in range(1, ranges)], QUANTILE_ERROR)))
-    ranged = rows.withColumn("_range", _range_of(F.col(key), cuts))
-    offsets = _offsets(ranged, len(cuts) + 1, start) if cuts else [start]
-    row = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    before = F.lit(offsets).cast("array<bigint>")[F.col("_range")]
-    return ranged.withColumn(output, before + row).drop("_range")
-
-
-def _range_of(key: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below the key."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.lit(cuts), lambda cut: cut < key.cast("double")))
-
-
-def _offsets(ranged: DataFrame, ranges: int, start: int) -> list[int]:
-    """The last id before each range."""
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-rows.select(key).count() // rows_per_range))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(rows.select(key).approxQuantile(key, shares, QUANTILE_ERROR))) if shares else []
+    splits = [-float("inf"), *cuts, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_range").transform(
+        rows.withColumn("_key", F.col(key).cast("double"))
+    )
+    ranged = ranged.withColumn("_range", F.col("_range").cast("int")).drop("_key")
     counted = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    return list(accumulate((counted.get(i, 0) for i in range(ranges - 1)), initial=start))
+    before = accumulate((counted.get(i, 0) for i in range(len(splits) - 2)), initial=start)
+    offsets = spark.createDataFrame([(i, n) for i, n in enumerate(before)], "_range int, _before long")
+    row = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return (
+        ranged.withColumn("_row", row)
+        .join(offsets, "_range")
+        .withColumn(output, F.col("_before") + F.col("_row"))
+        .drop("_range", "_row", "_before")
+    )
 
 
 def largest_id(table: DataFrame) -> int:

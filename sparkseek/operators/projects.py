@@ -35,12 +35,20 @@ def projects_exist(ids: DataFrame, projects: DataFrame) -> DataFrame:
 
 def has_documents(projects: DataFrame, documents: DataFrame) -> DataFrame:
     """Projects with ``has_documents``."""
-    return _marked(projects, "id", documents.select(F.col("project_id").alias("id")).distinct(), "has_documents")
+    return _marked(projects, "id", _present(projects, documents), "has_documents")
 
 
 def has_feedback(projects: DataFrame, feedback: DataFrame) -> DataFrame:
     """Projects with ``has_feedback``."""
-    return _marked(projects, "id", feedback.select(F.col("project_id").alias("id")).distinct(), "has_feedback")
+    return _marked(projects, "id", _present(projects, feedback), "has_feedback")
+
+
+def _present(projects: DataFrame, rows: DataFrame) -> DataFrame:
+    """The projects' ids that some row has. The semi-join comes first: where rows are stored by project, only the
+    folders of these projects are read."""
+    wanted = projects.select(F.col("id").alias("project_id")).distinct()
+    found = rows.select("project_id").join(wanted, "project_id", "left_semi")
+    return found.distinct().withColumnRenamed("project_id", "id")
 
 
 def _marked(rows: DataFrame, key: str, present: DataFrame, output: str) -> DataFrame:

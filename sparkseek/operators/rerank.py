@@ -38,60 +38,69 @@ def rerank_none(hits: DataFrame) -> DataFrame:
 def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer, tasks: int | None = None) -> DataFrame:
     """Scores each (question, text) on its own. A missing score counts as 0 here.
 
-    Scoring is dear and the candidates are few bytes, so they are spread over
-    ``tasks`` (by default the session's shuffle partitions) one by one: neither
-    small partitions nor a single query with many candidates ends up in one task.
+    Scores are computed where the texts are, or spread over ``tasks`` where a scorer is dear and the candidates lie
+    in few pieces; only ids, scores and ranks go through the window, and are joined back.
     """
-    tasks = tasks or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = hits.repartition(tasks, "query_id", "id")
-    scored = scored.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
+    if tasks:
+        hits = hits.repartition(tasks, "query_id", "id")
+    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("rerank_score", F.lit(0.0)).desc(), "vector_rank")
     return scored.withColumn("rerank_order", F.row_number().over(order))
 
 
-def listwise_results(hits: DataFrame, scorer: ListwiseScorer, tasks: int | None = None) -> DataFrame:
-    """(query_id, rerank_order, index, rerank_score): one scorer call per query.
+def listwise_scores(hits: DataFrame, scorer: ListwiseScorer, tasks: int | None = None) -> DataFrame:
+    """(query_id, id, rerank_order, rerank_score): one scorer call per query.
 
-    A group is one query's candidates, never more than the candidate pool. The
-    queries are spread over ``tasks``, as in ``rerank_pointwise``.
+    A group is one query's candidates, never more than the candidate pool. The candidates' ids go with them
+    and come back, so positions need no join. A position that is no candidate's fails the job.
     """
     tasks = tasks or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(candidates: pa.Table) -> pa.Table:
         ordered = candidates.sort_by("vector_rank")
         answer = list(scorer(ordered["question"][0].as_py(), ordered["embedding_text"].to_pylist()))
+        beyond = [index for index, _ in answer if not 0 <= index < ordered.num_rows]
+        if beyond:
+            raise IndexError(f"no candidate at position {beyond[0]}")
         return pa.table(
             {
                 "query_id": pa.array([ordered["query_id"][0].as_py()] * len(answer), pa.int64()),
+                "id": pa.array([ordered["id"][index].as_py() for index, _ in answer], pa.int64()),
                 "rerank_order": pa.array(range(1, len(answer) + 1), pa.int32()),
-                "index": pa.array([index for index, _ in answer], pa.int32()),
                 "rerank_score": pa.array([score for _, score in answer], pa.float64()),
             }
         )
 
-    candidates = hits.select("query_id", "vector_rank", "question", "embedding_text").repartition(tasks, "query_id")
+    columns = ("query_id", "id", "vector_rank", "question", "embedding_text")
+    candidates = hits.select(*columns).repartition(tasks, "query_id")
     return candidates.groupBy("query_id").applyInArrow(
-        score, "query_id long, rerank_order int, index int, rerank_score double"
+        score, "query_id long, id long, rerank_order int, rerank_score double"
     )
 
 
 def listwise_to_ids(hits: DataFrame, results: DataFrame) -> DataFrame:
-    """(query_id, id, rerank_score, rerank_order): positions turned into candidate ids."""
+    """(query_id, id, rerank_score, rerank_order): positions turned into candidate ids.
+
+    A position that is no candidate's fails the job, whichever columns are read.
+    """
     positions = hits.select("query_id", "id", (F.col("vector_rank") - 1).alias("index"))
     found = results.join(positions, ["query_id", "index"], "left")
     text = F.format_string("no candidate at position %d", F.col("index"))
-    known = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(text).cast("long"))
-    return found.select("query_id", known.alias("id"), "rerank_score", "rerank_order")
+    return _all_must(found, F.col("id").isNotNull(), text).select("query_id", "id", "rerank_score", "rerank_order")
 
 
 def join_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """Candidates with their scores. One without a score row is dropped; a score
-    for something that was no candidate fails the job."""
+    for something that was no candidate fails the job, whichever columns are read."""
     marked = hits.withColumn("_candidate", F.lit(True))
     joined = scores.join(marked, ["query_id", "id"], "left")
     text = F.format_string("scored id %d was not a candidate", F.col("id"))
-    checked = F.when(F.col("_candidate"), F.col("id")).otherwise(F.raise_error(text).cast("long"))
-    return joined.withColumn("id", checked).drop("_candidate")
+    return _all_must(joined, F.coalesce("_candidate", F.lit(False)), text).drop("_candidate")
+
+
+def _all_must(rows: DataFrame, holds: Column, text: Column) -> DataFrame:
+    """The rows; one for which the condition does not hold fails the job."""
+    return rows.filter(F.when(holds, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
 def unknown_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
@@ -100,7 +109,9 @@ def unknown_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def rerank_listwise(hits: DataFrame, scorer: ListwiseScorer) -> DataFrame:
-    return join_scores(hits, listwise_to_ids(hits, listwise_results(hits, scorer)))
+    """Candidates in the scorer's order; one that it left out is dropped. Ids are the candidates' own, so an
+    inner join loses none."""
+    return hits.join(listwise_scores(hits, scorer), ["query_id", "id"])
 
 
 def order_by_score(hits: DataFrame, before: str = "rerank_order", output: str = "rank") -> DataFrame:

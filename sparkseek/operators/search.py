@@ -16,16 +16,16 @@ from sparkseek.operators import topk
 HIT_COLUMNS = ("id", "source_file", "kind", "type_name", "member", "embedding_text")
 PAIR_SCHEMA = "query_id long, id long, distance double, k long"
 
-# Up to this many requests travel to every task as one matrix; more, or larger
-# ones, are spread over tasks together with blocks of documents.
+# Unless the caller says which, up to this many requests travel to every task as one
+# matrix; more, or larger ones, are spread over tasks together with blocks of documents.
 MAX_SHIPPED_REQUESTS = 8_192
 MAX_SHIPPED_BYTES = 64 << 20
-# Result rows are broadcast back to the document scan up to this count (28 bytes each).
-MAX_SHIPPED_HITS = 4_000_000
-BLOCK_DOCUMENTS = 50_000
-BLOCK_REQUESTS = 8_000
+# Vectors of one block, in double precision, of documents or of requests.
+BLOCK_BYTES = 32 << 20
 MERGE_SLOTS = 16
+# Projects and winners that are named in the scan's own predicate; more are joined.
 MAX_LISTED_PROJECTS = 1_000
+MAX_LISTED_HITS = 1_000
 
 
 def with_embedding_space(
@@ -73,7 +73,7 @@ def search(
         }
     )
     nearest = best_per_query(_pairs_by_shipping(candidates, request, len(vector)), k)
-    return _ordered_hits(candidates, nearest, k)
+    return _ordered_hits(documents, nearest, k, project_id)
 
 
 def search_by_expression(
@@ -96,15 +96,29 @@ def search_by_expression(
     passing = filters.min_similarity(minimum, similarity(F.col("distance")))
     fails = F.lit(0) if passing is None else F.when(passing, 0).otherwise(1)
     nearest = scored.withColumn("_fails", fails).orderBy("_fails", "distance", "id").limit(k).filter("_fails = 0")
-    return _ordered_hits(candidates, nearest, k)
+    return _ordered_hits(documents, nearest, k, project_id)
 
 
-def _ordered_hits(documents: DataFrame, nearest: DataFrame, k: int) -> DataFrame:
-    """Hit columns of a single search, broadcasting the k winners unless k is very large."""
-    winners = nearest.select("id", "distance")
+def winners_of(documents: DataFrame, nearest: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents to read wide columns from, and the winners as they are joined with them.
+
+    Few winners (``most`` at the largest) are computed here and named in the scan's predicate: the row groups
+    of a table sorted by id that hold none are skipped. More stay a table.
+    """
+    if most > MAX_LISTED_HITS:
+        return documents, nearest
+    found = nearest.toArrow()
+    listed = documents.filter(F.col("id").isin(found["id"].unique().to_pylist()))
+    return listed, nearest.sparkSession.createDataFrame(found, nearest.schema)
+
+
+def _ordered_hits(documents: DataFrame, nearest: DataFrame, k: int, project_id: int) -> DataFrame:
+    """Hit columns of a single search, read for the k winners."""
+    own = documents.filter(filters.in_project(project_id))
+    listed, winners = winners_of(own, nearest.select("id", "distance"), k)
     return (
-        hit_columns(documents)
-        .join(F.broadcast(winners) if k <= MAX_SHIPPED_HITS else winners, "id")
+        hit_columns(listed)
+        .join(winners, "id")
         .withColumn("similarity", round10(similarity(F.col("distance"))))
         .orderBy("distance", "id")
         .select(*HIT_COLUMNS, "similarity")
@@ -145,19 +159,21 @@ def _pairs_by_shipping(documents: DataFrame, requests: pa.Table, dimensions: int
     return documents.select(*columns).mapInArrow(nearest, PAIR_SCHEMA)
 
 
-def _pairs_by_blocks(documents: DataFrame, requests: DataFrame, dimensions: int) -> DataFrame:
+def _pairs_by_blocks(documents: DataFrame, requests: DataFrame, dimensions: int, block_rows: int | None = None) -> DataFrame:
     """Requests and documents meet in blocks of bounded size.
 
     Each project's documents and requests are cut into as many blocks as their
     counts ask for, by a hash of their ids, and each pair of blocks becomes one
-    group. A project with very many rows therefore spreads over many tasks.
+    group. A project with very many rows therefore spreads over many tasks. A block
+    holds ``block_rows`` vectors, by default as many as ``BLOCK_BYTES`` do.
     """
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * dimensions))
     doc_counts = documents.groupBy("project_id").agg(F.count("*").alias("_docs"))
     request_counts = requests.groupBy("project_id").agg(F.count("*").alias("_requests"))
     cuts = doc_counts.join(request_counts, "project_id").select(
         "project_id",
-        F.ceil(F.col("_docs") / BLOCK_DOCUMENTS).cast("long").alias("_doc_blocks"),
-        F.ceil(F.col("_requests") / BLOCK_REQUESTS).cast("long").alias("_request_blocks"),
+        F.ceil(F.col("_docs") / block_rows).cast("long").alias("_doc_blocks"),
+        F.ceil(F.col("_requests") / block_rows).cast("long").alias("_request_blocks"),
     )
 
     def spread(rows: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
@@ -200,45 +216,55 @@ def best_per_query(pairs: DataFrame, most: int) -> DataFrame:
     )
 
 
-def _in_asked_projects(documents: DataFrame, requests: pa.Table) -> DataFrame:
-    """Only documents of the asked projects, where those are few enough to list.
+def _in_asked_projects(documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Only documents of the asked projects.
 
-    The list reaches the scan, and prunes the folders of a table stored by project.
+    Where they are few enough to list, the list reaches the scan and prunes the folders of a table stored by
+    project; otherwise a semi-join, by which Spark prunes the folders at run time.
     """
-    projects = requests["project_id"].unique().to_pylist()
-    return documents.filter(F.col("project_id").isin(projects)) if len(projects) <= MAX_LISTED_PROJECTS else documents
+    asked = projects.select("project_id").distinct()
+    listed = asked.limit(MAX_LISTED_PROJECTS + 1).toArrow()["project_id"].to_pylist()
+    if len(listed) <= MAX_LISTED_PROJECTS:
+        return documents.filter(F.col("project_id").isin(listed))
+    return documents.join(asked, "project_id", "left_semi")
+
+
+def ships(requests: DataFrame, dimensions: int) -> bool:
+    """Whether the requests are few enough, in number and bytes, to travel to every task."""
+    most = min(MAX_SHIPPED_REQUESTS, MAX_SHIPPED_BYTES // (4 * dimensions))
+    return requests.select("query_id").limit(most + 1).count() <= most
 
 
-def nearest_pairs(documents: DataFrame, requests: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame, bool]:
+def nearest_pairs(
+    documents: DataFrame, requests: DataFrame, dimensions: int, blocks: bool | None = None
+) -> tuple[DataFrame, DataFrame, int]:
     """(query_id, id, distance, vector_rank) of each request's nearest documents.
 
-    Also returns the documents they were sought among, and whether the pairs are
-    few enough to broadcast. ``query_id`` must be unique. The requests that come to
-    the driver are limited in number and bytes; one more than the limit is the check.
+    Also returns the documents they were sought among, and how many rows there are at most. ``query_id``
+    must be unique. With ``blocks`` the requests and documents meet in blocks; without, all requests go to every
+    task, and must fit there. Both give the same rows; None takes what ``ships`` says.
     """
     asked = _request_columns(requests)
-    most_shipped = min(MAX_SHIPPED_REQUESTS, MAX_SHIPPED_BYTES // (4 * dimensions))
-    sample = asked.limit(most_shipped + 1).toArrow()
-    if sample.num_rows <= most_shipped:
-        limits = sample["k"].to_pylist()
-        scope = _in_asked_projects(documents, sample)
-        pairs = best_per_query(_pairs_by_shipping(scope, sample, dimensions), max(limits, default=0))
-        return pairs, scope, sum(limits) <= MAX_SHIPPED_HITS
+    scope = _in_asked_projects(documents, asked)
     most, total = asked.agg(F.max("k"), F.sum("k")).first()
-    return best_per_query(_pairs_by_blocks(documents, asked, dimensions), most), documents, total <= MAX_SHIPPED_HITS
+    if blocks is None:
+        blocks = not ships(requests, dimensions)
+    pairs = _pairs_by_blocks(scope, asked, dimensions) if blocks else _pairs_by_shipping(scope, asked.toArrow(), dimensions)
+    return best_per_query(pairs, most or 0), scope, total or 0
 
 
-def search_batch(documents: DataFrame, requests: DataFrame, dimensions: int) -> DataFrame:
+def search_batch(documents: DataFrame, requests: DataFrame, dimensions: int, blocks: bool | None = None) -> DataFrame:
     """Top-k documents for every request row, with the hit columns and ``vector_rank``.
 
     Requests: query_id, query_vector, project_id, k (or limit); optionally
-    min_similarity and {kind,namespace,type_name}_{operator,value}. ``documents``
-    holds one embedding space. The wide columns are read only for the winners.
+    min_similarity and {kind,namespace,type_name}_{operator,value}; an operator that does not exist fails the
+    job. ``documents`` holds one embedding space. ``blocks``: see ``nearest_pairs``. Wide columns are read in
+    a scan of their own, after the search, and joined with the winners.
     """
-    pairs, scope, small = nearest_pairs(documents, requests, dimensions)
-    winners = F.broadcast(pairs) if small else pairs
+    pairs, scope, total = nearest_pairs(documents, requests, dimensions, blocks)
+    listed, winners = winners_of(scope, pairs, total)
     return (
-        hit_columns(scope)
+        hit_columns(listed)
         .join(winners, "id")
         .select("query_id", "vector_rank", *HIT_COLUMNS, round10(similarity(F.col("distance"))).alias("similarity"))
     )

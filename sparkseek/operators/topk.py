@@ -11,11 +11,13 @@ copies of a document always tie, and ties go to the smaller id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from sparkseek.functions import filters
 from sparkseek.functions.vectors import matrix
@@ -55,7 +57,10 @@ class RequestBlock:
         for column in FILTER_COLUMNS:
             if f"{column}_operator" in names:
                 pairs = zip(table[f"{column}_operator"].to_pylist(), table[f"{column}_value"].to_pylist())
-                conditions.append([p if None not in p else None for p in pairs])
+                given = [p if None not in p else None for p in pairs]
+                for operator in {p[0] for p in given if p}:
+                    filters.check_operator(operator, filters.FILTER_OPERATORS[column])
+                conditions.append(given)
             else:
                 conditions.append([None] * n)
         sets: dict[tuple, int] = {}
@@ -72,19 +77,37 @@ class RequestBlock:
         )
 
 
-def _passes(column: pa.Array, operator: str, value: str, keep_null: bool) -> np.ndarray:
-    """Which rows pass one text condition, tried once per distinct value."""
-    coded = column.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    if operator in (filters.EQUALS, filters.NOT_EQUALS):
-        hit = np.array([w == value for w in words], dtype=bool)
-    else:
-        pattern = filters.like_regex(value)
-        hit = np.array([pattern.fullmatch(w.lower()) is not None for w in words], dtype=bool)
-    negative = operator in (filters.NOT_CONTAINS, filters.NOT_EQUALS)
-    table = np.append(hit != negative, keep_null and negative)
-    codes = coded.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)
-    return table[codes]
+def like(values: pa.Array, pattern: str) -> pa.Array:
+    """LIKE by Arrow's own kernels; a pattern with escapes goes through its regular expressions."""
+    if "\\" not in pattern:
+        return pc.match_like(values, pattern)
+    pieces = re.findall(r"\\.|%|_|[^%_\\]+", pattern, re.DOTALL)
+    special = {"%": ".*", "_": "."}
+    regex = "".join(special.get(p) or re.escape(p[1:] if p[0] == "\\" else p) for p in pieces)
+    return pc.match_substring_regex(values, rf"(?s)\A{regex}\z")
+
+
+class TextColumn:
+    """One batch's values of a filtered column: distinct values, lowered once, and the codes of the rows."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, keep_null: bool):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        coded = column.dictionary_encode()
+        self.words = coded.dictionary
+        self.lowered = pc.utf8_lower(self.words)
+        self.codes = coded.indices.fill_null(len(self.words)).to_numpy(zero_copy_only=False)
+        self.keep_null = keep_null
+
+    def passes(self, operator: str, value: str) -> np.ndarray:
+        """Which rows pass one condition, tried once per distinct value."""
+        if operator in (filters.EQUALS, filters.NOT_EQUALS):
+            hit = pc.equal(self.words, value)
+        else:
+            hit = like(self.lowered, filters.wildcard(value).lower())
+        negative = operator in (filters.NOT_CONTAINS, filters.NOT_EQUALS)
+        table = np.append(hit.to_numpy(zero_copy_only=False) != negative, self.keep_null and negative)
+        return table[self.codes]
 
 
 class TopK:
@@ -126,11 +149,12 @@ class TopK:
         distance = 1.0 - np.clip(cosine, -1.0, 1.0)
         distance[np.isnan(distance)] = UNDEFINED
         if (floor > -np.inf).any():
+            # The threshold is on one minus the distance, which is not always the cosine to the last bit.
             with np.errstate(invalid="ignore"):
                 low = cosine < floor
                 close = np.abs(cosine - floor) < SLACK
             a, n = np.nonzero(close)
-            low[a, n] = self._exact_similarity(asked[a], n, docs, doc_norm) < floor[a, 0]
+            low[a, n] = 1.0 - (1.0 - self._exact_similarity(asked[a], n, docs, doc_norm)) < floor[a, 0]
             distance[low] = EXCLUDED
         if any(any(s) for s in r.filter_sets):
             distance[~self._filter_mask(asked, batch)] = EXCLUDED
@@ -163,17 +187,17 @@ class TopK:
         r = self.requests
         used, position = np.unique(r.filter_set[asked], return_inverse=True)
         masks = np.ones((len(used), batch.num_rows), dtype=bool)
+        columns: dict[str, TextColumn] = {}
         done: dict[tuple, np.ndarray] = {}
         for i, s in enumerate(used):
             for column, condition in zip(FILTER_COLUMNS, r.filter_sets[s]):
                 if condition is None:
                     continue
                 key = (column, *condition)
+                if column not in columns:
+                    columns[column] = TextColumn(batch[column], keep_null=column != "kind")
                 if key not in done:
-                    values = batch[column]
-                    if isinstance(values, pa.ChunkedArray):
-                        values = values.combine_chunks()
-                    done[key] = _passes(values, *condition, keep_null=column != "kind")
+                    done[key] = columns[column].passes(*condition)
                 masks[i] &= done[key]
         return masks[position]
 

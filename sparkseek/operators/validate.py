@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions import rules
+from sparkseek.functions.filters import FILTER_OPERATORS
 from sparkseek.functions.rules import RuleViolation
-from sparkseek.functions.scalars import failure_message, instant, is_blank, too_long, utc
+from sparkseek.functions.scalars import days_later, failure_message, instant, is_blank, too_long, utc
 
 ERROR = "error_code"
 
@@ -62,6 +63,8 @@ def search_request_checks() -> list[tuple[Column, str]]:
     ]
     for column, slug in (("kind", "kind"), ("namespace", "namespace"), ("type_name", "type-name")):
         used, value = F.col(f"{column}_operator").isNotNull(), F.col(f"{column}_value")
+        known = F.col(f"{column}_operator").isin(*FILTER_OPERATORS[column])
+        checks.append((used & ~known, f"400-{slug}-filter-operator-unknown"))
         checks.append((used & is_blank(value), f"400-{slug}-filter-value-required"))
         checks.append((used & too_long(value, rules.MAX_FILTER_VALUE), f"400-{slug}-filter-value-too-long"))
     return checks
@@ -155,9 +158,9 @@ def _with_window(requests: DataFrame, first: Column, last: Column, inverted: Col
 def with_stats_window(requests: DataFrame, now: datetime) -> DataFrame:
     """``stats_window`` for a table of report requests (start_date, end_date)."""
     start, end = F.col("start_date"), F.col("end_date")
-    width = F.expr(f"interval '{rules.DEFAULT_WINDOW_DAYS}' day")
-    last = F.coalesce(end, start + width, instant(now))
-    return _with_window(requests, F.coalesce(start, last - width), last, start > end)
+    width = rules.DEFAULT_WINDOW_DAYS
+    last = F.coalesce(end, days_later(start, width), instant(now))
+    return _with_window(requests, F.coalesce(start, days_later(last, -width)), last, start > end)
 
 
 def with_export_window(requests: DataFrame, now: datetime) -> DataFrame:

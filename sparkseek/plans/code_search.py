@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +45,17 @@ ANSWER_COLUMNS = (
 
 @dataclass
 class Answers:
-    """Ranked hits of the accepted requests, and the rejected requests with their errors."""
+    """Ranked hits of the accepted requests, and the rejected requests with their errors.
+
+    The hits are planned, which looks at the requests, when they are first asked for.
+    """
 
-    hits: DataFrame
     rejected: DataFrame
+    plan_hits: Callable[[], DataFrame]
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self.plan_hits()
 
 
 def complete_requests(requests: DataFrame) -> DataFrame:
@@ -66,17 +75,21 @@ def code_search(
     models: DataFrame,
     embedder: Embedder,
     reranker: Reranker | None = None,
+    blocks: bool | None = None,
 ) -> Answers:
     """Validate, embed, search, rerank, cut and link.
 
     Requests need query_id (unique), project_id and question; limit,
-    min_similarity and the filter columns are optional.
+    min_similarity and the filter columns are optional. ``blocks``: see ``nearest_pairs``.
     """
     reranker = reranker or NoOp()
     accepted, rejected = split(validate_search_requests(complete_requests(requests), projects))
-    asked = with_pool_size(embed_table(accepted, "question", embedder, "query_vector"), reranker.pool_size)
-    space = with_embedding_space(documents, models, embedder.provider, embedder.model, embedder.dimensions)
-    found = search_batch(space, asked, embedder.dimensions)
-    candidates = found.join(accepted.select("query_id", "project_id", "question", "limit"), "query_id")
-    ranked = rerank_batch(candidates, reranker)
-    return Answers(hits_with_project(ranked, projects).select(*ANSWER_COLUMNS), with_messages(rejected, "project_id"))
+
+    def hits() -> DataFrame:
+        asked = with_pool_size(embed_table(accepted, "question", embedder, "query_vector"), reranker.pool_size)
+        space = with_embedding_space(documents, models, embedder.provider, embedder.model, embedder.dimensions)
+        found = search_batch(space, asked, embedder.dimensions, blocks)
+        candidates = found.join(accepted.select("query_id", "project_id", "question", "limit"), "query_id")
+        return hits_with_project(rerank_batch(candidates, reranker), projects).select(*ANSWER_COLUMNS)
+
+    return Answers(with_messages(rejected, "project_id"), hits)

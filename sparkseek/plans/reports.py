@@ -20,13 +20,17 @@ def stats_report(
     end: datetime | None = None,
     project_id: int | None = None,
     now: datetime | None = None,
+    projects_per_row: int | None = None,
 ) -> DataFrame:
-    """Weeks with their nested project statistics, in order; each row names the window it is part of."""
+    """Weeks with their nested project statistics, in order; each row names the window it is part of.
+
+    ``projects_per_row``: see ``nest_weeks``.
+    """
     first, last = stats_window(start, end, now)
     require_project(projects, project_id)
-    weeks = nest_weeks(weekly_feedback_stats(feedback, projects, first, last, project_id))
+    weeks = nest_weeks(weekly_feedback_stats(feedback, projects, first, last, project_id), projects_per_row)
     window = {"start_date": instant(first), "end_date": instant(last)}
-    return weeks.withColumns(window).orderBy("week_start", "part")
+    return weeks.withColumns(window).orderBy("week_start", *(["part"] if projects_per_row is not None else []))
 
 
 def export_report(

@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from functools import cache
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
 SQL_SETTINGS = {
@@ -21,35 +15,7 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time SQL settings to an existing session.
-
-    Python workers on this machine also find the package where the driver found
-    it. On a cluster, send it along with ``--py-files``.
-    """
+    """Apply the run-time SQL settings to an existing session. On a cluster, send the package along with ``--py-files``."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
-    root = str(Path(__file__).resolve().parents[1])
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for written intermediates, under the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset (tests on
-    one machine) is a temporary folder made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _local_root()
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="sparkseek-")

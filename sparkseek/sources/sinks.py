@@ -9,7 +9,8 @@ def export_feedback_csv(text_rows: DataFrame, path: str, mode: str = "errorifexi
     """CSV with a header, quotes doubled inside quoted fields, nulls empty.
 
     Rows sorted beforehand stay sorted from one part file to the next; a small
-    export ends up in a single part. Line breaks inside a field are kept as they are.
+    export ends up in a single part. Records end in a line feed; line breaks and leading blanks inside a
+    field are kept as they are, and a leading blank alone does not make a field quoted.
     """
     (
         text_rows.write.mode(mode)
@@ -36,5 +37,5 @@ def read_feedback_csv(spark, path: str, schema) -> DataFrame:
 
 
 def write_weekly_json(weeks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per week (and part), nulls written out."""
+    """One JSON object per row of ``nest_weeks``, nulls written out."""
     weeks.write.mode(mode).option("ignoreNullFields", False).json(path)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.functions.scalars import utc
+from sparkseek.functions.scalars import utc, utc_date
 from sparkseek.sources import schemas
 
-DAY = "created_on"
+DAY, INTAKE, STORED = "created_on", "intake", "batch"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -39,34 +39,29 @@ def read_code_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_feedback(
     spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None
 ) -> DataFrame:
-    """Feedback rows. A given window prunes the day folders before any file is opened.
+    """Feedback rows with ``created_on``, the UTC day they are stored by.
 
-    The pruning is by whole UTC days; the exact window stays with the caller.
+    The reports turn their window into days and so skip the folders of others; a window given
+    here does the same by whole days.
     """
-    with_day = T.StructType(schemas.CODE_QUERY_FEEDBACK.fields + [T.StructField(DAY, T.DateType())])
-    rows = _read(spark, path, with_day)
+    stored = T.StructType(
+        [*schemas.CODE_QUERY_FEEDBACK.fields, T.StructField(DAY, T.DateType()), T.StructField(INTAKE, T.StringType())]
+    )
+    rows = _read(spark, path, stored).drop(INTAKE)
     if start is not None:
         rows = rows.filter(F.col(DAY) >= F.lit(utc(start).date()))
     if end is not None:
         rows = rows.filter(F.col(DAY) <= F.lit(utc(end).date()))
-    return rows.drop(DAY)
+    return rows
 
 
-def _spread(rows: DataFrame, folder: str, rows_per_file: int) -> DataFrame:
-    """Rows arranged so that each folder is written in files of about the given size.
+def write_code_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
+    """Store documents by project, sorted by id so that a search for few ids skips row groups.
 
-    A folder that holds a large share of all rows is spread over as many writers
-    as its count asks for, and a small one is a single file.
+    Spark sizes the writers: a project with very many rows is spread over several, small ones share one.
     """
-    files = rows.groupBy(folder).agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias("_files"))
-    slot = F.pmod(F.xxhash64("id"), F.col("_files"))
-    return rows.join(files, folder).withColumn("_slot", slot).repartition(folder, "_slot").drop("_files", "_slot")
-
-
-def write_code_documents(documents: DataFrame, path: str, rows_per_file: int = 100_000, mode: str = "append") -> None:
-    """Store documents by project."""
     (
-        _spread(documents, "project_id", rows_per_file)
+        documents.hint("rebalance", "project_id")
         .sortWithinPartitions("project_id", "embedding_model_id", "id")
         .write.mode(mode)
         .partitionBy("project_id")
@@ -74,12 +69,18 @@ def write_code_documents(documents: DataFrame, path: str, rows_per_file: int = 1
     )
 
 
-def write_feedback(feedback: DataFrame, path: str, rows_per_file: int = 2_000_000, mode: str = "append") -> None:
-    """Store feedback by UTC day."""
+def write_feedback(feedback: DataFrame, path: str, mode: str = "append", intake: str = STORED) -> None:
+    """Store feedback by UTC day and by the intake that brought it.
+
+    With ``mode="overwrite"`` only the folders of this intake that get rows are replaced, so an intake that is
+    repeated after a failure leaves the same rows.
+    """
+    placed = feedback.withColumn(DAY, utc_date(F.col("created_at"))).withColumn(INTAKE, F.lit(intake))
     (
-        _spread(feedback.withColumn(DAY, F.to_date("created_at")), DAY, rows_per_file)
+        placed.hint("rebalance", DAY)
         .sortWithinPartitions(DAY, "project_id", "created_at")
         .write.mode(mode)
-        .partitionBy(DAY)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(DAY, INTAKE)
         .parquet(path)
     )

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkseek.functions.scalars import week_start
 from sparkseek.operators.feedback import stored_rows
+from sparkseek.operators.numbering import largest_id
 from sparkseek.operators.validate import feedback_checks, split, with_failure, with_project_check
-from sparkseek.sources.schemas import CODE_QUERY_FEEDBACK
+from sparkseek.sources.tables import read_feedback, write_feedback
 
 BATCH = "intake_batch"
 _LAST_ID = T.StructType([T.StructField("last_id", T.LongType())])
 
+# A folder of weekly counts out of so many is complete.
+COMPACT_EVERY = 100
+
 # Fixed value: Spark counts windows from 1970-01-01, a Thursday; Mondays are 4 days on.
 MONDAY_SHIFT = "4 days"
 
@@ -35,37 +40,47 @@ def checked_submissions(submissions: DataFrame, projects: DataFrame) -> DataFram
 def stream_feedback_intake(
     submissions: DataFrame,
     projects: DataFrame,
-    accepted_path: str,
+    table_path: str,
     rejected_path: str,
     checkpoint: str,
     every: str | None = None,
+    start_after: int | None = None,
+    name: str = "stream",
 ) -> StreamingQuery:
-    """Appends accepted rows with new ids, and rejected rows with their codes.
+    """Appends accepted rows with new ids to the feedback table, and rejected rows with their codes.
+
+    The rows join those that ``write_feedback`` stores in ``table_path``. New ids go on after ``start_after``,
+    by default the largest id in the table when the stream first runs; it is kept beside the checkpoint. Nothing
+    else may append to the table while the stream runs. Streams into one table need different names.
 
     Runs until all that has arrived is taken in, or on and on with ``every``
     (for example "1 minute").
 
-    ``submission_id`` is unique. Each micro-batch overwrites its own folder, and
-    numbers its rows after those of earlier batches only, so a batch that is
+    ``submission_id`` is unique. Each micro-batch replaces its own folders of each day, and
+    numbers its rows after those of the batch before, so a batch that is
     replayed after a failure writes the same rows again instead of more rows.
     Beside the checkpoint, one small row per batch keeps the last id, so that no
     batch reads the rows stored before it.
     """
     ids_path = f"{checkpoint.rstrip('/')}-ids"
+    spark = projects.sparkSession
+    if not _exists(spark, _batch_folder(ids_path, -1)):
+        if start_after is None:
+            start_after = largest_id(read_feedback(spark, table_path)) if _exists(spark, table_path) else 0
+        _keep_last_id(spark, ids_path, -1, start_after)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        last_id = spark.read.schema(_LAST_ID).parquet(_batch_folder(ids_path, batch_id - 1)).first()["last_id"]
         batch = batch.persist()
-        earlier = _read_batches(spark, ids_path, _LAST_ID).filter(F.col(BATCH) < batch_id)
-        last_id = earlier.agg(F.max("last_id")).first()[0] or 0
-        accepted_now, rejected_now = split(batch)
-        own = _batch_folder(accepted_path, batch_id)
-        stored_rows(accepted_now, None, last_id).write.mode("overwrite").parquet(own)
-        rejected_now.write.mode("overwrite").parquet(_batch_folder(rejected_path, batch_id))
-        counted = spark.read.schema(CODE_QUERY_FEEDBACK).parquet(own).agg(F.max("id").alias("_max"))
-        newest = counted.select(F.coalesce("_max", F.lit(last_id)).cast("long").alias("last_id"))
-        newest.write.mode("overwrite").parquet(_batch_folder(ids_path, batch_id))
-        batch.unpersist()
+        try:
+            accepted_now, rejected_now = split(batch)
+            rows = stored_rows(accepted_now, None, last_id)
+            write_feedback(rows, table_path, "overwrite", f"{name}-{batch_id}")
+            rejected_now.write.mode("overwrite").parquet(_batch_folder(rejected_path, batch_id))
+            _keep_last_id(spark, ids_path, batch_id, last_id + accepted_now.count())
+        finally:
+            batch.unpersist()
 
     checked = checked_submissions(submissions, projects)
     return (
@@ -76,54 +91,65 @@ def stream_feedback_intake(
     )
 
 
-def _trigger(every: str | None) -> dict:
-    return {"availableNow": True} if every is None else {"processingTime": every}
+def _keep_last_id(spark: SparkSession, path: str, batch_id: int, last_id: int) -> None:
+    rows = spark.createDataFrame([(last_id,)], _LAST_ID).coalesce(1)
+    rows.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
 
-def _batch_folder(path: str, batch_id: int) -> str:
-    return os.path.join(path, f"{BATCH}={batch_id}")
-
-
-def _read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All batch folders under a path with their batch number; none if nothing is stored yet."""
-    numbered = T.StructType(schema.fields + [T.StructField(BATCH, T.LongType())])
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table in the folder."""
     try:
-        return spark.read.schema(numbered).parquet(path)
+        spark.read.schema(_LAST_ID).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], numbered)
+        return False
+    return True
+
+
+def _trigger(every: str | None) -> dict:
+    return {"availableNow": True} if every is None else {"processingTime": every}
 
 
-def read_intake(spark: SparkSession, accepted_path: str) -> DataFrame:
-    """The accepted rows so far, with the number of the batch they came in."""
-    return _read_batches(spark, accepted_path, CODE_QUERY_FEEDBACK)
+def _batch_folder(path: str, batch_id: int) -> str:
+    return os.path.join(path, f"{BATCH}={batch_id}")
 
 
 def monday_window(instant: str | Column) -> Column:
     return F.window(instant, "7 days", "7 days", MONDAY_SHIFT)
 
 
-def stream_weekly_counts(feedback: DataFrame, lateness: str = "1 day") -> DataFrame:
+def stream_weekly_counts(feedback: DataFrame) -> DataFrame:
     """Running counts per week and project, for weeks with feedback only.
 
-    State is one row per open week and project. Rows later than ``lateness`` are left out.
+    State is one row per week and project, kept for good: there is no watermark, so every row counts,
+    however late it comes.
     """
-    weeks = feedback.withWatermark("created_at", lateness).groupBy(monday_window("created_at").alias("_week"), "project_id")
+    weeks = feedback.groupBy(monday_window("created_at").alias("_week"), "project_id")
     return weeks.agg(
         F.count("id").alias("total_count"),
         F.count_if("useful").alias("useful_count"),
         F.count_if(~F.col("useful")).alias("not_useful_count"),
     ).select(
-        F.to_date("_week.start").alias("week_start"), "project_id", "total_count", "useful_count", "not_useful_count"
+        week_start(F.col("_week.start")).alias("week_start"), "project_id", "total_count", "useful_count", "not_useful_count"
     )
 
 
-def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Stores the changed counts of every micro-batch, each in its own folder."""
+def write_weekly_counts(
+    counts: DataFrame, path: str, checkpoint: str, every: str | None = None, compact_every: int = COMPACT_EVERY
+) -> StreamingQuery:
+    """Stores the changed counts of every micro-batch, each in its own folder.
+
+    Every ``compact_every``-th folder holds all counts so far; older folders are no longer read and may go.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+        rows = batch
+        if batch_id and batch_id % compact_every == 0:
+            spark = batch.sparkSession
+            before = _latest(_batches(spark, path, batch_id - compact_every, batch_id - 1))
+            rows = before.join(batch, ["week_start", "project_id"], "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(_batch_folder(path, batch_id))
 
     return (
         counts.writeStream.outputMode("update")
@@ -134,10 +160,17 @@ def write_weekly_counts(counts: DataFrame, path: str, checkpoint: str, every: st
     )
 
 
-def read_weekly_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The latest counts of each week and project."""
+def read_weekly_counts(spark: SparkSession, path: str, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """The latest counts of each week and project, from the last complete folder on."""
+    newest = spark.read.parquet(path).agg(F.max(BATCH)).first()[0]
+    return _latest(_batches(spark, path, newest - newest % compact_every, newest))
+
+
+def _batches(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col(BATCH).between(first, last))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
     numbers = ("total_count", "useful_count", "not_useful_count")
-    latest = spark.read.parquet(path).groupBy("week_start", "project_id").agg(
-        F.max_by(F.struct(*numbers), BATCH).alias("_latest")
-    )
+    latest = rows.groupBy("week_start", "project_id").agg(F.max_by(F.struct(*numbers), BATCH).alias("_latest"))
     return latest.select("week_start", "project_id", "_latest.*")

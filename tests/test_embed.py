@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,22 @@ def test_wrong_length_fails(spark):
         embed.embed_table(spark.createDataFrame([("abc",)], "t string"), "t", Lengths(width=1)).collect()
 
 
+def test_texts_are_pooled_together_as_alone(spark):
+    texts = [None, "", "one", "one two two", " . ", *[f"w{i} w{i % 7} x" for i in range(700)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for dimensions, normalized in ((16, True), (200, False)):
+        embedder = embed.HashedTokens(dimensions, normalized)
+        found = {r["i"]: r["embedding"] for r in embed.embed_table(frame, "t", embedder).collect()}
+        for i in (0, 1, 2, 3, 4, 5, 300, 704):
+            bits = []
+            for word in re.findall(r"\w+", (texts[i] or "").lower()):
+                digest = b"".join(hashlib.md5(s.encode()).digest() for s in [word, *[f"{d}:{word}" for d in range(1, embedder.digests)]])
+                bits.append(np.unpackbits(np.frombuffer(digest, np.uint8))[:dimensions] * 2.0 - 1)
+            mean = np.mean(bits, axis=0) if bits else np.zeros(dimensions)
+            norm = np.sqrt(mean @ mean)
+            assert found[i] == pytest.approx(mean / norm if normalized and norm else mean, abs=1e-6)
+
+
 def test_unused_vectors_are_not_computed(spark):
     rows = embed.embed_table(spark.range(3).select(F.col("id").cast("string").alias("t")), "t", Lengths())
     assert "ArrowEval" not in rows.select("t")._jdf.queryExecution().executedPlan().toString()
@@ -92,8 +109,6 @@ def test_mean_pool(spark):
     ).repartition(7)
     pooled = {r["key"]: (r["token_count"], r["pooled"]) for r in vectors.mean_pool(scattered, "key").collect()}
     assert len(pooled) == 700 and pooled["k5"] == (6, [5 + 700 * 2.5, 2.0])
-    nested = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],), ([],)], "v array<array<float>>")
-    assert [r[0] for r in nested.select(vectors.mean_pool_nested(F.col("v"), 2)).collect()] == [[2.0, 3.0], [0.0, 0.0]]
 
 
 def test_mean_pool_of_a_hot_key(spark):

@@ -96,12 +96,19 @@ def test_nested_weeks(spark):
     pr = projects(spark, "a", "b", "c")
     grid = feedback.weekly_feedback_stats(fb, pr, at("2024-01-01"), at("2024-01-14"))
     weeks = feedback.nest_weeks(grid).orderBy("week_start").collect()
-    assert [(w["week_start"], w["week_end"], w["part"]) for w in weeks] == [
-        (date(2024, 1, 1), date(2024, 1, 7), 0), (date(2024, 1, 8), date(2024, 1, 14), 0)
+    assert [(w["week_start"], w["week_end"]) for w in weeks] == [
+        (date(2024, 1, 1), date(2024, 1, 7)), (date(2024, 1, 8), date(2024, 1, 14))
     ]
     assert [p["project_name"] for p in weeks[0]["projects"]] == ["a", "b", "c"]
     parts = feedback.nest_weeks(grid, projects_per_row=2).orderBy("week_start", "part").collect()
-    assert [len(w["projects"]) for w in parts] == [1, 2, 1, 2]
+    assert [(w["part"], len(w["projects"])) for w in parts] == [(0, 1), (1, 2)] * 2
+
+
+def test_a_week_is_one_row_whatever_the_ids(spark):
+    pr = projects(spark, "a", "b", "c", "d").withColumn("id", F.element_at(F.lit([3, 9999, 10000, 25000]), F.col("id").cast("int")).cast("long"))
+    grid = feedback.weekly_feedback_stats(rows(spark, ("2024-01-03T00:00", True, 3)), pr, at("2024-01-01"), at("2024-01-07"))
+    (week,) = feedback.nest_weeks(grid).collect()
+    assert [p["project_id"] for p in week["projects"]] == [3, 9999, 10000, 25000]
 
 
 def test_weekly_json(spark, tmp_path):
@@ -109,7 +116,7 @@ def test_weekly_json(spark, tmp_path):
     reports.write_stats_report(report, str(tmp_path / "j"))
     lines = [line for f in glob.glob(f"{tmp_path}/j/part*") for line in open(f)]
     assert json.loads(lines[0]) == {
-        "week_start": "2024-01-01", "week_end": "2024-01-07", "part": 0,
+        "week_start": "2024-01-01", "week_end": "2024-01-07",
         "start_date": "2024-01-01T00:00:00.000Z", "end_date": "2024-01-05T00:00:00.000Z",
         "projects": [{"project_id": 1, "project_name": "a", "total_count": 1, "useful_count": 1, "not_useful_count": 0, "useful_percentage": 100.0, "not_useful_percentage": 0.0}],
     }
@@ -245,17 +252,67 @@ def test_windows_of_a_table_agree_with_single_ones(spark):
 
 
 def test_large_folders_are_written_in_several_files(spark, tmp_path):
-    fb = rows(spark, *[("2024-01-03T00:00" if i < 90 else f"2024-02-{1 + i % 28:02d}T00:00", True) for i in range(100)])
-    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # would join these few rows in one task
-    spark.conf.set(setting, "false")
+    """A day with most rows is spread by size, as far as the tasks that made the rows allow."""
+    fb = spark.range(60_000).select(
+        "id", F.lit(1).cast("long").alias("project_id"), F.sha2(F.col("id").cast("string"), 512).alias("question"), F.lit(True).alias("useful"),
+        F.array(F.rand(1)).alias("similarities"), F.lit(None).cast("string").alias("reason"), F.lit("u").alias("username"),
+        F.timestamp_seconds(F.when(F.col("id") % 10 < 9, 1704240000).otherwise(1706745600 + F.floor(F.col("id") / 10) % 5 * 86400)).alias("created_at"),
+    )
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "256k")
+    try:
+        tables.write_feedback(fb, str(tmp_path / "f"))
+    finally:
+        spark.conf.unset(setting)
+    per_day = {d: len(glob.glob(f"{d}/intake=*/part*")) for d in glob.glob(f"{tmp_path}/f/created_on=*")}
+    assert len(per_day) == 6 and per_day.pop(f"{tmp_path}/f/created_on=2024-01-03") > 3
+    assert max(per_day.values()) <= 4
+    assert tables.read_feedback(spark, str(tmp_path / "f")).count() == 60_000
+
+
+def test_reports_read_only_the_days_of_their_window(spark, tmp_path):
+    fb = rows(spark, *[(f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}T00:00", True) for i in range(80)])
+    tables.write_feedback(fb, str(tmp_path / "f"))
+    stored = tables.read_feedback(spark, str(tmp_path / "f"))
+    for report in (
+        feedback.weekly_feedback_stats(stored, projects(spark, "a"), at("2024-02-05"), at("2024-02-11")),
+        feedback.export_rows(stored, projects(spark, "a"), at("2024-02-05"), at("2024-02-11")),
+    ):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(created_on" in plan and "created_on#" in plan.split("PartitionFilters: [")[1][:200]
+
+
+def test_an_intake_that_is_repeated_replaces_itself(spark, tmp_path):
+    fb = rows(spark, ("2024-01-03T00:00", True, 1), ("2024-02-03T23:00", False, 2))
+    for _ in range(2):
+        tables.write_feedback(fb, str(tmp_path / "f"), "overwrite", "stream-7")
+    tables.write_feedback(fb, str(tmp_path / "f"))
+    assert tables.read_feedback(spark, str(tmp_path / "f")).count() == 4
+
+
+def test_results_do_not_depend_on_the_session_zone(spark, tmp_path):
+    fb = rows(spark, ("2024-01-22T01:00", True, 1), ("2024-01-21T23:59", False, 2), ("2024-03-10T07:30", True, 3))
+    window = spark.createDataFrame([(at("2024-03-09T12:00"), None)], "start_date timestamp, end_date timestamp")
+
+    def results():
+        shown = fb.select(
+            "id", scalars.week_start(F.col("created_at")), scalars.created_at_text(F.col("created_at")),
+            scalars.created_at_text(F.col("created_at"), "Asia/Kolkata"), scalars.export_file_stem(F.col("created_at"), F.col("created_at")),
+        )
+        weeks = fb.select(F.explode(scalars.weeks_between(at("2024-01-21T23:00"), at("2024-01-22T01:00")))).distinct()
+        ends = validate.with_stats_window(window, NOW).select(F.unix_micros("window_end"))
+        path = str(tmp_path / spark.conf.get("spark.sql.session.timeZone").replace("/", "-"))
+        tables.write_feedback(fb, path)
+        days = tables.read_feedback(spark, path).select("id", "created_on")
+        return [sorted(tuples(x)) for x in (shown, weeks, ends, days)]
+
+    expected = results()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        tables.write_feedback(fb, str(tmp_path / "f"), rows_per_file=20)
+        assert results() == expected
     finally:
-        spark.conf.set(setting, "true")
-    per_day = {d: len(glob.glob(f"{d}/part*")) for d in glob.glob(f"{tmp_path}/f/created_on=*")}
-    hot = f"{tmp_path}/f/created_on=2024-01-03"
-    assert 1 < per_day.pop(hot) <= 5 and set(per_day.values()) == {1}
-    assert tables.read_feedback(spark, str(tmp_path / "f")).count() == 100
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert str(expected[0][0][1]) == "2024-01-22" and expected[0][0][2] == "2024-01-22T01:00:00Z"
 
 
 def test_append_feedback_numbers_in_order(spark):
@@ -266,6 +323,8 @@ def test_append_feedback_numbers_in_order(spark):
         out = feedback.append_feedback(existing, new, NOW, rows_per_range=per_range).orderBy("id").collect()
         assert [(r["id"], r["question"]) for r in out] == [(42 + i, f"q{i}") for i in range(50)]
         assert out[0]["created_at"] == NOW
+    plan = feedback.append_feedback(existing, new, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 def test_numbering_is_dense_for_clustered_keys(spark):
@@ -286,7 +345,7 @@ def test_stored_tables_come_back(spark, tmp_path):
     fb = rows(spark, ("2024-01-03T00:00", True, 1), ("2024-02-03T23:00", False, 2))
     tables.write_feedback(fb, str(tmp_path / "f"))
     stored = tables.read_feedback(spark, str(tmp_path / "f"))
-    assert stored.columns == fb.columns and sorted(tuples(stored)) == sorted(tuples(fb))
+    assert stored.columns == [*fb.columns, "created_on"] and sorted(tuples(stored.drop("created_on"))) == sorted(tuples(fb))
     january = tables.read_feedback(spark, str(tmp_path / "f"), at("2024-01-01"), at("2024-01-31"))
     assert [r["id"] for r in january.collect()] == [1]
     assert "PartitionFilters: [isnotnull(created_on" in january._jdf.queryExecution().executedPlan().toString()

@@ -23,7 +23,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     ours = registered.queries()[name](spark, FOLDER).toPandas()
     theirs = duck.execute(registered.oracle_sql()[name]).fetchdf()

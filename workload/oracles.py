@@ -22,12 +22,20 @@ oracle(
 )
 oracle(
     "read_code_documents",
-    """SELECT id, project_id, kind, namespace, type_name, source_file, length(embedding_text) AS text_length, len(embedding) AS n_dimensions
+    """SELECT id, project_id, kind, namespace, type_name, source_file, md5(embedding_text) AS text_digest, CAST(64 AS BIGINT) AS n_dimensions,
+              round(CASE WHEN embedding IS NULL THEN 0 ELSE list_sum(embedding::DOUBLE[]) END, 9)::DOUBLE AS embedding_sum
        FROM docs""",
     "docs",
 )
 oracle(
     "read_feedback",
+    """SELECT id, project_id, question, useful, reason, username, round(similarities[1] + similarities[2], 6) AS similarity_sum,
+              epoch_us(created_at) AS created_at_us, CAST(created_at AS DATE) AS created_on
+       FROM feedback""",
+    "feedback",
+)
+oracle(
+    "read_feedback_window",
     """SELECT id, project_id, question, useful, reason, username, epoch_us(created_at) AS created_at_us FROM feedback
        WHERE created_at >= DATE '2024-01-03' AND created_at < DATE '2024-01-25'""",
     "feedback",
@@ -44,6 +52,8 @@ oracle(
        SELECT 'code_documents', 'foreign key (project_id)', CAST(project_id AS VARCHAR), COUNT(*)
        FROM docs WHERE project_id NOT IN (SELECT id FROM projects WHERE git_url IS NOT NULL) GROUP BY project_id
        UNION ALL
+       SELECT 'code_documents', 'not null', 'embedding', COUNT(*) FROM docs WHERE embedding IS NULL HAVING COUNT(*) > 0
+       UNION ALL
        SELECT 'code_query_feedback', 'not null', 'username', COUNT(*) FROM feedback WHERE reason IS NOT NULL
        UNION ALL
        SELECT 'code_query_feedback', 'foreign key (project_id)', CAST(project_id AS VARCHAR), COUNT(*)
@@ -64,7 +74,7 @@ FEEDBACK_ERROR = r"""
 
 oracle(
     "append_feedback",
-    f"""SELECT (SELECT MAX(id) FROM feedback WHERE question = 'about purchase') + row_number() OVER (ORDER BY submission_id) AS id,
+    f"""SELECT (SELECT MAX(id) FROM feedback) + row_number() OVER (ORDER BY submission_id) AS id,
               project_id, question, useful, n_similarities, reason, username, epoch_us(created_at) AS created_at_us
         FROM submissions WHERE {FEEDBACK_ERROR} IS NULL""",
     "submissions", "projects", "feedback",
@@ -244,11 +254,19 @@ oracle("weekly_feedback_stats", "SELECT * FROM percented", "percented")
 oracle("weekly_feedback_stats_one_project", "SELECT * FROM percented WHERE project_id = 3", "percented")
 oracle(
     "nest_weeks",
-    """SELECT week_start, CAST(week_start + 6 AS DATE) AS week_end, project_id // 10000 AS part, COUNT(*) AS n_projects,
-              arg_min(project_name, project_id) AS first_project, MAX(project_id) AS last_project, CAST(SUM(total_count) AS BIGINT) AS total_count
-       FROM percented GROUP BY week_start, project_id // 10000""",
+    """SELECT week_start, CAST(week_start + 6 AS DATE) AS week_end, CAST(row_number() OVER (PARTITION BY week_start ORDER BY project_id) - 1 AS INTEGER) AS place,
+              project_id, project_name, total_count, useful_count, not_useful_count, useful_percentage, not_useful_percentage
+       FROM percented""",
+    "percented",
+)
+oracle(
+    "nest_weeks_in_parts",
+    """SELECT week_start, project_id // 10 AS part,
+              CAST(row_number() OVER (PARTITION BY week_start, project_id // 10 ORDER BY project_id) - 1 AS INTEGER) AS place, project_id, total_count
+       FROM percented""",
     "percented",
 )
+oracle("weekly_feedback_stats_stored", "SELECT * FROM percented", "percented")
 oracle(
     "mean_pool",
     """SELECT label, COUNT(*) AS token_count, CAST(dim AS INTEGER) AS dim, round(AVG(embedding[dim + 1]::DOUBLE), 9) AS mean
@@ -286,6 +304,16 @@ oracle(
        FROM ranked r JOIN docs d ON d.id = r.id""",
     "ranked",
 )
+ORACLES["search_batch_blocks"] = ORACLES["search_batch"]
+oracle(
+    "search_stored",
+    """SELECT d.id, source_file, kind, type_name, member, md5(embedding_text) AS embedding_text, round(sim, 10) AS similarity
+       FROM docs d JOIN (
+           SELECT id, list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim
+           FROM space s, (SELECT embedding FROM embeddings WHERE vec_id = 3) e WHERE project_id = 4
+           ORDER BY sim DESC, id LIMIT 10) USING (id)""",
+    "space",
+)
 oracle(
     "search_batch_filtered",
     """, scored AS (
@@ -300,6 +328,7 @@ oracle(
        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM scored) WHERE n <= k""",
     "filtered_requests", "space",
 )
+ORACLES["search_batch_blocks_filtered"] = ORACLES["search_batch_filtered"]
 oracle(
     "best_per_query",
     """SELECT query_id, id, distance, CAST(n AS INTEGER) AS vector_rank FROM (
@@ -375,11 +404,23 @@ oracle(
 )
 oracle(
     "parse_embedding",
-    """SELECT vec_id, CASE WHEN label <> 0 THEN len(embedding) END AS first_size, CASE WHEN label <> 0 THEN round(embedding[64]::DOUBLE, 6) END AS first_last,
-              CASE WHEN label = 0 THEN 'no-embedding' END AS first_error,
-              CASE WHEN label > 1 THEN len(embedding) END AS second_size, CASE WHEN label > 1 THEN round(embedding[1]::DOUBLE, 6) END AS second_first,
-              CASE label WHEN 0 THEN 'no-embedding' WHEN 1 THEN 'malformed' END AS second_error
-       FROM embeddings""",
+    """SELECT vec_id, CASE WHEN label = 0 THEN 'no-embedding' END AS first_error, CASE label WHEN 0 THEN 'no-embedding' WHEN 1 THEN 'malformed' END AS second_error,
+              CASE WHEN label > 0 THEN CAST(dim AS INTEGER) END AS dim, CASE WHEN label > 0 THEN round(embedding[dim + 1]::DOUBLE, 6) END AS first,
+              CASE WHEN label > 1 THEN round(embedding[dim + 1]::DOUBLE, 6) END AS second
+       FROM embeddings CROSS JOIN range(64) t(dim) WHERE label > 0 OR dim = 0""",
+)
+oracle(
+    "parse_grader_reply",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN least(greatest(user_id % 14 - 2, 0), 10) / 10.0::DOUBLE END AS score,
+              CASE event_type WHEN 'view' THEN NULL WHEN 'signup' THEN 'malformed' ELSE 'blank' END AS error
+       FROM events""",
+)
+oracle(
+    "parse_ranking",
+    """SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN NULL WHEN event_type IN ('error', 'signup') THEN 'malformed' ELSE 'blank' END AS error,
+              CASE event_type WHEN 'view' THEN CAST(n AS INTEGER) END AS rerank_order, CASE event_type WHEN 'view' THEN CAST(2 - n AS INTEGER) END AS "index",
+              CASE event_type WHEN 'view' THEN CASE n WHEN 1 THEN user_id % 8 / 8.0::DOUBLE ELSE 0.125::DOUBLE END END AS rerank_score
+       FROM events CROSS JOIN range(1, 3) t(n) WHERE event_type = 'view' OR n = 1""",
 )
 oracle(
     "json_numbers",
@@ -410,7 +451,7 @@ oracle(
 FILTERED_QUESTIONS = r"""
     SELECT query_id, project_id, "limit", CASE WHEN query_id % 10 <> 3 THEN question ELSE '  ' END AS question,
            CASE WHEN query_id % 7 = 1 THEN query_id % 3 * 0.75::DOUBLE END AS min_similarity,
-           query_id % 5 = 0 AS by_kind, CASE WHEN query_id % 3 = 0 THEN 'en' ELSE '' END AS kind_value,
+           query_id % 5 = 0 AS by_kind, query_id % 35 = 0 AS odd_kind, CASE WHEN query_id % 3 = 0 THEN 'en' ELSE '' END AS kind_value,
            query_id % 4 = 0 AS by_namespace, query_id % 8 = 0 AS long_namespace
     FROM questions"""
 SEARCH_ERROR = r"""
@@ -418,6 +459,7 @@ SEARCH_ERROR = r"""
          WHEN length(question) > 1000 THEN '400-question-too-long'
          WHEN "limit" NOT BETWEEN 1 AND 50 THEN '400-limit-out-of-range'
          WHEN min_similarity NOT BETWEEN 0 AND 1 THEN '400-min-similarity-out-of-range'
+         WHEN odd_kind THEN '400-kind-filter-operator-unknown'
          WHEN by_kind AND kind_value = '' THEN '400-kind-filter-value-required'
          WHEN by_namespace AND long_namespace THEN '400-namespace-filter-value-too-long'
          WHEN project_id NOT IN (SELECT id FROM projects) THEN '404-project-not-found' END"""
@@ -426,6 +468,7 @@ SEARCH_MESSAGE = """
          WHEN '400-question-too-long' THEN 'The ''question'' field must be at most 1000 characters long.'
          WHEN '400-limit-out-of-range' THEN 'The ''limit'' field must be between 1 and 50.'
          WHEN '400-min-similarity-out-of-range' THEN 'The ''minSimilarity'' field must be between 0.0 and 1.0.'
+         WHEN '400-kind-filter-operator-unknown' THEN 'The ''kind'' filter''s ''operator'' field must be one of contains, equals, not_equals.'
          WHEN '400-kind-filter-value-required' THEN 'The ''kind'' filter''s ''value'' field is required and must not be empty.'
          WHEN '400-namespace-filter-value-too-long' THEN 'The ''namespace'' filter''s ''value'' field must be at most 200 characters long.'
          WHEN '404-project-not-found' THEN 'No project exists with id ' || project_id || '.' END"""
@@ -492,7 +535,7 @@ oracle(
 )
 oracle("replace_projects_outcomes", f"SELECT change_id, id, error_code FROM ({REPLACED})", "projects")
 DELETED = """
-    SELECT project_id, CASE WHEN project_id IN (SELECT project_id FROM docs WHERE kind = 'es' AND type_name = 'PoorText') THEN '409-has-indexed-code-documents'
+    SELECT project_id, CASE WHEN project_id = 25 OR project_id IN (SELECT project_id FROM docs WHERE kind = 'es' AND type_name = 'PoorText') THEN '409-has-indexed-code-documents'
                             WHEN project_id IN (SELECT project_id FROM feedback) THEN '409-has-feedback'
                             WHEN project_id NOT IN (SELECT id FROM projects) THEN '404-project-not-found' END AS error_code
     FROM (SELECT DISTINCT CAST(c_nationkey + 1 + c_custkey % 4 AS BIGINT) AS project_id FROM customer)"""
@@ -541,13 +584,20 @@ oracle(
 
 # --- streams
 
+TAKEN_IN = f"""
+    SELECT id, project_id, question, useful, username, created_at, CAST(NULL AS VARCHAR) AS error_code FROM feedback
+    UNION ALL
+    SELECT CASE WHEN error_code IS NULL THEN (SELECT MAX(id) FROM feedback) + row_number() OVER (PARTITION BY error_code IS NULL ORDER BY submission_id)
+                ELSE submission_id END, project_id, question, useful, username, created_at, error_code
+    FROM (SELECT *, {FEEDBACK_ERROR} AS error_code FROM submissions)"""
 oracle(
     "stream_feedback_intake",
-    f"""SELECT CASE WHEN error_code IS NULL THEN row_number() OVER (PARTITION BY error_code IS NULL ORDER BY submission_id) ELSE submission_id END AS id,
-               project_id, question, username, epoch_us(created_at) AS created_at_us, error_code
-        FROM (SELECT *, {FEEDBACK_ERROR} AS error_code FROM submissions)""",
-    "submissions", "projects",
+    f"SELECT id, project_id, question, username, epoch_us(created_at) AS created_at_us, error_code FROM ({TAKEN_IN})",
+    "submissions", "projects", "feedback",
 )
+ORACLES["weekly_feedback_stats_streamed"] = with_views("SELECT * FROM percented", "submissions", "percented").replace(
+    "inside AS (\n        SELECT * FROM feedback", f"inside AS (\n        SELECT * FROM ({TAKEN_IN}) t"
+).replace("WHERE created_at >= TIMESTAMP", "WHERE error_code IS NULL AND created_at >= TIMESTAMP")
 oracle(
     "stream_weekly_counts",
     """SELECT CAST(date_trunc('week', created_at) AS DATE) AS week_start, project_id, COUNT(id) AS total_count,
@@ -624,8 +674,8 @@ oracle(
 )
 oracle(
     "lexical_grade",
-    f"""SELECT conv_id, turn, CASE WHEN len(q) > 0 THEN CAST(floor(len(list_intersect(q, t)) * 10 / len(q)) AS INTEGER) ELSE 0 END AS grade
-        FROM (SELECT conv_id, turn, {words("c.text")} AS q, {words("d.text")} AS t FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)""",
+    f"""SELECT doc_id, turn, CASE WHEN len(q) > 0 THEN CAST(floor(len(list_intersect(q, t)) * 10 / len(q)) AS INTEGER) ELSE 0 END AS grade
+        FROM (SELECT doc_id, turn, {words("c.text")} AS q, {words("d.text")} AS t FROM documents d LEFT JOIN conversations c ON d.doc_id = c.conv_id)""",
 )
 oracle(
     "rerank_batch",
@@ -639,10 +689,10 @@ oracle(
     f""", asked AS ({CHECKED_QUESTIONS}),
         accepted AS (SELECT * FROM asked WHERE error_code IS NULL),
         question_vectors AS (SELECT query_id, list(x::DOUBLE ORDER BY dim) AS qv FROM ({embedding('SELECT query_id, question FROM accepted', 'query_id', 'question', 64, True)}) GROUP BY query_id),
-        document_vectors AS (SELECT id, list(x::DOUBLE ORDER BY dim) AS dv FROM ({embedding('SELECT id, embedding_text FROM space', 'id', 'embedding_text', 64, True)}) GROUP BY id),
+        document_vectors AS (SELECT id, list(x::DOUBLE ORDER BY dim) AS dv FROM ({embedding('SELECT id, embedding_text FROM text_space', 'id', 'embedding_text', 64, True)}) GROUP BY id),
         scored AS (
             SELECT a.query_id, a."limit", a.question, d.*, list_cosine_similarity(dv, qv) AS sim
-            FROM accepted a JOIN question_vectors USING (query_id) JOIN space d ON d.project_id = a.project_id JOIN document_vectors v ON v.id = d.id
+            FROM accepted a JOIN question_vectors USING (query_id) JOIN text_space d ON d.project_id = a.project_id JOIN document_vectors v ON v.id = d.id
             WHERE (min_similarity IS NULL OR list_cosine_similarity(dv, qv) >= min_similarity)
               AND (NOT by_kind OR kind = kind_value) AND (NOT by_namespace OR COALESCE(namespace ILIKE 'src1%', FALSE))),
         pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS vector_rank FROM scored)
@@ -653,7 +703,7 @@ oracle(
                git_url, git_raw_url || '/' || source_file AS git_raw_url, rerank_score
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, vector_rank) AS INTEGER) AS rank FROM graded) g
         JOIN projects p ON p.id = g.project_id WHERE rank <= COALESCE("limit", 10)""",
-    "questions", "projects", "space",
+    "questions", "projects", "text_space",
 )
 oracle(
     "code_search_rejected",

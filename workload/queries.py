@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from sparkseek.functions import filters, replies, scalars, vectors
 from sparkseek.operators import constraints, embed, feedback, projects, rerank, search, validate
 from sparkseek.plans import code_search as plan
-from sparkseek.session import scratch_dir
 from sparkseek.sources import sinks, tables
 from sparkseek.streaming import feedback_intake as intake
+from workload.scratch import scratch_dir
 from workload.views import DIMENSIONS, FILES, MODEL, PROVIDER, WINDOW_END, WINDOW_START, Views
 
 NOW = datetime(2024, 2, 1, 8, 30)
@@ -62,38 +62,59 @@ def read_code_documents(v: Views) -> DataFrame:
     tables.write_code_documents(v.stored_documents, path)
     return tables.read_code_documents(v.spark, path).select(
         "id", "project_id", "kind", "namespace", "type_name", "source_file",
-        F.length("embedding_text").cast("long").alias("text_length"), F.size("embedding").cast("long").alias("n_dimensions"),
+        F.md5("embedding_text").alias("text_digest"), F.size("embedding").cast("long").alias("n_dimensions"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double")), 9).alias("embedding_sum"),
     )
 
 
-@query
-def read_feedback(v: Views) -> DataFrame:
+def _stored_feedback(v: Views) -> str:
     path = scratch_dir(v.spark, "feedback")
     tables.write_feedback(v.feedback, path)
-    rows = tables.read_feedback(v.spark, path, WINDOW_START, WINDOW_END)
-    return rows.select("id", "project_id", "question", "useful", "reason", "username", micros("created_at"))
+    return path
+
+
+FEEDBACK_SHOWN = ("id", "project_id", "question", "useful", "reason", "username")
+
+
+@query
+def read_feedback(v: Views) -> DataFrame:
+    """The whole stored table, with the day each row is stored by."""
+    rows = tables.read_feedback(v.spark, _stored_feedback(v))
+    similarities = F.round(F.aggregate("similarities", F.lit(0.0), lambda total, x: total + x), 6).alias("similarity_sum")
+    return rows.select(*FEEDBACK_SHOWN, similarities, micros("created_at"), "created_on")
+
+
+@query
+def read_feedback_window(v: Views) -> DataFrame:
+    """The days of a window, by folder."""
+    rows = tables.read_feedback(v.spark, _stored_feedback(v), WINDOW_START, WINDOW_END)
+    return rows.select(*FEEDBACK_SHOWN, micros("created_at"))
+
+
+@query
+def weekly_feedback_stats_stored(v: Views) -> DataFrame:
+    """The report over the table stored by day: its window prunes the folders."""
+    stored = tables.read_feedback(v.spark, _stored_feedback(v))
+    return feedback.weekly_feedback_stats(stored, v.projects, WINDOW_START, WINDOW_END)
 
 
 @query
 def check_constraints(v: Views) -> DataFrame:
-    """Documents named by their text (copies repeat a name), and projects without links left out."""
-    linked = v.projects.filter(F.col("git_url").isNotNull())
+    """All rows, some flawed: documents named by their text (copies repeat a name), feedback without a user name, and
+    projects and models that have moved to other ids."""
+    moved = v.projects.withColumn("id", F.when(F.col("git_url").isNull(), F.col("id") + 1000).otherwise(F.col("id")))
+    other = v.models.withColumn("id", F.when(F.col("provider") != PROVIDER, F.col("id") + 10).otherwise(F.col("id")))
     named = v.documents.withColumn("document_id", F.md5("embedding_text"))
     flawed = v.feedback.withColumn("username", F.when(F.col("reason").isNull(), F.col("username")))
     return constraints.check_constraints(
-        {
-            "projects": linked,
-            "embedding_models": v.models.filter(F.col("provider") == PROVIDER),
-            "code_documents": named,
-            "code_query_feedback": flawed,
-        }
+        {"projects": moved, "embedding_models": other, "code_documents": named, "code_query_feedback": flawed}
     )
 
 
 @query
 def append_feedback(v: Views) -> DataFrame:
-    """Accepted submissions appended to the stored feedback about purchases."""
-    existing = v.feedback.filter(F.col("question") == "about purchase")
+    """Accepted submissions appended to all stored feedback."""
+    existing = v.feedback
     checked = validate.validate_feedback(v.submissions, v.projects)
     accepted, _ = validate.split(checked)
     rows = feedback.append_feedback(existing, accepted, NOW)
@@ -125,7 +146,7 @@ def write_weekly_json(v: Views) -> DataFrame:
         "project_id: long, project_name: string, total_count: long, useful_count: long, not_useful_count: long, "
         "useful_percentage: double, not_useful_percentage: double"
     )
-    weeks = v.spark.read.schema(f"week_start date, week_end date, part long, projects array<struct<{entry}>>").json(path)
+    weeks = v.spark.read.schema(f"week_start date, week_end date, projects array<struct<{entry}>>").json(path)
     return weeks.select(
         F.date_format("week_start", "yyyy-MM-dd").alias("week_start"),
         F.date_format("week_end", "yyyy-MM-dd").alias("week_end"),
@@ -229,7 +250,9 @@ def with_git_links(v: Views) -> DataFrame:
 
 
 def _space(v: Views) -> DataFrame:
-    return search.with_embedding_space(v.documents, v.models, PROVIDER, MODEL, DIMENSIONS)
+    """The documents with a given vector of the model."""
+    embedded = v.documents.filter(F.col("embedding").isNotNull())
+    return search.with_embedding_space(embedded, v.models, PROVIDER, MODEL, DIMENSIONS)
 
 
 @query
@@ -388,12 +411,19 @@ def weekly_feedback_stats_one_project(v: Views) -> DataFrame:
 
 @query
 def nest_weeks(v: Views) -> DataFrame:
-    """Nested weeks, shown with their size and first and last project."""
-    return feedback.nest_weeks(_stats(v)).select(
-        "week_start", "week_end", "part", F.size("projects").cast("long").alias("n_projects"),
-        F.col("projects")[0]["project_name"].alias("first_project"),
-        F.element_at("projects", -1)["project_id"].alias("last_project"),
-        F.aggregate("projects", F.lit(0).cast("long"), lambda n, p: n + p["total_count"]).alias("total_count"),
+    """Nested weeks with every nested field and its place."""
+    weeks = feedback.nest_weeks(_stats(v))
+    return weeks.select("week_start", "week_end", F.posexplode("projects").alias("place", "p")).select(
+        "week_start", "week_end", "place", "p.*"
+    )
+
+
+@query
+def nest_weeks_in_parts(v: Views) -> DataFrame:
+    """Weeks in rows of ten project ids each."""
+    weeks = feedback.nest_weeks(_stats(v), projects_per_row=10)
+    return weeks.select("week_start", "part", F.posexplode("projects").alias("place", "p")).select(
+        "week_start", "part", "place", "p.project_id", "p.total_count"
     )
 
 
@@ -428,17 +458,43 @@ def search_by_expression(v: Views) -> DataFrame:
 
 @query
 def search_batch(v: Views) -> DataFrame:
-    hits = search.search_batch(_space(v), v.requests, DIMENSIONS)
+    """All requests sent to every task."""
+    hits = search.search_batch(_space(v), v.requests, DIMENSIONS, blocks=False)
     return hits.withColumn("embedding_text", F.md5("embedding_text"))
 
 
 @query
 def search_batch_filtered(v: Views) -> DataFrame:
     """Limits, thresholds and text filters that differ from request to request."""
-    hits = search.search_batch(_space(v), v.filtered_requests, DIMENSIONS)
+    hits = search.search_batch(_space(v), v.filtered_requests, DIMENSIONS, blocks=False)
+    return hits.select("query_id", "vector_rank", "id", "similarity")
+
+
+@query
+def search_batch_blocks(v: Views) -> DataFrame:
+    """The same requests as search_batch, met with the documents in blocks."""
+    hits = search.search_batch(_space(v), v.requests, DIMENSIONS, blocks=True)
+    return hits.withColumn("embedding_text", F.md5("embedding_text"))
+
+
+@query
+def search_batch_blocks_filtered(v: Views) -> DataFrame:
+    hits = search.search_batch(_space(v), v.filtered_requests, DIMENSIONS, blocks=True)
     return hits.select("query_id", "vector_rank", "id", "similarity")
 
 
+@query
+def search_stored(v: Views) -> DataFrame:
+    """One search over the stored table: one project's folder, then the row groups that hold the winners."""
+    path = scratch_dir(v.spark, "documents")
+    embedded = v.stored_documents.join(v.raw("embeddings").select((F.col("vec_id") + 1).alias("id")), "id", "left_semi")
+    tables.write_code_documents(embedded, path)
+    space = search.with_embedding_space(tables.read_code_documents(v.spark, path), v.models, PROVIDER, MODEL, DIMENSIONS)
+    vector = v.raw("embeddings").filter("vec_id = 3").first()["embedding"]
+    hits = search.search(space, vector, 10, 4)
+    return hits.withColumn("embedding_text", F.md5("embedding_text"))
+
+
 @query
 def best_per_query(v: Views) -> DataFrame:
     """The ten dearest lines of every supplier."""
@@ -603,11 +659,47 @@ def parse_embedding(v: Views) -> DataFrame:
     parsed = wrapped.select(
         "vec_id", replies.parse_embedding(F.col("first"), "Ollama").alias("a"), replies.parse_embedding(F.col("second"), "OpenAI").alias("b")
     )
-    return parsed.select(
-        "vec_id",
-        F.size("a.vector").cast("long").alias("first_size"), F.round(F.col("a.vector")[63].cast("double"), 6).alias("first_last"), F.col("a.error").alias("first_error"),
-        F.size("b.vector").cast("long").alias("second_size"), F.round(F.col("b.vector")[0].cast("double"), 6).alias("second_first"), F.col("b.error").alias("second_error"),
+    x, y = (F.coalesce(F.col(c), F.array().cast("array<float>")) for c in ("a.vector", "b.vector"))
+    both = F.arrays_zip(x.alias("x"), y.alias("y"))
+    cells = parsed.select("vec_id", F.col("a.error").alias("first_error"), F.col("b.error").alias("second_error"), F.posexplode_outer(both).alias("dim", "c"))
+    return cells.select(
+        "vec_id", "first_error", "second_error", "dim",
+        F.round(F.col("c.x").cast("double"), 6).alias("first"), F.round(F.col("c.y").cast("double"), 6).alias("second"),
+    )
+
+
+def _server_replies(v: Views) -> DataFrame:
+    """Whole replies of both kinds of servers made from each event, some broken, blank or without their content."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    grade = F.concat(F.lit('{\\"score\\": '), (user % 14 - 2).cast("string"), F.lit("}"))
+    scored = F.concat(
+        F.lit('{"results": [{"index": 1, "relevance_score": '), (user % 8 / 8.0).cast("string"),
+        F.lit('}, {"index": 0, "relevance_score": 0.125, "document": "x"}]}'),
     )
+    return v.raw("events").select(
+        "event_id",
+        F.when(kind == "view", F.concat(F.lit('{"model": "m", "response": "'), grade, F.lit('"}')))
+        .when(kind == "click", F.lit('{"response": ""}'))
+        .when(kind == "error", F.lit('{"model": "m"}'))
+        .when(kind == "signup", F.lit('{"response": "not json"}'))
+        .otherwise(F.lit(" ")).alias("grader"),
+        F.when(kind == "view", scored)
+        .when(kind == "click", F.lit('{"results": []}'))
+        .when(kind == "error", F.lit('{"results": [{"index": 0}]}'))
+        .when(kind == "signup", F.lit("[oops"))
+        .otherwise(F.lit("")).alias("lister"),
+    )
+
+
+@query
+def parse_grader_reply(v: Views) -> DataFrame:
+    return _server_replies(v).select("event_id", replies.parse_grader_reply(F.col("grader")).alias("g")).select("event_id", "g.score", "g.error")
+
+
+@query
+def parse_ranking(v: Views) -> DataFrame:
+    parsed = _server_replies(v).select("event_id", replies.parse_ranking(F.col("lister")).alias("r"))
+    return parsed.select("event_id", F.col("r.error").alias("error"), F.explode_outer("r.ranking").alias("x")).select("event_id", "error", "x.*")
 
 
 @query
@@ -663,7 +755,7 @@ def _filtered_questions(v: Views) -> DataFrame:
             {
                 "question": F.when(n % 10 != 3, F.col("question")).otherwise(F.lit("  ")),
                 "min_similarity": F.when(n % 7 == 1, n % 3 * 0.75),
-                "kind_operator": F.when(n % 5 == 0, "equals"),
+                "kind_operator": F.when(n % 35 == 0, "not_contains").when(n % 5 == 0, "equals"),
                 "kind_value": F.when(n % 3 == 0, "en").otherwise(F.lit("")),
                 "namespace_operator": F.when(n % 4 == 0, "contains"),
                 "namespace_value": F.when(n % 8 == 0, F.repeat(F.lit("x"), 201)).otherwise(F.lit("src1*")),
@@ -765,10 +857,11 @@ def replace_projects_outcomes(v: Views) -> DataFrame:
 
 
 def _deletion(v: Views) -> projects.Maintenance:
-    """Only poor Spanish texts count as documents, so that most projects have none."""
+    """All documents but poor Spanish texts have moved to one project, so that most projects have none."""
     ids = v.raw("customer").select((F.col("c_nationkey") + 1 + F.col("c_custkey") % 4).cast("long").alias("project_id"))
-    kept = v.documents.filter((F.col("kind") == "es") & (F.col("type_name") == "PoorText"))
-    return projects.delete_projects(v.projects, ids, kept, v.feedback)
+    poor = (F.col("kind") == "es") & F.coalesce(F.col("type_name") == "PoorText", F.lit(False))
+    moved = v.documents.withColumn("project_id", F.when(poor, F.col("project_id")).otherwise(F.lit(25).cast("long")))
+    return projects.delete_projects(v.projects, ids, moved, v.feedback)
 
 
 @query
@@ -799,37 +892,51 @@ class _Streamed(Views):
         return self.spark.readStream.schema(FILES[name]).option("pathGlobFilter", "events.parquet").parquet(self.folder)
 
 
+def _taken_in(v: Views) -> tuple[str, str]:
+    """A feedback table with stored rows, after the stream of submissions has run dry; and the rejected rows."""
+    rejected, checkpoint = (scratch_dir(v.spark, n) for n in ("rejected", "intake"))
+    table = _stored_feedback(v)
+    submissions = _Streamed(v.spark, v.folder).submissions
+    intake.stream_feedback_intake(submissions, v.projects, table, rejected, checkpoint).awaitTermination()
+    return table, rejected
+
+
 @query
 def stream_feedback_intake(v: Views) -> DataFrame:
-    """Accepted and rejected rows after the stream has run dry."""
-    accepted, rejected, checkpoint = (scratch_dir(v.spark, n) for n in ("accepted", "rejected", "intake"))
-    submissions = _Streamed(v.spark, v.folder).submissions
-    intake.stream_feedback_intake(submissions, v.projects, accepted, rejected, checkpoint).awaitTermination()
-    stored = intake.read_intake(v.spark, accepted).select(F.col("id"), "project_id", "question", "username", micros("created_at"), F.lit(None).cast("string").alias("error_code"))
-    refused = v.spark.read.parquet(rejected).select(F.col("submission_id").alias("id"), "project_id", "question", "username", micros("created_at"), "error_code")
+    """Stored, accepted and rejected rows."""
+    table, rejected = _taken_in(v)
+    columns = ("project_id", "question", "username", micros("created_at"))
+    stored = tables.read_feedback(v.spark, table).select("id", *columns, F.lit(None).cast("string").alias("error_code"))
+    refused = v.spark.read.parquet(rejected).select(F.col("submission_id").alias("id"), *columns, "error_code")
     return stored.unionByName(refused)
 
 
+@query
+def weekly_feedback_stats_streamed(v: Views) -> DataFrame:
+    """The report over stored and streamed rows."""
+    table, _ = _taken_in(v)
+    return feedback.weekly_feedback_stats(tables.read_feedback(v.spark, table), v.projects, WINDOW_START, WINDOW_END)
+
+
 @query
 def stream_weekly_counts(v: Views) -> DataFrame:
-    path, checkpoint = scratch_dir(v.spark, "weekly"), scratch_dir(v.spark, "weekly-checkpoint")
-    counts = intake.stream_weekly_counts(_Streamed(v.spark, v.folder).feedback)
-    intake.write_weekly_counts(counts, path, checkpoint).awaitTermination()
+    """The feedback in four files, the newest first, a micro-batch each."""
+    source, path, checkpoint = (scratch_dir(v.spark, n) for n in ("feedback", "weekly", "weekly-checkpoint"))
+    part = F.floor(F.datediff(F.lit(NOW.date()), F.to_date("created_at")) / 8).cast("int")
+    for i in range(4):  # days are dealt out to files by their age
+        v.feedback.filter(part.between(i, i) if i < 3 else part >= 3).coalesce(1).write.parquet(f"{source}/{i}")
+    stream = (
+        v.spark.readStream.schema(v.feedback.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    )
+    intake.write_weekly_counts(intake.stream_weekly_counts(stream), path, checkpoint).awaitTermination()
     return intake.read_weekly_counts(v.spark, path)
 
 
 # --- embedding, reranking, end to end
 
 
-def _tasks(rows: DataFrame) -> int | None:
-    """All cores for a table stored in fewer files than that; else its own splits."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return cores if len(rows.inputFiles()) < cores else None
-
-
 def _embedded(v: Views, embedder: embed.Embedder) -> DataFrame:
-    rows = v.raw("documents").select("doc_id", "text")
-    return embed.embed_table(rows, "text", embedder, tasks=_tasks(rows))
+    return embed.embed_table(v.raw("documents").select("doc_id", "text"), "text", embedder)
 
 
 def _cells(vectors_: DataFrame, key: str, column: str) -> DataFrame:
@@ -893,9 +1000,10 @@ def rerank_listwise(v: Views) -> DataFrame:
 
 @query
 def lexical_grade(v: Views) -> DataFrame:
-    """Every question against the documents that share its id."""
-    pairs = v.raw("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("document")).join(v.raw("conversations"), "conv_id")
-    return pairs.select("conv_id", "turn", rerank.lexical_grade(F.col("text"), F.col("document")).alias("grade"))
+    """Every document against the questions that share its id, if any."""
+    documents = v.raw("documents").select("doc_id", F.col("text").alias("document"))
+    pairs = documents.join(v.raw("conversations"), F.col("conv_id") == F.col("doc_id"), "left")
+    return pairs.select("doc_id", "turn", rerank.lexical_grade(F.col("text"), F.col("document")).alias("grade"))
 
 
 @query
@@ -905,9 +1013,9 @@ def rerank_batch(v: Views) -> DataFrame:
 
 
 def _answers(v: Views) -> plan.Answers:
+    """Every document's whole text is embedded; the given vectors play no part."""
     embedder = embed.HashedTokens(DIMENSIONS)
-    texts = v.documents.drop("embedding")
-    documents = embed.embed_table(texts, "embedding_text", embedder, tasks=_tasks(texts))
+    documents = embed.embed_table(v.documents.drop("embedding"), "embedding_text", embedder)
     return plan.code_search(_filtered_questions(v), v.projects, documents, v.models, embedder, rerank.Pointwise())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.scalars import instant
 from sparkseek.session import configure
+from workload.scratch import workers_find_package
 
 # Both ends cut through a week.
 WINDOW_START = datetime(2024, 1, 3)
@@ -42,6 +43,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = configure(spark), folder
+        workers_find_package(spark)
 
     def raw(self, name: str) -> DataFrame:
         return raw(self.spark, self.folder, name)
@@ -72,11 +74,12 @@ class Views:
 
     @property
     def documents(self) -> DataFrame:
+        """All documents; one without a given vector has none."""
         e, d, l = self.raw("embeddings"), self.raw("documents"), self.raw("labels")
-        joined = e.join(d, F.col("doc_id") == F.col("vec_id")).join(
-            l.select(F.col("doc_id").alias("label_id"), "quality"), F.col("label_id") == F.col("vec_id"), "left"
+        joined = d.join(e, F.col("doc_id") == F.col("vec_id"), "left").join(
+            l.select(F.col("doc_id").alias("label_id"), "quality"), F.col("label_id") == F.col("doc_id"), "left"
         )
-        vec = F.col("vec_id")
+        vec = F.col("doc_id")
         return joined.select(
             (vec + 1).alias("id"),
             F.concat(F.lit("doc-"), vec.cast("string")).alias("document_id"),
@@ -110,7 +113,7 @@ class Views:
             F.lit(None).cast("timestamp").alias("analyzed_at"),
             "embedding_text",
             F.md5("embedding_text").alias("embedding_text_hash"),
-            "embedding",
+            F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), DIMENSIONS)).alias("embedding"),
             F.lit(PROVIDER).alias("embedding_provider"),
             "embedding_dimensions",
             F.lit("{}").alias("metadata"),
@@ -207,18 +210,19 @@ SQL = {
         SELECT CAST(1 AS BIGINT) AS id, 'Local' AS provider, 'hash-64' AS model, 64 AS dimensions, TRUE AS normalized
         UNION ALL SELECT CAST(2 AS BIGINT), 'OpenAI', 'other-64', 64, TRUE""",
     "docs": """
-        SELECT e.vec_id + 1 AS id, 'doc-' || CAST(e.vec_id AS VARCHAR) AS document_id,
+        SELECT d.doc_id + 1 AS id, 'doc-' || CAST(d.doc_id AS VARCHAR) AS document_id,
                CAST(CASE WHEN e.label < 2 THEN 2 ELSE 1 END AS BIGINT) AS embedding_model_id,
-               1 + e.vec_id % 20 AS project_id, d.lang AS kind,
-               CASE WHEN e.vec_id % 7 <> 0 THEN d.source END AS namespace,
+               1 + d.doc_id % 20 AS project_id, d.lang AS kind,
+               CASE WHEN d.doc_id % 7 <> 0 THEN d.source END AS namespace,
                CASE l.quality WHEN 1 THEN 'GoodText' WHEN 0 THEN 'PoorText' END AS type_name,
-               CASE WHEN e.vec_id % 11 <> 0 THEN 'src/' || d.lang || '/' || CAST(d.doc_id AS VARCHAR) END AS source_file,
+               CASE WHEN d.doc_id % 11 <> 0 THEN 'src/' || d.lang || '/' || CAST(d.doc_id AS VARCHAR) END AS source_file,
                CAST(NULL AS VARCHAR) AS member,
                d.text AS embedding_text, e.embedding, 64 AS embedding_dimensions
-        FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id""",
-    "space": """
+        FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "text_space": """
         SELECT docs.* FROM docs JOIN models m ON m.id = docs.embedding_model_id
         WHERE m.provider = 'Local' AND m.model = 'hash-64' AND m.dimensions = 64""",
+    "space": "SELECT * FROM text_space WHERE embedding IS NOT NULL",
     "feedback": """
         SELECT event_id + 1 AS id, 1 + user_id % 20 AS project_id, 'about ' || event_type AS question,
                event_type IN ('purchase', 'click') AS useful, [value / 500, value / 1000] AS similarities,
@@ -279,7 +283,8 @@ SQL = {
 }
 
 _NEEDS = {
-    "space": ["docs", "models"],
+    "text_space": ["docs", "models"],
+    "space": ["text_space"],
     "pairs": ["requests", "space"],
     "ranked": ["pairs"],
     "inside": ["feedback"],
