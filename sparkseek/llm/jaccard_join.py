@@ -222,8 +222,9 @@ def jaccard_groups(
         texts.mapInArrow(_prefixes(words, percent, table), "doc_id long, tokens array<long>")
         .withColumnRenamed("doc_id", "class_id")
         .join(members.join(sizes, "group"), "class_id")
+        .dropDuplicates(["class_id"])
         .select("class_id", "n", "group", "members", F.explode("tokens").alias("token"))
-        .dropDuplicates(["token", "class_id"])
+        .repartition("token")  # once, for the matrix and for the join with it
     )
     matrix = (
         prefix.groupBy("token", "group", "members")
