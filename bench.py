@@ -21,7 +21,11 @@ HEADLINE = [
     "search_by_expression",
     "search_batch",
     "search_batch_filtered",
+    "search_batch_blocks",
+    "search_batch_blocks_filtered",
+    "search_stored",
     "weekly_feedback_stats",
+    "weekly_feedback_stats_stored",
     "nest_weeks",
     "export_rows",
     "export_feedback_csv",
@@ -53,9 +57,10 @@ def clock(make: Callable[[], DataFrame]) -> float:
     return round(time.perf_counter() - began, 3)
 
 
-def few_requests(views: Views, n: int) -> DataFrame:
-    space = with_embedding_space(views.documents, views.models, PROVIDER, MODEL, DIMENSIONS)
-    return search_batch(space, views.requests.orderBy("query_id").limit(n), DIMENSIONS)
+def few_requests(views: Views, n: int, blocks: bool) -> DataFrame:
+    embedded = views.documents.filter("embedding IS NOT NULL")
+    space = with_embedding_space(embedded, views.models, PROVIDER, MODEL, DIMENSIONS)
+    return search_batch(space, views.requests.orderBy("query_id").limit(n), DIMENSIONS, blocks)
 
 
 def main() -> None:
@@ -75,7 +80,8 @@ def main() -> None:
     run(spark.range(1000).mapInArrow(lambda batches: batches, "id long"))
     timed = {name: (lambda name=name: QUERIES[name](spark, folder)) for name in HEADLINE}
     for n in BATCHES:
-        timed[f"search_batch_{n}_requests"] = lambda n=n: few_requests(Views(spark, folder), n)
+        for name, blocks in (("requests", False), ("requests_in_blocks", True)):
+            timed[f"search_batch_{n}_{name}"] = lambda n=n, blocks=blocks: few_requests(Views(spark, folder), n, blocks)
     seconds, first = {}, {}
     for name, make in timed.items():
         first[name] = clock(make)

@@ -4,58 +4,56 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.sources.schemas import TABLES
 
+NOT_NULL, KEY, REFERENCE = "not null", "key", "reference"
+
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, constraint, key, violations) for every broken rule of the given tables.
 
     Duplicates and orphans are listed by key; missing values by column. Columns
-    absent from a table are not checked.
+    absent from a table are not checked. Each table is read once: a row gives what its rules look at, and that is
+    counted within each task before it is moved, so a key with very many rows is no more work than others.
     """
-    found: list[DataFrame] = []
-    for name, rows in tables.items():
-        declared = TABLES[name]
-        for kind, key in [("primary key", declared.primary_key), *(("unique", u) for u in declared.unique)]:
-            if set(key) <= set(rows.columns):
-                found.append(_duplicates(name, kind, rows, key))
-        required = [c for c in declared.required if c in rows.columns]
-        found.append(_missing(name, rows, required))
-        for column, parent in declared.foreign_keys.items():
-            if column in rows.columns and parent in tables:
-                found.append(_orphans(name, rows, column, tables[parent]))
-    return reduce(DataFrame.unionByName, found)
-
-
-def _report(rows: DataFrame, table: str, constraint, key, count) -> DataFrame:
-    return rows.select(
-        F.lit(table).alias("table"),
-        constraint.alias("constraint"),
-        key.cast("string").alias("key"),
-        count.alias("violations"),
+    return reduce(DataFrame.unionByName, [_violations(name, rows, tables) for name, rows in tables.items()])
+
+
+def _violations(name: str, rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    declared = TABLES[name]
+    entries: list[Column] = []
+    for kind, key in [("primary key", declared.primary_key), *(("unique", u) for u in declared.unique)]:
+        if set(key) <= set(rows.columns):
+            text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+            whole = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+            entries.append(_entry(KEY, f"{kind} ({', '.join(key)})", text, whole))
+    for column in declared.required:
+        if column in rows.columns:
+            entries.append(_entry(NOT_NULL, NOT_NULL, F.when(F.col(column).isNull(), F.lit(column))))
+    parents: list[DataFrame] = []
+    for column, parent in declared.foreign_keys.items():
+        if column in rows.columns and parent in tables:
+            rule = f"foreign key ({column})"
+            entries.append(_entry(REFERENCE, rule, F.col(column).cast("string")))
+            parents.append(tables[parent].select(F.lit(rule).alias("constraint"), F.col("id").cast("string").alias("whole")))
+
+    seen = rows.select(F.explode(F.filter(F.array(*entries), lambda e: e["whole"].isNotNull())).alias("e")).select("e.*")
+    counts = seen.groupBy("kind", "constraint", "whole").agg(F.min("key").alias("key"), F.count("*").alias("violations"))
+    broken = counts.filter((F.col("kind") == NOT_NULL) | ((F.col("kind") == KEY) & (F.col("violations") > 1)))
+    if parents:
+        known = reduce(DataFrame.unionAll, parents).withColumn("_known", F.lit(True)).distinct()
+        marked = counts.join(known, ["constraint", "whole"], "left")
+        repeated = (F.col("kind") == KEY) & (F.col("violations") > 1)
+        orphaned = (F.col("kind") == REFERENCE) & F.col("_known").isNull()
+        broken = marked.filter((F.col("kind") == NOT_NULL) | repeated | orphaned)
+    return broken.select(F.lit(name).alias("table"), "constraint", "key", "violations")
+
+
+def _entry(kind: str, rule: str, key: Column, whole: Column | None = None) -> Column:
+    """What one rule looks at in a row; a null ``whole`` is nothing to look at."""
+    return F.struct(
+        F.lit(kind).alias("kind"), F.lit(rule).alias("constraint"), key.alias("key"), (key if whole is None else whole).alias("whole")
     )
-
-
-def _duplicates(table: str, kind: str, rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    repeated = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-    return _report(repeated, table, F.lit(f"{kind} ({', '.join(key)})"), text, F.col("_n"))
-
-
-def _missing(table: str, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One scan for all columns; each task sends a single row of counts."""
-    counts = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns])
-    exploded = counts.select(F.explode(pairs).alias("_c")).filter("_c.n > 0")
-    return _report(exploded, table, F.lit("not null"), F.col("_c.column"), F.col("_c.n"))
-
-
-def _orphans(table: str, rows: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """Counted per key before the join, so a key with many rows is one row in it."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    known = parent.select(F.col("id").alias(column))
-    orphaned = counts.join(known, column, "left_anti")
-    return _report(orphaned, table, F.lit(f"foreign key ({column})"), F.col(column), F.col("_n"))
