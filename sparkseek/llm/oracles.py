@@ -47,4 +47,19 @@ SELECT doc_id, size, CASE WHEN s <> '' THEN substr(s, 2) END AS source, source_s
 FROM taken
 """
 
-ORACLES = {"op6_source_mix": OP6}
+# Every control string of a text costs one backslash; the rest of a turn is 37 characters, its role and its text.
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(37 + length(role) + length(text)
+                + len(regexp_extract_all(role || ' ' || text, '</?s>|\[/?(?:ROLE|INST)\]'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLES = {"op6_source_mix": OP6, "op8_chat_format": OP8.replace("\\\\", "\\")}

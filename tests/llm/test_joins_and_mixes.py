@@ -199,3 +199,27 @@ def test_pipeline_keeps_what_it_should(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "source_mix", "token_files"]
     written = corpus_pipeline.write_tokens(spark, mixed, FOLDER).collect()
     assert len(written) == mixed.count() and sum(r["start"] == 0 for r in written) == 1
+
+
+def test_stages_take_odd_rows_and_other_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "row", "copies", "slot", "token", "hash", "secrets"]
+    extra = (1, 2, 3, 4, 5, 6, 7)
+    english, german = "the of and that is in thing", "der und die das nicht mit zu"
+    rows = [
+        (1, english, "en", "a", None, *extra), (1, english, "en", "a", None, *extra), (2, None, None, None, None, *extra),
+        (3, "", "en", None, 0, *extra), (4, german, "de", None, 3, *extra), (None, english, "en", "b", 3, *extra),
+        (6, " ".join([german] * 9000), "de", "b", 3, *extra), (7, "12 %", None, "b", 3, *extra),
+    ]
+    kinds = ["long", "string", "string", "string", "long", *["int"] * 7]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    docs = spark.createDataFrame(rows, schema)
+    for start in (docs, docs.limit(0)):
+        known = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            known = stage(spark, known, FOLDER)
+            assert known.columns == names, name
+            assert {tuple(r)[5:] for r in known.collect()} <= {extra}
+        written = corpus_pipeline.write_tokens(spark, known, FOLDER)
+        assert written.count() == known.count()
+    kept = corpus_pipeline.identify_languages(spark, docs, FOLDER)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 4, 6]
