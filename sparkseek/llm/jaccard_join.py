@@ -3,14 +3,15 @@
 The sets of texts are joined exactly, without a pair for each two copies:
 
 1. Texts of the same set become one class, represented by the smallest id.
-2. Classes that share one of their smallest shingles are compared with one representative of that
-   bucket. Verified links give *groups* of similar classes; a class without one is a group.
-3. The token-group matrix holds, for each group, the union of its members' rarest shingles (one row a
-   shingle and group). A class whose overlap with a group's union is below what a linked member would
-   force is not compared with that group. The bound is the prefix one: of two sets that overlap in at
-   least `o` shingles, the first `n - o + t` in any common order share at least `t`.
-4. Only groups that reach the bound are opened: the class is compared with the members of fitting size.
-   Members of one group are linked already and are never compared with each other.
+2. Classes that share one of their smallest shingles form a *group* about one of them, its leader, divided into parts of
+   bounded size. A class is also compared with its leaders; those links give first components.
+3. The token-group matrix holds, for each part of a group, the union of its members' rarest shingles (one row a shingle
+   and part). A class whose overlap with a part's union is below what a linked member would
+   force is not compared with that part. The bound is the prefix one: of two sets that overlap in at
+   least `o` shingles, the first `n - o + t` in any common order share at least `t`. Neither is a class compared with a
+   part that lies wholly in its own component.
+4. Only parts that reach the bound are opened: a part of few members by pairs, a larger one in one task
+   that counts the overlaps of all its members with a share of the classes that opened it.
 
 The common order puts shingles that recur within a task's share of the texts last, read from a table
 of fixed size; the order decides how much is compared, never what is found.
@@ -36,8 +37,13 @@ ORDER_SLOTS = 1 << 22
 COUNTED_AT_ONCE = 4_000_000
 #: The overlap that a class must show with a group's union, over the bound's own prefix.
 PREFIX_OVERLAP = 3
-#: Smallest shingles of a class by which it meets representatives.
+#: Smallest shingles of a class by which it meets leaders.
 SMALLEST = 4
+#: Members of a part of a group, and classes that meet a part in one task.
+PART_MEMBERS = 128
+PART_QUERIES = 512
+#: Up to so many members, a part is opened by pairs.
+FEW = 8
 
 SCAN_SCHEMA = "doc_id long, n int, f long, g long, low array<long>, token long, times int"
 DOC = pa.schema(
@@ -154,15 +160,17 @@ def _similar(percent: int):
     return run
 
 
+def _whole_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, tokens) of the texts with these ids, and some others. Only their texts leave the scan."""
+    bits = texts.sparkSession.sparkContext.broadcast(key_slots(ids, "doc_id"))
+    marked = texts.withColumn("slot", slot_of(F.col("doc_id"), FILTER_SLOTS))
+    return marked.mapInArrow(_sets(words, bits), "doc_id long, tokens binary")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by the whole sets. Only their texts are moved."""
-    spark = texts.sparkSession
-    bits = spark.sparkContext.broadcast(
-        key_slots(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id")
-    )
-    sets = texts.withColumn("slot", slot_of(F.col("doc_id"), FILTER_SLOTS)).mapInArrow(
-        _sets(words, bits), "doc_id long, tokens binary"
-    )
+    """The pairs (a, b) whose sets are similar enough, by the whole sets."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))
+    sets = _whole_sets(texts, ids, words)
     return (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
@@ -171,6 +179,51 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
     )
 
 
+def _open_part(percent: int):
+    """One link from each class to each component among a part's members that it is similar enough to."""
+
+    def run(asked: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if asked.num_rows and members.num_rows:
+            sets = [np.frombuffer(t.as_buffer(), U64) for t in members["tokens"]]
+            sizes = np.array([len(x) for x in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            theirs = members["component"].to_numpy()
+            for own, binary in zip(asked["component"].to_pylist(), asked["tokens"], strict=True):
+                mine = np.frombuffer(binary.as_buffer(), U64)
+                low, high = np.searchsorted(tokens, mine), np.searchsorted(tokens, mine, side="right")
+                count = high - low
+                places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                both = np.bincount(owner[places], minlength=len(sets))
+                similar = 100 * both >= percent * (len(mine) + sizes - both)
+                found += [(own, int(c)) for c in np.unique(theirs[similar]) if c != own]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _opened_whole(texts: DataFrame, asked: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from parts that are opened in one task each.
+
+    A part that very many classes open is met by shares of them, each with the part's members.
+    """
+    shares = asked.groupBy("group", "part").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("class_id"), "shares").cast("int").alias("share")
+    mine = asked.join(shares, ["group", "part"]).select("class_id", "component", "group", "part", share)
+    theirs = placed.join(shares, ["group", "part"]).select(
+        "class_id", "component", "group", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    )
+    mine, theirs = cut(mine), cut(theirs)
+    ids = mine.select(F.col("class_id").alias("doc_id")).unionAll(theirs.select("class_id"))
+    sets = _whole_sets(texts, ids, words).withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
+    keys = ["group", "part", "share"]
+    shown = [*keys, "component", "tokens"]
+    sides = [side.join(sets, "class_id").select(*[F.col(c).alias(c) for c in shown]).groupBy(*keys) for side in (mine, theirs)]
+    return sides[0].cogroup(sides[1]).applyInArrow(_open_part(percent), "a long, b long")
+
+
 def jaccard_groups(
     documents: DataFrame, words: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -197,7 +250,7 @@ def jaccard_groups(
     )
     classes = cut(first)
 
-    # 2. Groups by verified links to representatives.
+    # 2. Groups about leaders, and components by verified links with them.
     bucket = classes.select("class_id", "n", "low", F.posexplode("low").alias("place", "token"))
     leader = bucket.groupBy("place", "token").agg(
         F.min_by(F.struct("class_id", "n", "low"), F.xxhash64("class_id", "place")).alias("to"),
@@ -208,47 +261,65 @@ def jaccard_groups(
         .filter("class_id <> to.class_id")
         .filter(F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * percent)
         .filter(F.size(F.array_intersect("low", "to.low")) >= F.least(F.lit(2), F.size("low"), F.size("to.low")))
-        .select(F.least("class_id", "to.class_id").alias("a"), F.greatest("class_id", "to.class_id").alias("b"))
+        .select("class_id", F.col("to.class_id").alias("leader"))
         .distinct()
     )
-    links = cut(_verified(texts, cut(near), words, percent))
-    linked = components(links).withColumnRenamed("id", "class_id").withColumnRenamed("component", "group")
-    members = classes.select("class_id", "n").join(linked, "class_id", "left")
-    members = cut(members.select("class_id", "n", F.coalesce("group", "class_id").alias("group")))
+    near = cut(near)
+    a_pair = (F.least("class_id", "leader").alias("a"), F.greatest("class_id", "leader").alias("b"))
+    links = cut(_verified(texts, near.select(*a_pair).distinct(), words, percent))
+    linked = components(links).withColumnRenamed("id", "class_id")
+    led = near.groupBy("class_id").agg(F.min("leader").alias("group"))
+    led = led.unionAll(led.select(F.col("group"), F.col("group")).distinct()).groupBy("class_id").agg(F.min("group").alias("group"))
+    members = classes.select("class_id", "n").join(linked, "class_id", "left").join(led, "class_id", "left")
+    members = members.select(
+        "class_id", "n", F.coalesce("component", "class_id").alias("component"), F.coalesce("group", "class_id").alias("group")
+    )
+    members = cut(members)
+    parts = members.groupBy("group").agg(F.ceil(F.count("*") / PART_MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part")
+    placed = cut(members.join(parts, "group").select("class_id", "n", "component", "group", part))
 
-    # 3. The token-group matrix and the groups whose union reaches the bound.
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
+    # 3. The token-group matrix and the parts whose union reaches the bound. Of two sets, the smaller one asks.
     prefix = (
         texts.mapInArrow(_prefixes(words, percent, table), "doc_id long, tokens array<long>")
         .withColumnRenamed("doc_id", "class_id")
-        .join(members.join(sizes, "group"), "class_id")
+        .join(placed, "class_id")
         .dropDuplicates(["class_id"])
-        .select("class_id", "n", "group", "members", F.explode("tokens").alias("token"))
+        .select("class_id", "n", "component", "group", "part", F.explode("tokens").alias("token"))
         .repartition("token")  # once, for the matrix and for the join with it
     )
-    matrix = (
-        prefix.groupBy("token", "group", "members")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        .select("token", F.col("group").alias("other"), F.col("members").alias("others"), "least", "most")
+    matrix = prefix.groupBy("token", "group", "part").agg(
+        F.min("n").alias("least"),
+        F.max(F.struct("n", "class_id")).alias("most"),
+        F.min("component").alias("first"),
+        F.max("component").alias("last"),
     )
     opened = (
-        prefix.join(matrix, "token")
-        .filter("struct(members, group) < struct(others, other)")
-        .filter(f"n * 100 >= least * {percent} and most * 100 >= n * {percent}")
-        .groupBy("class_id", "n", "other")
+        prefix.drop("group", "part")
+        .join(matrix, "token")
+        .filter("struct(n, class_id) < most and not (first = component and last = component)")
+        .filter(f"n * 100 >= least * {percent}")
+        .groupBy("class_id", "n", "component", "group", "part")
         .agg(F.count("*").alias("overlap"))
         .filter(F.col("overlap") >= F.least(F.lit(PREFIX_OVERLAP), F.ceil(F.col("n") * percent / 100)))
     )
+    held = placed.groupBy("group", "part").agg(F.count("*").alias("held"))
+    opened = cut(opened.join(held, ["group", "part"]))
 
-    # 4. Qualifying groups are opened.
+    # 4. Qualifying parts are opened.
+    others = placed.select("group", "part", F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     pairs = (
-        opened.join(members.select("group", F.col("class_id").alias("b"), F.col("n").alias("m")), opened.other == F.col("group"))
-        .filter(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
+        opened.filter(F.col("held") <= FEW)
+        .join(others, ["group", "part"])
+        .filter("component <> other and struct(n, class_id) < struct(m, b)")
+        .filter(f"n * 100 >= m * {percent}")
         .select(F.col("class_id").alias("a"), "b")
     )
-    across = _verified(texts, cut(pairs), words, percent)
-    every = cut(across).unionAll(members.select(F.col("class_id").alias("a"), F.col("group").alias("b")))
-    found = components(every).withColumnRenamed("id", "class_id").withColumnRenamed("component", "component_id")
+    few = cut(_verified(texts, cut(pairs), words, percent))
+    many = cut(_opened_whole(texts, opened.filter(F.col("held") > FEW), placed, words, percent))
+    own = members.select(F.col("class_id").alias("a"), F.col("component").alias("b"))
+    found = components(own.unionAll(few).unionAll(many))
+    found = found.withColumnRenamed("id", "class_id").withColumnRenamed("component", "component_id")
 
     named = classes.select("n", "f", "g", "class_id").join(found, "class_id")
     return rows.join(named, ["n", "f", "g"], "left").select(
