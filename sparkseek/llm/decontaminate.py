@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import FILTER_SLOTS, cut, passing
+from sparkseek.llm.shared import FILTER_SLOTS, cut, passing, small_batches
 from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, shingle_hashes, span_hashes, word_spans
 
 #: Words of a window.
@@ -186,7 +186,7 @@ def find_contamination(
     a document that consists of it. Rows with a null id are left out; rows that repeat an id are taken
     together. Other columns are ignored; without documents or items there are no rows.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     items = benchmark.filter(F.col(item_column).isNotNull()).select(
         F.col(item_column).cast("long").alias("id"), F.col(item_text_column).alias("text")
     )

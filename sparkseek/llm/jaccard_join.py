@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, slot_of
+from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, slot_of, small_batches
 from sparkseek.llm.words import U64, mix, pieces, shingle_sets
 
 #: Entries of the table that orders shingles; a byte each, broadcast once.
@@ -237,7 +237,7 @@ def jaccard_groups(
     texts agree. Rows with a null id are returned with null class and component. Other columns are ignored.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     scan = cut(texts.mapInArrow(_scan(words), SCAN_SCHEMA))
     rows = scan.filter("token is null").select("doc_id", "n", "f", "g", "low")
     table = spark.sparkContext.broadcast(_order_table(scan))

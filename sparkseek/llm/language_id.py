@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkseek.llm.shared import small_batches
 from sparkseek.llm.words import flat, pieces
 
 UNKNOWN = "und"
@@ -133,7 +134,7 @@ def fit(
     A language is a non-null value of lang_column. Only n-gram counts of each language and mean weights of
     each sampled text reach the driver.
     """
-    chosen = sample(labelled, id_column, text_column, lang_column, per_language)
+    chosen = sample(small_batches(labelled), id_column, text_column, lang_column, per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -236,7 +237,7 @@ def identify(
     A null text, one without letters, and any text when nothing was learned is `und` with score 0, and not
     ambiguous. Given columns of those names are replaced.
     """
-    share = documents.sparkSession.sparkContext.broadcast(codes)
+    share = small_batches(documents).sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = share.value

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.llm.shared import small_batches
 from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, span_hashes, word_spans
 
 #: Entries of the tables of words and of word pairs; a document's start counts as a word before the first.
@@ -35,9 +36,10 @@ TURN = U64(0xD6E8FEB86659FD93)
 
 @dataclass
 class MatchedModels:
-    """Counts by slot, words first, then pairs: (target, background), matched to the same total."""
+    """Counts by slot, words first, then pairs: (target, background), matched to the same total; and of documents."""
 
     counts: np.ndarray
+    starts: tuple[float, float] = (0.0, 0.0)
 
     def losses(self, words: np.ndarray, befores: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """The loss of each word under both models, (2, words)."""
@@ -50,8 +52,6 @@ class MatchedModels:
             out[model] = -np.log((both + PAIR_SMOOTHING * alone) / (np.maximum(context, both) + PAIR_SMOOTHING))
         return out
 
-    starts: tuple[float, float] = (0.0, 0.0)
-
 
 def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word: its slot, the slot of the word before (-1 at a start), the pair's slot; and where texts begin."""
@@ -68,42 +68,32 @@ def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return (hashes % U64(WORD_SLOTS)).astype(np.int64), befores, pairs.astype(np.int64), firsts
 
 
-def fit(documents: DataFrame, target: str, text_column: str = "text") -> MatchedModels:
-    """Both models from all documents: the target's from rows where the column `target` is true, the background's from all.
-
-    Null texts and null targets count as empty and false.
-    """
+def _counted(documents: DataFrame, text_column: str) -> np.ndarray:
+    """The counts of all slots in all documents, and of the documents with a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, SLOTS + 1), np.int64)
+        totals = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             for piece in pieces(batch):
                 words, _, pairs, firsts = slots(piece.column("text"))
-                wanted = piece.column("target").fill_null(False).to_numpy(zero_copy_only=False)
-                of_word = np.repeat(wanted, np.diff(firsts))
-                texts = np.diff(firsts) > 0
-                for model, chosen in ((0, of_word), (1, slice(None))):
-                    totals[model, :WORD_SLOTS] += np.bincount(words[chosen], minlength=WORD_SLOTS)
-                    totals[model, WORD_SLOTS:SLOTS] += np.bincount(pairs[chosen], minlength=PAIR_SLOTS)
-                totals[:, SLOTS] += [(texts & wanted).sum(), texts.sum()]
-        at = np.flatnonzero(totals[1])
+                totals[:WORD_SLOTS] += np.bincount(words, minlength=WORD_SLOTS)
+                totals[WORD_SLOTS:SLOTS] += np.bincount(pairs, minlength=PAIR_SLOTS)
+                totals[SLOTS] += int((np.diff(firsts) > 0).sum())
+        at = np.flatnonzero(totals)
         for first in range(0, len(at), 100_000):
             some = at[first : first + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array(totals[0][some]), pa.array(totals[1][some])],
-                names=["slot", "target", "background"],
-            )
-
-    rows = documents.select(F.col(text_column).alias("text"), F.col(target).cast("boolean").alias("target"))
-    found = (
-        rows.mapInArrow(count, "slot int, target long, background long")
-        .groupBy("slot")
-        .agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-        .toArrow()
-    )
-    at = found.column("slot").to_numpy()
-    counts = np.zeros((2, SLOTS + 1))
-    counts[0, at], counts[1, at] = found.column("target").to_numpy(), found.column("background").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["slot", "n"])
+
+    rows = small_batches(documents).select(F.col(text_column).alias("text"))
+    found = rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS + 1)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def fit(target: DataFrame, background: DataFrame, text_column: str = "text") -> MatchedModels:
+    """Both models, each from all documents of its corpus. Null texts count as empty."""
+    counts = np.stack([_counted(corpus, text_column) for corpus in (target, background)])
     # Matched: as if both models had seen as many words.
     words = counts[:, :WORD_SLOTS].sum(axis=1)
     if words[1]:
@@ -117,7 +107,7 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     A null or empty text, or one without words, has 0 words and null losses. Texts of any length are scored
     whole. When nothing was counted, all words are as likely and the difference is 0.
     """
-    share = documents.sparkSession.sparkContext.broadcast(models)
+    share = small_batches(documents).sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = share.value

@@ -19,7 +19,7 @@ from sparkseek.llm import (
     site_quality,
     token_files,
 )
-from sparkseek.llm.shared import new_folder, with_membership
+from sparkseek.llm.shared import new_folder, with_ids
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """The target are the documents labelled good and harmless, the background all documents."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     good = table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    models = lm_scoring.fit(with_membership(documents, good, "doc_id", "target"), "target")
+    models = lm_scoring.fit(with_ids(documents, good, "doc_id"), documents)
     return lm_scoring.score(documents, models)
 
 

@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slots of a key filter: 2**22 bits are half a megabyte in every task, whatever the number of keys.
 FILTER_SLOTS = 1 << 22
+#: Rows of text that a Python worker is handed at once.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,17 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands at most BATCH_ROWS rows at once to Python workers.
+
+    Texts are long: the usual 10,000 rows would be some tens of MB, several times over in each worker.
+    """
+    conf = frame.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -89,26 +102,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def with_membership(documents: DataFrame, ids: DataFrame, id_column: str, name: str) -> DataFrame:
-    """The documents with a boolean column, true if the id is among `ids` (a column of the same name); null never is.
-
-    Most rows are let through by a filter of fixed size; only those that it holds back are moved to be joined.
-    """
-    bits = documents.sparkSession.sparkContext.broadcast(key_slots(ids, id_column))
+def _marked(documents: DataFrame, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with `_held`, true where a filter of fixed size holds the id back, and the distinct ids."""
+    bits = small_batches(documents).sparkSession.sparkContext.broadcast(key_slots(ids, id_column))
 
-    @F.pandas_udf("boolean")
-    def held_back(slots: pd.Series) -> pd.Series:
-        return pd.Series(passing(bits.value, slots.to_numpy()))
+    @F.arrow_udf("boolean")
+    def held_back(slots: pa.Array) -> pa.Array:
+        return pa.array(passing(bits.value, slots.to_numpy(zero_copy_only=False)))
 
     key = F.col(f"`{id_column}`").cast("long")
-    marked = documents.withColumn(name, key.isNotNull() & held_back(slot_of(F.coalesce(key, F.lit(0)))))
-    listed = ids.select(F.col(id_column).cast("long").alias("_listed")).distinct()
-    held = marked.filter(F.col(name)).drop(name)
-    joined = held.withColumn("_key", key).join(listed, F.col("_key") == F.col("_listed"), "left")
-    joined = joined.withColumn(name, F.col("_listed").isNotNull()).drop("_key", "_listed")
-    return marked.filter(~F.col(name)).unionByName(joined)
+    held = key.isNotNull() & held_back(slot_of(F.coalesce(key, F.lit(0))))
+    listed = ids.select(F.col(id_column).cast("long").alias("_listed")).filter("_listed is not null").distinct()
+    return documents.withColumn("_held", held), listed
+
+
+def with_ids(documents: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """The documents whose id is among `ids` (a column of the same name). Only those, and a few more, are moved."""
+    marked, listed = _marked(documents, ids, id_column)
+    held = marked.filter("_held").drop("_held")
+    return held.join(listed, held[id_column].cast("long") == listed["_listed"], "left_semi")
 
 
 def without_ids(documents: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
-    """The documents whose id is not among `ids` (a column of the same name), null ids included."""
-    return with_membership(documents, ids, id_column, "_listed_id").filter("not _listed_id").drop("_listed_id")
+    """The documents whose id is not among `ids` (a column of the same name), null ids included.
+
+    Most rows are let through by the filter; only those that it holds back are moved to be joined.
+    """
+    marked, listed = _marked(documents, ids, id_column)
+    held = marked.filter("_held").drop("_held")
+    kept = held.join(listed, held[id_column].cast("long") == listed["_listed"], "left_anti")
+    return marked.filter("not _held").drop("_held").unionByName(kept)

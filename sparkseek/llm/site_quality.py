@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import cut
+from sparkseek.llm.shared import cut, small_batches
 from sparkseek.llm.words import LOWER, U64, flat, pieces, span_hashes, word_spans
 
 #: Bytes of the beginnings of longer words, which count as words of their own.
@@ -257,7 +257,7 @@ def judge(
     one. A null, empty or unreadable text has only its site's evidence. Without labels of both values, texts
     give no evidence. Repeated rows are separate documents. Other columns are ignored.
     """
-    rows = documents.select(
+    rows = small_batches(documents).select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; bounds a task's memory. A longer text is taken alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 U64 = np.uint64
 

@@ -40,8 +40,7 @@ def test_components_of_random_graphs(few_partitions, seed):
 def test_membership_is_exact_whatever_the_filter_lets_through(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
     ids = spark.createDataFrame([(2,), (2,), (9,), (None,)], "doc_id long")
-    found = shared.with_membership(rows, ids, "doc_id", "listed")
-    assert sorted(tuples(found.select("text", "listed"))) == [("a", False), ("b", True), ("c", True), ("d", False)]
+    assert sorted(tuples(shared.with_ids(rows, ids, "doc_id").select("text"))) == [("b",), ("c",)]
     assert sorted(tuples(shared.without_ids(rows, ids, "doc_id").select("text"))) == [("a",), ("d",)]
 
 
@@ -75,6 +74,25 @@ def test_components_equal_those_of_all_pairs(few_partitions, seed, words, percen
     assert {i: r["n_shingles"] for i, r in found.items()} == {i: len(plain.shingles(t, words)) for i, t in texts.items()}
 
 
+def test_a_large_group_is_opened_in_parts(few_partitions, monkeypatch):
+    """One text with few or many words changed each time: hardly any copy is similar enough to the leader."""
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    monkeypatch.setattr(jaccard_join, "PART_MEMBERS", 7)
+    monkeypatch.setattr(jaccard_join, "PART_QUERIES", 5)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    texts = {}
+    for i in range(70):
+        words = list(base) if i % 3 else texts[rng.randrange(i)].split(" ") if i else list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        texts[i] = " ".join(words)
+    documents = few_partitions.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(documents, 3, 90).collect()}
+    expected = plain.linked(texts, 3, 90)
+    assert found == expected and 5 < len(set(expected.values())) < 60
+
+
 def test_empty_and_null_ids(few_partitions):
     empty = few_partitions.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_groups(empty).count() == 0

@@ -78,7 +78,8 @@ def test_a_text_between_two_languages_is_ambiguous():
 def test_losses_equal_plain_counts(spark):
     rows = [(1, "a b a b", True), (2, "a c", False), (3, None, True), (4, "", False), (5, "B a", None), (5, "zz a c", True)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean").withColumn("target", F.lit(1))
-    found = {(r[0], r[1]): r for r in tuples(lm_scoring.score(documents, lm_scoring.fit(documents, "wanted")))}
+    fitted = lm_scoring.fit(documents.filter("wanted"), documents)
+    found = {(r[0], r[1]): r for r in tuples(lm_scoring.score(documents, fitted))}
 
     def model(texts, scale=1.0):
         alone, both, starts = {}, {}, 0
@@ -117,10 +118,10 @@ def test_losses_equal_plain_counts(spark):
 def test_a_text_of_the_target_loses_less_under_it(spark):
     rows = [(i, "red green blue red green", True) for i in range(20)] + [(100 + i, "one two three one two", False) for i in range(20)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean")
-    found = {r["doc_id"]: r["difference"] for r in lm_scoring.score(documents, lm_scoring.fit(documents, "wanted")).collect()}
+    found = {r["doc_id"]: r["difference"] for r in lm_scoring.score(documents, lm_scoring.fit(documents.filter("wanted"), documents)).collect()}
     assert found[0] < 0 < found[100]
     empty = documents.limit(0)
-    assert lm_scoring.score(empty, lm_scoring.fit(empty, "wanted")).count() == 0
+    assert lm_scoring.score(empty, lm_scoring.fit(empty, empty)).count() == 0
 
 
 # Templates
