@@ -40,7 +40,7 @@ PREFIX_OVERLAP = 3
 #: Smallest shingles of a class by which it meets leaders.
 SMALLEST = 4
 #: Members of a part of a group, and classes that meet a part in one task.
-PART_MEMBERS = 128
+PART_MEMBERS = 512
 PART_QUERIES = 512
 #: Up to so many members, a part is opened by pairs.
 FEW = 8
