@@ -1,13 +1,15 @@
 """Cross-entropy difference of documents under two matched language models.
 
 A target and a background model, both bigram models with Dirichlet smoothing towards their
-unigrams, share one vocabulary: words and word pairs are hashed into tables of fixed size, the same for
-both. The background's counts are scaled to the target's total, so that smoothing weighs the same in both.
-A document's score is the mean over its words of the loss under the target model less the loss under
-the background model, in nats: below zero, the document is more like the target.
-
-All words of all documents are counted, within each task before anything is moved. What reaches the driver and
-every task is the two tables: some 30 MB of counts and 10 MB of them, whatever the corpus.
+unigrams, share one vocabulary of 64-bit word hashes. The background's counts are scaled to the target's
+total, so that smoothing weighs the same in both. A document's score is the mean over its words of the loss
+under the target model less the loss under the background model, in nats: below zero, the document is more
+like the target.
+
+All words of all documents are counted, within each task before anything is moved. The counts are tables of
+Spark that grow with the corpus; two words share a hash with a chance of about 2**-64. Documents are
+scored by a join of their different pairs with the pairs' losses. The most frequent pairs, at most HOT_PAIRS,
+are looked up within each task instead: their rows are not moved, and no key of the join is frequent.
 """
 
 from __future__ import annotations
@@ -17,88 +19,157 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import small_batches
+from sparkseek.llm.shared import new_folder, small_batches
 from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, span_hashes, word_spans
 
-#: Entries of the tables of words and of word pairs; a document's start counts as a word before the first.
+#: Words of the vocabulary at least, seen or not.
 WORD_SLOTS = 1 << 18
-PAIR_SLOTS = 1 << 20
-SLOTS = WORD_SLOTS + PAIR_SLOTS
+#: Pairs whose losses every task is handed.
+HOT_PAIRS = 1 << 20
+#: Words that a task counts at once.
+COUNTED_AT_ONCE = 2_000_000
 #: Added to each word's count, and the weight of the unigram model in words seen.
 WORD_SMOOTHING = 0.1
 PAIR_SMOOTHING = 50.0
-START = mix(np.array([77], U64))[0]
+START = mix(np.array([77], U64))
 TURN = U64(0xD6E8FEB86659FD93)
 
 
 @dataclass
 class MatchedModels:
-    """Counts by slot, words first, then pairs: (target, background), matched to the same total; and of documents."""
+    """Tables of counts in the target and the background: (before, word, target, background) and (word, target, background).
+
+    words, starts: all words and all documents with a word, by model. The background's counts are not scaled yet.
+    """
 
-    counts: np.ndarray
-    starts: tuple[float, float] = (0.0, 0.0)
+    pairs: DataFrame
+    counts: DataFrame
+    words: tuple[int, int]
+    starts: tuple[int, int]
+    vocabulary: int
+    background: DataFrame
+    text_column: str
 
-    def losses(self, words: np.ndarray, befores: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """The loss of each word under both models, (2, words)."""
-        out = np.zeros((2, len(words)))
-        for model, counts in enumerate(self.counts):
-            total = max(float(counts[:WORD_SLOTS].sum()), 1.0)
-            alone = (counts[words] + WORD_SMOOTHING) / (total + WORD_SMOOTHING * WORD_SLOTS)
-            context = np.where(befores < 0, self.starts[model], counts[np.maximum(befores, 0)])
-            both = counts[WORD_SLOTS + pairs]
-            out[model] = -np.log((both + PAIR_SMOOTHING * alone) / (np.maximum(context, both) + PAIR_SMOOTHING))
-        return out
+    @property
+    def scales(self) -> tuple[float, float]:
+        return 1.0, self.words[0] / self.words[1] if self.words[1] else 1.0
 
 
-def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word: its slot, the slot of the word before (-1 at a start), the pair's slot; and where texts begin."""
+def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: the hash of the word before (START at a start) and its own; and where texts begin."""
     data, begins = flat(texts)
     data = LOWER[data]
     starts, ends, firsts = word_spans(data, begins)
     hashes = span_hashes(data, starts, ends)
     before = np.r_[START, hashes[:-1]][: len(hashes)]
-    opening = np.unique(firsts[:-1][np.diff(firsts) > 0])
-    before[opening] = START
-    pairs = mix(before * TURN + hashes) % U64(PAIR_SLOTS)
-    befores = (before % U64(WORD_SLOTS)).astype(np.int64)
-    befores[opening] = -1
-    return (hashes % U64(WORD_SLOTS)).astype(np.int64), befores, pairs.astype(np.int64), firsts
+    before[np.unique(firsts[:-1][np.diff(firsts) > 0])] = START[0]
+    return before, hashes, firsts
 
 
-def _counted(documents: DataFrame, text_column: str) -> np.ndarray:
-    """The counts of all slots in all documents, and of the documents with a word."""
+def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * TURN + words)
+
+
+def _counted(documents: DataFrame, text_column: str) -> DataFrame:
+    """(before, word, n) of all documents, with a row for each pair of each task or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(SLOTS + 1, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def merged() -> None:
+            before, words, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, which = np.unique(pair_hashes(before, words), return_index=True, return_inverse=True)
+            held[:] = [(before[first], words[first], np.bincount(which, weights=n).astype(np.int64))]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            before, words, n = held.pop()
+            for a in range(0, len(n), 100_000):
+                some = [pa.array(x[a : a + 100_000].view(np.int64)) for x in (before, words, n)]
+                yield pa.RecordBatch.from_arrays(some, names=["before", "word", "n"])
+
         for batch in batches:
             for piece in pieces(batch):
-                words, _, pairs, firsts = slots(piece.column("text"))
-                totals[:WORD_SLOTS] += np.bincount(words, minlength=WORD_SLOTS)
-                totals[WORD_SLOTS:SLOTS] += np.bincount(pairs, minlength=PAIR_SLOTS)
-                totals[SLOTS] += int((np.diff(firsts) > 0).sum())
-        at = np.flatnonzero(totals)
-        for first in range(0, len(at), 100_000):
-            some = at[first : first + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["slot", "n"])
+                before, words, _ = word_pairs(piece.column("text"))
+                held.append((before, words, np.ones(len(words), np.int64)))
+                size += len(words)
+                if size >= COUNTED_AT_ONCE:
+                    merged()
+                    size = len(held[0][2])
+                    if size >= COUNTED_AT_ONCE // 2:
+                        yield from rows()
+                        size = 0
+        if held:
+            merged()
+            yield from rows()
 
     rows = small_batches(documents).select(F.col(text_column).alias("text"))
-    found = rows.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS + 1)
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    return rows.mapInArrow(count, "before long, word long, n long")
+
+
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows from Parquet files in the shared folder."""
+    path = new_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _signed(hashes: np.ndarray) -> int:
+    return int(hashes.view(np.int64)[0])
 
 
 def fit(target: DataFrame, background: DataFrame, text_column: str = "text") -> MatchedModels:
     """Both models, each from all documents of its corpus. Null texts count as empty."""
-    counts = np.stack([_counted(corpus, text_column) for corpus in (target, background)])
-    # Matched: as if both models had seen as many words.
-    words = counts[:, :WORD_SLOTS].sum(axis=1)
-    if words[1]:
-        counts[1] *= words[0] / words[1]
-    return MatchedModels(counts[:, :SLOTS].astype(np.float32), tuple(counts[:, SLOTS].tolist()))
+    none, n = F.lit(0).cast("long"), F.col("n")
+    rows = _counted(target, text_column).select("before", "word", n.alias("target"), none.alias("background"))
+    rows = rows.unionAll(_counted(background, text_column).select("before", "word", none, n))
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    pairs = _stored(rows.groupBy("before", "word").agg(*sums), "lm-pairs")
+    counts = _stored(pairs.groupBy("word").agg(*sums), "lm-words")
+    zeros = [F.coalesce(c, F.lit(0)) for c in sums]
+    words = counts.agg(*zeros, F.count("*")).first()
+    starts = pairs.filter(F.col("before") == _signed(START)).agg(*zeros).first()
+    return MatchedModels(
+        pairs, counts, tuple(words[:2]), tuple(starts), max(WORD_SLOTS, words[2]), background, text_column
+    )
+
+
+def _losses(pairs: DataFrame, models: MatchedModels) -> DataFrame:
+    """(pair, target_loss, background_loss) of each of the pairs."""
+    words, scales, vocabulary = models.words, models.scales, models.vocabulary
+    spark = pairs.sparkSession
+    alone = models.counts.select("word", F.col("target").alias("alone_t"), F.col("background").alias("alone_b"))
+    start = spark.createDataFrame([(_signed(START), *models.starts)], "before long, context_t long, context_b long")
+    context = alone.toDF("before", "context_t", "context_b").unionAll(start)
+    # A frequent word is in many pairs: adaptive execution divides what is skewed.
+    joined = pairs.join(alone, "word", "left").join(context, "before", "left").fillna(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            out = []
+            for model, letter in ((0, "t"), (1, "b")):
+                both, single, before = (column(c) * scales[model] for c in (("target", "background")[model], f"alone_{letter}", f"context_{letter}"))
+                total = max(words[model] * scales[model], 1.0)
+                single = (single + WORD_SMOOTHING) / (total + WORD_SMOOTHING * vocabulary)
+                out.append(-np.log((both + PAIR_SMOOTHING * single) / (np.maximum(before, both) + PAIR_SMOOTHING)))
+            pair = pair_hashes(column("before").view(U64), column("word").view(U64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, *out)], names=["pair", "target_loss", "background_loss"])
+
+    return joined.mapInArrow(run, "pair long, target_loss double, background_loss double")
+
+
+def _least_hot(pairs: DataFrame) -> int:
+    """The smallest count from which on there are at most HOT_PAIRS pairs."""
+    sizes = pairs.groupBy((F.col("target") + F.col("background")).alias("n")).count().toArrow()
+    n, count = (sizes.column(c).to_numpy() for c in ("n", "count"))
+    order = np.argsort(-n)
+    fits = int(np.searchsorted(np.cumsum(count[order]), HOT_PAIRS, side="right"))
+    return int(n[order][fits - 1]) if fits else int(n.max(initial=0)) + 1
 
 
 def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -107,28 +178,58 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     A null or empty text, or one without words, has 0 words and null losses. Texts of any length are scored
     whole. When nothing was counted, all words are as likely and the difference is 0.
     """
-    share = small_batches(documents).sparkSession.sparkContext.broadcast(models)
+    spark = small_batches(documents).sparkSession
+    pairs = models.pairs
+    if text_column != models.text_column or not documents.sameSemantics(models.background):
+        unseen = _counted(documents, text_column).select("before", "word", *[F.lit(0).cast("long").alias(c) for c in ("target", "background")])
+        pairs = pairs.unionAll(unseen).groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in ("target", "background")])
+    least = _least_hot(models.pairs)
+    seen = F.col("target") + F.col("background")
+    found = _losses(models.pairs.filter(seen >= least), models).toArrow()
+    hot = [found.column(c).to_numpy() for c in found.column_names]
+    order = np.argsort(hot[0].view(U64))
+    share = spark.sparkContext.broadcast([np.r_[x[order], x.dtype.type(0)] for x in hot])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = share.value
+        known, *losses = share.value
+        known = known[:-1].view(U64)
+        made = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
-                words, befores, pairs, firsts = slots(piece.column("text"))
-                n = np.diff(firsts)
-                sums = np.zeros((2, len(words) + 1))
-                np.cumsum(known.losses(words, befores, pairs), axis=1, out=sums[:, 1:])
-                means = (sums[:, firsts[1:]] - sums[:, firsts[:-1]]) / np.maximum(n, 1)
-                none = n == 0
+                before, words, firsts = word_pairs(piece.column("text"))
+                texts = len(firsts) - 1
+                owner = np.repeat(np.arange(texts), np.diff(firsts))
+                pair = pair_hashes(before, words)
+                at = np.searchsorted(known, pair)
+                held = np.r_[known, U64(0)][at] == pair if len(known) else np.zeros(len(pair), bool)
+                held &= at < len(known)
+                # One row a text with what is known of it here, then one for each of its other pairs.
+                whole = [np.bincount(owner[held], weights=x[at[held]], minlength=texts) for x in losses]
+                n = np.bincount(owner[held], minlength=texts)
+                order = np.lexsort((pair[~held], owner[~held]))
+                owner, pair = owner[~held][order], pair[~held][order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, int)
+                rest, rows = np.zeros(len(first)), made + np.arange(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("id"),
-                        pa.array(n.astype(np.int64)),
-                        *[pa.array(x, mask=none) for x in (means[0], means[1], means[0] - means[1])],
+                        pa.array(np.r_[rows, rows[owner[first]]]),
+                        pa.array(np.r_[mix(rows), pair[first]].view(np.int64)),
+                        pa.array(np.r_[n, np.diff(np.r_[first, len(pair)])]),
+                        pa.array(np.r_[np.ones(texts, bool), np.zeros(len(first), bool)]),
+                        pa.concat_arrays([piece.column("id"), pa.nulls(len(first), pa.int64())]),
+                        *[pa.array(np.r_[x, rest]) for x in whole],
                     ],
-                    names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+                    names=["row", "pair", "n", "text", "id", "t", "b"],
                 )
+                made += texts
 
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, n_words long, target_loss double, background_loss double, difference double"
+    asked = rows.mapInArrow(run, "row long, pair long, n long, text boolean, id long, t double, b double")
+    joined = asked.join(_losses(pairs.filter(seen < least), models), "pair", "left")
+    model = lambda held, loss: F.sum(F.when(F.col("text"), F.col(held)).otherwise(F.col("n") * F.col(loss)))
+    sums = joined.groupBy("row").agg(
+        F.max("id").alias("doc_id"), F.sum("n").alias("n_words"), model("t", "target_loss").alias("t"), model("b", "background_loss").alias("b")
     )
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
+    out = sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -115,6 +115,42 @@ def test_losses_equal_plain_counts(spark):
         assert got[2:] == pytest.approx((*losses, losses[0] - losses[1]), rel=1e-5)
 
 
+def test_more_words_and_pairs_than_a_fixed_table_holds(spark):
+    # One text repeats a pair; 400,000 others hold 2,000,000 words and pairs that occur once.
+    base = spark.range(400_000, numPartitions=4)
+    word = lambda k: F.concat(F.lit("w"), (F.col("id") * 5 + k).cast("string"))
+    single = base.select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[word(k) for k in range(5)]).alias("text"))
+    common = spark.createDataFrame([(-1, "red green " * 50), (-2, "w0 w1 w2 w3 w4")], "doc_id long, text string")
+    documents = single.unionAll(common)
+    models = lm_scoring.fit(common, documents)
+    assert models.words == (105, 2_000_105) and models.starts == (2, 400_002)
+    assert models.vocabulary == models.counts.count() == 2_000_002 > 1 << 20
+    few = spark.createDataFrame([(1, "w7 w8"), (2, "w7 w9"), (3, "w7 never")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lm_scoring.score(few, models).collect()}
+    scale = 105 / 2_000_105
+
+    def loss(pairs):
+        out = 0.0
+        for both, alone, context in pairs:
+            p = (alone * scale + lm_scoring.WORD_SMOOTHING) / (105 + lm_scoring.WORD_SMOOTHING * 2_000_002)
+            out -= math.log((both * scale + lm_scoring.PAIR_SMOOTHING * p) / (max(context, both) * scale + lm_scoring.PAIR_SMOOTHING))
+        return out / len(pairs)
+
+    w7 = (0, 1, 400_002)
+    for doc_id, last in ((1, (1, 1, 1)), (2, (0, 1, 1)), (3, (0, 0, 1))):
+        assert found[doc_id]["background_loss"] == pytest.approx(loss([w7, last]), rel=1e-9)
+
+
+def test_losses_do_not_depend_on_which_pairs_are_hot(spark, monkeypatch):
+    documents = table(spark, "documents").select("doc_id", "text").limit(200).cache()
+    models = lm_scoring.fit(documents.filter("doc_id % 2 = 0"), documents)
+    whole = sorted(tuples(lm_scoring.score(documents, models)))
+    for most in (0, 100):
+        monkeypatch.setattr(lm_scoring, "HOT_PAIRS", most)
+        for got, wanted in zip(sorted(tuples(lm_scoring.score(documents, models))), whole, strict=True):
+            assert got == pytest.approx(wanted, rel=1e-9)
+
+
 def test_a_text_of_the_target_loses_less_under_it(spark):
     rows = [(i, "red green blue red green", True) for i in range(20)] + [(100 + i, "one two three one two", False) for i in range(20)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean")
