@@ -5,7 +5,12 @@ has the same template. Windows of five template words are joined by hash with th
 that holds enough of an item's windows is reported if the values in the placeholders agree: within
 one alignment of the two texts, each value of the item must always stand for the same value of the document.
 
-A window with fewer than two literal words says little as a template; it is compared with its values.
+Which words are names depends on their letter case and on what stands before them. So a window is also held
+if its lowered words are the same, whatever they were taken for. A window with fewer than two literal words
+says little as a template; it is compared with its values alone.
+
+An item of three or four words is one window of its own length. A shorter one is only found in a document
+that consists of it.
 
 Only documents' windows that pass a filter of fixed size, made of the benchmark's windows, leave a task.
 """
@@ -22,8 +27,9 @@ from pyspark.sql import functions as F
 from sparkseek.llm.shared import FILTER_SLOTS, cut, passing, small_batches
 from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, shingle_hashes, span_hashes, word_spans
 
-#: Words of a window.
+#: Words of a window, and of the shortest items that are looked for within documents.
 WINDOW = 5
+LEAST_WORDS = 3
 #: The share of an item's windows that a document must hold, and the share of slots that must agree.
 LEAST_COVERAGE = 0.8
 LEAST_CONSISTENCY = 0.8
@@ -52,7 +58,7 @@ SMALL[0x61:0x7B] = True
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".?!:;|"]] = True
 
-WINDOW_SCHEMA = "id long, place int, hash long, slots array<long>"
+WINDOW_SCHEMA = "id long, place int, size int, window long, hash long, same boolean, slots array<long>"
 
 
 def _unit_hashes() -> np.ndarray:
@@ -109,59 +115,73 @@ def template_words(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np
     return kind, values, np.searchsorted(kept, firsts)
 
 
-def template_windows(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of all windows of all texts: the text, the place in it, the hash, and the kinds and values of all words.
+def template_windows(texts: pa.Array, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Of all windows of all texts: the text, the place in it, the first word, the words, the hashes as a template and
+    by values; and the kinds and values of all words.
 
-    A text with fewer words is one window, as a whole; a text without words has none.
+    A text with fewer words is one window, as a whole; a text without words has none. `sizes` asks for windows of
+    fewer words besides.
     """
     data, begins = flat(texts)
     kind, values, firsts = template_words(data, begins)
     template = np.where(kind == LITERAL, values, PLACEHOLDERS[kind])
     counts = np.diff(firsts)
     literal = np.r_[0, np.cumsum(kind == LITERAL)]
-    short = np.flatnonzero((counts > 0) & (counts < WINDOW))
-    long = np.flatnonzero(counts >= WINDOW)
-    owner = np.repeat(long, counts[long] - WINDOW + 1)
-    where = np.concatenate([np.zeros(0, np.int64), *[np.arange(firsts[i], firsts[i + 1] - WINDOW + 1) for i in long]])
-    size = np.full(len(where), WINDOW)
-    if len(where):
-        exact = literal[where + WINDOW] - literal[where] < LEAST_LITERAL
-        hashes = np.where(exact, shingle_hashes(values, WINDOW)[where], shingle_hashes(template, WINDOW)[where])
-    else:
-        hashes = np.zeros(0, U64)
-    if len(short):
-        chosen = [
-            (values if literal[b] - literal[a] < LEAST_LITERAL else template)[a:b]
-            for a, b in zip(firsts[short], firsts[short + 1], strict=True)
-        ]
-        hashes = np.r_[hashes, np.concatenate([shingle_hashes(w, WINDOW) for w in chosen])]
-        owner, where = np.r_[owner, short], np.r_[where, firsts[short]]
-        size = np.r_[size, counts[short]]
-    return owner, where - firsts[owner], where, size, hashes, kind, values
-
-
-def _windows(bits):
-    """The windows whose hashes pass the filter (all without one), each with the values of its slots in order."""
+    parts = []
+    for words in (WINDOW, *sizes):
+        # Texts of just as many words as a smaller window are windows as a whole, below.
+        long = np.flatnonzero(counts >= (words if words == WINDOW else words + 1))
+        if len(long) == 0:
+            continue
+        where = np.concatenate([np.arange(firsts[i], firsts[i + 1] - words + 1) for i in long])
+        exact = literal[where + words] - literal[where] < LEAST_LITERAL
+        plain = shingle_hashes(values, words)[where]
+        owner = np.repeat(long, counts[long] - words + 1)
+        hashes = np.where(exact, plain, shingle_hashes(template, words)[where])
+        parts.append((owner, where, np.full(len(where), words), hashes, plain))
+    for i in np.flatnonzero((counts > 0) & (counts < WINDOW)):
+        a, b = firsts[i], firsts[i + 1]
+        plain = shingle_hashes(values[a:b], WINDOW)
+        hashes = plain if literal[b] - literal[a] < LEAST_LITERAL else shingle_hashes(template[a:b], WINDOW)
+        parts.append((np.array([i]), np.array([a]), np.array([b - a]), hashes, plain))
+    if not parts:
+        parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2]
+    owner, where, size, hashes, plain = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return owner, where - firsts[owner], where, size, hashes, plain, kind, values
+
+
+def _windows(bits, sizes: tuple[int, ...] = ()):
+    """The windows whose hashes pass the filter (all without one), each with the values of its slots in order.
+
+    A row for each window's hash as a template (`window`), and one for that of its values (`same`) if it is another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                owner, place, where, size, hashes, kind, values = template_windows(piece.column("text"))
+                owner, place, where, size, windows, plain, kind, values = template_windows(piece.column("text"), sizes)
+                other = np.flatnonzero(plain != windows)
+                which = np.r_[np.arange(len(windows)), other]
+                hashes, same = np.r_[windows, plain[other]], np.r_[windows == plain, np.ones(len(other), bool)]
                 keep = np.arange(len(hashes))
                 if bits is not None:
                     keep = np.flatnonzero(passing(bits.value, (hashes % U64(FILTER_SLOTS)).astype(np.int64)))
+                which = which[keep]
                 slots = [
                     values[a : a + n][kind[a : a + n] != LITERAL].view(np.int64)
-                    for a, n in zip(where[keep].tolist(), size[keep].tolist(), strict=True)
+                    for a, n in zip(where[which].tolist(), size[which].tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("id").take(pa.array(owner[keep])),
-                        pa.array(place[keep].astype(np.int32)),
+                        piece.column("id").take(pa.array(owner[which])),
+                        pa.array(place[which].astype(np.int32)),
+                        pa.array(size[which].astype(np.int32)),
+                        pa.array(windows[which].view(np.int64)),
                         pa.array(hashes[keep].view(np.int64)),
+                        pa.array(same[keep]),
                         pa.array(slots, pa.list_(pa.int64())),
                     ],
-                    names=["id", "place", "hash", "slots"],
+                    names=["id", "place", "size", "window", "hash", "same", "slots"],
                 )
 
     return run
@@ -179,11 +199,12 @@ def find_contamination(
 ) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, coverage, consistency, reworded.
 
-    coverage is the share of the item's different windows that the document holds; consistency the share of
+    coverage is the share of the item's different windows that the document holds, as templates or word by word;
+    consistency the share of
     slot values that stand for one value in each alignment, 1 without slots; reworded tells whether a slot
     holds another value than in the item. A null or empty text, or one without letters or digits, holds
-    nothing and is held by nothing. A text of fewer than five words is one window, so a short item is found in
-    a document that consists of it. Rows with a null id are left out; rows that repeat an id are taken
+    nothing and is held by nothing. A text of fewer than five words is one window, so an item of one or two words is
+    found in a document that consists of it; one of three or four words is found anywhere. Rows with a null id are left out; rows that repeat an id are taken
     together. Other columns are ignored; without documents or items there are no rows.
     """
     spark = small_batches(documents).sparkSession
@@ -195,15 +216,21 @@ def find_contamination(
     )
     asked = cut(items.mapInArrow(_windows(None), WINDOW_SCHEMA).distinct())
     bits = spark.sparkContext.broadcast(_hash_slots(asked))
-    held = texts.mapInArrow(_windows(bits), WINDOW_SCHEMA)
-    total = asked.groupBy("id").agg(F.count_distinct("hash").alias("windows"))
+    short = asked.filter((F.col("size") >= LEAST_WORDS) & (F.col("size") < WINDOW)).select("size").distinct()
+    sizes = tuple(sorted(r["size"] for r in short.collect()))
+    held = texts.mapInArrow(_windows(bits, sizes), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "place", "hash", "slots")
+    total = asked.groupBy("id").agg(F.count_distinct("window").alias("windows"))
 
-    wanted = asked.select(F.col("id").alias("item_id"), F.col("place").alias("at"), "hash", F.col("slots").alias("asked"))
+    wanted = asked.select(
+        F.col("id").alias("item_id"), F.col("place").alias("at"), "window", "hash", "same", F.col("slots").alias("asked")
+    )
     # Rows of the join are cut before it fans out again: both the shares and the slots are read from them.
-    met = cut(held.withColumnRenamed("id", "doc_id").join(wanted, "hash"))
+    # Where all words are the same, so are the values, whatever the document's words were taken for.
+    met = held.join(wanted, "hash").withColumn("slots", F.when(F.col("same"), F.col("asked")).otherwise(F.col("slots")))
+    met = cut(met.drop("same", "hash"))
     coverage = (
         met.groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("hash").alias("found"))
+        .agg(F.count_distinct("window").alias("found"))
         .join(total.withColumnRenamed("id", "item_id"), "item_id")
         .withColumn("coverage", F.col("found") / F.col("windows"))
         .filter(F.col("coverage") >= least_coverage)

@@ -209,6 +209,20 @@ def test_names_units_and_short_items(spark):
     assert contamination(spark, [], [(1, item, 0)]) == {} and contamination(spark, [(1, doc, 0, "")], []) == {}
 
 
+def test_verbatim_copies_are_found_in_any_case_and_place(spark):
+    long = "Yesterday the farmer Peter walked for 3 hours to the market and sold 4 kg of plums"
+    items = [(1, long, 0), (2, "Rivers carry sand towards distant seas", 0), (3, "Seven blue swans", 0), (4, "blue Peter Swan sails", 0)]
+    docs = [
+        (1, long.upper(), 0, ""), (2, f"Before it. {long.lower()} and after it", 0, ""),
+        (3, "they say Rivers carry sand towards distant seas and more", 0, ""),
+        (4, "there were seven blue Swans on the lake that day", 0, ""), (5, "Seven blue swans swim", 0, ""),
+        (6, "then the BLUE PETER SWAN SAILS away", 0, ""), (7, "seven blue and white swans on the lake", 0, ""),
+    ]
+    found = contamination(spark, docs, items)
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)}
+    assert all(r["coverage"] == r["consistency"] == 1 and not r["reworded"] for r in found.values())
+
+
 def test_planted_passages_are_found_and_nothing_else(spark):
     documents, benchmark = table(spark, "documents"), table(spark, "benchmark")
     texts = {r["doc_id"]: plain.shingles(r["text"], 5) for r in documents.collect()}
