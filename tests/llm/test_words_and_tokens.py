@@ -73,6 +73,18 @@ def test_whole_texts_get_the_ids_of_the_library(encoder):
         assert ids[begins[i] : begins[i + 1]].tolist() == plain_ids(encoder, text), repr(text)
 
 
+def test_added_tokens_get_the_ids_of_a_fresh_tokenizer(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    added = [x.content for x in fresh.get_added_tokens_decoder().values()]
+    texts = [*TEXTS, *(f"{a}{x}{b}" for x in added for a in ("", "x ", "y") for b in ("", " y", x, "\n")), "plain <|endoftext |>"]
+    ids, begins = encoder.encode(pa.chunked_array([pa.array(texts, pa.string())]).combine_chunks())
+    for i, text in enumerate(texts):
+        assert ids[begins[i] : begins[i + 1]].tolist() == [*fresh.encode(text or "", add_special_tokens=False).ids, t.END_ID]
+    assert any(50256 in fresh.encode(x or "", add_special_tokens=False).ids for x in texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab Z9é'ſ.\n\t \r×ÿß# 漢", max_size=25), max_size=5))
 def test_any_texts_get_the_ids_of_the_library(texts):
