@@ -13,11 +13,13 @@ DEDUP_WORDS, DEDUP_PERCENT = 5, 80
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts without a recognised language: no letters, or an ambiguous prediction."""
+    """Leaves out texts without letters; none when no language was learned."""
     codes = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    if not codes.languages:
+        return docs
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     found = language_id.identify(docs.select(others.alias("others"), "text"), codes)
-    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
+    kept = found.filter(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.select([F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns])
 
 

@@ -241,3 +241,16 @@ def test_stages_take_odd_rows_and_other_columns(spark):
         assert written.count() == known.count()
     kept = corpus_pipeline.identify_languages(spark, docs, FOLDER)
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 4, 6]
+
+
+def test_language_stage_leaves_out_only_texts_without_letters(spark, monkeypatch):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "12 %", None), (-2, None, None)], "doc_id long, text string, lang string")
+    docs = documents.unionByName(odd)
+    # Every prediction counts as ambiguous, as of bilingual texts.
+    identify = corpus_pipeline.language_id.identify
+    monkeypatch.setattr(corpus_pipeline.language_id, "identify", lambda *a: identify(*a, ambiguous_below=2.0))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, FOLDER).collect()}
+    assert kept == {r["doc_id"] for r in documents.collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_languages(spark, unlabelled, FOLDER).count() == docs.count()
