@@ -17,6 +17,7 @@ from sparkseek.llm import (
     mixing,
     secrets,
     site_quality,
+    spelling,
     token_files,
 )
 from sparkseek.llm.shared import new_folder, with_ids
@@ -94,6 +95,10 @@ def op10_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -105,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_files": op9_token_files,
     "op10_hash_forest": op10_hash_forest,
+    "op11_spelling_variants": op11_spelling_variants,
 }
