@@ -180,6 +180,20 @@ def _bit_table(keys: DataFrame, slots: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether exactly one code point is inserted, deleted or replaced, in time in proportion to the letters."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def _verified(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(map(one_edit, a.to_pylist(), b.to_pylist()), pa.bool_())
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n): each two words (columns word, n) that differ by one inserted, deleted or replaced code point, once."""
     spark = words.sparkSession
@@ -195,7 +209,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
         generated.join(others, "other")
         .join(reduced, "key")
         .filter("key <> other or word < near")
-        .filter(F.levenshtein("word", "near", 1) == 1)
+        .filter(F.arrow_udf(_verified, "boolean")("word", "near"))
         .select("word", "n", "near", "near_n")
     )
 
