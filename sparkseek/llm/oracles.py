@@ -62,4 +62,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES = {"op6_source_mix": OP6, "op8_chat_format": OP8.replace("\\\\", "\\")}
+OP13 = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+terms AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM read),
+kept AS (
+  SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term),
+places AS (SELECT DISTINCT lang, source FROM read),
+sizes AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM places LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+dense AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (s.n + 2 * l.v) AS p,
+         1 + 1000000000::HUGEINT * (k.total + 2) // (l.n + 2 * l.v) AS q
+  FROM sizes s JOIN langs l ON s.lang = l.lang JOIN kept k ON k.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+worth AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(w.value, 0) AS value
+  FROM places a JOIN places b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN worth w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op13_source_divergence": OP13, "op6_source_mix": OP6, "op8_chat_format": OP8.replace("\\\\", "\\")}

@@ -11,6 +11,7 @@ from sparkseek.llm import (
     ann,
     chat,
     decontaminate,
+    divergence,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -99,6 +100,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -111,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_hash_forest": op10_hash_forest,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
