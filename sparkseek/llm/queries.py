@@ -19,6 +19,7 @@ from sparkseek.llm import (
     secrets,
     site_quality,
     spelling,
+    superminhash,
     token_files,
 )
 from sparkseek.llm.shared import new_folder, with_ids
@@ -100,6 +101,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -116,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_hash_forest": op10_hash_forest,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_near_duplicates": op12_near_duplicates,
     "op13_source_divergence": op13_source_divergence,
 }

@@ -62,6 +62,42 @@ def key_slots(keys: DataFrame, column: str, slots: int = FILTER_SLOTS) -> np.nda
     return np.packbits(bits)
 
 
+#: Bits a key of a sized bit table, the most bits of one (16 MB), and the bits that one task packs.
+BITS_A_KEY = 16
+MOST_SLOTS = 1 << 27
+PACKED_SLOTS = 1 << 15
+
+
+def slots_for(keys: int) -> int:
+    """Bits of a table for so many keys: a power of two, `BITS_A_KEY` for each key or more, up to `MOST_SLOTS`."""
+    slots = PACKED_SLOTS
+    while slots < min(MOST_SLOTS, BITS_A_KEY * keys):
+        slots *= 2
+    return slots
+
+
+def bit_table(keys: DataFrame, column: str, slots: int) -> np.ndarray:
+    """One bit for the low bits of each key (a long); packed by tasks, so that the driver gets slots / 8 bytes at most."""
+
+    def pack(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bits = np.zeros(PACKED_SLOTS, bool)
+        bits[rows.column("slot").to_numpy() % PACKED_SLOTS] = True
+        return pa.table({"part": pa.array([group[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    packed = (
+        keys.select(F.col(column).bitwiseAND(F.lit(slots - 1)).alias("slot"))
+        .distinct()
+        .withColumn("part", F.floor(F.col("slot") / PACKED_SLOTS))
+        .groupBy("part")
+        .applyInArrow(pack, "part long, bits binary")
+        .toArrow()
+    )
+    table = np.zeros((slots // PACKED_SLOTS, PACKED_SLOTS // 8), np.uint8)
+    for part, bits in zip(packed.column("part").to_pylist(), packed.column("bits").to_pylist(), strict=True):
+        table[part] = np.frombuffer(bits, np.uint8)
+    return table.reshape(-1)
+
+
 def passing(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7))) & 1 == 1
 

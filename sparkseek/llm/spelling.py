@@ -9,7 +9,7 @@ The method is reduced-alphabet generation:
    of one length from the one with the smaller symbol. Neighbours are 64-bit hashes, found from running sums over a
    word, so that a word of any length takes room in proportion to its letters.
 3. The generated hashes are joined with the reduced vocabulary. A bit table, sized by the vocabulary and of at most
-   `MOST_SLOTS` bits, spares the join most of those that no word has.
+   16 MB, spares the join most of those that no word has.
 4. Both ends of what is left are verified on the original strings. Nothing is missed: hashes only add candidates.
 
 A reduced word has at most as many partners as its neighbourhood has members, so no key of the join is hot.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import cut, passing
+from sparkseek.llm.shared import bit_table, cut, passing, slots_for
 from sparkseek.llm.words import U64, mix
 
 LETTERS = r"[A-Za-zÀ-ÿ]+"
@@ -38,11 +38,6 @@ LEAST_COUNT = 2
 FORM_FACTOR = 10
 #: One occurrence in so many loses a letter (see `thinned`).
 THINNED = 31
-#: Bits a reduced word of the bit table, and the most bits of the table (16 MB).
-BITS_A_WORD = 16
-MOST_SLOTS = 1 << 27
-#: Bits of the table that one task packs.
-PACKED_SLOTS = 1 << 15
 #: Letters whose neighbourhoods are generated at once.
 PIECE_LETTERS = 1 << 16
 
@@ -157,29 +152,6 @@ def _generated(symbols: int, slots: int, bits):
     return run
 
 
-def _bit_table(keys: DataFrame, slots: int) -> np.ndarray:
-    """One bit for each slot that some key has; packed by tasks, so that the driver gets slots / 8 bytes at most."""
-
-    def pack(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        bits = np.zeros(PACKED_SLOTS, bool)
-        bits[rows.column("slot").to_numpy() % PACKED_SLOTS] = True
-        return pa.table({"part": pa.array([group[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    slot = F.col("key").bitwiseAND(F.lit(slots - 1))
-    packed = (
-        keys.select(slot.alias("slot"))
-        .distinct()
-        .withColumn("part", F.floor(F.col("slot") / PACKED_SLOTS))
-        .groupBy("part")
-        .applyInArrow(pack, "part long, bits binary")
-        .toArrow()
-    )
-    table = np.zeros((max(1, slots // PACKED_SLOTS), PACKED_SLOTS // 8), np.uint8)
-    for part, bits in zip(packed.column("part").to_pylist(), packed.column("bits").to_pylist(), strict=True):
-        table[part] = np.frombuffer(bits, np.uint8)
-    return table.reshape(-1)
-
-
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one code point is inserted, deleted or replaced, in time in proportion to the letters."""
     if len(a) > len(b):
@@ -199,10 +171,8 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     spark = words.sparkSession
     reduced = cut(words.select("word", "n").mapInArrow(_reduced(symbols), "word string, n long, key long"))
     each = reduced.groupBy("key").agg(F.min("word").alias("word"))
-    slots = PACKED_SLOTS
-    while slots < min(MOST_SLOTS, BITS_A_WORD * reduced.count()):
-        slots *= 2
-    bits = spark.sparkContext.broadcast(_bit_table(each.select("key"), slots))
+    slots = slots_for(reduced.count())
+    bits = spark.sparkContext.broadcast(bit_table(each, "key", slots))
     generated = each.select("word").mapInArrow(_generated(symbols, slots, bits), "key long, other long")
     others = reduced.select(F.col("key").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return (

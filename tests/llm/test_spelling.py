@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparkseek.llm import spelling
+from sparkseek.llm import shared, spelling
 from sparkseek.llm.queries import op11_spelling_variants
 from tests.llm.plain import LOWER
 
@@ -107,6 +107,6 @@ def test_the_query_reads_the_whole_table(spark):
 
 def test_the_bit_table_has_every_key(spark):
     keys = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)]
-    table = spelling._bit_table(spark.createDataFrame([(k,) for k in keys], "key long"), 1 << 17)
+    table = shared.bit_table(spark.createDataFrame([(k,) for k in keys], "key long"), "key", 1 << 17)
     assert len(table) == (1 << 17) // 8
-    assert spelling.passing(table, spelling._slot(np.array(keys), 1 << 17)).all()
+    assert shared.passing(table, spelling._slot(np.array(keys), 1 << 17)).all()
