@@ -80,6 +80,48 @@ def embed_table(
     )
 
 
+def embed_changed(
+    rows: DataFrame,
+    text: str,
+    embedder: Embedder,
+    stored: DataFrame,
+    text_hash: str = "embedding_text_hash",
+    output: str = "embedding",
+    tasks: int | None = None,
+) -> DataFrame:
+    """``embed_table`` that embeds only texts without a stored vector, each different one once; adds ``reused``.
+
+    ``stored`` has rows embedded before, with the same columns ``text``, ``text_hash`` and ``output`` and the ``embedding_provider``,
+    ``embedding_model`` and ``embedding_dimensions`` of ``embed_table``; vectors of other models do not count. Rows are matched by their hash
+    together with a digest of the text itself, so that texts whose hashes clash stay apart, and only new texts are moved. A null text is
+    a text of its own; a null hash counts as an empty one. Of stored vectors of one text any is taken.
+    """
+    keys = ["_hash", "_digest"]
+
+    def keyed(table: DataFrame) -> DataFrame:
+        digest = F.coalesce(F.sha2(text, 256), F.lit(""))
+        return table.withColumns({"_hash": F.coalesce(F.col(text_hash).cast("string"), F.lit("")), "_digest": digest})
+
+    same_model = (
+        (F.col("embedding_provider") == embedder.provider)
+        & (F.col("embedding_model") == embedder.model)
+        & (F.col("embedding_dimensions") == embedder.dimensions)
+    )
+    known = keyed(stored.filter(same_model & F.col(output).isNotNull())).groupBy(*keys).agg(F.first(output).alias(output))
+    asked = keyed(rows)
+    missing = asked.select(*keys, text).join(known.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    new = embed_table(missing, text, embedder, output, tasks).select(*keys, output)
+    vectors = known.withColumn("reused", F.lit(True)).unionByName(new.withColumn("reused", F.lit(False)))
+    joined = asked.join(vectors, keys).drop(*keys)
+    return joined.withColumns(
+        {
+            "embedding_provider": F.lit(embedder.provider),
+            "embedding_model": F.lit(embedder.model),
+            "embedding_dimensions": F.lit(embedder.dimensions),
+        }
+    )
+
+
 @dataclass(frozen=True)
 class HashedTokens:
     """Offline embedder: each token is a vector of signs, a text their mean.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import filters
@@ -76,18 +76,16 @@ class Maintenance:
     outcomes: DataFrame
 
 
-def _first_claims(changes: DataFrame, key: str) -> DataFrame:
-    """``change_id`` of the earliest valid change for each name.
+def _with_claims(changes: DataFrame) -> DataFrame:
+    """Adds ``_claim``, which orders the changes: by ``change_id``, and those without one after all others.
 
-    A grouped minimum instead of a window: a name asked for by very many rows is
-    reduced in each task before it is moved.
+    Changes without an id are told apart by their place among those of the same name and all the same null id.
     """
-    return (
-        changes.filter(F.col(ERROR).isNull())
-        .groupBy(key)
-        .agg(F.min("change_id").alias("change_id"))
-        .select("change_id", F.lit(True).alias("_first"))
-    )
+    keyed, unkeyed = changes.filter(F.col("change_id").isNotNull()), changes.filter(F.col("change_id").isNull())
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("git_url", "git_raw_url"))).cast("long")
+    claim = F.struct(F.col("change_id").isNull().alias("late"), F.coalesce(F.col("change_id").cast("long"), "_place").alias("place"))
+    rows = keyed.withColumn("_place", F.lit(None).cast("long")).unionByName(unkeyed.withColumn("_place", place))
+    return rows.withColumn("_claim", claim).drop("_place")
 
 
 def _check_names(changes: DataFrame, projects: DataFrame, own_id: str | None) -> DataFrame:
@@ -101,8 +99,15 @@ def _check_names(changes: DataFrame, projects: DataFrame, own_id: str | None) ->
 
 
 def _check_batch(changes: DataFrame) -> DataFrame:
-    claimed = changes.join(_first_claims(changes, "name"), "change_id", "left")
-    return with_failure(claimed, [(F.col("_first").isNull(), "409-name-already-exists")]).drop("_first")
+    """Rejects all but the earliest valid change of each name.
+
+    A grouped minimum instead of a window: a name asked for by very many rows is
+    reduced in each task before it is moved.
+    """
+    claims = _with_claims(changes)
+    first = claims.filter(F.col(ERROR).isNull()).groupBy("name").agg(F.min("_claim").alias("_first"))
+    claimed = claims.join(first, "name", "left")
+    return with_failure(claimed, [(F.col("_first") != F.col("_claim"), "409-name-already-exists")]).drop("_first", "_claim")
 
 
 def create_projects(
@@ -110,7 +115,7 @@ def create_projects(
 ) -> Maintenance:
     """Adds projects (change_id, name, git_url, git_raw_url) with the next ids in order of change_id.
 
-    ``change_id`` is unique and tells which of two equal names came first.
+    ``change_id`` is unique and tells which of two equal names came first; changes without one come last.
     """
     outcomes = _check_batch(_check_names(validate_project_changes(new), projects, own_id=None))
     accepted = outcomes.filter(F.col(ERROR).isNull()).withColumn("created_at", instant(now))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import rules
@@ -30,6 +30,11 @@ class Reranker(Protocol):
     def rerank(self, hits: DataFrame) -> DataFrame: ...
 
 
+def parallel_tasks(spark: SparkSession) -> int:
+    """Tasks for dear work on rows that lie in few pieces: all cores, and no fewer than a shuffle has."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rerank_none(hits: DataFrame) -> DataFrame:
     """Every candidate, in search order, without a score."""
     return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_order": F.col("vector_rank")})
@@ -38,12 +43,12 @@ def rerank_none(hits: DataFrame) -> DataFrame:
 def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer, tasks: int | None = None) -> DataFrame:
     """Scores each (question, text) on its own. A missing score counts as 0 here.
 
-    Scores are computed where the texts are, or spread over ``tasks`` where a scorer is dear and the candidates lie
-    in few pieces; only ids, scores and ranks go through the window, and are joined back.
+    The candidates are spread by query over ``tasks``, by default as many as the cluster works on at once, because they often lie in few
+    pieces and a scorer is dear. The scores are ranked where they are made: that spread is the one of the windows too. Of the
+    other columns only those go through the windows that the caller keeps.
     """
-    if tasks:
-        hits = hits.repartition(tasks, "query_id", "id")
-    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
+    spread = hits.repartition(tasks or parallel_tasks(hits.sparkSession), "query_id")
+    scored = spread.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("rerank_score", F.lit(0.0)).desc(), "vector_rank")
     return scored.withColumn("rerank_order", F.row_number().over(order))
 
@@ -145,6 +150,20 @@ def lexical_score(question: Column, text: Column) -> Column:
     return grade_to_score(lexical_grade(question, text))
 
 
+def _grades_of_batch(questions: pa.Array, texts: pa.Array) -> pa.Array:
+    """``lexical_grade`` of each pair; every different question and text of the batch is split once."""
+    asked, given = (x.fill_null("").dictionary_encode() for x in (questions, texts))
+    words = [[frozenset(_words(x)) for x in side.dictionary.to_pylist()] for side in (asked, given)]
+    pairs = zip(asked.indices.to_pylist(), given.indices.to_pylist(), strict=True)
+    sets = ((words[0][q], words[1][t]) for q, t in pairs)
+    return pa.array([len(q & t) * 10 // len(q) if q else 0 for q, t in sets], pa.int32())
+
+
+def lexical_score_by_sets(question: Column, text: Column) -> Column:
+    """``lexical_score`` for candidates that share questions or texts: word sets are prepared once and meet for each pair."""
+    return grade_to_score(F.arrow_udf(_grades_of_batch, "int")(question, text))
+
+
 def lexical_ranking(question: str, texts: Sequence[str]) -> list[tuple[int, float]]:
     """Listwise form: positions with the share of shared words, best first."""
     asked = set(_words(question))
@@ -166,7 +185,7 @@ class NoOp:
 
 @dataclass(frozen=True)
 class Pointwise:
-    scorer: PointwiseScorer = lexical_score
+    scorer: PointwiseScorer = lexical_score_by_sets
     pool_size: int = rules.DEFAULT_POOL
     tasks: int | None = None
 

@@ -242,13 +242,16 @@ def nearest_pairs(
 
     Also returns the documents they were sought among, and how many rows there are at most. ``query_id``
     must be unique. With ``blocks`` the requests and documents meet in blocks; without, all requests go to every
-    task, and must fit there. Both give the same rows; None takes what ``ships`` says.
+    task, and must be as few as ``ships`` says. Both give the same rows; None takes what it says.
     """
     asked = _request_columns(requests)
     scope = _in_asked_projects(documents, asked)
     most, total = asked.agg(F.max("k"), F.sum("k")).first()
-    if blocks is None:
-        blocks = not ships(requests, dimensions)
+    if not blocks:
+        fits = ships(requests, dimensions)
+        if blocks is not None and not fits:
+            raise ValueError(f"more than {MAX_SHIPPED_REQUESTS} requests or {MAX_SHIPPED_BYTES} bytes of them: search in blocks")
+        blocks = not fits
     pairs = _pairs_by_blocks(scope, asked, dimensions) if blocks else _pairs_by_shipping(scope, asked.toArrow(), dimensions)
     return best_per_query(pairs, most or 0), scope, total or 0
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkseek.functions.scalars import week_start
 from sparkseek.operators.feedback import stored_rows
 from sparkseek.operators.numbering import largest_id
-from sparkseek.operators.validate import feedback_checks, split, with_failure, with_project_check
+from sparkseek.operators.validate import ERROR, feedback_checks, split, with_failure, with_project_check
 from sparkseek.sources.tables import read_feedback, write_feedback
 
 BATCH = "intake_batch"
@@ -37,6 +37,21 @@ def checked_submissions(submissions: DataFrame, projects: DataFrame) -> DataFram
     return with_project_check(with_failure(stamped, feedback_checks()), projects)
 
 
+def accepted_once(checked: DataFrame, within: str | None = None) -> DataFrame:
+    """The stream without submissions whose ``submission_id`` has been accepted before, in this micro-batch or an earlier one.
+
+    Spark keeps the accepted ids as keyed state: for good, or with ``within`` (for example "7 days") until so long after their
+    arrival. Arrival, not ``created_at``, is what counts, so that no row is ever too late to be stored. A rejected submission leaves
+    no id behind and may come again, mended; rows without an id are each their own. Of repeats in one micro-batch any is kept.
+    """
+    once = F.when(F.col(ERROR).isNull(), F.col("submission_id").cast("string"))
+    rows = checked.withColumn("_once", F.coalesce(once, F.concat(F.lit("alone-"), F.uuid())))
+    if within is None:
+        return rows.dropDuplicates(["_once"]).drop("_once")
+    arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return arrived.dropDuplicatesWithinWatermark(["_once"]).drop("_once", "_arrived")
+
+
 def stream_feedback_intake(
     submissions: DataFrame,
     projects: DataFrame,
@@ -46,6 +61,8 @@ def stream_feedback_intake(
     every: str | None = None,
     start_after: int | None = None,
     name: str = "stream",
+    repeats: bool = False,
+    repeats_within: str | None = None,
 ) -> StreamingQuery:
     """Appends accepted rows with new ids to the feedback table, and rejected rows with their codes.
 
@@ -56,7 +73,8 @@ def stream_feedback_intake(
     Runs until all that has arrived is taken in, or on and on with ``every``
     (for example "1 minute").
 
-    ``submission_id`` is unique. Each micro-batch replaces its own folders of each day, and
+    ``submission_id`` is unique, or with ``repeats`` the rows of an id that comes again are left out (see ``accepted_once``).
+    Rows without an id are stored after the others of their micro-batch. Each micro-batch replaces its own folders of each day, and
     numbers its rows after those of the batch before, so a batch that is
     replayed after a failure writes the same rows again instead of more rows.
     Beside the checkpoint, one small row per batch keeps the last id, so that no
@@ -83,6 +101,8 @@ def stream_feedback_intake(
             batch.unpersist()
 
     checked = checked_submissions(submissions, projects)
+    if repeats:
+        checked = accepted_once(checked, repeats_within)
     return (
         checked.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)

@@ -267,6 +267,7 @@ oracle(
     "percented",
 )
 oracle("weekly_feedback_stats_stored", "SELECT * FROM percented", "percented")
+oracle("weekly_feedback_stats_maintained", "SELECT * FROM percented", "percented")
 oracle(
     "mean_pool",
     """SELECT label, COUNT(*) AS token_count, CAST(dim AS INTEGER) AS dim, round(AVG(embedding[dim + 1]::DOUBLE), 9) AS mean
@@ -305,6 +306,7 @@ oracle(
     "ranked",
 )
 ORACLES["search_batch_blocks"] = ORACLES["search_batch"]
+ORACLES["search_pruned"] = ORACLES["search_batch"]
 oracle(
     "search_stored",
     """SELECT d.id, source_file, kind, type_name, member, md5(embedding_text) AS embedding_text, round(sim, 10) AS similarity
@@ -329,6 +331,7 @@ oracle(
     "filtered_requests", "space",
 )
 ORACLES["search_batch_blocks_filtered"] = ORACLES["search_batch_filtered"]
+ORACLES["search_pruned_filtered"] = ORACLES["search_batch_filtered"]
 oracle(
     "best_per_query",
     """SELECT query_id, id, distance, CAST(n AS INTEGER) AS vector_rank FROM (
@@ -595,6 +598,11 @@ oracle(
     f"SELECT id, project_id, question, username, epoch_us(created_at) AS created_at_us, error_code FROM ({TAKEN_IN})",
     "submissions", "projects", "feedback",
 )
+oracle(
+    "stream_feedback_repeats",
+    f"SELECT id, project_id, question, username, epoch_us(created_at) AS created_at_us FROM ({TAKEN_IN}) WHERE error_code IS NULL",
+    "submissions", "projects", "feedback",
+)
 ORACLES["weekly_feedback_stats_streamed"] = with_views("SELECT * FROM percented", "submissions", "percented").replace(
     "inside AS (\n        SELECT * FROM feedback", f"inside AS (\n        SELECT * FROM ({TAKEN_IN}) t"
 ).replace("WHERE created_at >= TIMESTAMP", "WHERE error_code IS NULL AND created_at >= TIMESTAMP")
@@ -626,6 +634,11 @@ def embedding(rows: str, key: str, text: str, dimensions: int, normalized: bool)
                 GROUP BY r.{key}, dim))"""
 
 
+oracle(
+    "embed_changed",
+    f"""SELECT doc_id, coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents WHERE lang = 'en') AS reused, dim, round(x::DOUBLE, 9) AS x
+        FROM ({embedding('SELECT doc_id, text FROM documents', 'doc_id', 'text', 64, True)}) JOIN documents USING (doc_id)""",
+)
 oracle("embed_table", f"SELECT doc_id, dim, round(x::DOUBLE, 9) AS x FROM ({embedding('SELECT doc_id, text FROM documents', 'doc_id', 'text', 64, True)})")
 oracle(
     "resolve_embedder",

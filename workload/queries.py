@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import filters, replies, scalars, vectors
-from sparkseek.operators import constraints, embed, feedback, projects, rerank, search, validate
+from sparkseek.operators import constraints, embed, feedback, maintained, projects, pruned, rerank, search, validate
 from sparkseek.plans import code_search as plan
 from sparkseek.sources import sinks, tables
 from sparkseek.streaming import feedback_intake as intake
@@ -458,15 +458,15 @@ def search_by_expression(v: Views) -> DataFrame:
 
 @query
 def search_batch(v: Views) -> DataFrame:
-    """All requests sent to every task."""
-    hits = search.search_batch(_space(v), v.requests, DIMENSIONS, blocks=False)
+    """All requests, sent to every task while they are few enough, else met in blocks."""
+    hits = search.search_batch(_space(v), v.requests, DIMENSIONS)
     return hits.withColumn("embedding_text", F.md5("embedding_text"))
 
 
 @query
 def search_batch_filtered(v: Views) -> DataFrame:
     """Limits, thresholds and text filters that differ from request to request."""
-    hits = search.search_batch(_space(v), v.filtered_requests, DIMENSIONS, blocks=False)
+    hits = search.search_batch(_space(v), v.filtered_requests, DIMENSIONS)
     return hits.select("query_id", "vector_rank", "id", "similarity")
 
 
@@ -483,6 +483,24 @@ def search_batch_blocks_filtered(v: Views) -> DataFrame:
     return hits.select("query_id", "vector_rank", "id", "similarity")
 
 
+def _pruned(v: Views, requests: DataFrame) -> DataFrame:
+    path, levels, work = (scratch_dir(v.spark, n) for n in ("blocks", "levels", "search"))
+    space = _space(v)
+    pruned.write_vector_blocks(space, path, levels, block_rows=64)
+    return pruned.search_pruned(space, pruned.VectorBlocks(v.spark, path), requests, DIMENSIONS, work)
+
+
+@query
+def search_pruned(v: Views) -> DataFrame:
+    """The requests of search_batch over stored blocks, of which those out of reach are left out."""
+    return _pruned(v, v.requests).withColumn("embedding_text", F.md5("embedding_text"))
+
+
+@query
+def search_pruned_filtered(v: Views) -> DataFrame:
+    return _pruned(v, v.filtered_requests).select("query_id", "vector_rank", "id", "similarity")
+
+
 @query
 def search_stored(v: Views) -> DataFrame:
     """One search over the stored table: one project's folder, then the row groups that hold the winners."""
@@ -920,23 +938,52 @@ def weekly_feedback_stats_streamed(v: Views) -> DataFrame:
 
 @query
 def stream_weekly_counts(v: Views) -> DataFrame:
-    """The feedback in four files, the newest first, a micro-batch each."""
+    """The feedback in four shares, the newest first, a run of the stream each."""
     source, path, checkpoint = (scratch_dir(v.spark, n) for n in ("feedback", "weekly", "weekly-checkpoint"))
     part = F.floor(F.datediff(F.lit(NOW.date()), F.to_date("created_at")) / 8).cast("int")
-    for i in range(4):  # days are dealt out to files by their age
-        v.feedback.filter(part.between(i, i) if i < 3 else part >= 3).coalesce(1).write.parquet(f"{source}/{i}")
-    stream = (
-        v.spark.readStream.schema(v.feedback.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
-    )
-    intake.write_weekly_counts(intake.stream_weekly_counts(stream), path, checkpoint).awaitTermination()
+    for i in range(4):  # days are dealt out by their age
+        v.feedback.filter(part.between(i, i) if i < 3 else part >= 3).write.parquet(f"{source}/{i}")
+        stream = v.spark.readStream.schema(v.feedback.schema).option("recursiveFileLookup", True).parquet(source)
+        intake.write_weekly_counts(intake.stream_weekly_counts(stream), path, checkpoint).awaitTermination()
     return intake.read_weekly_counts(v.spark, path)
 
 
+@query
+def stream_feedback_repeats(v: Views) -> DataFrame:
+    """Accepted submissions beside the stored rows, after all have been sent a second time to a stream that was started again."""
+    source, rejected, checkpoint = (scratch_dir(v.spark, n) for n in ("submissions", "rejected", "intake"))
+    table = _stored_feedback(v)
+    for time in ("first", "second"):
+        v.submissions.write.parquet(f"{source}/{time}")
+        stream = v.spark.readStream.schema(v.submissions.schema).option("recursiveFileLookup", True).parquet(source)
+        intake.stream_feedback_intake(stream, v.projects, table, rejected, checkpoint, repeats=True).awaitTermination()
+    return tables.read_feedback(v.spark, table).select("id", "project_id", "question", "username", micros("created_at"))
+
+
+@query
+def weekly_feedback_stats_maintained(v: Views) -> DataFrame:
+    """The report from kept counts, after late rows, a replay of them, and a day that was stored twice and taken out again."""
+    path, counts = (scratch_dir(v.spark, n) for n in ("feedback", "counts"))
+    late = F.col("question") == "about error"
+    tables.write_feedback(v.feedback.filter(~late), path, intake="first")
+    wrong = v.feedback.filter(F.col("created_at").cast("date") == F.lit(datetime(2024, 1, 10).date()))
+    tables.write_feedback(wrong, path, intake="wrong")
+    maintained.update_counts(v.spark, path, counts)
+    for _ in range(2):
+        tables.write_feedback(v.feedback.filter(late), path, "overwrite", "late")
+        maintained.update_counts(v.spark, path, counts)
+    folder = v.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{tables.DAY}=2024-01-10/{tables.INTAKE}=wrong")
+    folder.getFileSystem(v.spark._jsc.hadoopConfiguration()).delete(folder, True)
+    maintained.update_counts(v.spark, path, counts)
+    stored = tables.read_feedback(v.spark, path)
+    return maintained.weekly_feedback_stats_maintained(stored, maintained.read_counts(v.spark, counts), v.projects, WINDOW_START, WINDOW_END)
+
+
 # --- embedding, reranking, end to end
 
 
 def _embedded(v: Views, embedder: embed.Embedder) -> DataFrame:
-    return embed.embed_table(v.raw("documents").select("doc_id", "text"), "text", embedder)
+    return embed.embed_table(v.raw("documents").select("doc_id", "text"), "text", embedder, tasks=rerank.parallel_tasks(v.spark))
 
 
 def _cells(vectors_: DataFrame, key: str, column: str) -> DataFrame:
@@ -950,6 +997,19 @@ def embed_table(v: Views) -> DataFrame:
     return _cells(_embedded(v, embed.HashedTokens(DIMENSIONS)), "doc_id", "embedding")
 
 
+@query
+def embed_changed(v: Views) -> DataFrame:
+    """The English texts were embedded and stored before; the others, and of copies one, are embedded now."""
+    path = scratch_dir(v.spark, "embedded")
+    embedder, tasks = embed.HashedTokens(DIMENSIONS), rerank.parallel_tasks(v.spark)
+    rows = v.raw("documents").select("doc_id", "lang", "text", F.md5("text").alias("embedding_text_hash"))
+    embed.embed_table(rows.filter("lang = 'en'"), "text", embedder, tasks=tasks).write.parquet(path)
+    done = embed.embed_changed(rows, "text", embedder, v.spark.read.parquet(path), tasks=tasks)
+    return done.select("doc_id", "reused", F.posexplode_outer("embedding").alias("dim", "x")).select(
+        "doc_id", "reused", "dim", F.round(F.col("x").cast("double"), 9).alias("x")
+    )
+
+
 @query
 def resolve_embedder(v: Views) -> DataFrame:
     """The embedder found under another spelling of its name, not normalised, on every question."""
@@ -1015,7 +1075,7 @@ def rerank_batch(v: Views) -> DataFrame:
 def _answers(v: Views) -> plan.Answers:
     """Every document's whole text is embedded; the given vectors play no part."""
     embedder = embed.HashedTokens(DIMENSIONS)
-    documents = embed.embed_table(v.documents.drop("embedding"), "embedding_text", embedder)
+    documents = embed.embed_table(v.documents.drop("embedding"), "embedding_text", embedder, tasks=rerank.parallel_tasks(v.spark))
     return plan.code_search(_filtered_questions(v), v.projects, documents, v.models, embedder, rerank.Pointwise())
 
 
