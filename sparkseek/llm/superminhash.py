@@ -11,7 +11,8 @@ with independent minima. Once all places are taken after the ranks up to j, late
 3. Each class is verified with the smallest class of its buckets; links give first components.
 4. A bucket that lies in one component is done. In others, the classes outside of the bucket's largest component are verified with all
    of other components: in small buckets pair by pair, in larger ones by parts of bounded size, in tasks that return links
-   only. A bucket with the same members as another is opened once.
+   only. Buckets with the same largest component are opened as one, so that a large group of near copies, which most bands show
+   again, is moved once.
 5. Components of all links.
 
 Links are always verified on whole sets of 64-bit shingle hashes, of which two different ones agree with a chance of 2**-64.
@@ -223,7 +224,7 @@ def near_duplicates(
     )
     similar_size = "least(n, m) * 100 >= greatest(n, m) * " + str(percent)
 
-    # The smallest class of each bucket.
+    # Buckets of several classes, with the smallest class of each.
     banded = classes.select("class_id", "n", F.explode("bands").alias("key"))
     first = (
         banded.groupBy("key")
@@ -231,27 +232,24 @@ def near_duplicates(
         .filter("members > 1")
         .select("key", F.col("first.class_id").alias("a"), F.col("first.n").alias("m"))
     )
-    stars = banded.join(first, "key").filter("class_id <> a").filter(similar_size).select("a", F.col("class_id").alias("b")).distinct()
+    buckets = cut(banded.join(first, "key"))
+    stars = buckets.filter("class_id <> a").filter(similar_size).select("a", F.col("class_id").alias("b")).distinct()
     links = cut(verified(texts, cut(stars), words, percent))
     linked = components(links).withColumnRenamed("id", "class_id")
-    members = cut(
-        classes.join(linked, "class_id", "left").select("class_id", "n", F.coalesce("component", "class_id").alias("component"), "bands")
-    )
 
-    # Buckets of several components; of those with the same members, one.
-    placed = members.select("class_id", "n", "component", F.explode("bands").alias("key"))
-    counted = placed.groupBy("key", "component").agg(
-        F.count("*").alias("held"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("mark")
-    )
+    # Buckets of several components. Those with the same largest component are opened together: they share most members.
+    placed = cut(buckets.select("key", "class_id", "n").join(linked, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
     several = (
-        counted.groupBy("key")
-        .agg(F.sum("held").alias("held"), F.sum("mark").alias("mark"), F.max(F.struct("held", "component")).alias("largest"), F.count("*").alias("parts"))
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("held"))
+        .groupBy("key")
+        .agg(F.max(F.struct("held", "component")).alias("largest"), F.count("*").alias("parts"))
         .filter("parts > 1")
-        .groupBy("held", "mark")
-        .agg(F.min("key").alias("key"), F.first("largest.component").alias("main"))
+        .select("key", F.col("largest.component").alias("main"))
     )
-    opened = placed.join(several, "key").select("key", "class_id", "n", "component", "held", (F.col("component") != F.col("main")).alias("asks"))
-    opened = cut(opened)
+    grouped = placed.join(several, "key").select(F.col("main").alias("key"), "class_id", "n", "component").distinct()
+    opened = cut(grouped.withColumn("asks", F.col("component") != F.col("key")))
+    opened = opened.join(opened.groupBy("key").agg(F.count("*").alias("held")), "key")
     small = opened.filter(F.col("held") <= FEW)
     pairs = (
         small.join(small.select("key", F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "key")
@@ -262,7 +260,7 @@ def near_duplicates(
     )
     few = cut(verified(texts, cut(pairs), words, percent))
     many = cut(_opened(texts, opened.filter(F.col("held") > FEW), words, percent))
-    own = members.select(F.col("class_id").alias("a"), F.col("component").alias("b"))
+    own = classes.join(linked, "class_id", "left").select(F.col("class_id").alias("a"), F.coalesce("component", "class_id").alias("b"))
     found = components(own.unionAll(few).unionAll(many)).withColumnRenamed("id", "class_id")
 
     named = classes.select("n", "f", "g", "class_id").join(found, "class_id")
