@@ -39,6 +39,7 @@ SCALE = 1_000_000_000
 SMOOTHING = 2
 SEGMENT_TERMS = 4_096
 BLOCK_SOURCES = 32
+SALTS = 64
 #: Counts that a task gathers before it passes them on.
 GATHERED = 200_000
 #: The leaf beyond the last term of a segment.
@@ -240,6 +241,9 @@ def audit(
         .select("lang", "total", "blocks", F.coalesce("v", F.lit(0)).alias("v"))
         .withColumn("segments", F.greatest(F.lit(1), F.ceil(F.col("v") / SEGMENT_TERMS)).cast("int"))
     )
+    # Terms meet their language's numbers in `SALTS` shares, so that a large language is not one task's.
+    salted = langs.drop("total").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = kept.withColumn("salt", F.pmod(F.xxhash64("term", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
     segment = F.pmod(F.xxhash64("term"), F.col("segments")).cast("int")
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -247,14 +251,11 @@ def audit(
              "block", "source", "term", "n", "total", "v", "width"]
     none = F.lit(0).cast("long")
     cells = (
-        kept.drop("leading")
-        .join(langs.drop("total"), "lang")
-        .select("lang", segment.alias("segment"), block.alias("block"), "source", "term", "n", "total", none.alias("v"), none.alias("width"), other)
+        sized.select("lang", segment.alias("segment"), block.alias("block"), "source", "term", "n", "total", none.alias("v"), none.alias("width"), other)
         .select(*shown)
     )
     widths = (
-        kept.filter("leading")
-        .join(langs.select("lang", "segments"), "lang")
+        sized.filter("leading")
         .groupBy("lang", segment.alias("segment"))
         .agg(F.count("*").alias("width"))
     )
