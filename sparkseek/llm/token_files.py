@@ -1,8 +1,8 @@
 """Token ids of whole texts in grammar-compressed files.
 
 A shard holds the ids of consecutive documents, each ended by END_ID. Pairs of neighbouring ids
-that are frequent in the shard are replaced by nonterminals, and the result again, for a number of
-rounds (Re-Pair, many pairs a round). The shard keeps the rules, the number of ids that each symbol stands
+that are frequent in the shard are replaced by nonterminals, and the result again, until no pair is frequent
+any more (Re-Pair, many pairs a round). The shard keeps the rules, the number of ids that each symbol stands
 for, and where each document's symbols begin, so one document is decoded without the others.
 
 The files are Parquet, a row a shard, so they can lie wherever Spark reads and writes:
@@ -40,17 +40,16 @@ from sparkseek.llm.words import U64, flat, pieces, span_hashes
 
 END_ID = 2
 #: Ids of a shard, about; a document is never divided.
-SHARD_IDS = 2_000_000
-#: Rounds of replacement, pairs replaced in one round, and how often such a pair occurs at least.
-ROUNDS = 3
+SHARD_IDS = 1_000_000
+#: Pairs replaced in one round, and how often a pair occurs at least to be replaced.
 RULES_A_ROUND = 5_000
 LEAST_COUNT = 16
-#: Pairs are counted in 2**PAIR_BITS slots.
-PAIR_BITS = 18
+#: Slots of hashed pairs, 2**PAIR_BITS, that tell which pairs need counting.
+PAIR_BITS = 20
 #: Pre-tokens that a worker remembers before it starts anew.
-CACHED = 800_000
-#: Bytes of text that are encoded at once: larger than elsewhere, as each piece is merged with what is remembered.
-ENCODED_AT_ONCE = 2 << 20
+CACHED = 400_000
+#: Bytes of text that are encoded at once.
+ENCODED_AT_ONCE = 512 << 10
 
 FILE_SCHEMA = (
     "part int, chunk int, doc_ids array<long>, begins binary, rules binary, lengths binary, symbols binary, "
@@ -203,39 +202,49 @@ class Encoder:
         return out, out_begins
 
 
+def frequent_pairs(left: np.ndarray, right: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all pairs that occur `LEAST_COUNT` times, the index of each one's pair, and the pairs' counts.
+
+    Exact: a slot of hashed pairs holds at least as many as each of its pairs, so the pairs of smaller slots need no sorting.
+    """
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
+    held = np.bincount(slot[allowed], minlength=1 << PAIR_BITS) >= LEAST_COUNT
+    at = np.flatnonzero(allowed & held[slot])
+    _, which, counts = np.unique((left[at].astype(U64) << U64(32)) | right[at], return_inverse=True, return_counts=True)
+    often = counts >= LEAST_COUNT
+    chosen = often[which]
+    return at[chosen], (np.cumsum(often) - 1)[which[chosen]], counts[often]
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs of symbols) and the number of ids that each rule's symbol stands for.
 
-    No pair begins with a symbol that ends in END_ID, so none reaches over the end of a document.
+    Rounds go on until no pair occurs `LEAST_COUNT` times. No pair begins with a symbol that ends in END_ID, so none reaches over
+    the end of a document.
     """
     symbols = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
-    made, room = 0, max((1 << 16) - base, 0) or (1 << 16)
+    made = 0
     every = np.ones(base, np.uint32)
     closes = np.arange(base) == END_ID
-    for _ in range(ROUNDS):
+    while True:
         left, right = symbols[:-1], symbols[1:]
-        pair = (left.astype(U64) << U64(32)) | right if base + room > 1 << 16 else (left << np.uint32(16)) | right
-        slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
-        # Each slot counts one pair exactly: the last one that falls in it.
-        holds = np.zeros(1 << PAIR_BITS, pair.dtype)
-        holds[slot] = pair
-        same = (holds[slot] == pair) & ~closes[left]
-        counts = np.bincount(slot[same], minlength=1 << PAIR_BITS)
-        frequent = np.flatnonzero(counts >= LEAST_COUNT)
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[: min(RULES_A_ROUND, room - made)]]
-        if len(frequent) == 0:
+        matched, which, counts = frequent_pairs(left, right, ~closes[left])
+        if len(counts) == 0:
             break
-        rule_of = np.full(1 << PAIR_BITS, -1, np.int32)
-        rule_of[frequent] = np.arange(len(frequent))
-        matched = np.flatnonzero(same & (rule_of[slot] >= 0))
+        best = np.argsort(-counts, kind="stable")[:RULES_A_ROUND]
+        rule_of = np.full(len(counts), -1, np.int64)
+        rule_of[best] = np.arange(len(best))
+        matched, rule = matched[rule_of[which] >= 0], rule_of[which[rule_of[which] >= 0]]
+        pairs = np.zeros((len(best), 2), np.uint32)
+        pairs[rule] = np.stack([left[matched], right[matched]], axis=1)
         # Of pairs that overlap, every other one from the left.
         run = np.flatnonzero(np.r_[True, np.diff(matched) > 1])
         odd = (matched - np.repeat(matched[run], np.diff(np.r_[run, len(matched)]))) & 1
-        matched = matched[odd == 0]
-        rule = rule_of[slot[matched]]
-        pairs = np.zeros((len(frequent), 2), np.uint32)
-        pairs[rule] = np.stack([left[matched], right[matched]], axis=1)
+        matched, rule = matched[odd == 0], rule[odd == 0]
+        # A pair that always stood second in an overlap gets no rule.
+        used = np.bincount(rule, minlength=len(best)) > 0
+        rule, pairs = (np.cumsum(used) - 1)[rule], pairs[used]
         rules.append(pairs)
         lengths.append(every[pairs[:, 0]] + every[pairs[:, 1]])
         every, closes = np.r_[every, lengths[-1]], np.r_[closes, closes[pairs[:, 1]]]
@@ -244,7 +253,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         symbols = symbols.copy()
         symbols[matched] = (base + made + rule).astype(np.uint32)
         symbols = symbols[keep]
-        made += len(frequent)
+        made += len(pairs)
     return symbols, np.concatenate(rules), np.concatenate(lengths)
 
 
@@ -273,9 +282,17 @@ def _shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def document_ids(row: dict, k: int) -> np.ndarray:
-    """The ids of the k-th document of a shard, the end id included; other documents' symbols are not read."""
-    symbols, rules, lengths, begins = _shard(row)
-    return decompress(symbols[begins[k] : begins[k + 1]], rules, lengths, row["base"])
+    """The ids of the k-th document of a shard, the end id included; other documents' symbols and rules are not expanded."""
+    symbols, rules, _, begins = _shard(row)
+    found, base = symbols[begins[k] : begins[k + 1]].astype(np.uint32), row["base"]
+    while (made := found >= base).any():
+        size = 1 + made
+        first = np.cumsum(size) - size
+        wider = np.repeat(found, size)
+        pairs = rules[found[made] - base]
+        wider[first[made]], wider[first[made] + 1] = pairs[:, 0], pairs[:, 1]
+        found = wider
+    return found
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> None:

@@ -1,6 +1,7 @@
 """Word hashes, token files and their grammar against plain Python and the tokenizers library."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +144,21 @@ def test_no_documents_make_no_shard(spark):
     path = new_folder(spark, "test-tokens")
     t.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path())
     assert t.read_documents(spark, path).count() == 0
+
+
+def test_no_frequent_pair_is_left_and_counts_are_exact():
+    """Also where many pairs share a slot, and more rules than 16 bits name are needed."""
+    rng = np.random.default_rng(3)
+    base = 60_000
+    words = [rng.integers(10, base, rng.integers(2, 9)) for _ in range(2_500)]
+    ids = np.concatenate([np.r_[np.concatenate([words[i] for i in rng.integers(0, len(words), 30)]), t.END_ID] for _ in range(2_500)]).astype(np.int32)
+    symbols, rules, lengths = t.compress(ids, base)
+    assert (t.decompress(symbols, rules, lengths, base) == ids).all()
+    assert base + len(rules) > 1 << 16
+    closes = {t.END_ID}
+    for r, (_, right) in enumerate(rules.tolist()):
+        if right in closes:
+            closes.add(base + r)
+    pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+    assert max(n for (a, _), n in pairs.items() if a not in closes) < t.LEAST_COUNT
+    assert len(symbols) < len(ids) / 3
