@@ -5,8 +5,9 @@ known, is summed by path and by host. A host's posterior rate is shrunk toward t
 toward its host's, by as much as the rates of hosts, and of paths within hosts, vary beyond chance. A
 document's probability joins its own evidence with the posterior of its path, leaving its own share out.
 
-The classifier is a logistic regression on the words and beginnings of words that a text holds and on the shares of pairs of
-character shapes, fitted on a bounded sample of labelled rows. All else is grouped sums over all documents.
+The classifier is a logistic regression on the words and beginnings of words that a text holds and on the shares of pairs of character
+shapes, as far as they tell the label beyond chance, fitted on a bounded sample of labelled rows. Slope and shift of its log odds are set by
+parts of the sample that were left out. All else is grouped sums over all documents.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ SAMPLE_PER_VALUE = 2_000
 SHAPE_SCALE = 30.0
 #: Sampled texts that hold a word, below which it has no weight.
 LEAST_TEXTS = 3
+#: Parts of the sample that are left out in turn, to set the log odds by texts that no weight was fitted on.
+FOLDS = 5
 #: Toxicity from which a document is not kept; low, as a toxic document costs more than a lost one.
 TOXIC_FROM = 0.2
+#: Shares in which a site's documents are joined with its posterior.
+SALTS = 64
 #: Limits of a concentration, in documents.
 CONCENTRATION = (1.0, 10_000.0)
 
@@ -106,7 +111,7 @@ def fit(
     text_column: str = "text",
     per_value: int = SAMPLE_PER_VALUE,
     ridge: float = 1e-3,
-    steps: int = 250,
+    steps: int = 500,
 ) -> TextClassifier:
     """A classifier of the column `label` (0 or 1) of `labels`, by at most 2 * per_value sampled texts.
 
@@ -142,24 +147,101 @@ def fit(
     )
     feature = feature.astype(np.int64)
     row = np.repeat(np.arange(len(y)), [len(x) for x in seen.column("features").to_numpy()])
-    common = np.bincount(feature, minlength=FEATURES) >= LEAST_TEXTS
-    keep = common[feature]
-    feature, value, row = feature[keep], value[keep], row[keep]
+    w, b = regression(row, feature, value, y, ridge, steps)
+    slope, shift = calibration(*held_out_odds(row, feature, value, y, ridge, steps))
+    return TextClassifier((slope * w).astype(np.float32), float(slope * b + shift))
+
+
+def beyond_chance(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which features have a weight: those that tell the label better than the best of as many would by chance.
+
+    Words by the likelihood ratio of the texts of either label that hold them, shapes by the squared difference of their means in
+    standard errors; both against twice the logarithm of how many are tried.
+    """
+    n, n1 = len(y), (y == 1).sum()
+    sides = [(y[row] == label, size) for label, size in ((1, n1), (0, n - n1))]
+    held = [np.bincount(feature[side], minlength=FEATURES).astype(float) for side, _ in sides]
+    texts = held[0] + held[1]
+    ratio, gap, error = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    for times, (side, size), sign in zip(held, sides, (1, -1), strict=True):
+        for a, expected in ((times, texts * size / n), (size - times, size - texts * size / n)):
+            ratio += 2 * a * np.log(np.maximum(a, 1e-9) / np.maximum(expected, 1e-9))
+        mean = np.bincount(feature[side], value[side], minlength=FEATURES) / size
+        gap += sign * mean
+        error += (np.bincount(feature[side], value[side] ** 2, minlength=FEATURES) / size - mean**2) / size
+    ratio[WORD_SLOTS:] = (gap**2 / np.maximum(error, 1e-12))[WORD_SLOTS:]
+    chosen = texts >= LEAST_TEXTS
+    for part in (slice(0, WORD_SLOTS), slice(WORD_SLOTS, FEATURES)):
+        chosen[part] &= ratio[part] >= 2 * np.log(max(2, chosen[part].sum()))
+    return chosen
+
+
+def regression(
+    row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, ridge: float, steps: int
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression in which both labels weigh the same. Rows of `y` that are NaN take no part."""
+    used = ~np.isnan(y)
+    keep = used[row]
+    row, feature, value = (np.cumsum(used) - 1)[row[keep]], feature[keep], value[keep]
+    y = y[used]
+    chosen = beyond_chance(row, feature, value, y)
+    keep = chosen[feature]
+    places = np.cumsum(chosen) - 1
+    row, feature, value, size = row[keep], places[feature[keep]], value[keep], int(chosen.sum())
     balance = 0.5 / np.where(y == 1, (y == 1).sum(), (y == 0).sum())
 
     # Adam on the weighted loss with a ridge; the data are a few million numbers at most.
-    w, b = np.zeros(FEATURES), 0.0
-    m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
+    w, b = np.zeros(size), 0.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, steps + 1):
         logit = np.bincount(row, value * w[feature], minlength=len(y)) + b
         error = balance * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-        g = np.bincount(feature, value * error[row], minlength=FEATURES) + ridge * w
+        g = np.bincount(feature, value * error[row], minlength=size) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.99 * vb + 0.01 * error.sum() ** 2
         rate = 0.03 / (1 + step / 100)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-8)
-    return TextClassifier(np.where(common, w, 0).astype(np.float32), float(b))
+    whole = np.zeros(FEATURES)
+    whole[chosen] = w
+    return whole, b
+
+
+def held_out_odds(
+    row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, ridge: float, steps: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of sampled texts by regressions that have not seen them, and their labels; none if a label is too rare to be left out."""
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    if min((y == 1).sum(), (y == 0).sum()) < 2 * FOLDS:
+        return np.zeros(0), np.zeros(0)
+    found = np.zeros(len(y))
+    for k in range(FOLDS):
+        w, b = regression(row, feature, value, np.where(fold == k, np.nan, y), ridge, steps)
+        found[fold == k] = (np.bincount(row, value * w[feature], minlength=len(y)) + b)[fold == k]
+    return found, y
+
+
+def calibration(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make log odds of unseen texts true, against even odds; 1 and 0 without any. By Newton's method.
+
+    Labels count as a little less than sure, as if there were one more text of either label.
+    """
+    if not len(y):
+        return 1.0, 0.0
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = 0.5 / np.where(y == 1, n1, n0)
+    x = np.stack([logit, np.ones(len(y))])
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        slope = x @ (weight * (target - p)) - 1e-6 * at
+        curve = (x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        at += step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+    return float(max(at[0], 0.0)), float(at[1])
 
 
 def log_odds(documents: DataFrame, classifiers: dict[str, TextClassifier], text_column: str = "text") -> DataFrame:
@@ -230,8 +312,11 @@ def site_posteriors(evidence: DataFrame, share: str = "p") -> DataFrame:
 
 def with_posterior(evidence: DataFrame, logit: str, share: str, result: str) -> DataFrame:
     """The rows with `result`: the probability by the document's log odds and its path's posterior without itself."""
-    sites = site_posteriors(evidence, share=share)
-    joined = evidence.join(sites, ["host", "path"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sites = site_posteriors(evidence, share=share).withColumn("salt", salts)
+    # A site with a third of all rows meets its posterior in `SALTS` shares.
+    salted = evidence.withColumn("salt", F.pmod(F.xxhash64("doc_id", logit), F.lit(SALTS)).cast("int"))
+    joined = salted.join(sites, ["host", "path", "salt"]).drop("salt")
     others = (F.col("s") - F.col(share) + F.col("path_weight") * F.col("host_rate")) / (
         F.col("n") - 1 + F.col("path_weight")
     )

@@ -256,6 +256,62 @@ def test_sparse_paths_shrink_to_their_host_and_hosts_to_the_world(spark):
     assert 0 < found["a", "y"]["path_rate"] < found["a", "x"]["path_rate"]
 
 
+def plain_posteriors(rows):
+    """(host, path) -> (path_weight, host_rate, path_rate), group by group."""
+    paths, hosts = {}, {}
+    for host, path, p in rows:
+        for groups, key in ((paths, (host, path)), (hosts, host)):
+            n, s = groups.get(key, (0, 0.0))
+            groups[key] = n + 1, s + p
+
+    def worth(groups, centre_of, fixed):
+        n, s = sum(g[0] for g in groups.values()), sum(g[1] for g in groups.values())
+        noise = s / n * (1 - s / n)
+        scatter = sum(m * (t / m - centre_of(k)) ** 2 for k, (m, t) in groups.items())
+        spare = n - sum(m * m for m, _ in groups.values()) / n
+        between = (scatter - (len(groups) - fixed) * noise) / max(spare, 1e-9)
+        return max(1.0, min(10_000.0, noise / max(between, 1e-12) - 1))
+
+    rate = sum(p for *_, p in rows) / len(rows)
+    weight = worth(hosts, lambda _: rate, 1)
+    host_rate = {h: (s + weight * rate) / (n + weight) for h, (n, s) in hosts.items()}
+    path_weight = worth(paths, lambda k: hosts[k[0]][1] / hosts[k[0]][0], len(hosts))
+    return {k: (path_weight, host_rate[k[0]], (s + path_weight * host_rate[k[0]]) / (n + path_weight)) for k, (n, s) in paths.items()}
+
+
+def test_posteriors_equal_plain_ones(spark):
+    rng = random.Random(4)
+    rows = [(h := rng.choice("aaaabbc"), p := rng.choice("xyz"), float(rng.random() < (0.2 + 0.3 * (h == "a") + 0.2 * (p == "x")))) for _ in range(400)]
+    evidence = spark.createDataFrame([(i, *r, i / 100 - 2) for i, r in enumerate(rows)], "doc_id long, host string, path string, p double, logit double")
+    expected = plain_posteriors(rows)
+    found = site_quality.site_posteriors(evidence, "p").collect()
+    assert len(found) == len(expected)
+    for r in found:
+        assert (r["path_weight"], r["host_rate"], r["path_rate"]) == pytest.approx(expected[r["host"], r["path"]])
+    counts = {k: (sum(1 for r in rows if r[:2] == k), sum(r[2] for r in rows if r[:2] == k)) for k in expected}
+    for r in site_quality.with_posterior(evidence, "logit", "p", "result").collect():
+        weight, host_rate, _ = expected[r["host"], r["path"]]
+        n, s = counts[r["host"], r["path"]]
+        prior = min(max((s - r["p"] + weight * host_rate) / (n - 1 + weight), 1e-6), 1 - 1e-6)
+        assert r["result"] == pytest.approx(1 / (1 + math.exp(-r["logit"] - math.log(prior / (1 - prior)))))
+
+
+def test_words_beyond_chance_are_told_from_noise():
+    rng = np.random.default_rng(5)
+    y = (np.arange(400) < 40).astype(float)
+    rows, found = [], []
+    for text in range(400):
+        words = set(rng.integers(0, 500, 60)) | ({1000 + int(rng.integers(4))} if y[text] else set())
+        rows += [text] * len(words)
+        found += sorted(words)
+    row, feature = np.array(rows), np.array(found)
+    chosen = np.flatnonzero(site_quality.beyond_chance(row, feature, np.ones(len(row)), y))
+    assert {1000, 1001, 1002, 1003} <= set(chosen.tolist()) and len(chosen) <= 8
+    logit, label = site_quality.held_out_odds(row, feature, np.ones(len(row)), y, 1e-3, 200)
+    slope, shift = site_quality.calibration(logit, label)
+    assert slope > 0 and ((slope * logit + shift > 0) == (label == 1)).mean() > 0.98
+
+
 def test_odd_documents_and_labels(spark):
     documents = spark.createDataFrame(
         [(1, None, None, None), (2, "", "h", "p"), (2, "", "h", "p"), (3, "fine words", "h", None)],
