@@ -1,10 +1,15 @@
 """Secret scans with linking of multipart credentials.
 
 Plain patterns find assignments, access identifiers and long hexadecimal strings. Other parts of a
-credential are too weak to report on their own: a random-looking string, or an endpoint. Such a weak part is
-reported only when complementary parts co-occur: the parts of a text are joined by overlapping intervals,
-each part's interval reaching SCOPE characters to both sides within its paragraph, and a weak secret needs an access
-identifier in its interval, an endpoint a secret (weak or assigned) and an access identifier.
+credential are too weak to report on their own: a random-looking string, another identifier (of a temporary key, a user, a client), or an
+endpoint. Such a weak part is reported only when complementary parts co-occur. The parts of a text are joined by overlapping intervals,
+each part's interval reaching SCOPE characters to both sides within its paragraph:
+
+    weak_secret    with an access identifier, or another identifier
+    identifier     with a secret: an assigned one, or a random-looking string
+    endpoint       with a secret: an assigned one or a reported weak one; or a hexadecimal string that has an access identifier
+
+A random-looking string and an address alone vouch for nothing: both are frequent in clean text.
 
 Spans are in code points with the end left out. Scopes never reach over a document's end, so the
 interval join runs within each row and nothing is moved.
@@ -16,6 +21,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ SCOPE = 400
 #: Bits a character that a random-looking string has at least.
 LEAST_ENTROPY = 3.5
 
-ASSIGN, ACCESS, HEX, SECRET, ENDPOINT = KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
+ASSIGN, ACCESS, HEX, SECRET, ENDPOINT, NAMED = KINDS = ("assign", "access", "hex", "weak_secret", "endpoint", "identifier")
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 BASE_KINDS = KINDS[:3]
 
@@ -44,9 +50,14 @@ IDENTIFIER = re.compile(rb"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(rb"[0-9a-f]{24,}")
 WEAK = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 ADDRESS = re.compile(rb"""https?://[^\x00-\x20"'<>|]+|[a-z0-9.-]+\.[a-z]{2,6}:[0-9]{2,5}""")
+# Identifiers of temporary keys, groups, roles and users, and assigned names.
+OTHER = re.compile(
+    rb"""A(?:SIA|GPA|ROA|IDA|NPA)[A-Z0-9]{12,}|(?:user(?:name)?|login|client[_-]?id|key[_-]?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    re.IGNORECASE,
+)
 PARAGRAPH = re.compile(rb"\n[\x20\t\r]*\n")
-#: A text without any of these has no base span, and so no access identifier to link.
-HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}"
+#: A text without any of these has no base span and no identifier, and so nothing to link.
+HINT = r"(?i:password|passwd|secret|token|api_?key|user|login|client|key[_-]?id|account|A(?:SIA|GPA|ROA|IDA|NPA)[A-Z0-9]{12})|AKIA[A-Z0-9]|[0-9a-f]{24}"
 
 SPAN = T.StructType(
     [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
@@ -73,21 +84,30 @@ def random_looking(text: bytes) -> bool:
     return all(kinds) and entropy(text) >= LEAST_ENTROPY
 
 
-def linked_spans(text: bytes, base: list[tuple[str, int, int]], places: np.ndarray, scope: int) -> list[tuple[str, int, int]]:
-    """The weak parts that have their complements in reach; places are the code points of bytes."""
-    access = [(a, b) for kind, a, b in base if kind == ACCESS]
-    if not access:
-        return []
-    taken = sorted((a, b) for _, a, b in base)
+def weak_parts(text: bytes, base: list[tuple[str, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """The candidates of each weak kind that no plain span, and no identifier, covers a part of."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    taken = [(a, b) for _, a, b in base]
+    for kind, pattern in ((NAMED, OTHER), (SECRET, WEAK), (ENDPOINT, ADDRESS)):
+        taken.sort()
+        starts = [a for a, _ in taken]
+        furthest = list(accumulate((b for _, b in taken), max))
+        spans = [m.span() for m in pattern.finditer(text) if kind != SECRET or random_looking(m.group())]
+        before = [bisect.bisect_left(starts, b) for _, b in spans]
+        found[kind] = [(a, b) for (a, b), i in zip(spans, before, strict=True) if not i or furthest[i - 1] <= a]
+        if kind == NAMED:
+            taken += found[kind]
+    return found
 
-    def free(a: int, b: int) -> bool:
-        i = bisect.bisect_left(taken, (b, -1))
-        return not any(y > a for _, y in taken[max(0, i - len(KINDS)) : i])
 
+def linked_spans(text: bytes, base: list[tuple[str, int, int]], places: np.ndarray, scope: int) -> list[tuple[str, int, int]]:
+    """The weak parts that have their complements in reach; places are the code points of bytes."""
+    weak = weak_parts(text, base)
+    of = lambda kind: [(a, b) for k, a, b in base if k == kind]
     breaks = [m.start() for m in PARAGRAPH.finditer(text)]
 
-    def joined(parts: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[bool]:
-        """Whether each part has one of the others within scope and in its paragraph: a sweep over both, sorted."""
+    def with_one_of(parts: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The parts that have one of the others within scope and in their paragraph: a sweep over both, sorted."""
         others = sorted(others)
         starts = [places[a] for a, _ in others]
         widest = max((int(places[b] - places[a]) for a, b in others), default=0)
@@ -96,29 +116,19 @@ def linked_spans(text: bytes, base: list[tuple[str, int, int]], places: np.ndarr
             lo = bisect.bisect_left(starts, places[a] - scope - widest)
             hi = bisect.bisect_right(starts, places[b] + scope)
             paragraph = bisect.bisect_right(breaks, a)
-            near.append(
-                any(
-                    places[y] + scope >= places[a] and bisect.bisect_right(breaks, x) == paragraph
-                    for x, y in others[lo:hi]
-                    if (x, y) != (a, b)
-                )
-            )
+            if any(places[y] + scope >= places[a] and bisect.bisect_right(breaks, x) == paragraph for x, y in others[lo:hi]):
+                near.append((a, b))
         return near
 
-    weak = [m.span() for m in WEAK.finditer(text) if free(*m.span()) and random_looking(m.group())]
-    weak = [part for part, ok in zip(weak, joined(weak, access), strict=True) if ok]
-    secrets = weak + [(a, b) for kind, a, b in base if kind != ACCESS]
-    ends = [m.span() for m in ADDRESS.finditer(text) if free(*m.span())]
-    both = zip(joined(ends, access), joined(ends, secrets), strict=True)
-    ends = [part for part, oks in zip(ends, both, strict=True) if all(oks)]
-    return [(SECRET, *s) for s in weak] + [(ENDPOINT, *s) for s in ends]
+    secrets = with_one_of(weak[SECRET], of(ACCESS) + weak[NAMED])
+    named = with_one_of(weak[NAMED], of(ASSIGN) + weak[SECRET])
+    ends = with_one_of(weak[ENDPOINT], of(ASSIGN) + secrets + with_one_of(of(HEX), of(ACCESS)))
+    return [(kind, *s) for kind, spans in ((SECRET, secrets), (ENDPOINT, ends), (NAMED, named)) for s in spans]
 
 
 def text_spans(text: bytes, scope: int = SCOPE) -> list[tuple[str, int, int]]:
     """All spans of a text, in code points, by start, then kind."""
     base = base_spans(text)
-    if not base:
-        return []
     raw = np.frombuffer(text, np.uint8)
     places = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
     found = base + linked_spans(text, base, places, scope)
@@ -129,7 +139,7 @@ def text_spans(text: bytes, scope: int = SCOPE) -> list[tuple[str, int, int]]:
 def find_secrets(documents: DataFrame, text_column: str = "text", scope: int = SCOPE) -> DataFrame:
     """The documents with `secrets`, an array of (kind, start, end); whole texts, one row for each row.
 
-    Kinds: assign, access and hex by plain patterns; weak_secret and endpoint only where complementary parts
+    Kinds: assign, access and hex by plain patterns; weak_secret, endpoint and identifier only where complementary parts
     co-occur within `scope` code points and a paragraph. A null or empty text has none. A given column
     of that name is replaced.
     """

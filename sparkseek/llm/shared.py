@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Slots of a key filter: 2**22 bits are half a megabyte in every task, whatever the number of keys.
 FILTER_SLOTS = 1 << 22
-#: Rows of text that a Python worker is handed at once.
+#: Rows of text, and bytes of them, that a Python worker is handed at once.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,13 +37,17 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def small_batches(frame: DataFrame) -> DataFrame:
-    """The same rows; from now on the session hands at most BATCH_ROWS rows at once to Python workers.
+    """The same rows; from now on the session hands Python workers at most BATCH_ROWS rows or about BATCH_BYTES at once.
 
-    Texts are long: the usual 10,000 rows would be some tens of MB, several times over in each worker.
+    Texts are long: Spark's own limits, 10,000 rows or 64 MB, would be held several times over in each worker. The settings stay, as rows
+    are made only later; lower ones of the caller are left as they are. A single text is never divided.
     """
     conf = frame.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return frame
 
 

@@ -359,7 +359,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     start counts the ids of all documents before it; ids_crc32 is the checksum of the document's ids as
     little-endian unsigned 32-bit integers. Decoded a shard at a time; only narrow rows are moved.
     """
-    shards = spark.read.schema(FILE_SCHEMA).parquet(path)
+    shards = small_batches(spark.read.schema(FILE_SCHEMA).parquet(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -365,6 +365,52 @@ def test_weak_parts_need_their_complements(spark):
     assert found[6] == [[]] and found[7] == [[], []]
 
 
+WEAK_PARTS = [
+    KEY, "ASIA" + "B3" * 8, "q8Zk3LmN0pQr7StUvW2x", "A1b2C3d4E5f6G7h8I9j0Kq", "https://vault.example.com/v1", "db.example.org:5432", "user: anna",
+    "client_id=abc-9", "password=hunter22", "0123456789abcdef" * 2, "word", "é", "\n\n", "\n \n", " ", " " * 60, "password=" + "deadbeef" * 4,
+]
+
+
+def plain_links(text, scope):
+    """(kind, start, end) of linked weak parts, every part tried against every other."""
+    base = plain.base_spans(text)
+    free = lambda a, b, taken: all(y <= a or x >= b for _, x, y in taken)
+    spans = lambda p: [tuple(len(text.encode()[:i].decode()) for i in m.span()) for m in p.finditer(text.encode())]
+    named = [("identifier", a, b) for a, b in spans(secrets.OTHER) if free(a, b, base)]
+    taken = base + named
+    weak = [("weak_secret", a, b) for a, b in spans(secrets.WEAK) if secrets.random_looking(text[a:b].encode()) and free(a, b, taken)]
+    ends = [("endpoint", a, b) for a, b in spans(secrets.ADDRESS) if free(a, b, taken)]
+    paragraph = lambda i: sum(m.start() < len(text[:i].encode()) or m.start() == len(text[:i].encode()) for m in secrets.PARAGRAPH.finditer(text.encode()))
+
+    def near(x, others):
+        return any(y[1] <= x[2] + scope and y[2] + scope >= x[1] and paragraph(x[1]) == paragraph(y[1]) for y in others)
+
+    access, assign, hexes = ([s for s in base if s[0] == k] for k in secrets.BASE_KINDS[1::-1] + secrets.BASE_KINDS[2:])
+    told = [x for x in weak if near(x, access + named)]
+    found = told + [x for x in named if near(x, assign + weak)]
+    return sorted(found + [x for x in ends if near(x, assign + told + [h for h in hexes if near(h, access)])])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(WEAK_PARTS), max_size=14).map(" ".join), st.sampled_from([5, 40, 400]))
+def test_links_equal_those_of_all_pairs_of_parts(text, scope):
+    found = [s for s in secrets.text_spans(text.encode(), scope) if s[0] not in secrets.BASE_KINDS]
+    assert sorted(found) == plain_links(text, scope)
+
+
+def test_any_complementary_kinds_link():
+    kinds = lambda text: sorted(s[0] for s in secrets.text_spans(text.encode()))
+    weak, url = "q8Zk3LmN0pQr7StUvW2x", "https://vault.example.com/v1"
+    assert kinds(f"password=hunter22 at {url}") == ["assign", "endpoint"]
+    assert kinds(f"ASIA{'B3' * 8} {weak} {url}") == ["endpoint", "identifier", "weak_secret"]
+    assert kinds(f"user: anna password: hunter22") == ["assign", "identifier"]
+    assert kinds(f"{'0a' * 20} {url}") == ["hex"] and kinds(f"{KEY} {'0a' * 20} {url}") == ["access", "endpoint", "hex"]
+    assert kinds(f"user: anna {url}") == [] == kinds(f"ASIA{'B3' * 8}")
+    # Inside of a long assignment with many hexadecimal spans, nothing is reported again.
+    inside = "password=" + "+".join(["0123456789abcdef" * 2] * 7) + "+" + weak
+    assert "weak_secret" not in kinds(f"{inside} {KEY}")
+
+
 def test_digest_of_all_documents(spark):
     documents = table(spark, "documents").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
