@@ -12,13 +12,12 @@ at once from their roots; a pair of nodes that is met again is priced once.
 3. Sums of the segments are ranked by source.
 
 Probabilities are integers, p = 1 + floor(10**9 * (count + 2) / (N + 2 * V)); a term is worth floor((p - q)**2 / (p + q)).
-All of it is exact as long as a language has fewer than 9 * 10**15 occurrences.
+All of it is exact as long as a language has fewer than 9 * 10**15 occurrences; while they are counted, terms go by 64-bit hashes, of
+which two agree with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.llm.shared import new_folder, small_batches
-from sparkseek.llm.words import LOWER, flat, pieces
+from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, span_hashes, word_spans
 
-#: Runs of letters A-Z, a-z and of all code points from U+0080 on; in UTF-8, those are the bytes from 0x80 on.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Terms are runs of letters A-Z, a-z and of all code points from U+0080 on; in UTF-8, those are the bytes from 0x80 on.
+TERM_BYTE = np.zeros(256, bool)
+TERM_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+TURN = U64(0xA24BAED4963EE407)
 #: A language keeps the terms of at least so many of its documents.
 LEAST_DOCUMENTS = 10
 #: Terms that are reported of each source.
@@ -40,8 +41,9 @@ SMOOTHING = 2
 SEGMENT_TERMS = 4_096
 BLOCK_SOURCES = 32
 SALTS = 64
-#: Counts that a task gathers before it passes them on.
-GATHERED = 200_000
+#: Counts that a task gathers before it passes them on, and terms of a batch.
+GATHERED = 1_500_000
+SHOWN_AT_ONCE = 20_000
 #: The leaf beyond the last term of a segment.
 NO_TERM = -1
 
@@ -49,44 +51,72 @@ COUNT_SCHEMA = "lang string, term string, docs long, sources array<string>, coun
 ROW_SCHEMA = "lang string, source string, part string, item string, value long"
 
 
+class _Terms:
+    """Counts of (group, term) that a task has gathered, with the bytes of each term; terms go by 64-bit hashes."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[pa.Array] = []
+        self.rows = 0
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        data, begins = flat(piece.column("text"))
+        data = np.where(TERM_BYTE[data], LOWER[data], np.uint8(0x20))
+        starts, ends, firsts = word_spans(data, begins)
+        places = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist(), strict=True)
+        group = np.array([self.groups.setdefault(x, len(self.groups)) for x in places], np.int64)
+        hashes = span_hashes(data, starts, ends)
+        doc = np.repeat(np.arange(len(begins) - 1), np.diff(firsts))
+        # Different terms of each document, then of each group.
+        _, first, n = np.unique(mix(hashes + doc.astype(U64) * TURN), return_index=True, return_counts=True)
+        group, hashes = group[doc[first]], hashes[first]
+        _, at, which = np.unique(mix(hashes + group.astype(U64) * TURN), return_index=True, return_inverse=True)
+        size = (ends - starts)[first[at]]
+        upto = np.cumsum(size)
+        letters = data[np.repeat(starts[first[at]] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        offsets = pa.py_buffer(np.r_[0, upto].astype(np.int64).tobytes())
+        self.texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(letters.tobytes())]))
+        self.held.append((group[at], hashes[at], np.bincount(which, weights=n).astype(np.int64), np.bincount(which)))
+        self.rows += len(at)
+
+    def shown(self) -> Iterator[pa.RecordBatch]:
+        """(lang, term, docs, sources, counts) of what is held, which is then forgotten."""
+        if self.rows:
+            group, hashes, n, docs = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            _, at, which = np.unique(mix(hashes + group.astype(U64) * TURN), return_index=True, return_inverse=True)
+            n, docs = (np.bincount(which, weights=x).astype(np.int64) for x in (n, docs))
+            names = list(self.groups)
+            langs: dict[str, int] = {}
+            lang_of = np.array([langs.setdefault(lang, len(langs)) for lang, _ in names])
+            group, lang = group[at], lang_of[group[at]]
+            order = np.lexsort((hashes[at], lang))
+            first = np.flatnonzero(np.r_[True, (np.diff(lang[order]) != 0) | (np.diff(hashes[at][order]) != 0)])
+            sources = pa.array([source for _, source in names], pa.string()).take(pa.array(group[order]))
+            texts = pa.chunked_array(self.texts).combine_chunks()
+            offsets = np.r_[first, len(order)].astype(np.int32)
+            columns = [
+                pa.array(list(langs), pa.string()).take(pa.array(lang[order][first])),
+                texts.take(pa.array(at[order][first])).cast(pa.large_string()).cast(pa.string()),
+                pa.array(np.add.reduceat(docs[order], first)),
+                pa.ListArray.from_arrays(pa.array(offsets), sources),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[order])),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "sources", "counts"])
+            for begin in range(0, whole.num_rows, SHOWN_AT_ONCE):
+                yield whole.slice(begin, SHOWN_AT_ONCE)
+        self.__init__()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, docs, sources, counts) of the texts of a task, in shares of bounded size."""
-
-    def shown(terms: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-        for lang, of_lang in terms.items():
-            names = [list(x) for x in of_lang.values()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(of_lang), pa.string()),
-                    pa.array(list(of_lang), pa.binary()).cast(pa.string()),
-                    pa.array([docs[lang][t] for t in of_lang], pa.int64()),
-                    pa.array(names, pa.list_(pa.string())),
-                    pa.array([list(x.values()) for x in of_lang.values()], pa.list_(pa.int64())),
-                ],
-                names=["lang", "term", "docs", "sources", "counts"],
-            )
-
-    terms, docs, held = defaultdict(lambda: defaultdict(dict)), defaultdict(Counter), 0
+    terms = _Terms()
     for batch in batches:
         for piece in pieces(batch):
-            data, begins = flat(piece.column("text"))
-            data = LOWER[data].tobytes()
-            places = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist(), begins[:-1], begins[1:], strict=True)
-            for lang, source, begin, end in places:
-                found = Counter(map(re.Match.group, TERM.finditer(data, begin, end)))
-                docs[lang].update(found.keys())
-                of_lang = terms[lang]
-                for term, n in found.items():
-                    counts = of_lang[term]
-                    if source in counts:
-                        counts[source] += n
-                    else:
-                        counts[source] = n
-                        held += 1
-            if held >= GATHERED:
-                yield from shown(terms, docs)
-                terms, docs, held = defaultdict(lambda: defaultdict(dict)), defaultdict(Counter), 0
-    yield from shown(terms, docs)
+            terms.add(piece)
+            if terms.rows >= GATHERED:
+                yield from terms.shown()
+    yield from terms.shown()
 
 
 def kept_counts(texts: DataFrame) -> DataFrame:
