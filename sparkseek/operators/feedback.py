@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions import filters
@@ -137,16 +137,21 @@ def export_rows(
     return feedback_with_project(inside, projects).select(*EXPORT_COLUMNS).orderBy("created_at", "id")
 
 
-def export_text(rows: DataFrame, zone: str | None = None) -> DataFrame:
-    """Export rows with every column as the CSV shows it."""
-    return rows.select(
-        "id",
-        "project_id",
-        "project_name",
-        "question",
+def text_columns(zone: str | None = None) -> list[Column]:
+    """The columns of ``export_rows`` as the CSV shows them."""
+    return [
+        F.col("id"),
+        F.col("project_id"),
+        F.col("project_name"),
+        F.col("question"),
         bool_text(F.col("useful")).alias("useful"),
         json_numbers(F.col("similarities")).alias("similarities"),
-        "reason",
-        "username",
+        F.col("reason"),
+        F.col("username"),
         created_at_text(F.col("created_at"), zone).alias("created_at"),
-    )
+    ]
+
+
+def export_text(rows: DataFrame, zone: str | None = None) -> DataFrame:
+    """Export rows with every column as the CSV shows it."""
+    return rows.select(*text_columns(zone))

@@ -55,6 +55,57 @@ def read_feedback(
     return rows
 
 
+ID_FOLDER = "id_folder"
+PROJECT_FOLDERS = 64
+
+
+def _in_folders(projects: DataFrame, folders: int) -> DataFrame:
+    return projects.withColumn(ID_FOLDER, F.pmod(F.xxhash64("id"), F.lit(folders)).cast("int"))
+
+
+def _write_folders(rows: DataFrame, path: str, mode: str) -> None:
+    (
+        rows.hint("rebalance", ID_FOLDER)
+        .sortWithinPartitions(ID_FOLDER, "id")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(ID_FOLDER)
+        .parquet(path)
+    )
+
+
+def write_projects(projects: DataFrame, path: str, folders: int = PROJECT_FOLDERS) -> None:
+    """Store projects in folders by a hash of their ids, so that changes rewrite only the folders that they touch."""
+    _write_folders(_in_folders(projects, folders), path, "errorifexists")
+
+
+def read_stored_projects(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``write_projects``, as ``read_projects`` gives it."""
+    return read_projects(spark, path).filter(F.col("id").isNotNull())
+
+
+def store_project_changes(before: DataFrame, after: DataFrame, path: str, work: str, folders: int = PROJECT_FOLDERS) -> int:
+    """Makes the stored table ``after`` where it is ``before`` (both whole tables); returns how many folders are rewritten.
+
+    Folders without a new, changed or deleted project keep their files. The rows of the others are put together in the folder ``work`` and then
+    replace them, so a change that is repeated after a failure leaves the same table. A folder whose last project goes keeps a row
+    without an id, which reading leaves out.
+    """
+    spark = after.sparkSession
+    names = [c for c in after.columns if c != "id"]
+    sides = [t.select("id", F.struct(*names).alias(side)) for t, side in ((before, "_before"), (after, "_after"))]
+    differ = sides[0].join(sides[1], "id", "full").filter(~F.col("_before").eqNullSafe(F.col("_after")))
+    touched = _in_folders(differ, folders).select(ID_FOLDER).distinct()
+    found = touched.toArrow()[ID_FOLDER].to_pylist()  # as many as there are folders at most
+    if not found:
+        return 0
+    rows = _in_folders(after, folders).filter(F.col(ID_FOLDER).isin(found))
+    empty = spark.createDataFrame([(f,) for f in found], f"{ID_FOLDER} int").join(rows.select(ID_FOLDER).distinct(), ID_FOLDER, "left_anti")
+    rows.unionByName(empty, allowMissingColumns=True).write.parquet(work)
+    _write_folders(spark.read.schema(rows.schema).parquet(work), path, "overwrite")
+    return len(found)
+
+
 def write_code_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Store documents by project, sorted by id so that a search for few ids skips row groups.
 

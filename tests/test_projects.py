@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import rules, scalars
 from sparkseek.operators import constraints, projects, validate
 from sparkseek.plans.code_search import complete_requests
+from sparkseek.sources import tables
 from tests.conftest import at, tuples
 
 PROJECT = "id long, name string, git_url string, git_raw_url string, created_at timestamp"
@@ -200,3 +201,31 @@ def test_project_name_filter():
 @pytest.mark.parametrize("text,value", [("7", 7), (" 7 ", 7), ("+7", 7), ("0", None), ("-1", None), ("7.0", None), ("x", None), ("", None), (None, None), ("9223372036854775807", 2**63 - 1), ("9223372036854775808", None)])
 def test_positive_id(spark, text, value):
     assert spark.createDataFrame([(text,)], "t string").select(scalars.positive_id(F.col("t"))).first()[0] == value
+
+
+def test_changes_rewrite_only_the_folders_they_touch(spark, tmp_path):
+    made = F.lit(at("2024-01-01")).cast("timestamp").alias("created_at")
+    none = [F.lit(None).cast("string").alias(c) for c in ("git_url", "git_raw_url")]
+    first = spark.range(1, 61).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), *none, made)
+    path = str(tmp_path / "projects")
+    tables.write_projects(first, path, folders=16)
+
+    def files():
+        return {str(f) for f in (tmp_path / "projects").glob("id_folder=*/*.parquet")}
+
+    def store(after, work):
+        return tables.store_project_changes(tables.read_stored_projects(spark, path), after, path, str(tmp_path / work), folders=16)
+
+    now, kept = tables.read_stored_projects(spark, path), files()
+    assert store(now.limit(100), "none") == 0 and files() == kept
+    renamed = now.withColumn("name", F.when(F.col("id") == 7, "other").otherwise(F.col("name")))
+    assert store(renamed.filter("id <> 9"), "some") <= 2
+    assert len(kept - files()) <= 2 and len(kept & files()) >= len(kept) - 2
+    names = {r["id"]: r["name"] for r in tables.read_stored_projects(spark, path).collect()}
+    assert names == {i: "other" if i == 7 else f"p{i}" for i in range(1, 61) if i != 9}
+    # Every project of a folder goes, and one comes back.
+    gone = tables.read_stored_projects(spark, path).filter("id = 7")
+    store(gone, "most")
+    assert [r["id"] for r in tables.read_stored_projects(spark, path).collect()] == [7]
+    assert store(tables.read_stored_projects(spark, path).unionByName(first.filter("id = 30")), "back") == 1
+    assert sorted(r["id"] for r in tables.read_stored_projects(spark, path).collect()) == [7, 30]

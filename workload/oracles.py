@@ -8,6 +8,9 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, body: str, *views: str) -> None:
+    """A body that begins with tables of its own has them after the views."""
+    if views and body.startswith("WITH "):
+        body = ", " + body.removeprefix("WITH ")
     ORACLES[name] = with_views(body, *views)
 
 
@@ -101,6 +104,21 @@ oracle(
         FROM inside f JOIN projects p ON p.id = f.project_id""",
     "inside", "projects",
 )
+QUOTED = "CASE WHEN regexp_matches({0}, '[,\"\r\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE coalesce({0}, '') END"
+EXPORT_LINE = " || ',' || ".join(
+    [
+        "f.id", "project_id", *[QUOTED.format(c) for c in ("name", "question")], "CASE WHEN useful THEN 'True' ELSE 'False' END",
+        QUOTED.format(f"""('[' || {NUMBER.format("similarities[1]")} || ',' || {NUMBER.format("similarities[2]")} || ']')"""),
+        *[QUOTED.format(c) for c in ("reason", "username")], instant("f.created_at", "America/Sao_Paulo"),
+    ]
+)
+oracle(
+    "export_feedback_parts",
+    f"""SELECT CAST(0 AS BIGINT) AS place, 'id,project_id,project_name,question,useful,similarities,reason,username,created_at' AS line
+        UNION ALL
+        SELECT row_number() OVER (ORDER BY f.created_at, f.id), {EXPORT_LINE} FROM inside f JOIN projects p ON p.id = f.project_id""",
+    "inside", "projects",
+)
 oracle(
     "write_weekly_json",
     """SELECT CAST(week_start AS VARCHAR) AS week_start, CAST(week_start + 6 AS VARCHAR) AS week_end, project_id, project_name,
@@ -117,8 +135,43 @@ oracle(
     "feedback",
 )
 
+oracle(
+    "check_new_rows",
+    """WITH batch AS (
+         SELECT * REPLACE (
+           CASE WHEN namespace IS NULL THEN 'doc-' || id ELSE document_id END AS document_id,
+           CASE WHEN source_file IS NULL THEN project_id + 1000 ELSE project_id END AS project_id)
+         FROM docs WHERE kind = 'es'),
+       later AS (SELECT * REPLACE (CASE WHEN useful THEN id ELSE id + 1 END AS id) FROM feedback WHERE question = 'about error'),
+       every AS (SELECT id, document_id, embedding_model_id FROM docs WHERE kind <> 'es' UNION ALL SELECT id, document_id, embedding_model_id FROM batch),
+       rows AS (SELECT id FROM feedback WHERE question <> 'about error' UNION ALL SELECT id FROM later)
+       SELECT 'code_documents' AS "table", 'unique (document_id, embedding_model_id)' AS "constraint",
+              document_id || '|' || embedding_model_id AS "key", COUNT(*) AS violations
+       FROM every GROUP BY document_id, embedding_model_id HAVING COUNT(*) > 1
+       UNION ALL
+       SELECT 'code_documents', 'foreign key (project_id)', CAST(project_id AS VARCHAR), COUNT(*) FROM batch
+       WHERE project_id NOT IN (SELECT id FROM projects) GROUP BY project_id
+       UNION ALL
+       SELECT 'code_documents', 'not null', 'embedding', COUNT(*) FROM batch WHERE embedding IS NULL HAVING COUNT(*) > 0
+       UNION ALL
+       SELECT 'code_query_feedback', 'primary key (id)', CAST(id AS VARCHAR), COUNT(*) FROM rows GROUP BY id HAVING COUNT(*) > 1""",
+    "docs", "feedback", "projects",
+)
+
 # --- predicates
 
+oracle(
+    "match_patterns",
+    r"""WITH words AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+       patterns AS (
+         SELECT item_id * 10 AS pattern_id, '%' || w[2][1:4] || '%' AS pattern FROM words
+         UNION ALL SELECT item_id * 10 + 1, '%' || upper(w[3]) || ' ' || w[4] || '%' FROM words
+         UNION ALL SELECT item_id * 10 + 2, '%' || w[3][1:2] || '_' || w[5][1:1] || '%' FROM words
+         UNION ALL SELECT item_id * 10 + 3, w[1][1:1] || '%' FROM words
+         UNION ALL SELECT item_id * 10 + 4, CASE item_id % 4 WHEN 0 THEN '%' WHEN 1 THEN '%\%%' END FROM words)
+       SELECT pattern_id, doc_id AS id FROM patterns JOIN documents ON text ILIKE pattern ESCAPE '\'""".replace("\\\\", "\\"),
+)
+
 
 def where(name: str, condition: str) -> None:
     oracle(name, f"SELECT id, project_id, kind, namespace, type_name FROM docs WHERE {condition}", "docs")
@@ -547,6 +600,9 @@ oracle(
     f"SELECT id, name FROM projects WHERE id NOT IN (SELECT project_id FROM ({DELETED}) WHERE error_code IS NULL)",
     "projects", "docs", "feedback",
 )
+for stored, changed in (("new", "create"), ("replaced", "replace")):
+    ORACLES[f"store_{stored}_projects"] = ORACLES[f"{changed}_projects"]
+ORACLES["store_without_deleted_projects"] = ORACLES["delete_projects"]
 oracle("delete_projects_outcomes", DELETED, "projects", "docs", "feedback")
 WINDOWS = """
     SELECT user_id, CASE WHEN user_id % 5 = 0 THEN last WHEN user_id % 5 <> 1 THEN early END AS start_date,

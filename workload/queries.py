@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import filters, replies, scalars, vectors
-from sparkseek.operators import constraints, embed, feedback, maintained, projects, pruned, rerank, search, validate
+from sparkseek.operators import constraints, embed, feedback, maintained, patterns, projects, pruned, rerank, search, validate
 from sparkseek.plans import code_search as plan
 from sparkseek.sources import sinks, tables
 from sparkseek.streaming import feedback_intake as intake
@@ -111,6 +111,27 @@ def check_constraints(v: Views) -> DataFrame:
     )
 
 
+@query
+def check_new_rows(v: Views) -> DataFrame:
+    """The tables' keys kept but for those of Spanish documents and error reports, which come as a batch with flaws: some documents have
+    names of stored ones or moved to projects and models that do not exist, some feedback has ids of stored rows."""
+    path = scratch_dir(v.spark, "keys")
+    documents, rows = v.documents, v.feedback
+    new_document, new_row = F.col("kind") == "es", F.col("question") == "about error"
+    constraints.store_keys(
+        {"projects": v.projects, "embedding_models": v.models, "code_documents": documents.filter(~new_document), "code_query_feedback": rows.filter(~new_row)},
+        path,
+    )
+    batch = documents.filter(new_document).withColumns(
+        {
+            "document_id": F.when(F.col("namespace").isNull(), F.concat(F.lit("doc-"), F.col("id").cast("string"))).otherwise(F.col("document_id")),
+            "project_id": F.when(F.col("source_file").isNull(), F.col("project_id") + 1000).otherwise(F.col("project_id")),
+        }
+    )
+    later = rows.filter(new_row).withColumn("id", F.when(F.col("useful"), F.col("id")).otherwise(F.col("id") + 1))
+    return constraints.check_new_rows({"code_documents": batch, "code_query_feedback": later}, path)
+
+
 @query
 def append_feedback(v: Views) -> DataFrame:
     """Accepted submissions appended to all stored feedback."""
@@ -138,6 +159,19 @@ def export_feedback_csv(v: Views) -> DataFrame:
     return sinks.read_feedback_csv(v.spark, path, EXPORT_TEXT_SCHEMA)
 
 
+@query
+def export_feedback_parts(v: Views) -> DataFrame:
+    """Every line of the export in parts, numbered through in the manifest's order."""
+    path = scratch_dir(v.spark, "export")
+    rows = feedback.export_rows(v.feedback, v.projects, WINDOW_START, WINDOW_END)
+    sinks.export_feedback_parts(rows, path, feedback.text_columns("America/Sao_Paulo"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = sinks.read_manifest(v.spark, path).select("part", (F.col("rows") + F.when(F.col("part") == 0, 1).otherwise(0)).alias("lines"))
+    texts = v.spark.read.schema("value string, part int").text(f"{path}/parts", wholetext=True)
+    lines = texts.select("part", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("place", "line"))
+    return lines.join(manifest.withColumn("before", before), "part").select((F.col("before") + F.col("place")).alias("place"), "line")
+
+
 @query
 def write_weekly_json(v: Views) -> DataFrame:
     path = scratch_dir(v.spark, "weekly")
@@ -209,6 +243,23 @@ def wildcard(v: Views) -> DataFrame:
     )
 
 
+@query
+def match_patterns(v: Views) -> DataFrame:
+    """Patterns out of benchmark items, of many, few and no letters, against all texts."""
+    word = lambda i: F.split("text", " ")[i]
+    items = v.spark.read.parquet(f"{v.folder}/benchmark.parquet")
+    kinds = {
+        0: F.concat(F.lit("*"), F.substring(word(1), 1, 4), F.lit("*")),
+        1: F.concat(F.lit("*"), F.upper(word(2)), F.lit(" "), word(3), F.lit("*")),
+        2: F.concat(F.lit("*"), F.substring(word(2), 1, 2), F.lit("_"), F.substring(word(4), 1, 1), F.lit("*")),
+        3: F.concat(F.substring(word(0), 1, 1), F.lit("*")),
+        4: F.when(F.col("item_id") % 4 == 0, F.lit("*")).when(F.col("item_id") % 4 == 1, F.lit("*\\%*")),
+    }
+    every = F.explode(F.array(*[F.struct((F.col("item_id") * 10 + k).alias("pattern_id"), p.alias("pattern")) for k, p in kinds.items()]))
+    table = items.select(every.alias("p")).select("p.*")
+    return patterns.match_patterns(v.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("value")), table)
+
+
 @query
 def min_similarity(v: Views) -> DataFrame:
     pairs = _neighbours(v).select("vec_id", vectors.cosine_similarity(F.col("a"), F.col("b")).alias("similarity"))
@@ -874,12 +925,12 @@ def replace_projects_outcomes(v: Views) -> DataFrame:
     return projects.replace_projects(v.projects, _project_changes(v)).outcomes.select("change_id", "id", "error_code")
 
 
-def _deletion(v: Views) -> projects.Maintenance:
+def _deletion(v: Views, now: DataFrame | None = None) -> projects.Maintenance:
     """All documents but poor Spanish texts have moved to one project, so that most projects have none."""
     ids = v.raw("customer").select((F.col("c_nationkey") + 1 + F.col("c_custkey") % 4).cast("long").alias("project_id"))
     poor = (F.col("kind") == "es") & F.coalesce(F.col("type_name") == "PoorText", F.lit(False))
     moved = v.documents.withColumn("project_id", F.when(poor, F.col("project_id")).otherwise(F.lit(25).cast("long")))
-    return projects.delete_projects(v.projects, ids, moved, v.feedback)
+    return projects.delete_projects(v.projects if now is None else now, ids, moved, v.feedback)
 
 
 @query
@@ -892,6 +943,32 @@ def delete_projects_outcomes(v: Views) -> DataFrame:
     return _deletion(v).outcomes
 
 
+def _stored_after(v: Views, change: Callable[[DataFrame], projects.Maintenance]) -> DataFrame:
+    """The stored projects after a batch of changes, read back."""
+    path = scratch_dir(v.spark, "projects")
+    tables.write_projects(v.projects, path)
+    before = tables.read_stored_projects(v.spark, path)
+    tables.store_project_changes(before, change(before).projects, path, scratch_dir(v.spark, "changes"))
+    return tables.read_stored_projects(v.spark, path)
+
+
+@query
+def store_new_projects(v: Views) -> DataFrame:
+    after = _stored_after(v, lambda now: projects.create_projects(now, _project_changes(v).drop("id"), NOW))
+    return after.select("id", "name", "git_url", "git_raw_url", micros("created_at"))
+
+
+@query
+def store_replaced_projects(v: Views) -> DataFrame:
+    after = _stored_after(v, lambda now: projects.replace_projects(now, _project_changes(v)))
+    return after.select("id", "name", "git_url", "git_raw_url", micros("created_at"))
+
+
+@query
+def store_without_deleted_projects(v: Views) -> DataFrame:
+    return _stored_after(v, lambda now: _deletion(v, now)).select("id", "name")
+
+
 @query
 def failure_status(v: Views) -> DataFrame:
     checked = validate.validate_feedback(v.submissions, v.projects).select("submission_id", F.coalesce("error_code", "question").alias("code"))
