@@ -45,7 +45,7 @@ SHARD_IDS = 1_000_000
 RULES_A_ROUND = 5_000
 LEAST_COUNT = 16
 #: Slots of hashed pairs, 2**PAIR_BITS, that tell which pairs need counting.
-PAIR_BITS = 20
+PAIR_BITS = 18
 #: Pre-tokens that a worker remembers before it starts anew.
 CACHED = 400_000
 #: Bytes of text that are encoded at once.
@@ -205,15 +205,26 @@ class Encoder:
 def frequent_pairs(left: np.ndarray, right: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all pairs that occur `LEAST_COUNT` times, the index of each one's pair, and the pairs' counts.
 
-    Exact: a slot of hashed pairs holds at least as many as each of its pairs, so the pairs of smaller slots need no sorting.
+    Exact: a slot of hashed pairs holds at least as many as each of its pairs, so smaller slots need no counting, and in most of the
+    others all pairs are the same. Only those of mixed slots are sorted.
     """
+    slots = 1 << PAIR_BITS
     slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
-    held = np.bincount(slot[allowed], minlength=1 << PAIR_BITS) >= LEAST_COUNT
-    at = np.flatnonzero(allowed & held[slot])
-    _, which, counts = np.unique((left[at].astype(U64) << U64(32)) | right[at], return_inverse=True, return_counts=True)
+    total = np.bincount(slot[allowed], minlength=slots)
+    large = total >= LEAST_COUNT
+    at = np.flatnonzero(allowed & large[slot])
+    slot, pair = slot[at], (left[at].astype(U64) << U64(32)) | right[at]
+    holds, mixed = np.zeros(slots, U64), np.zeros(slots, bool)
+    holds[slot] = pair
+    mixed[slot[holds[slot] != pair]] = True
+    several = mixed[slot]
+    _, which, counts = np.unique(pair[several], return_inverse=True, return_counts=True)
     often = counts >= LEAST_COUNT
-    chosen = often[which]
-    return at[chosen], (np.cumsum(often) - 1)[which[chosen]], counts[often]
+    alone = total[large & ~mixed]
+    index = (np.cumsum(large & ~mixed) - 1)[slot]
+    index[several] = np.where(often, len(alone) + np.cumsum(often) - 1, -1)[which]
+    chosen = index >= 0
+    return at[chosen], index[chosen], np.r_[alone, counts[often]]
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
