@@ -8,8 +8,8 @@ The sets of texts are joined exactly, without a pair for each two copies:
 3. The token-group matrix holds, for each part of a group, the union of its members' rarest shingles (one row a shingle
    and part). A class whose overlap with a part's union is below what a linked member would
    force is not compared with that part. The bound is the prefix one: of two sets that overlap in at
-   least `o` shingles, the first `n - o + t` in any common order share at least `t`. Neither is a class compared with a
-   part that lies wholly in its own component.
+   least `o` shingles, the first `n - o + t` in any common order share at least `t`. Of two classes, the one whose component
+   has fewer classes asks for the other: most of a large group of near copies is one component already, and asks for nothing.
 4. Only parts that reach the bound are opened: a part of few members by pairs, a larger one in one task
    that counts the overlaps of all its members with a share of the classes that opened it.
 
@@ -275,44 +275,47 @@ def jaccard_groups(
         "class_id", "n", F.coalesce("component", "class_id").alias("component"), F.coalesce("group", "class_id").alias("group")
     )
     members = cut(members)
+    sizes = members.groupBy("component").agg(F.count("*").alias("classes"))
+    members = members.join(sizes, "component")
     parts = members.groupBy("group").agg(F.ceil(F.count("*") / PART_MEMBERS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("class_id"), "parts").cast("int").alias("part")
-    placed = cut(members.join(parts, "group").select("class_id", "n", "component", "group", part))
+    placed = cut(members.join(parts, "group").select("class_id", "n", "component", "classes", "group", part))
 
-    # 3. The token-group matrix and the parts whose union reaches the bound. Of two sets, the smaller one asks.
+    # 3. The token-group matrix and the parts whose union reaches the bound. Of two sets, the one of the smaller component asks.
     prefix = (
         texts.mapInArrow(_prefixes(words, percent, table), "doc_id long, tokens array<long>")
         .withColumnRenamed("doc_id", "class_id")
         .join(placed, "class_id")
         .dropDuplicates(["class_id"])
-        .select("class_id", "n", "component", "group", "part", F.explode("tokens").alias("token"))
+        .select("class_id", "n", "component", "classes", "group", "part", F.explode("tokens").alias("token"))
         .repartition("token")  # once, for the matrix and for the join with it
     )
     matrix = prefix.groupBy("token", "group", "part").agg(
         F.min("n").alias("least"),
-        F.max(F.struct("n", "class_id")).alias("most"),
-        F.min("component").alias("first"),
-        F.max("component").alias("last"),
+        F.max("n").alias("most"),
+        F.max(F.struct("classes", "component")).alias("largest"),
     )
     opened = (
         prefix.drop("group", "part")
         .join(matrix, "token")
-        .filter("struct(n, class_id) < most and not (first = component and last = component)")
-        .filter(f"n * 100 >= least * {percent}")
-        .groupBy("class_id", "n", "component", "group", "part")
-        .agg(F.count("*").alias("overlap"))
-        .filter(F.col("overlap") >= F.least(F.lit(PREFIX_OVERLAP), F.ceil(F.col("n") * percent / 100)))
+        .filter("struct(classes, component) < largest")
+        .filter(f"n * 100 >= least * {percent} and most * 100 >= n * {percent}")
+        .groupBy("class_id", "n", "component", "classes", "group", "part")
+        .agg(F.count("*").alias("overlap"), F.min("least").alias("least"))
+        .filter(F.col("overlap") >= F.least(F.lit(PREFIX_OVERLAP), F.ceil(F.least("n", "least") * percent / 100)))
     )
     held = placed.groupBy("group", "part").agg(F.count("*").alias("held"))
     opened = cut(opened.join(held, ["group", "part"]))
 
     # 4. Qualifying parts are opened.
-    others = placed.select("group", "part", F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    others = placed.select(
+        "group", "part", F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("classes").alias("others")
+    )
     pairs = (
         opened.filter(F.col("held") <= FEW)
         .join(others, ["group", "part"])
-        .filter("component <> other and struct(n, class_id) < struct(m, b)")
-        .filter(f"n * 100 >= m * {percent}")
+        .filter("struct(classes, component) < struct(others, other)")
+        .filter(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
         .select(F.col("class_id").alias("a"), "b")
     )
     few = cut(_verified(texts, cut(pairs), words, percent))
