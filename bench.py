@@ -24,10 +24,8 @@ HEADLINE = [
     "search_batch_blocks",
     "search_batch_blocks_filtered",
     "search_stored",
-    "search_pruned",
     "weekly_feedback_stats",
     "weekly_feedback_stats_stored",
-    "weekly_feedback_stats_maintained",
     "nest_weeks",
     "export_rows",
     "export_feedback_csv",
