@@ -6,21 +6,28 @@ total, so that smoothing weighs the same in both. A document's score is the mean
 under the target model less the loss under the background model, in nats: below zero, the document is more
 like the target.
 
-All words of all documents are counted, within each task before anything is moved. The counts are tables of
-Spark that grow with the corpus; two words share a hash with a chance of about 2**-64. Documents are
-scored by a join of their different pairs with the pairs' losses. The most frequent pairs, at most HOT_PAIRS,
-are looked up within each task instead: their rows are not moved, and no key of the join is frequent.
+All words and pairs of all documents are counted, exactly; two share a hash with a chance of about 2**-64.
+Words are counted first, within each task before anything is moved, into a table of Spark that grows with the
+corpus. Pairs are counted where documents are scored, in one shuffle: a text sends a row for each of its
+different pairs, and the rows of a pair meet. Most pairs occur in one text only. Each task therefore takes that for
+granted, and only what differs comes back to the text.
+
+Two tables of bounded size are looked up within each task: the counts of at most HOT_WORDS words, the most frequent, and those of the
+pairs of the most frequent of them, of which no row is moved. Rows of a less frequent word meet by the word instead of the pair, so that
+its count is found there too. A key of the shuffle is thus a pair with a word that is not among the isqrt(HOT_PAIRS) most
+frequent, or a word that is not among HOT_WORDS.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.llm.shared import new_folder, small_batches
@@ -28,7 +35,8 @@ from sparkseek.llm.words import LOWER, U64, flat, mix, pieces, span_hashes, word
 
 #: Words of the vocabulary at least, seen or not.
 WORD_SLOTS = 1 << 18
-#: Pairs whose losses every task is handed.
+#: Words, and pairs, whose counts every task is handed at most.
+HOT_WORDS = 1 << 20
 HOT_PAIRS = 1 << 20
 #: Words that a task counts at once.
 COUNTED_AT_ONCE = 2_000_000
@@ -37,27 +45,35 @@ WORD_SMOOTHING = 0.1
 PAIR_SMOOTHING = 50.0
 START = mix(np.array([77], U64))
 TURN = U64(0xD6E8FEB86659FD93)
+#: What a row of text is for, added up.
+TARGET, BACKGROUND, ASKED = 1, 2, 4
+#: Where a pair's row holds, above 32 bits of its number in the text: whether it ends the text, the text's roles, its word's place plus 1.
+LAST_BIT, ROLE_BIT, PLACE_BIT = 32, 33, 36
 
 
 @dataclass
 class MatchedModels:
-    """Tables of counts in the target and the background: (before, word, target, background) and (word, target, background).
+    """Counts of words, (word, target, background), and the rows of text that the models are learned from, with their roles.
 
     words, starts: all words and all documents with a word, by model. The background's counts are not scaled yet.
     """
 
-    pairs: DataFrame
     counts: DataFrame
     words: tuple[int, int]
     starts: tuple[int, int]
     vocabulary: int
-    background: DataFrame
+    sources: list[tuple[DataFrame, Column]]
     text_column: str
 
     @property
     def scales(self) -> tuple[float, float]:
         return 1.0, self.words[0] / self.words[1] if self.words[1] else 1.0
 
+    @property
+    def totals(self) -> tuple[float, float]:
+        """All words and the smoothing of all words."""
+        return tuple(max(n * scale, 1.0) + WORD_SMOOTHING * self.vocabulary for n, scale in zip(self.words, self.scales, strict=True))
+
 
 def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every word: the hash of the word before (START at a start) and its own; and where texts begin."""
@@ -74,41 +90,51 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * TURN + words)
 
 
-def _counted(documents: DataFrame, text_column: str) -> DataFrame:
-    """(before, word, n) of all documents, with a row for each pair of each task or more."""
+def _rows(sources: list[tuple[DataFrame, Column]], text_column: str) -> DataFrame:
+    made = [small_batches(f).select(F.col(text_column).alias("text"), roles.cast("int").alias("roles")) for f, roles in sources]
+    rows = made[0]
+    for more in made[1:]:
+        rows = rows.unionAll(more)
+    return rows
+
+
+def _counted(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(word, target, background): how often each key occurs. `keys` gives the keys of some words, and which word each is of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def merged() -> None:
-            before, words, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, first, which = np.unique(pair_hashes(before, words), return_index=True, return_inverse=True)
-            held[:] = [(before[first], words[first], np.bincount(which, weights=n).astype(np.int64))]
+            found, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, which = np.unique(found, return_inverse=True)
+            held[:] = [(found, *(np.bincount(which, weights=x, minlength=len(found)).astype(np.int64) for x in counts))]
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            before, words, n = held.pop()
-            for a in range(0, len(n), 100_000):
-                some = [pa.array(x[a : a + 100_000].view(np.int64)) for x in (before, words, n)]
-                yield pa.RecordBatch.from_arrays(some, names=["before", "word", "n"])
+        def made() -> Iterator[pa.RecordBatch]:
+            columns = held.pop()
+            for a in range(0, len(columns[0]), 100_000):
+                some = [pa.array(x[a : a + 100_000].view(np.int64)) for x in columns]
+                yield pa.RecordBatch.from_arrays(some, names=["word", "target", "background"])
 
         for batch in batches:
             for piece in pieces(batch):
-                before, words, _ = word_pairs(piece.column("text"))
-                held.append((before, words, np.ones(len(words), np.int64)))
-                size += len(words)
+                before, words, firsts = word_pairs(piece.column("text"))
+                roles = np.repeat(piece.column("roles").to_numpy(), np.diff(firsts))
+                found, of = keys(before, words)
+                held.append((found, *((roles[of] & role > 0).astype(np.int64) for role in (TARGET, BACKGROUND))))
+                size += len(found)
                 if size >= COUNTED_AT_ONCE:
                     merged()
-                    size = len(held[0][2])
+                    size = len(held[0][0])
                     if size >= COUNTED_AT_ONCE // 2:
-                        yield from rows()
+                        yield from made()
                         size = 0
         if held:
             merged()
-            yield from rows()
+            yield from made()
 
-    rows = small_batches(documents).select(F.col(text_column).alias("text"))
-    return rows.mapInArrow(count, "before long, word long, n long")
+    counted = rows.mapInArrow(count, "word long, target long, background long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("target", "background")])
 
 
 def _stored(frame: DataFrame, name: str) -> DataFrame:
@@ -122,114 +148,180 @@ def _signed(hashes: np.ndarray) -> int:
     return int(hashes.view(np.int64)[0])
 
 
+def _words_and_starts(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(before == START[0])
+    return np.r_[words, before[starts]], np.r_[np.arange(len(words)), starts]
+
+
+def _fit(sources: list[tuple[DataFrame, Column]], text_column: str) -> MatchedModels:
+    counts = _stored(_counted(_rows(sources, text_column), _words_and_starts), "lm-words")
+    zeros = [F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "background")]
+    starts = counts.filter(F.col("word") == _signed(START)).agg(*zeros).first()
+    counts = counts.filter(F.col("word") != _signed(START))
+    words = counts.agg(*zeros, F.count("*")).first()
+    return MatchedModels(counts, tuple(words[:2]), tuple(starts), max(WORD_SLOTS, words[2]), sources, text_column)
+
+
 def fit(target: DataFrame, background: DataFrame, text_column: str = "text") -> MatchedModels:
     """Both models, each from all documents of its corpus. Null texts count as empty."""
-    none, n = F.lit(0).cast("long"), F.col("n")
-    rows = _counted(target, text_column).select("before", "word", n.alias("target"), none.alias("background"))
-    rows = rows.unionAll(_counted(background, text_column).select("before", "word", none, n))
-    sums = [F.sum(c).alias(c) for c in ("target", "background")]
-    pairs = _stored(rows.groupBy("before", "word").agg(*sums), "lm-pairs")
-    counts = _stored(pairs.groupBy("word").agg(*sums), "lm-words")
-    zeros = [F.coalesce(c, F.lit(0)) for c in sums]
-    words = counts.agg(*zeros, F.count("*")).first()
-    starts = pairs.filter(F.col("before") == _signed(START)).agg(*zeros).first()
-    return MatchedModels(
-        pairs, counts, tuple(words[:2]), tuple(starts), max(WORD_SLOTS, words[2]), background, text_column
-    )
-
-
-def _losses(pairs: DataFrame, models: MatchedModels) -> DataFrame:
-    """(pair, target_loss, background_loss) of each of the pairs."""
-    words, scales, vocabulary = models.words, models.scales, models.vocabulary
-    spark = pairs.sparkSession
-    alone = models.counts.select("word", F.col("target").alias("alone_t"), F.col("background").alias("alone_b"))
-    start = spark.createDataFrame([(_signed(START), *models.starts)], "before long, context_t long, context_b long")
-    context = alone.toDF("before", "context_t", "context_b").unionAll(start)
-    # A frequent word is in many pairs: adaptive execution divides what is skewed.
-    joined = pairs.join(alone, "word", "left").join(context, "before", "left").fillna(0)
+    return _fit([(target, F.lit(TARGET)), (background, F.lit(BACKGROUND))], text_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            out = []
-            for model, letter in ((0, "t"), (1, "b")):
-                both, single, before = (column(c) * scales[model] for c in (("target", "background")[model], f"alone_{letter}", f"context_{letter}"))
-                total = max(words[model] * scales[model], 1.0)
-                single = (single + WORD_SMOOTHING) / (total + WORD_SMOOTHING * vocabulary)
-                out.append(-np.log((both + PAIR_SMOOTHING * single) / (np.maximum(before, both) + PAIR_SMOOTHING)))
-            pair = pair_hashes(column("before").view(U64), column("word").view(U64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, *out)], names=["pair", "target_loss", "background_loss"])
-
-    return joined.mapInArrow(run, "pair long, target_loss double, background_loss double")
-
-
-def _least_hot(pairs: DataFrame) -> int:
-    """The smallest count from which on there are at most HOT_PAIRS pairs."""
-    sizes = pairs.groupBy((F.col("target") + F.col("background")).alias("n")).count().toArrow()
+
+def fit_within(documents: DataFrame, target: Column, text_column: str = "text") -> MatchedModels:
+    """The same where the target is a part of the background, told by a condition; null is false. Texts are read once instead of twice."""
+    return _fit([(documents, F.when(target, TARGET | BACKGROUND).otherwise(BACKGROUND))], text_column)
+
+
+def _least_hot(counts: DataFrame) -> int:
+    """The smallest count from which on there are at most HOT_WORDS words."""
+    sizes = counts.groupBy((F.col("target") + F.col("background")).alias("n")).count().toArrow()
     n, count = (sizes.column(c).to_numpy() for c in ("n", "count"))
     order = np.argsort(-n)
-    fits = int(np.searchsorted(np.cumsum(count[order]), HOT_PAIRS, side="right"))
+    fits = int(np.searchsorted(np.cumsum(count[order]), HOT_WORDS, side="right"))
     return int(n[order][fits - 1]) if fits else int(n.max(initial=0)) + 1
 
 
+def _table(counts: DataFrame, *more: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and their counts by model."""
+    found = counts.toArrow()
+    columns = [np.r_[found.column(c).to_numpy(), np.array([row[i] for row in more], np.int64)] for i, c in enumerate(found.column_names)]
+    order = np.argsort(columns[0].view(U64))
+    return columns[0].view(U64)[order], np.stack([x[order] for x in columns[1:]])
+
+
+def _place(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where in the ordered table each hash is; -1 if it is not."""
+    if len(known) == 0:
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
 def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_words, target_loss, background_loss, difference (nats a word).
 
     A null or empty text, or one without words, has 0 words and null losses. Texts of any length are scored
-    whole. When nothing was counted, all words are as likely and the difference is 0.
+    whole, each within one task, as some tens of bytes a character. Repeated rows and null ids are rows of their own; further columns are
+    left out; no documents give no rows. When nothing was counted, all words are as likely and the difference is 0.
     """
     spark = small_batches(documents).sparkSession
-    pairs = models.pairs
-    if text_column != models.text_column or not documents.sameSemantics(models.background):
-        unseen = _counted(documents, text_column).select("before", "word", *[F.lit(0).cast("long").alias(c) for c in ("target", "background")])
-        pairs = pairs.unionAll(unseen).groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in ("target", "background")])
-    least = _least_hot(models.pairs)
     seen = F.col("target") + F.col("background")
-    found = _losses(models.pairs.filter(seen >= least), models).toArrow()
-    hot = [found.column(c).to_numpy() for c in found.column_names]
-    order = np.argsort(hot[0].view(U64))
-    share = spark.sparkContext.broadcast([np.r_[x[order], x.dtype.type(0)] for x in hot])
+    known, counts = _table(models.counts.filter(seen >= _least_hot(models.counts)), (_signed(START), *models.starts))
+    often = np.zeros(len(known), bool)
+    often[np.argsort(-counts.sum(axis=0), kind="stable")[: isqrt(HOT_PAIRS)]] = True
+    frequent = known[often]
+
+    def frequent_pairs(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(_place(frequent, words) >= 0)
+        at = at[_place(frequent, before[at]) >= 0]
+        return pair_hashes(before[at], words[at]), at
+
+    pairs, pair_counts = _table(_counted(_rows(models.sources, models.text_column), frequent_pairs))
+    share = spark.sparkContext.broadcast((known, often, pairs, pair_counts))
+    scales, totals = models.scales, models.totals
+
+    def smoothed(model: int, counts: np.ndarray) -> np.ndarray:
+        """What the unigram model adds to the count of a pair that ends in a word of such a count."""
+        return PAIR_SMOOTHING * (counts * scales[model] + WORD_SMOOTHING) / totals[model]
+
+    tables = spark.sparkContext.broadcast([(smoothed(m, counts[m]), np.log(counts[m] * scales[m] + PAIR_SMOOTHING)) for m in (0, 1)])
+    text = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *losses = share.value
-        known = known[:-1].view(U64)
+        known, often, pairs, pair_counts = share.value
+        start = int(_place(known, START)[0])
         made = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
                 before, words, firsts = word_pairs(piece.column("text"))
-                texts = len(firsts) - 1
-                owner = np.repeat(np.arange(texts), np.diff(firsts))
+                texts, sizes = len(firsts) - 1, np.diff(firsts)
+                owner, row = np.repeat(np.arange(texts), sizes), made + np.arange(texts)
+                made += texts
+                roles = piece.column("roles").to_numpy().astype(np.int64)
+                at = _place(known, words)
+                at_before = np.r_[start, at[:-1]][: len(at)]
+                at_before[firsts[:-1][sizes > 0]] = start
+                last = np.zeros(len(words), bool)
+                last[firsts[1:][sizes > 0] - 1] = True
                 pair = pair_hashes(before, words)
-                at = np.searchsorted(known, pair)
-                held = np.r_[known, U64(0)][at] == pair if len(known) else np.zeros(len(pair), bool)
-                held &= at < len(known)
-                # One row a text with what is known of it here, then one for each of its other pairs.
-                whole = [np.bincount(owner[held], weights=x[at[held]], minlength=texts) for x in losses]
-                n = np.bincount(owner[held], minlength=texts)
-                order = np.lexsort((pair[~held], owner[~held]))
-                owner, pair = owner[~held][order], pair[~held][order]
-                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, int)
-                rest, rows = np.zeros(len(first)), made + np.arange(texts)
+                looked = (at >= 0) & (at_before >= 0)
+                looked[looked] = often[at[looked]] & often[at_before[looked]]
+                # The other pairs of each text, once each.
+                rest = np.flatnonzero(~looked)
+                rest = rest[np.lexsort((pair[rest], owner[rest]))]
+                new = (pair[rest][1:] != pair[rest][:-1]) | (owner[rest][1:] != owner[rest][:-1])
+                first = np.flatnonzero(np.r_[True, new]) if len(rest) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[first, len(rest)])
+                ends = np.add.reduceat(last[rest].astype(np.int64), first) if len(first) else n
+                one = rest[first]
+                of, hot = owner[one], at[one] >= 0
+                # What is known of each text here, as if no other held its other pairs.
+                losses = []
+                for model, (single, context) in enumerate(tables.value):
+                    loss = np.zeros(len(words))
+                    follows = at_before >= 0
+                    loss[follows] = context[at_before[follows]]
+                    found = _place(pairs, pair[looked])
+                    both = np.r_[pair_counts[model], 0][found] * scales[model]
+                    loss[looked] -= np.log(both + single[at[looked]])
+                    own = np.where(roles[of] & (1 << model) > 0, n, 0) * scales[model]
+                    loss[one[hot]] -= n[hot] * np.log(own[hot] + single[at[one[hot]]])
+                    losses.append(np.bincount(owner, weights=loss, minlength=texts).astype(float))
+                asked = np.flatnonzero(roles & ASKED)
+                what = n | (ends << LAST_BIT) | (roles[of] << ROLE_BIT) | ((at[one] + 1) << PLACE_BIT)
+                about = [piece.column("id").take(pa.array(asked)), pa.array(sizes[asked]), *[pa.array(x[asked]) for x in losses]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[rows, rows[owner[first]]]),
-                        pa.array(np.r_[mix(rows), pair[first]].view(np.int64)),
-                        pa.array(np.r_[n, np.diff(np.r_[first, len(pair)])]),
-                        pa.array(np.r_[np.ones(texts, bool), np.zeros(len(first), bool)]),
-                        pa.concat_arrays([piece.column("id"), pa.nulls(len(first), pa.int64())]),
-                        *[pa.array(np.r_[x, rest]) for x in whole],
+                        pa.array(np.r_[np.where(hot, pair[one], words[one]), mix(row[asked])].view(np.int64)),
+                        pa.array(np.r_[pair[one], np.zeros(len(asked), U64)].view(np.int64), mask=np.r_[hot, np.ones(len(asked), bool)]),
+                        pa.array(np.r_[row[of], row[asked]]),
+                        pa.array(np.r_[what, np.full(len(asked), ASKED << ROLE_BIT)]),
+                        pa.concat_arrays([pa.nulls(len(one), text), pa.StructArray.from_arrays(about, fields=list(text))]),
                     ],
-                    names=["row", "pair", "n", "text", "id", "t", "b"],
+                    names=["key", "sub", "row", "what", "text"],
                 )
-                made += texts
 
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    asked = rows.mapInArrow(run, "row long, pair long, n long, text boolean, id long, t double, b double")
-    joined = asked.join(_losses(pairs.filter(seen < least), models), "pair", "left")
-    model = lambda held, loss: F.sum(F.when(F.col("text"), F.col(held)).otherwise(F.col("n") * F.col(loss)))
-    sums = joined.groupBy("row").agg(
-        F.max("id").alias("doc_id"), F.sum("n").alias("n_words"), model("t", "target_loss").alias("t"), model("b", "background_loss").alias("b")
-    )
-    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
-    out = sums.select("doc_id", "n_words", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    def corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+            what = column("what")
+            n, ends, roles, at = what & 0xFFFFFFFF, (what >> LAST_BIT) & 1, (what >> ROLE_BIT) & 7, (what >> PLACE_BIT) - 1
+            rare, out = at < 0, []
+            for model, (single, _) in enumerate(tables.value):
+                both, alone = (column(f"{c}_{model}") * scales[model] for c in ("pair", "word"))
+                own = np.where(roles & (1 << model) > 0, n, 0) * scales[model]
+                weight = np.where(rare, smoothed(model, column(f"word_{model}")), single[at])
+                loss = np.where(rare, (n - ends) * np.log(alone + PAIR_SMOOTHING), n * np.log(own + weight)) - n * np.log(both + weight)
+                out.append(pa.array(np.where(n > 0, loss, column(("t", "b")[model]))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("id"), pa.array(column("n")), *out], names=["row", "id", "n", "t", "b"]
+            )
+
+    own = F.col(id_column).cast("long").alias("id")
+    *earlier, (frame, roles) = models.sources
+    if text_column == models.text_column and documents.sameSemantics(frame):
+        parts = [(f, r, F.lit(None)) for f, r in earlier] + [(documents, roles.bitwiseOR(F.lit(ASKED)), own)]
+    else:
+        parts = [(f, r, F.lit(None)) for f, r in models.sources] + [(documents, F.lit(ASKED), own)]
+    rows = None
+    for f, r, i in parts:
+        named = text_column if f is documents else models.text_column
+        some = f.select(i.cast("long").alias("id"), F.col(named).alias("text"), r.cast("int").alias("roles"))
+        rows = some if rows is None else rows.unionAll(some)
+    sent = rows.mapInArrow(run, "key long, sub long, row long, what long, text struct<id: long, n: long, t: double, b: double>")
+    # One shuffle: a word's rows lie together, and in them those of a pair.
+    met = sent.repartition("key").sortWithinPartitions("key", "sub")
+    number = F.col("what").bitwiseAND(F.lit(0xFFFFFFFF))
+    held = [F.when(F.getbit("what", F.lit(ROLE_BIT + m)) == 1, number).otherwise(F.lit(0)) for m in (0, 1)]
+    over = {"pair": Window.partitionBy("key", "sub"), "word": Window.partitionBy("key")}
+    met = met.select("*", *[F.sum(held[m]).over(w).alias(f"{c}_{m}") for c, w in over.items() for m in (0, 1)])
+    rare = F.shiftrightunsigned("what", PLACE_BIT) == 0
+    differs = rare | (F.col("pair_0") != held[0]) | (F.col("pair_1") != held[1])
+    back = met.filter((F.getbit("what", F.lit(ROLE_BIT + 2)) == 1) & differs)
+    sums = [f"{c}_{m}" for c in over for m in (0, 1)]
+    back = back.select("row", "what", *sums, *[F.col(f"text.{c}") for c in ("id", "n", "t", "b")])
+    back = back.mapInArrow(corrected, "row long, id long, n long, t double, b double")
+    sums = back.groupBy("row").agg(F.max("id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "t", "b")])
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    out = sums.select("doc_id", F.col("n").alias("n_words"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

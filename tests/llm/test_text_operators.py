@@ -151,6 +151,19 @@ def test_losses_do_not_depend_on_which_pairs_are_hot(spark, monkeypatch):
             assert got == pytest.approx(wanted, rel=1e-9)
 
 
+def test_losses_do_not_depend_on_which_words_are_hot(spark, monkeypatch):
+    documents = table(spark, "documents").select("doc_id", "text").limit(200).cache()
+    models = lm_scoring.fit(documents.filter("doc_id % 2 = 0"), documents)
+    whole = sorted(tuples(lm_scoring.score(documents, models)))
+    within = lm_scoring.fit_within(documents, F.col("doc_id") % 2 == 0)
+    assert (within.words, within.starts, within.vocabulary) == (models.words, models.starts, models.vocabulary)
+    for most, pairs in ((1 << 20, 1 << 20), (0, 0), (100, 1 << 20), (5_000, 100)):
+        monkeypatch.setattr(lm_scoring, "HOT_WORDS", most)
+        monkeypatch.setattr(lm_scoring, "HOT_PAIRS", pairs)
+        for got, wanted in zip(sorted(tuples(lm_scoring.score(documents, within))), whole, strict=True):
+            assert got == pytest.approx(wanted, rel=1e-9)
+
+
 def test_a_text_of_the_target_loses_less_under_it(spark):
     rows = [(i, "red green blue red green", True) for i in range(20)] + [(100 + i, "one two three one two", False) for i in range(20)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean")
