@@ -22,7 +22,7 @@ from sparkseek.llm import (
     superminhash,
     token_files,
 )
-from sparkseek.llm.shared import new_folder
+from sparkseek.llm.shared import new_folder, told_by_ids
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """The target are the documents labelled good and harmless, the background all documents."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    good = table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good")).distinct()
-    documents = documents.join(good, "doc_id", "left")
+    good = table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    documents = told_by_ids(documents, good, "doc_id", "good")
     return lm_scoring.score(documents, lm_scoring.fit_within(documents, F.col("good")))
 
 

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkseek.llm import shared
 from sparkseek.llm import token_files as t
 from sparkseek.llm import words as w
 from sparkseek.llm.queries import tokenizer_path
@@ -162,3 +163,17 @@ def test_no_frequent_pair_is_left_and_counts_are_exact():
     pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
     assert max(n for (a, _), n in pairs.items() if a not in closes) < t.LEAST_COUNT
     assert len(symbols) < len(ids) / 3
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 16])
+def test_ids_tell_documents_near_and_far_apart(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "MOST_SLOTS", most)
+    keys = [None, 0, 1, -1, 7, 7, 32_767, 32_768, -40_000, 10**15, -(2**63), 2**63 - 1]
+    listed = [None, 1, 7, 7, 32_768, -40_000, 10**15 + 1, -(2**63)]
+    documents = spark.createDataFrame([(k, f"text {k}") for k in keys], "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in listed], "doc_id long")
+    for given in (listed, []):
+        found = shared.told_by_ids(documents, ids if given else ids.limit(0), "doc_id", "good")
+        assert found.columns == ["doc_id", "text", "good"]
+        wanted = sorted((str(k), k is not None and k in given) for k in keys)
+        assert sorted((str(r["doc_id"]), r["good"]) for r in found.collect()) == wanted
