@@ -14,7 +14,7 @@ granted, and only what differs comes back to the text.
 
 Two tables of bounded size are looked up within each task: the counts of at most HOT_WORDS words, the most frequent, and those of the
 pairs of the most frequent of them, of which no row is moved. Rows of a less frequent word meet by the word instead of the pair, so that
-its count is found there too. A key of the shuffle is thus a pair with a word that is not among the isqrt(HOT_PAIRS) most
+its count is found there too. Two hot words are told by their ranks, which take fewer bytes than a hash. A key of the shuffle is thus a pair with a word that is not among the isqrt(HOT_PAIRS) most
 frequent, or a word that is not among HOT_WORDS.
 """
 
@@ -47,8 +47,11 @@ START = mix(np.array([77], U64))
 TURN = U64(0xD6E8FEB86659FD93)
 #: What a row of text is for, added up.
 TARGET, BACKGROUND, ASKED = 1, 2, 4
-#: Where a pair's row holds, above 32 bits of its number in the text: whether it ends the text, the text's roles, its word's place plus 1.
-LAST_BIT, ROLE_BIT, PLACE_BIT = 32, 33, 36
+#: Where a pair's row holds, above 32 bits of its number in the text: whether it ends the text, the text's roles, its word's rank plus 1.
+LAST_BIT, ROLE_BIT, RANK_BIT = 32, 33, 36
+#: The key of two hot words is their ranks, so many bits each, which is shorter than a hash; other keys are hashes with HASHED set.
+KEY_BITS = 24
+HASHED = U64(1 << 63)
 
 
 @dataclass
@@ -181,20 +184,22 @@ def _least_hot(counts: DataFrame) -> int:
     return int(n[order][fits - 1]) if fits else int(n.max(initial=0)) + 1
 
 
-def _table(counts: DataFrame, *more: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order, and their counts by model."""
+def _table(counts: DataFrame, *more: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, the rank of each by frequency, and the counts in the order of ranks, by model."""
     found = counts.toArrow()
     columns = [np.r_[found.column(c).to_numpy(), np.array([row[i] for row in more], np.int64)] for i, c in enumerate(found.column_names)]
-    order = np.argsort(columns[0].view(U64))
-    return columns[0].view(U64)[order], np.stack([x[order] for x in columns[1:]])
+    order = np.lexsort((columns[0], -(columns[1] + columns[2])))
+    columns = [x[order] for x in columns]
+    ranks = np.argsort(columns[0].view(U64)).astype(np.int32)
+    return columns[0].view(U64)[ranks], ranks, np.stack(columns[1:])
 
 
-def _place(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Where in the ordered table each hash is; -1 if it is not."""
+def _rank(known: np.ndarray, ranks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The rank of each hash; -1 if the ordered table does not hold it."""
     if len(known) == 0:
         return np.full(len(hashes), -1)
     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, -1)
+    return np.where(known[at] == hashes, ranks[at].astype(np.int64), -1)
 
 
 def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,18 +211,18 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     """
     spark = small_batches(documents).sparkSession
     seen = F.col("target") + F.col("background")
-    known, counts = _table(models.counts.filter(seen >= _least_hot(models.counts)), (_signed(START), *models.starts))
-    often = np.zeros(len(known), bool)
-    often[np.argsort(-counts.sum(axis=0), kind="stable")[: isqrt(HOT_PAIRS)]] = True
-    frequent = known[often]
+    known, ranks, counts = _table(models.counts.filter(seen >= _least_hot(models.counts)), (_signed(START), *models.starts))
+    often = isqrt(HOT_PAIRS)
+    frequent = known[ranks < often]
+    among = lambda hashes: _rank(frequent, np.zeros(len(frequent), np.int32), hashes) >= 0
 
     def frequent_pairs(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(_place(frequent, words) >= 0)
-        at = at[_place(frequent, before[at]) >= 0]
+        at = np.flatnonzero(among(words))
+        at = at[among(before[at])]
         return pair_hashes(before[at], words[at]), at
 
-    pairs, pair_counts = _table(_counted(_rows(models.sources, models.text_column), frequent_pairs))
-    share = spark.sparkContext.broadcast((known, often, pairs, pair_counts))
+    pairs, pair_ranks, pair_counts = _table(_counted(_rows(models.sources, models.text_column), frequent_pairs))
+    share = spark.sparkContext.broadcast((known, ranks, pairs, pair_ranks, pair_counts))
     scales, totals = models.scales, models.totals
 
     def smoothed(model: int, counts: np.ndarray) -> np.ndarray:
@@ -228,8 +233,8 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     text = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often, pairs, pair_counts = share.value
-        start = int(_place(known, START)[0])
+        known, ranks, pairs, pair_ranks, pair_counts = share.value
+        start = int(_rank(known, ranks, START)[0])
         made = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
@@ -238,14 +243,13 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
                 owner, row = np.repeat(np.arange(texts), sizes), made + np.arange(texts)
                 made += texts
                 roles = piece.column("roles").to_numpy().astype(np.int64)
-                at = _place(known, words)
+                at = _rank(known, ranks, words)
                 at_before = np.r_[start, at[:-1]][: len(at)]
                 at_before[firsts[:-1][sizes > 0]] = start
                 last = np.zeros(len(words), bool)
                 last[firsts[1:][sizes > 0] - 1] = True
                 pair = pair_hashes(before, words)
-                looked = (at >= 0) & (at_before >= 0)
-                looked[looked] = often[at[looked]] & often[at_before[looked]]
+                looked = (at >= 0) & (at < often) & (at_before >= 0) & (at_before < often)
                 # The other pairs of each text, once each.
                 rest = np.flatnonzero(~looked)
                 rest = rest[np.lexsort((pair[rest], owner[rest]))]
@@ -261,31 +265,35 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
                     loss = np.zeros(len(words))
                     follows = at_before >= 0
                     loss[follows] = context[at_before[follows]]
-                    found = _place(pairs, pair[looked])
+                    found = _rank(pairs, pair_ranks, pair[looked])
                     both = np.r_[pair_counts[model], 0][found] * scales[model]
                     loss[looked] -= np.log(both + single[at[looked]])
                     own = np.where(roles[of] & (1 << model) > 0, n, 0) * scales[model]
                     loss[one[hot]] -= n[hot] * np.log(own[hot] + single[at[one[hot]]])
                     losses.append(np.bincount(owner, weights=loss, minlength=texts).astype(float))
                 asked = np.flatnonzero(roles & ASKED)
-                what = n | (ends << LAST_BIT) | (roles[of] << ROLE_BIT) | ((at[one] + 1) << PLACE_BIT)
+                both_hot = hot & (at_before[one] >= 0)
+                hashed = np.where(hot, pair[one], words[one]) | HASHED
+                key = np.where(both_hot, ((at_before[one] << KEY_BITS) | at[one]).view(U64), hashed)
+                what = n | (ends << LAST_BIT) | (roles[of] << ROLE_BIT) | (np.where(both_hot, 0, at[one] + 1) << RANK_BIT)
                 about = [piece.column("id").take(pa.array(asked)), pa.array(sizes[asked]), *[pa.array(x[asked]) for x in losses]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[np.where(hot, pair[one], words[one]), mix(row[asked])].view(np.int64)),
-                        pa.array(np.r_[pair[one], np.zeros(len(asked), U64)].view(np.int64), mask=np.r_[hot, np.ones(len(asked), bool)]),
+                        pa.array(np.r_[key, mix(row[asked]) | HASHED].view(np.int64)),
                         pa.array(np.r_[row[of], row[asked]]),
                         pa.array(np.r_[what, np.full(len(asked), ASKED << ROLE_BIT)]),
+                        pa.array(np.r_[pair[one], np.zeros(len(asked), U64)].view(np.int64), mask=np.r_[hot, np.ones(len(asked), bool)]),
                         pa.concat_arrays([pa.nulls(len(one), text), pa.StructArray.from_arrays(about, fields=list(text))]),
                     ],
-                    names=["key", "sub", "row", "what", "text"],
+                    names=["key", "row", "what", "sub", "text"],
                 )
 
     def corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = lambda name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
-            what = column("what")
-            n, ends, roles, at = what & 0xFFFFFFFF, (what >> LAST_BIT) & 1, (what >> ROLE_BIT) & 7, (what >> PLACE_BIT) - 1
+            key, what = column("key"), column("what")
+            n, ends, roles = what & 0xFFFFFFFF, (what >> LAST_BIT) & 1, (what >> ROLE_BIT) & 7
+            at = np.where(key >= 0, key & ((1 << KEY_BITS) - 1), (what >> RANK_BIT) - 1)
             rare, out = at < 0, []
             for model, (single, _) in enumerate(tables.value):
                 both, alone = (column(f"{c}_{model}") * scales[model] for c in ("pair", "word"))
@@ -308,18 +316,18 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
         named = text_column if f is documents else models.text_column
         some = f.select(i.cast("long").alias("id"), F.col(named).alias("text"), r.cast("int").alias("roles"))
         rows = some if rows is None else rows.unionAll(some)
-    sent = rows.mapInArrow(run, "key long, sub long, row long, what long, text struct<id: long, n: long, t: double, b: double>")
+    sent = rows.mapInArrow(run, "key long, row long, what long, sub long, text struct<id: long, n: long, t: double, b: double>")
     # One shuffle: a word's rows lie together, and in them those of a pair.
     met = sent.repartition("key").sortWithinPartitions("key", "sub")
     number = F.col("what").bitwiseAND(F.lit(0xFFFFFFFF))
     held = [F.when(F.getbit("what", F.lit(ROLE_BIT + m)) == 1, number).otherwise(F.lit(0)) for m in (0, 1)]
     over = {"pair": Window.partitionBy("key", "sub"), "word": Window.partitionBy("key")}
     met = met.select("*", *[F.sum(held[m]).over(w).alias(f"{c}_{m}") for c, w in over.items() for m in (0, 1)])
-    rare = F.shiftrightunsigned("what", PLACE_BIT) == 0
+    rare = (F.col("key") < 0) & (F.shiftrightunsigned("what", RANK_BIT) == 0)
     differs = rare | (F.col("pair_0") != held[0]) | (F.col("pair_1") != held[1])
     back = met.filter((F.getbit("what", F.lit(ROLE_BIT + 2)) == 1) & differs)
     sums = [f"{c}_{m}" for c in over for m in (0, 1)]
-    back = back.select("row", "what", *sums, *[F.col(f"text.{c}") for c in ("id", "n", "t", "b")])
+    back = back.select("key", "row", "what", *sums, *[F.col(f"text.{c}") for c in ("id", "n", "t", "b")])
     back = back.mapInArrow(corrected, "row long, id long, n long, t double, b double")
     sums = back.groupBy("row").agg(F.max("id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "t", "b")])
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
