@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,8 +207,8 @@ def _own_terms(counts: np.ndarray, totals: np.ndarray, terms: list[str], whole:
 def _audited(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Sums of one segment for the pairs of two blocks of sources, and the terms of each source of a block met with itself."""
     lang, _, first, second = (k.as_py() for k in key)
-    marks = rows.filter(pa.compute.is_null(rows["term"]))
-    cells = rows.filter(pa.compute.is_valid(rows["term"]))
+    marks = rows.filter(pc.is_null(rows["term"]))
+    cells = rows.filter(pc.is_valid(rows["term"]))
     sources = marks["source"].to_pylist()
     block = marks["block"].to_numpy()
     v, width, n_lang = (marks[c][0].as_py() for c in ("v", "width", "total"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def _sets(words: int, slots: int, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             slot = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) & (slots - 1)
             for piece in pieces(batch.filter(pa.array(passing(bits.value, slot), pa.bool_()))):
                 rows = [s.tobytes() for s in shingle_sets(piece.column("text"), words)]

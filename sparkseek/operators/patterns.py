@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def _grams_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needed = np.unpackbits(shared.value, count=GRAMS).astype(bool)
         for batch in batches:
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch["lowered"]), 0).to_numpy())
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["lowered"]), 0).to_numpy())
             first = 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + PIECE_BYTES, side="right")))

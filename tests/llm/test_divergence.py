@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkseek.llm import divergence
@@ -93,3 +94,15 @@ def test_equal_subtrees_are_one_node():
 def test_probabilities_are_exact(count):
     whole = np.array([count + 4, 2 * count + 12345, 8 * 10**15])
     assert divergence.probability(np.array(count), whole).tolist() == [1 + 10**9 * (count + 2) // int(w) for w in whole]
+
+
+def test_a_worker_that_imports_the_module_alone_has_all_it_calls(monkeypatch):
+    """Workers import pyarrow, not its compute module; whether something else did must not matter."""
+    key = tuple(pa.scalar(x) for x in ("en", 0, 0, 0))
+    kinds = [("source", pa.string()), ("term", pa.string()), *[(c, pa.int64()) for c in ("n", "total", "v", "width", "block")]]
+    marks = [("a", None, 3, 3, 1, 1, 0), ("b", None, 0, 3, 1, 1, 0), ("a", "x", 3, 3, 0, 0, 0)]
+    rows = pa.Table.from_pylist([dict(zip([n for n, _ in kinds], r, strict=True)) for r in marks], pa.schema(kinds))
+    expected = divergence._audited(key, rows).to_pydict()
+    monkeypatch.delattr(pa, "compute", raising=False)
+    assert divergence._audited(key, rows).to_pydict() == expected
+    assert expected["part"].count("pair") == 2
