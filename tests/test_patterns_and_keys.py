@@ -34,6 +34,23 @@ def test_grams_of_a_pattern(pattern, kept):
     assert patterns.pattern_grams(pattern.encode()) == kept
 
 
+def test_a_pattern_that_repeats_is_tried_once(spark):
+    """A text meets the list of its candidates: no row of a text and a pattern goes through the LIKE."""
+    values = spark.createDataFrame([(i, f"Text {i} holds a needle") for i in range(20)], "id long, value string")
+    table = spark.createDataFrame([(i, ["*", "T*", "*need_e*", "none%"][i % 4]) for i in range(400)], "pattern_id long, pattern string")
+    found = patterns.match_patterns(values, table)
+    assert " LIKE " not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuples(found)) == sorted((p, i) for p in range(400) if p % 4 < 3 for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("pattern", "held", "not_held"),
+    [("%", ["", "\n"], []), ("a_c%", ["abc", "a\ncd"], ["ac", "xabc"]), ("%ab%ba%", ["abba", "xabxbax"], ["aba"]), ("\\%%\\_", ["%_", "%a_"], ["%"]), ("a%\n", ["a\n"], ["a"]), ("%中_", ["x中é"], ["中"])],
+)
+def test_matcher_is_like(pattern, held, not_held):
+    assert [t for t in held + not_held if patterns.matcher(pattern)(t)] == held
+
+
 PROJECT = "id long, name string"
 DOCUMENT = "id long, document_id string, embedding_model_id long, project_id long, kind string"
 
