@@ -132,9 +132,13 @@ class TopK:
             if asked is None:
                 continue
             rows = batch if len(present) == 1 else batch.take(pa.array(np.flatnonzero(projects == project)))
-            step = max(1, CELLS // len(asked))
-            for at in range(0, rows.num_rows, step):
-                self._add_project(asked, rows.slice(at, step))
+            self.add_for(asked, rows)
+
+    def add_for(self, asked: np.ndarray, rows: pa.RecordBatch | pa.Table) -> None:
+        """Take in documents for some of the requests, given by their places: id, embedding and any filtered columns."""
+        step = max(1, CELLS // len(asked))
+        for at in range(0, rows.num_rows, step):
+            self._add_project(asked, rows.slice(at, step))
 
     def _add_project(self, asked: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
         r = self.requests

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,16 @@ def test_more_asked_than_there_is_and_projects_without_vectors(spark, tmp_path,
     ours, theirs, share = both(spark, tmp_path, monkeypatch, vectors, requests)
     assert ours == theirs
     assert share["opened"] == share["blocks"]
+
+
+def test_a_request_comes_back_once_a_shelf_not_once_a_block():
+    """Eight blocks that all requests open give k rows of each request, not k of each block."""
+    docs = pa.table({"id": pa.array(range(80), pa.int64()), "block": pa.array([i % 8 for i in range(80)], pa.int64()),
+                     "embedding": pa.array([[1.0, i / 80] for i in range(80)], pa.list_(pa.float32()))})
+    asked = pa.table({"query_id": pa.array([7, 9, 4]), "project_id": pa.array([1, 1, 1]), "k": pa.array([3, 2, 5]),
+                      "query_vector": pa.array([[1.0, 0.0], [1.0, 1.0], [1.0, 0.0]], pa.list_(pa.float32())),
+                      "blocks": pa.array([list(range(8)), list(range(8)), [5, 90]], pa.list_(pa.int64()))})
+    found = pruned._best_of_opened(docs, asked, 2)
+    rows = sorted(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True))
+    assert rows == [(4, 5), (4, 13), (4, 21), (4, 29), (4, 37), (7, 0), (7, 1), (7, 2), (9, 78), (9, 79)]
+    assert pruned._best_of_opened(docs.slice(0, 0), asked, 2).num_rows == 0 == pruned._best_of_opened(docs, asked.slice(0, 0), 2).num_rows
