@@ -75,6 +75,19 @@ def _directed(embedding: str) -> F.Column:
     return (squares > 0) & (squares < float("inf"))
 
 
+def _pivots(cells: DataFrame, level: int, block_rows: int) -> DataFrame:
+    """(cell, pivot, embedding): rows drawn by a hash of the id, about one for ``block_rows`` of a cell, and the cell's first.
+
+    Both are read from one join: of a union of the two, Spark takes the partitions to be those of the cells, which adaptive
+    execution may then change on one side only, and the job fails on unequal numbers of partitions.
+    """
+    counts = cells.groupBy("cell").agg(F.count("*").alias("_count"), F.min("id").alias("_first"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("_count") / block_rows))
+    share = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
+    chosen = (share * F.col("_count") < wanted) | (F.col("id") == F.col("_first"))
+    return cells.join(counts, "cell").filter(chosen).select("cell", F.col("id").alias("pivot"), "embedding")
+
+
 def write_vector_blocks(documents: DataFrame, path: str, work: str, block_rows: int = BLOCK_ROWS) -> None:
     """Stores the vectors of one embedding space (unique ids) in ``path``: the rows sorted by block, and a table of the blocks.
 
@@ -90,12 +103,7 @@ def write_vector_blocks(documents: DataFrame, path: str, work: str, block_rows:
     done = None
     for level in range(MOST_LEVELS):
         cells = spark.read.parquet(f"{work}/{level}")
-        counts = cells.groupBy("cell").agg(F.count("*").alias("_count"))
-        wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("_count") / block_rows))
-        share = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
-        drawn = cells.join(counts, "cell").filter(share * F.col("_count") < wanted).select("cell", F.col("id").alias("pivot"), "embedding")
-        first = cells.groupBy("cell").agg(F.min(F.struct("id", "embedding")).alias("_first")).select("cell", F.col("_first.id").alias("pivot"), "_first.embedding")
-        pivots = drawn.unionByName(first).dropDuplicates(["cell", "pivot"])
+        pivots = _pivots(cells, level, block_rows)
         _meet(cells, pivots, ["cell"], "pivot", _nearest_pivot, "id long, block long, angle double").groupBy("id").agg(
             F.min(F.struct("angle", "block")).alias("_near")
         ).select("id", "_near.block", "_near.angle").write.parquet(f"{work}/placed-{level}")

@@ -100,3 +100,12 @@ def test_a_request_comes_back_once_a_shelf_not_once_a_block():
     rows = sorted(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True))
     assert rows == [(4, 5), (4, 13), (4, 21), (4, 29), (4, 37), (7, 0), (7, 1), (7, 2), (9, 78), (9, 79)]
     assert pruned._best_of_opened(docs.slice(0, 0), asked, 2).num_rows == 0 == pruned._best_of_opened(docs, asked.slice(0, 0), 2).num_rows
+
+
+def test_pivots_are_drawn_in_one_pass(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3).alias("cell"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    pivots = pruned._pivots(rows, 0, 20)
+    found = [(r["cell"], r["pivot"]) for r in pivots.collect()]
+    assert len(found) == len(set(found)) and {(0, 0), (1, 1), (2, 2)} <= set(found) and 9 < len(found) < 60
+    assert all(p % 3 == c for c, p in found)
+    assert "Union" not in pivots._jdf.queryExecution().optimizedPlan().toString()
