@@ -29,7 +29,7 @@ EXCLUDED = np.inf
 NO_PAIRS = pa.schema(
     [("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("k", pa.int64())]
 ).empty_table()
-CELLS = 1 << 22  # largest distance matrix and largest gather held at a time
+CELLS = 1 << 19  # largest distance matrix and largest gather held at a time
 
 
 @dataclass
