@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ ListwiseScorer = Callable[[str, Sequence[str]], Iterable[tuple[int, float]]]
 PointwiseScorer = Callable[[Column, Column], Column]
 
 
+#: Bytes of candidate texts whose word sets are held at once.
+PIECE_BYTES = 4 << 20
+
+
 class Reranker(Protocol):
     """``rerank`` takes candidates (query_id, id, vector_rank, question,
     embedding_text, ...) and adds ``rerank_score`` and ``rerank_order``."""
@@ -150,13 +156,24 @@ def lexical_score(question: Column, text: Column) -> Column:
     return grade_to_score(lexical_grade(question, text))
 
 
-def _grades_of_batch(questions: pa.Array, texts: pa.Array) -> pa.Array:
-    """``lexical_grade`` of each pair; every different question and text of the batch is split once."""
+def _grades_of_piece(questions: pa.Array, texts: pa.Array) -> list[int]:
+    """``lexical_grade`` of each pair; every different question and text of the piece is split once."""
     asked, given = (x.fill_null("").dictionary_encode() for x in (questions, texts))
     words = [[frozenset(_words(x)) for x in side.dictionary.to_pylist()] for side in (asked, given)]
     pairs = zip(asked.indices.to_pylist(), given.indices.to_pylist(), strict=True)
     sets = ((words[0][q], words[1][t]) for q, t in pairs)
-    return pa.array([len(q & t) * 10 // len(q) if q else 0 for q, t in sets], pa.int32())
+    return [len(q & t) * 10 // len(q) if q else 0 for q, t in sets]
+
+
+def _grades_of_batch(questions: pa.Array, texts: pa.Array) -> pa.Array:
+    """``lexical_grade`` of each pair, by pieces of about `PIECE_BYTES` of text: word sets take many times the bytes of their text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    grades: list[int] = []
+    while (first := len(grades)) < len(texts):
+        bound = (sizes[first - 1] if first else 0) + PIECE_BYTES
+        size = max(1, int(np.searchsorted(sizes, bound, side="right")) - first)
+        grades += _grades_of_piece(questions.slice(first, size), texts.slice(first, size))
+    return pa.array(grades, pa.int32())
 
 
 def lexical_score_by_sets(question: Column, text: Column) -> Column:
