@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, slot_of, small_batches
+from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, shuffles_removed, slot_of, small_batches
 from sparkseek.llm.words import U64, mix, pieces, shingle_sets
 
 #: Entries of the table that orders shingles; a byte each, broadcast once.
@@ -99,14 +99,15 @@ def _scan(words: int):
 def _order_table(found: DataFrame) -> np.ndarray:
     """How often shingles recur, as a power of two, for each slot of a hash."""
     slot = F.pmod(F.col("token"), F.lit(ORDER_SLOTS)).cast("int")
-    levels = (
-        found.filter("token is not null")
-        .groupBy("token")
-        .agg(F.sum("times").alias("times"))
-        .groupBy(slot.alias("slot"))
-        .agg(F.max(F.ceil(F.log2("times"))).cast("byte").alias("level"))
-        .toArrow()
-    )
+    with shuffles_removed(found.sparkSession):
+        levels = (
+            found.filter("token is not null")
+            .groupBy("token")
+            .agg(F.sum("times").alias("times"))
+            .groupBy(slot.alias("slot"))
+            .agg(F.max(F.ceil(F.log2("times"))).cast("byte").alias("level"))
+            .toArrow()
+        )
     table = np.zeros(ORDER_SLOTS, np.uint8)
     table[levels.column("slot").to_numpy()] = levels.column("level").to_numpy()
     return table

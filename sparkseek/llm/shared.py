@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ FILTER_SLOTS = 1 << 22
 #: Rows of text, and bytes of them, that a Python worker is handed at once.
 BATCH_ROWS = 1_000
 BATCH_BYTES = 4 << 20
+#: Spark's setting for removing an action's shuffle files when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions on frames made inside remove their shuffle files when they end, instead of when the driver collects its garbage.
+
+    An operator of many short steps holds the files of one step at a time, not of all. The session's own setting comes back afterwards.
+    """
+    before = spark.conf.get(REMOVE_SHUFFLES, None)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(REMOVE_SHUFFLES, before)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows from the shared folder, so that a lost executor costs no more than a read."""
+    """The same rows from the shared folder, so that a lost executor costs no more than a read; the shuffles that made them are removed."""
     shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    with shuffles_removed(frame.sparkSession):
+        return frame.select("*").checkpoint()
 
 
 def small_batches(frame: DataFrame) -> DataFrame:
@@ -61,7 +83,8 @@ def slot_of(key: F.Column, slots: int = FILTER_SLOTS) -> F.Column:
 
 def key_slots(keys: DataFrame, column: str, slots: int = FILTER_SLOTS) -> np.ndarray:
     """Which slots some key falls in: a filter of fixed size that lets every key pass, and few others."""
-    found = keys.select(slot_of(F.col(column).cast("long"), slots).alias("slot")).distinct().toArrow()
+    with shuffles_removed(keys.sparkSession):
+        found = keys.select(slot_of(F.col(column).cast("long"), slots).alias("slot")).distinct().toArrow()
     bits = np.zeros(slots, bool)
     bits[found.column("slot").to_numpy()] = True
     return np.packbits(bits)
@@ -111,13 +134,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id that an edge names: the smallest id that its edges reach.
 
     Each round links every node to the smallest of its neighbours and itself, first from its larger
-    neighbours, then from its smaller ones, until nothing changes. Rows stay within twice the
+    neighbours, then from its smaller ones, until every node is linked to its smallest alone. Rows stay within twice the
     edges; minima are taken within each task before they are shuffled, so a node with a third
     of all edges is no more work than others. An edge from an id to itself names the id.
     """
     both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     state = cut(both)
-    before = None
     while True:
         # Larger neighbours are linked to the smallest neighbour.
         around = state.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(
@@ -135,12 +157,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionAll(smallest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = state.agg(
-            F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))
-        ).first()
-        if now == before:
-            return state.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-        before = now
+        if _settled(state):
+            return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def _settled(state: DataFrame) -> bool:
+    """Whether every id has one row at most, and every id that others are linked to is linked to itself: another round changes nothing."""
+    rows = state.select(F.col("u").alias("id"), F.lit(1).alias("own"), F.expr("u = v").alias("root"), F.lit(False).alias("named"))
+    ends = state.select(F.col("v").alias("id"), F.lit(0).alias("own"), F.lit(False).alias("root"), F.lit(True).alias("named"))
+    each = rows.unionAll(ends).groupBy("id").agg(F.sum("own").alias("own"), F.max("root").alias("root"), F.max("named").alias("named"))
+    with shuffles_removed(state.sparkSession):
+        return each.filter("own > 1 or (named and not root)").isEmpty()
 
 
 def _marked(documents: DataFrame, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:

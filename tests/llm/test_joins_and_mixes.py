@@ -1,6 +1,8 @@
 """The Jaccard join, the mix, the forest, components and the pipeline against plain versions."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -37,6 +39,44 @@ def test_components_of_random_graphs(few_partitions, seed):
     assert dict(tuples(found)) == parent
 
 
+def shuffles(spark) -> set[str]:
+    """Numbers of the shuffles that have files."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name.split("_")[1] for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_steps_of_the_join_leave_no_shuffle_files(few_partitions):
+    rng = random.Random(5)
+    base = [rng.randrange(10**6) for _ in range(60)]
+    rows = [(i, " ".join(map(str, base[: 60 - i % 3] if i % 2 else rng.sample(range(10**6), 30)))) for i in range(80)]
+    before = shuffles(few_partitions)
+    setting = few_partitions.conf.get(shared.REMOVE_SHUFFLES, None)
+    groups = jaccard_join.jaccard_groups(few_partitions.createDataFrame(rows, "doc_id long, text string"))
+    # Files are removed in the background; a stage that its action did not wait for, as a side met none, may write one later.
+    end = time.time() + 20
+    while len(shuffles(few_partitions) - before) > 3 and time.time() < end:
+        time.sleep(0.2)
+    assert len(shuffles(few_partitions) - before) <= 3
+    assert few_partitions.conf.get(shared.REMOVE_SHUFFLES, None) == setting
+    found = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    assert found == {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    assert len(set(found.values())) == 41 and all(found[i] == 1 for i in range(1, 80, 2))
+
+
+@pytest.mark.parametrize(
+    ("edges", "settled"),
+    [
+        ([(1, 1), (2, 1), (3, 1), (7, 7)], True),
+        ([], True),
+        ([(2, 1)], False),
+        ([(1, 1), (2, 1), (3, 2)], False),
+        ([(1, 1), (2, 2), (3, 1), (3, 2)], False),
+    ],
+)
+def test_rounds_end_when_each_id_is_linked_to_its_smallest_alone(few_partitions, edges, settled):
+    assert shared._settled(few_partitions.createDataFrame(edges, "u long, v long")) == settled
+
+
 def test_membership_is_exact_whatever_the_filter_lets_through(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
     ids = spark.createDataFrame([(2,), (2,), (9,), (None,)], "doc_id long")
