@@ -10,7 +10,8 @@ All words and pairs of all documents are counted, exactly; two share a hash with
 Words are counted first, within each task before anything is moved, into a table of Spark that grows with the
 corpus. Pairs are counted where documents are scored, in one shuffle: a text sends a row for each of its
 different pairs, and the rows of a pair meet. Most pairs occur in one text only. Each task therefore takes that for
-granted, and only what differs comes back to the text.
+granted, and only what differs comes back to the text. Rows are sorted by their key alone, and each task adds up some
+ten thousand of them at a time; only the rows that meet by a word are sorted once more there, by their pair.
 
 Two tables of bounded size are looked up within each task: the counts of at most HOT_WORDS words, the most frequent, and those of the
 pairs of the most frequent of them, of which no row is moved. Rows of a less frequent word meet by the word instead of the pair, so that
@@ -27,7 +28,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.llm.shared import new_folder, small_batches
@@ -40,6 +41,9 @@ HOT_WORDS = 1 << 20
 HOT_PAIRS = 1 << 20
 #: Words that a task counts at once.
 COUNTED_AT_ONCE = 2_000_000
+#: Rows of pairs that a task adds up at once, 32 bytes each; more only where one key has more. Where the scored texts are also counted,
+#: no key has more rows than the words counted divided by isqrt(HOT_PAIRS), as a more frequent word's pairs are looked up.
+MET_AT_ONCE = 1 << 16
 #: Added to each word's count, and the weight of the unigram model in words seen.
 WORD_SMOOTHING = 0.1
 PAIR_SMOOTHING = 50.0
@@ -93,6 +97,13 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * TURN + words)
 
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where neighbours that are alike in all columns begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def _rows(sources: list[tuple[DataFrame, Column]], text_column: str) -> DataFrame:
     made = [small_batches(f).select(F.col(text_column).alias("text"), roles.cast("int").alias("roles")) for f, roles in sources]
     rows = made[0]
@@ -108,10 +119,14 @@ def _counted(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], tuple[np.
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
+        def added(found: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+            order = np.argsort(found)
+            found = found[order]
+            first = _firsts(found)
+            return found[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in counts)
+
         def merged() -> None:
-            found, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            found, which = np.unique(found, return_inverse=True)
-            held[:] = [(found, *(np.bincount(which, weights=x, minlength=len(found)).astype(np.int64) for x in counts))]
+            held[:] = [added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
         def made() -> Iterator[pa.RecordBatch]:
             columns = held.pop()
@@ -124,8 +139,8 @@ def _counted(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], tuple[np.
                 before, words, firsts = word_pairs(piece.column("text"))
                 roles = np.repeat(piece.column("roles").to_numpy(), np.diff(firsts))
                 found, of = keys(before, words)
-                held.append((found, *((roles[of] & role > 0).astype(np.int64) for role in (TARGET, BACKGROUND))))
-                size += len(found)
+                held.append(added(found, *((roles[of] & role > 0).astype(np.int64) for role in (TARGET, BACKGROUND))))
+                size += len(held[-1][0])
                 if size >= COUNTED_AT_ONCE:
                     merged()
                     size = len(held[0][0])
@@ -184,22 +199,60 @@ def _least_hot(counts: DataFrame) -> int:
     return int(n[order][fits - 1]) if fits else int(n.max(initial=0)) + 1
 
 
-def _table(counts: DataFrame, *more: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes in order, the rank of each by frequency, and the counts in the order of ranks, by model."""
+@dataclass
+class Ranks:
+    """Hashes in order, and the rank of each by frequency. Hashes spread evenly, so their first bits tell nearly where each is."""
+
+    known: np.ndarray
+    ranks: np.ndarray
+    begins: np.ndarray
+
+    @staticmethod
+    def of(known: np.ndarray, ranks: np.ndarray) -> Ranks:
+        bits = max(len(known).bit_length() - 1, 1)
+        begins = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((known >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), out=begins[1:])
+        return Ranks(known, ranks, begins)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each hash; -1 if it is not among them."""
+        slot = (hashes >> U64(65 - len(self.begins).bit_length())).astype(np.int64)
+        found = np.full(len(hashes), -1)
+        at, end = self.begins[slot].astype(np.int64), self.begins[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end, hashes = at[left], end[left], hashes[left]
+        while len(left):
+            same = self.known[at] == hashes
+            found[left[same]] = self.ranks[at[same]]
+            more = np.flatnonzero(~same & (at + 1 < end))
+            left, at, end, hashes = left[more], at[more] + 1, end[more], hashes[more]
+        return found
+
+
+def _table(counts: DataFrame, *more: tuple[int, int, int]) -> tuple[Ranks, np.ndarray]:
+    """The ranks of hashes by frequency, and the counts in the order of ranks, by model."""
     found = counts.toArrow()
     columns = [np.r_[found.column(c).to_numpy(), np.array([row[i] for row in more], np.int64)] for i, c in enumerate(found.column_names)]
     order = np.lexsort((columns[0], -(columns[1] + columns[2])))
     columns = [x[order] for x in columns]
     ranks = np.argsort(columns[0].view(U64)).astype(np.int32)
-    return columns[0].view(U64)[ranks], ranks, np.stack(columns[1:])
+    return Ranks.of(columns[0].view(U64)[ranks], ranks), np.stack(columns[1:])
 
 
-def _rank(known: np.ndarray, ranks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The rank of each hash; -1 if the ordered table does not hold it."""
-    if len(known) == 0:
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, ranks[at].astype(np.int64), -1)
+def _whole_keys(batches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Columns of numbers, in the order of the first, in parts of about MET_AT_ONCE that hold each value of the first whole."""
+    held, size = [], 0
+    for batch in batches:
+        if size >= MET_AT_ONCE:
+            cut = int(np.searchsorted(batch[0], held[-1][0, -1], side="right"))
+            if cut < batch.shape[1]:
+                yield np.concatenate([*held, batch[:, :cut]], axis=1)
+                held, size, batch = [], 0, batch[:, cut:]
+        if batch.shape[1]:
+            held.append(batch)
+            size += batch.shape[1]
+    if held:
+        yield np.concatenate(held, axis=1)
 
 
 def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -211,18 +264,18 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     """
     spark = small_batches(documents).sparkSession
     seen = F.col("target") + F.col("background")
-    known, ranks, counts = _table(models.counts.filter(seen >= _least_hot(models.counts)), (_signed(START), *models.starts))
+    known, counts = _table(models.counts.filter(seen >= _least_hot(models.counts)), (_signed(START), *models.starts))
     often = isqrt(HOT_PAIRS)
-    frequent = known[ranks < often]
-    among = lambda hashes: _rank(frequent, np.zeros(len(frequent), np.int32), hashes) >= 0
+    frequent = Ranks.of(known.known[known.ranks < often], known.ranks[known.ranks < often])
+    among = lambda hashes: frequent.find(hashes) >= 0
 
     def frequent_pairs(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(among(words))
         at = at[among(before[at])]
         return pair_hashes(before[at], words[at]), at
 
-    pairs, pair_ranks, pair_counts = _table(_counted(_rows(models.sources, models.text_column), frequent_pairs))
-    share = spark.sparkContext.broadcast((known, ranks, pairs, pair_ranks, pair_counts))
+    pairs, pair_counts = _table(_counted(_rows(models.sources, models.text_column), frequent_pairs))
+    share = spark.sparkContext.broadcast((known, pairs, pair_counts))
     scales, totals = models.scales, models.totals
 
     def smoothed(model: int, counts: np.ndarray) -> np.ndarray:
@@ -233,8 +286,8 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
     text = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks, pairs, pair_ranks, pair_counts = share.value
-        start = int(_rank(known, ranks, START)[0])
+        known, pairs, pair_counts = share.value
+        start = int(known.find(START)[0])
         made = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
@@ -243,29 +296,29 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
                 owner, row = np.repeat(np.arange(texts), sizes), made + np.arange(texts)
                 made += texts
                 roles = piece.column("roles").to_numpy().astype(np.int64)
-                at = _rank(known, ranks, words)
+                at = known.find(words)
                 at_before = np.r_[start, at[:-1]][: len(at)]
                 at_before[firsts[:-1][sizes > 0]] = start
                 last = np.zeros(len(words), bool)
                 last[firsts[1:][sizes > 0] - 1] = True
                 pair = pair_hashes(before, words)
                 looked = (at >= 0) & (at < often) & (at_before >= 0) & (at_before < often)
-                # The other pairs of each text, once each.
+                # The other pairs of each text, once each, in the order of one number: the text, and as many bits of the pair as there is
+                # room for. Should two pairs share those, one may be sent in parts, which add up to the same.
                 rest = np.flatnonzero(~looked)
-                rest = rest[np.lexsort((pair[rest], owner[rest]))]
-                new = (pair[rest][1:] != pair[rest][:-1]) | (owner[rest][1:] != owner[rest][:-1])
-                first = np.flatnonzero(np.r_[True, new]) if len(rest) else np.zeros(0, np.int64)
+                bits = texts.bit_length()
+                rest = rest[np.argsort(owner[rest].astype(U64) << U64(64 - bits) | pair[rest] >> U64(bits))]
+                first = _firsts(pair[rest], owner[rest])
                 n = np.diff(np.r_[first, len(rest)])
                 ends = np.add.reduceat(last[rest].astype(np.int64), first) if len(first) else n
                 one = rest[first]
                 of, hot = owner[one], at[one] >= 0
                 # What is known of each text here, as if no other held its other pairs.
-                losses = []
+                losses, found = [], pairs.find(pair[looked])
                 for model, (single, context) in enumerate(tables.value):
                     loss = np.zeros(len(words))
                     follows = at_before >= 0
                     loss[follows] = context[at_before[follows]]
-                    found = _rank(pairs, pair_ranks, pair[looked])
                     both = np.r_[pair_counts[model], 0][found] * scales[model]
                     loss[looked] -= np.log(both + single[at[looked]])
                     own = np.where(roles[of] & (1 << model) > 0, n, 0) * scales[model]
@@ -288,22 +341,57 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
                     names=["key", "row", "what", "sub", "text"],
                 )
 
+    def corrections(rows: np.ndarray, rare: bool) -> pa.RecordBatch:
+        """What the rows of each pair, and of a rare word, change for the texts that are asked for. Equal pairs are neighbours."""
+        key, row, what, sub = rows
+        n, roles = what & 0xFFFFFFFF, what >> ROLE_BIT
+        own = np.stack([np.where(roles & (1 << model) > 0, n, 0) for model in (0, 1)])
+
+        def total(first: np.ndarray) -> np.ndarray:
+            return np.repeat(np.add.reduceat(own, first, axis=1), np.diff(np.r_[first, len(key)]), axis=1)
+
+        both = total(_firsts(key, sub))
+        out = roles & ASKED > 0 if rare else (roles & ASKED > 0) & (both != own).any(axis=0)
+        alone = total(_firsts(key))[:, out] if rare else None
+        key, row, what, n, own, both = key[out], row[out], what[out], n[out], own[:, out], both[:, out]
+        at = np.where(key >= 0, key & ((1 << KEY_BITS) - 1), (what >> RANK_BIT) - 1)
+        losses = []
+        for model, (single, _) in enumerate(tables.value):
+            scale = scales[model]
+            if rare:
+                weight = smoothed(model, alone[model])
+                loss = (n - (what >> LAST_BIT & 1)) * np.log(alone[model] * scale + PAIR_SMOOTHING)
+            else:
+                weight = single[at]
+                loss = n * np.log(own[model] * scale + weight)
+            losses.append(pa.array(loss - n * np.log(both[model] * scale + weight)))
+        numbers = [pa.nulls(len(row), pa.int64()), pa.array(np.zeros(len(row), np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(row), *numbers, *losses], names=["row", "id", "n", "t", "b"])
+
     def corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name: batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
-            key, what = column("key"), column("what")
-            n, ends, roles = what & 0xFFFFFFFF, (what >> LAST_BIT) & 1, (what >> ROLE_BIT) & 7
-            at = np.where(key >= 0, key & ((1 << KEY_BITS) - 1), (what >> RANK_BIT) - 1)
-            rare, out = at < 0, []
-            for model, (single, _) in enumerate(tables.value):
-                both, alone = (column(f"{c}_{model}") * scales[model] for c in ("pair", "word"))
-                own = np.where(roles & (1 << model) > 0, n, 0) * scales[model]
-                weight = np.where(rare, smoothed(model, column(f"word_{model}")), single[at])
-                loss = np.where(rare, (n - ends) * np.log(alone + PAIR_SMOOTHING), n * np.log(own + weight)) - n * np.log(both + weight)
-                out.append(pa.array(np.where(n > 0, loss, column(("t", "b")[model]))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(column("n")), *out], names=["row", "id", "n", "t", "b"]
-            )
+        texts = []
+
+        def numbers() -> Iterator[np.ndarray]:
+            for batch in batches:
+                about = batch.column("text").is_valid()
+                if about.true_count:
+                    found = batch.filter(about)
+                    columns = [found.column("row"), *found.column("text").flatten()]
+                    texts.append(pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "t", "b"]))
+                columns = [batch.column(c).fill_null(0).to_numpy() for c in ("key", "row", "what", "sub")]
+                yield np.stack(columns)[:, ~about.to_numpy(zero_copy_only=False)]
+
+        for rows in _whole_keys(numbers()):
+            yield from texts
+            texts.clear()
+            key = rows[0]
+            new = np.r_[True, key[1:] != key[:-1], True]
+            rare = (key < 0) & (rows[2] >> RANK_BIT == 0)
+            # A pair that one text holds alone changes nothing.
+            yield corrections(rows[:, ~(rare | new[:-1] & new[1:])], False)
+            some = rows[:, rare]
+            yield corrections(some[:, np.lexsort((some[3], some[0]))], True)
+        yield from texts
 
     own = F.col(id_column).cast("long").alias("id")
     *earlier, (frame, roles) = models.sources
@@ -317,18 +405,9 @@ def score(documents: DataFrame, models: MatchedModels, id_column: str = "doc_id"
         some = f.select(i.cast("long").alias("id"), F.col(named).alias("text"), r.cast("int").alias("roles"))
         rows = some if rows is None else rows.unionAll(some)
     sent = rows.mapInArrow(run, "key long, row long, what long, sub long, text struct<id: long, n: long, t: double, b: double>")
-    # One shuffle: a word's rows lie together, and in them those of a pair.
-    met = sent.repartition("key").sortWithinPartitions("key", "sub")
-    number = F.col("what").bitwiseAND(F.lit(0xFFFFFFFF))
-    held = [F.when(F.getbit("what", F.lit(ROLE_BIT + m)) == 1, number).otherwise(F.lit(0)) for m in (0, 1)]
-    over = {"pair": Window.partitionBy("key", "sub"), "word": Window.partitionBy("key")}
-    met = met.select("*", *[F.sum(held[m]).over(w).alias(f"{c}_{m}") for c, w in over.items() for m in (0, 1)])
-    rare = (F.col("key") < 0) & (F.shiftrightunsigned("what", RANK_BIT) == 0)
-    differs = rare | (F.col("pair_0") != held[0]) | (F.col("pair_1") != held[1])
-    back = met.filter((F.getbit("what", F.lit(ROLE_BIT + 2)) == 1) & differs)
-    sums = [f"{c}_{m}" for c in over for m in (0, 1)]
-    back = back.select("key", "row", "what", *sums, *[F.col(f"text.{c}") for c in ("id", "n", "t", "b")])
-    back = back.mapInArrow(corrected, "row long, id long, n long, t double, b double")
+    # One shuffle: a key's rows lie together. Sorting by one long is much cheaper for Spark than by two.
+    met = sent.repartition("key").sortWithinPartitions("key")
+    back = met.mapInArrow(corrected, "row long, id long, n long, t double, b double")
     sums = back.groupBy("row").agg(F.max("id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "t", "b")])
     mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
     out = sums.select("doc_id", F.col("n").alias("n_words"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))

@@ -164,6 +164,52 @@ def test_losses_do_not_depend_on_which_words_are_hot(spark, monkeypatch):
             assert got == pytest.approx(wanted, rel=1e-9)
 
 
+def test_losses_of_a_pair_in_more_texts_than_a_task_adds_up_at_once(spark, monkeypatch):
+    n = lm_scoring.MET_AT_ONCE + 5_000
+    text = F.concat(F.lit("red green w"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, " red green").otherwise(""))
+    documents = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    models = lm_scoring.fit_within(documents, F.col("doc_id") % 2 == 0)
+    columns = ("n_words", "target_loss", "background_loss", "difference")
+    whole = lm_scoring.score(documents, models).orderBy("doc_id").toArrow()
+    for words, pairs in ((1 << 20, 0), (0, 0)):
+        monkeypatch.setattr(lm_scoring, "HOT_WORDS", words)
+        monkeypatch.setattr(lm_scoring, "HOT_PAIRS", pairs)
+        found = lm_scoring.score(documents, models).orderBy("doc_id").toArrow()
+        assert found.num_rows == n
+        for c in columns:
+            np.testing.assert_allclose(found.column(c).to_numpy(), whole.column(c).to_numpy(), rtol=1e-9, atol=1e-12)
+
+
+def test_rows_of_pairs_are_sorted_by_one_long_and_not_windowed(spark):
+    # Two windows over rows sorted by two columns were the query's slowest step.
+    documents = table(spark, "documents").select("doc_id", "text")
+    plan = lm_scoring.score(documents, lm_scoring.fit_within(documents, F.col("doc_id") % 2 == 0))._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert "Window" not in plan and sorts and all(line.count("ASC") == 1 for line in sorts)
+
+
+def test_parts_hold_each_key_whole():
+    rng = np.random.default_rng(7)
+    most = lm_scoring.MET_AT_ONCE
+    key = np.sort(np.r_[rng.integers(-50_000, 50_000, 4 * most), np.full(2 * most, 17)])
+    rows = np.stack([key, np.arange(len(key))])
+    batches = [rows[:, a : a + 1_000] for a in range(0, len(key), 1_000)]
+    parts = list(lm_scoring._whole_keys(iter([batches[0][:, :0], *batches, batches[0][:, :0]])))
+    assert (np.concatenate(parts, axis=1) == rows).all() and len(parts) >= 3
+    assert all(a[0, -1] < b[0, 0] for a, b in zip(parts[:-1], parts[1:], strict=True))
+    assert list(lm_scoring._whole_keys(iter([]))) == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1_000])
+def test_ranks_found_by_the_first_bits_of_hashes(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(np.r_[rng.integers(0, 1 << 63, n - n // 4), (1 << 62) + np.arange(n // 4)].astype(np.uint64) << np.uint64(1))
+    ranks = rng.permutation(len(known)).astype(np.int32)
+    asked = np.r_[known, known + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)]
+    held = dict(zip(known.tolist(), ranks.tolist(), strict=True))
+    assert lm_scoring.Ranks.of(known, ranks).find(asked).tolist() == [held.get(h, -1) for h in asked.tolist()]
+
+
 def test_a_text_of_the_target_loses_less_under_it(spark):
     rows = [(i, "red green blue red green", True) for i in range(20)] + [(100 + i, "one two three one two", False) for i in range(20)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, wanted boolean")
