@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, shuffles_removed, slot_of, small_batches
+from sparkseek.llm.shared import FILTER_SLOTS, components, cut, key_slots, passing, release_memory, shuffles_removed, slot_of, small_batches
 from sparkseek.llm.words import U64, mix, pieces, shingle_sets
 
 #: Entries of the table that orders shingles; a byte each, broadcast once.
@@ -60,9 +60,12 @@ def _needed(n: np.ndarray | int, percent: int):
 def _scan(words: int):
     """One narrow row a text, and a row for each shingle that recurs among the texts of a task."""
 
-    def recurring(kept: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate([*kept, np.zeros(0, U64)]), return_counts=True)
-        tokens, times = tokens[times > 1], times[times > 1]
+    def recurring(tokens: np.ndarray) -> pa.RecordBatch:
+        tokens.sort()
+        # Where runs of equal shingles begin and end; runs of one are never listed.
+        again = np.r_[False, tokens[1:] == tokens[:-1], False]
+        first, last = np.flatnonzero(~again[:-1] & again[1:]), np.flatnonzero(again[:-1] & ~again[1:])
+        tokens, times = tokens[first], last - first + 1
         empty = pa.nulls(len(tokens))
         columns = [*[empty] * 5, pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int32))]
         return pa.RecordBatch.from_arrays(
@@ -70,7 +73,7 @@ def _scan(words: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        kept, held = np.zeros(0, U64), 0
         for batch in batches:
             for piece in pieces(batch):
                 sets = list(shingle_sets(piece.column("text"), words))
@@ -85,13 +88,18 @@ def _scan(words: int):
                     ],
                     schema=DOC,
                 )
-                kept += sets
-                held += int(n.sum())
+                for s in sets:
+                    if held + len(s) > len(kept):
+                        kept.resize(max(held + len(s), min(2 * len(kept), COUNTED_AT_ONCE)), refcheck=False)
+                    kept[held : held + len(s)] = s
+                    held += len(s)
                 if held >= COUNTED_AT_ONCE:
-                    yield recurring(kept)
-                    kept, held = [], 0
+                    yield recurring(kept[:held])
+                    held = 0
         if held:
-            yield recurring(kept)
+            yield recurring(kept[:held])
+        del kept
+        release_memory()
 
     return run
 
@@ -129,6 +137,7 @@ def _prefixes(words: int, percent: int, table):
                     [piece.column("doc_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
                     names=["doc_id", "tokens"],
                 )
+        release_memory()
 
     return run
 
@@ -144,6 +153,7 @@ def _sets(words: int, bits):
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "tokens"]
                 )
+        release_memory()
 
     return run
 

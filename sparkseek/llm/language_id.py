@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm.shared import small_batches
+from sparkseek.llm.shared import release_memory, small_batches
 from sparkseek.llm.words import flat, pieces
 
 UNKNOWN = "und"
@@ -31,6 +31,8 @@ BUCKETS = 1 << 16
 #: Labelled texts of each language that the classifiers are fitted on, and languages at most.
 SAMPLE_PER_LANGUAGE = 300
 MAX_LANGUAGES = 200
+#: Bytes of text that are scored at once; each of its n-grams takes a row of the weights.
+SCORED_AT_ONCE = 128 << 10
 #: Added to every n-gram's count.
 SMOOTHING = 0.5
 #: Below this difference of probability to the second language, a prediction is ambiguous.
@@ -242,7 +244,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = share.value
         for batch in batches:
-            for piece in pieces(batch, text_column):
+            for piece in pieces(batch, text_column, SCORED_AT_ONCE):
                 texts = piece.column(text_column)
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
                 letters &= bool(known.languages)
@@ -256,6 +258,7 @@ def identify(
                     [*[piece.column(c) for c in kept], pa.array(pred, pa.string()), pa.array(score), pa.array(doubt)],
                     names=[*kept, "lang_pred", "score", "ambiguous"],
                 )
+        release_memory()
 
     documents = documents.drop("lang_pred", "score", "ambiguous")
     kept = documents.columns

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +75,21 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+#: glibc's own call for it; elsewhere the allocator is left alone.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def release_memory() -> None:
+    """Gives the pages of freed arrays back to the system.
+
+    A Python worker outlives its tasks, and the allocators keep what a task freed: each worker would hold the largest arrays of every step that it
+    once ran, beside those of the next one.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

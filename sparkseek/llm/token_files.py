@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkseek.llm.shared import small_batches
+from sparkseek.llm.shared import release_memory, small_batches
 from sparkseek.llm.words import U64, flat, pieces, span_hashes
 
 END_ID = 2
@@ -46,6 +46,8 @@ RULES_A_ROUND = 5_000
 LEAST_COUNT = 16
 #: Slots of hashed pairs, 2**PAIR_BITS, that tell which pairs need counting.
 PAIR_BITS = 18
+#: Pairs that are counted at once.
+COUNTED_PAIRS = 1 << 18
 #: Pre-tokens that a worker remembers before it starts anew.
 CACHED = 400_000
 #: Bytes of text that are encoded at once.
@@ -209,11 +211,17 @@ def frequent_pairs(left: np.ndarray, right: np.ndarray, allowed: np.ndarray) ->
     others all pairs are the same. Only those of mixed slots are sorted.
     """
     slots = 1 << PAIR_BITS
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
-    total = np.bincount(slot[allowed], minlength=slots)
+    slot = left * np.uint32(0x9E3779B1)
+    slot += right * np.uint32(0x85EBCA6B)
+    slot >>= np.uint32(32 - PAIR_BITS)
+    total = np.zeros(slots, np.int64)
+    for a in range(0, len(slot), COUNTED_PAIRS):  # bincount widens what it is given
+        total += np.bincount(slot[a : a + COUNTED_PAIRS][allowed[a : a + COUNTED_PAIRS]], minlength=slots)
     large = total >= LEAST_COUNT
     at = np.flatnonzero(allowed & large[slot])
-    slot, pair = slot[at], (left[at].astype(U64) << U64(32)) | right[at]
+    slot, pair = slot[at], left[at].astype(U64)
+    pair <<= U64(32)
+    pair |= right[at]
     holds, mixed = np.zeros(slots, U64), np.zeros(slots, bool)
     holds[slot] = pair
     mixed[slot[holds[slot] != pair]] = True
@@ -345,11 +353,15 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, id_column
                 docs.append(np.array(piece.column("doc_id").to_pylist(), object))
                 held += len(found)
                 if held >= SHARD_IDS:
+                    release_memory()
                     yield shard()
                     chunk += 1
                     ids, counts, docs, held = [], [], [], 0
         if docs:
+            release_memory()
             yield shard()
+        ids, counts, docs = [], [], []
+        release_memory()
 
     ordered.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
@@ -384,6 +396,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 place = [pa.array(np.full(len(checks), row[c], np.int32)) for c in ("part", "chunk")]
                 columns = [pa.array(row["doc_ids"], pa.int64()), *place, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(checks, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "chunk", "inner", "n_tokens", "ids_crc32"])
+        release_memory()
 
     decoded = shards.mapInArrow(run, "doc_id long, part int, chunk int, inner long, n_tokens long, ids_crc32 long")
     # The sums run over shards, not documents: within a part, then over parts.
