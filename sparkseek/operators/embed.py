@@ -80,6 +80,11 @@ def embed_table(
     )
 
 
+def in_pieces(rows: DataFrame) -> bool:
+    """Whether the rows of a stored table lie in as many pieces as there are cores, so that ``embed_table`` need not spread them."""
+    return rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism
+
+
 def embed_changed(
     rows: DataFrame,
     text: str,

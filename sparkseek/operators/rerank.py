@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -46,15 +46,17 @@ def rerank_none(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_order": F.col("vector_rank")})
 
 
-def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer, tasks: int | None = None) -> DataFrame:
+def rerank_pointwise(hits: DataFrame, scorer: PointwiseScorer, tasks: int | None = None, spread: bool = True) -> DataFrame:
     """Scores each (question, text) on its own. A missing score counts as 0 here.
 
     The candidates are spread by query over ``tasks``, by default as many as the cluster works on at once, because they often lie in few
     pieces and a scorer is dear. The scores are ranked where they are made: that spread is the one of the windows too. Of the
-    other columns only those go through the windows that the caller keeps.
+    other columns only those go through the windows that the caller keeps. Without ``spread`` they are scored where they lie, so that
+    the texts are not moved unless the caller keeps them.
     """
-    spread = hits.repartition(tasks or parallel_tasks(hits.sparkSession), "query_id")
-    scored = spread.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
+    if spread:
+        hits = hits.repartition(tasks or parallel_tasks(hits.sparkSession), "query_id")
+    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("embedding_text")).cast("double"))
     order = Window.partitionBy("query_id").orderBy(F.coalesce("rerank_score", F.lit(0.0)).desc(), "vector_rank")
     return scored.withColumn("rerank_order", F.row_number().over(order))
 
@@ -205,9 +207,10 @@ class Pointwise:
     scorer: PointwiseScorer = lexical_score_by_sets
     pool_size: int = rules.DEFAULT_POOL
     tasks: int | None = None
+    spread: bool = True
 
     def rerank(self, hits: DataFrame) -> DataFrame:
-        return rerank_pointwise(hits, self.scorer, self.tasks)
+        return rerank_pointwise(hits, self.scorer, self.tasks, self.spread)
 
 
 @dataclass(frozen=True)
@@ -219,6 +222,11 @@ class Listwise:
         return rerank_listwise(hits, self.scorer)
 
 
+def in_place(reranker: Reranker) -> Reranker:
+    """The reranker for candidates that lie in many pieces: a pointwise one scores them there, unless it was told its tasks."""
+    return replace(reranker, spread=False) if isinstance(reranker, Pointwise) and reranker.tasks is None else reranker
+
+
 RERANKERS = Registry("reranking provider")
 
 

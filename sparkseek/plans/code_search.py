@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.operators.embed import Embedder, embed_table
-from sparkseek.operators.rerank import NoOp, Reranker, rerank_batch
-from sparkseek.operators.search import hits_with_project, search_batch, with_embedding_space, with_pool_size
+from sparkseek.operators.rerank import NoOp, Reranker, in_place, rerank_batch
+from sparkseek.operators.search import search_batch, with_embedding_space, with_links_and_texts, with_pool_size
 from sparkseek.operators.validate import split, validate_search_requests, with_messages
 
 REQUEST_COLUMNS = {
@@ -41,6 +41,7 @@ ANSWER_COLUMNS = (
     "git_raw_url",
     "rerank_score",
 )
+RANKED_COLUMNS = ("query_id", "project_id", "rank", "id", "similarity", "rerank_score")
 
 
 @dataclass
@@ -81,6 +82,9 @@ def code_search(
 
     Requests need query_id (unique), project_id and question; limit,
     min_similarity and the filter columns are optional. ``blocks``: see ``nearest_pairs``.
+
+    There are many candidates to a document, so texts are not moved with them: each question goes to its candidates'
+    texts, which are scored where they lie, and those that remain meet their texts once more.
     """
     reranker = reranker or NoOp()
     accepted, rejected = split(validate_search_requests(complete_requests(requests), projects))
@@ -88,8 +92,8 @@ def code_search(
     def hits() -> DataFrame:
         asked = with_pool_size(embed_table(accepted, "question", embedder, "query_vector"), reranker.pool_size)
         space = with_embedding_space(documents, models, embedder.provider, embedder.model, embedder.dimensions)
-        found = search_batch(space, asked, embedder.dimensions, blocks)
-        candidates = found.join(accepted.select("query_id", "project_id", "question", "limit"), "query_id")
-        return hits_with_project(rerank_batch(candidates, reranker), projects).select(*ANSWER_COLUMNS)
+        candidates = search_batch(space, asked, embedder.dimensions, blocks, carry=("project_id", "question", "limit"))
+        ranked = rerank_batch(candidates, in_place(reranker)).select(*RANKED_COLUMNS)
+        return with_links_and_texts(ranked, space, asked, projects).select(*ANSWER_COLUMNS)
 
     return Answers(with_messages(rejected, "project_id"), hits)

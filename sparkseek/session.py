@@ -11,6 +11,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows hold whole texts, or a digest of each of their words: by Spark's own limit a Python worker, and the JVM beside it,
+    # would hold 64 MB of them several times over.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 

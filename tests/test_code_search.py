@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseek.operators import embed, rerank
-from sparkseek.plans.code_search import code_search
-from tests.conftest import at
+from sparkseek.operators import embed, rerank, search
+from sparkseek.plans.code_search import RANKED_COLUMNS, code_search
+from tests.conftest import at, tuples
 
 TEXTS = ["parse the config file", "open a network socket", "config file writer", "sort a list of numbers"]
 
@@ -53,3 +55,41 @@ def test_another_model_finds_nothing(spark, world):
     embedder, documents, projects, models = world
     other = models.withColumn("model", F.lit("other"))
     assert code_search(ask(spark, (1, 1, "q", None)), projects, documents, other, embedder).hits.count() == 0
+
+
+def many(spark):
+    """So many questions that their candidates are joined with the documents and not listed."""
+    words = [w for t in TEXTS for w in t.split()]
+    return ask(spark, *[(i, 1, f"{words[i % len(words)]} {words[i * 7 % len(words)]}", i % 3 + 1) for i in range(300)])
+
+
+def test_many_answers_are_those_of_the_steps_one_by_one(spark, world):
+    embedder, documents, projects, models = world
+    asked = search.with_pool_size(embed.embed_table(many(spark), "question", embedder, "query_vector"), rerank.Pointwise().pool_size)
+    found = search.search_batch(documents, asked, 64).join(asked.select("query_id", "project_id", "question", "limit"), "query_id")
+    expected = rerank.rerank_batch(found, rerank.Pointwise())
+    columns = (*RANKED_COLUMNS, *search.HIT_COLUMNS)
+    for reranker in (rerank.Pointwise(), rerank.Pointwise(tasks=3), rerank.Listwise()):
+        hits = code_search(many(spark), projects, documents, models, embedder, reranker).hits.withColumn("project_id", F.lit(1).cast("long"))
+        rows = tuples(hits.select(*columns).orderBy("query_id", "rank"))
+        assert len(rows) == 600 and hits.filter("git_url != 'https://git'").isEmpty()
+        if isinstance(reranker, rerank.Pointwise):
+            assert rows == tuples(expected.select(*columns).orderBy("query_id", "rank"))
+
+
+def test_texts_are_shuffled_once_and_not_with_the_candidates(spark, world, capsys):
+    embedder, documents, projects, models = world
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = code_search(many(spark), projects, documents, models, embedder, rerank.Pointwise()).hits
+        assert len(hits.collect()) == 600
+        hits.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    final = re.findall(r"(?<!\w)Exchange \((\d+)\)", plan.split("== Initial Plan ==")[0])
+    details = re.findall(r"\((\d+)\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(([a-z_]+)#", plan)
+    shuffles = [(columns, key) for number, columns, key in details if number in final]
+    assert {"query_id", "id"} <= {key for _, key in shuffles}
+    assert [key for columns, key in shuffles if "embedding_text#" in columns] == ["id"]

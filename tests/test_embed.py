@@ -127,3 +127,10 @@ def test_split_by_dimensions(spark):
     rows = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0]), (3, None)], "i int, v array<float>")
     fits, rest = vectors.split_by_dimensions(rows, "v", 2)
     assert [r["i"] for r in fits.collect()] == [2] and sorted(r["i"] for r in rest.collect()) == [1, 3]
+
+
+def test_rows_in_few_pieces_are_told_from_rows_in_many(spark, tmp_path):
+    for pieces in (1, 6):
+        spark.range(0, 60, 1, pieces).write.parquet(str(tmp_path / str(pieces)))
+    assert not embed.in_pieces(spark.read.parquet(str(tmp_path / "1")))
+    assert embed.in_pieces(spark.range(0, 60, 1, 6))

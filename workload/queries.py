@@ -1152,7 +1152,9 @@ def rerank_batch(v: Views) -> DataFrame:
 def _answers(v: Views) -> plan.Answers:
     """Every document's whole text is embedded; the given vectors play no part."""
     embedder = embed.HashedTokens(DIMENSIONS)
-    documents = embed.embed_table(v.documents.drop("embedding"), "embedding_text", embedder, tasks=rerank.parallel_tasks(v.spark))
+    texts = v.raw("documents")
+    tasks = None if embed.in_pieces(texts) else rerank.parallel_tasks(v.spark)
+    documents = v.documents_of(embed.embed_table(texts, "text", embedder, tasks=tasks), v.raw("embeddings").drop("embedding"))
     return plan.code_search(_filtered_questions(v), v.projects, documents, v.models, embedder, rerank.Pointwise())
 
 

@@ -75,13 +75,19 @@ class Views:
     @property
     def documents(self) -> DataFrame:
         """All documents; one without a given vector has none."""
-        e, d, l = self.raw("embeddings"), self.raw("documents"), self.raw("labels")
-        joined = d.join(e, F.col("doc_id") == F.col("vec_id"), "left").join(
-            l.select(F.col("doc_id").alias("label_id"), "quality"), F.col("label_id") == F.col("doc_id"), "left"
-        )
+        return self.documents_of(self.raw("documents"), self.raw("embeddings"))
+
+    def documents_of(self, texts: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Documents out of their texts and given vectors; one of both has ``embedding``.
+
+        They are joined by ``id``, so that a later join by it does not move the texts again.
+        """
         vec = F.col("doc_id")
-        return joined.select(
-            (vec + 1).alias("id"),
+        d = texts.withColumn("id", vec + 1)
+        e = vectors.withColumn("id", F.col("vec_id") + 1)
+        l = self.raw("labels").select((vec + 1).alias("id"), "quality")
+        return d.join(e, "id", "left").join(l, "id", "left").select(
+            "id",
             F.concat(F.lit("doc-"), vec.cast("string")).alias("document_id"),
             F.when(F.col("label") < 2, 2).otherwise(1).cast("long").alias("embedding_model_id"),
             (vec % 20 + 1).alias("project_id"),
